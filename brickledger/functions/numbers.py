@@ -14,17 +14,16 @@ _PLAIN = r"^[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][t
 
 
 def no_nan(number: Column) -> Column:
-    return F.when(~F.isnan(number), number)
+    return F.nanvl(number, F.lit(None).cast("double"))
 
 
 def plain_number(text: Column) -> Column:
     """Text that is a number as a whole, else NULL."""
-    s = strip(text)
-    return F.when(s.rlike(_PLAIN), s.try_cast("double"))
+    return F.regexp_extract(strip(text), _PLAIN, 0).try_cast("double")
 
 
 def _captured(text: Column, pattern: str) -> Column:
-    return ascii_digits(first_match(text, pattern)).try_cast("double")
+    return ascii_digits(F.regexp_extract(text, fixed.FLAGS + pattern, 1)).try_cast("double")
 
 
 def _cleaned(text: Column) -> Column:

@@ -39,22 +39,18 @@ def contains_any(text: Column, words) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
-def word_is(text: Column, words) -> Column:
-    return F.lower(strip(text)).isin(*words)
-
-
 def is_text(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.StringType)
 
 
 def is_blank(df: DataFrame, column: str, words=fixed.BLANK_WORDS) -> Column:
     """True where a cell holds nothing: NULL, NaN, or for text one of ``words``."""
-    c = F.col(column)
+    c = F.col(f"`{column}`")
     kind = df.schema[column].dataType
-    if isinstance(kind, T.StringType):
-        return c.isNull() | word_is(c, words)
+    if isinstance(kind, T.StringType) and words:
+        return F.lower(strip(F.coalesce(c, F.lit("")))).isin(*words)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return c.isNull() | F.isnan(c)
+        return F.nanvl(c, F.lit(None).cast(kind)).isNull()
     return c.isNull()
 
 

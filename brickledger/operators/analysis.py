@@ -23,9 +23,15 @@ def _pairs(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _mean_price_by(df: DataFrame, **key: Column) -> DataFrame:
+    """Mean unit price per key.  Groups without a key or a price go by their count, after the
+    aggregation: a filter in front of it would be pushed down and have both computed twice."""
     (name,) = key
-    means = _pairs(df, **key, unit_price=to_number(df, "unit_price")).groupBy(name)
-    return means.agg(F.avg("unit_price").alias("unit_price")).filter(has_rows(df, fixed.MIN_ROWS))
+    rows = df.select(key[name].alias(name), to_number(df, "unit_price").alias("price"))
+    means = rows.groupBy(name).agg(
+        F.avg("price").alias("unit_price"),
+        F.count(F.when(F.col(name).isNotNull(), F.col("price"))).alias("__n"),
+    )
+    return means.filter("__n > 0").filter(has_rows(df, fixed.MIN_ROWS)).drop("__n")
 
 
 def _band_table(spark) -> DataFrame:
@@ -66,16 +72,22 @@ def area_buckets(df: DataFrame) -> DataFrame:
 
 
 def area_band_counts(df: DataFrame) -> DataFrame:
-    band = cells.area_band(to_number(df, "area_m2"))
-    return _pairs(df, band=band).groupBy("band").agg(F.count("*").alias("listings"))
+    bands = df.select(cells.area_band(to_number(df, "area_m2")).alias("band")).groupBy("band")
+    return bands.agg(F.count("band").alias("listings")).filter("listings > 0")
 
 
 def decade_avg(df: DataFrame) -> DataFrame:
     """Mean unit price per building decade, given at least five listings with both values."""
     year, price = to_number(df, "build_year"), to_number(df, "unit_price")
-    valid = _pairs(df, decade_start=cells.decade(year), avg_unit_price=price)
-    means = valid.groupBy("decade_start").agg(F.avg("avg_unit_price").alias("avg_unit_price"))
-    return means.filter(has_rows(valid, fixed.MIN_ROWS))
+    rows = df.select(cells.decade(year).alias("decade_start"), price.alias("price"))
+    valid = F.count(F.when(F.col("decade_start").isNotNull(), F.col("price")))
+    means = rows.groupBy("decade_start").agg(F.avg("price").alias("avg_unit_price"), valid.alias("__n"))
+    means = means.filter("__n > 0")
+    # Decades are few, whatever the size of the table.
+    whole = Window.partitionBy(F.lit(0))
+    return means.withColumn("__all", F.sum("__n").over(whole)).filter(
+        F.col("__all") >= fixed.MIN_ROWS
+    ).drop("__n", "__all")
 
 
 # --- Task list -------------------------------------------------------------------------------------
@@ -136,9 +148,11 @@ def age_price_trend(df: DataFrame) -> DataFrame:
 
 def community_followers(df: DataFrame) -> DataFrame:
     """The fifteen communities with most followers."""
-    pairs = _pairs(df, community=F.col("community"), followers=to_number(df, "followers"))
-    sums = pairs.groupBy("community").agg(F.sum("followers").alias("followers"))
-    ranked = sums.filter(has_rows(df, fixed.MIN_ROWS)).orderBy(F.desc("followers"), "community")
+    pairs = df.select("community", to_number(df, "followers").alias("f"))
+    sums = pairs.groupBy("community").agg(
+        F.sum("f").alias("followers"), F.count(F.when(F.col("community").isNotNull(), F.col("f"))).alias("__n")
+    )
+    ranked = sums.filter("__n > 0").drop("__n").filter(has_rows(df, fixed.MIN_ROWS)).orderBy(F.desc("followers"), "community")
     return ranked.limit(fixed.TOP_COMMUNITIES)
 
 
@@ -148,45 +162,38 @@ def total_area_scatter(df: DataFrame) -> DataFrame:
 
 
 def price_histogram(df: DataFrame) -> DataFrame:
-    """Counts of 10 to 40 equal unit-price bins by bin centre, empty bins included."""
-    prices = _pairs(df, v=to_number(df, "unit_price"))
-    fewest, most = fixed.HISTOGRAM_BINS
-    shape = (
-        prices.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .filter(F.col("n") >= fixed.MIN_ROWS)
-        .select(
-            F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-            F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
-            F.least(F.lit(most), F.greatest(F.lit(fewest), F.floor(F.col("n") / 5))).cast("int").alias("bins"),
-        )
-    )
-    whole = shape.select(F.struct("*")).scalar()
-    lo, hi, bins = whole["lo"], whole["hi"], whole["bins"]
-    step = (hi - lo) / bins
-
-    def edge(i: Column) -> Column:
-        return F.when(i == bins, hi).otherwise(lo + i * step)
+    """Counts of 10 to 40 equal unit-price bins by bin centre, empty bins included.
 
+    A first job finds the range, which goes into the second as numbers.
+    """
+    prices = df.select(to_number(df, "unit_price").alias("v"))
+    n, lo, hi = prices.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if n < fixed.MIN_ROWS:
+        return df.sparkSession.createDataFrame([], "bin double, count bigint")
+    if lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
+    fewest, most = fixed.HISTOGRAM_BINS
+    bins = min(most, max(fewest, n // 5))
+    edges = [lo + i * ((hi - lo) / bins) for i in range(bins)] + [hi]
     # The bin by division can be off by one at an edge; the edges decide.
-    guess = F.least(F.floor((F.col("v") - lo) / (hi - lo) * bins), bins - 1)
+    edge = F.array(*[F.lit(e) for e in edges])
+    guess = F.least(F.floor((F.col("v") - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
     counts = (
         prices.withColumn("i", guess)
         .withColumn(
             "i",
-            F.when(F.col("v") < edge(F.col("i")), F.col("i") - 1)
-            .when((F.col("v") >= edge(F.col("i") + 1)) & (F.col("i") < bins - 1), F.col("i") + 1)
+            F.when(F.col("v") < F.get(edge, F.col("i")), F.col("i") - 1)
+            .when((F.col("v") >= F.get(edge, F.col("i") + 1)) & (F.col("i") < bins - 1), F.col("i") + 1)
             .otherwise(F.col("i")),
         )
-        .groupBy("i").agg(F.count("*").alias("count"))
+        .groupBy("i").agg(F.count("v").alias("count"))
+    )
+    axis = df.sparkSession.createDataFrame(
+        [(i, (edges[i] + edges[i + 1]) / 2) for i in range(bins)], "i int, bin double"
     )
-    axis = shape.select(F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("i"))
     return (
-        axis.join(F.broadcast(counts), "i", "left")  # at most 40 rows on both sides
-        .select(
-            ((edge(F.col("i")) + edge(F.col("i") + 1)) / 2).alias("bin"),
-            F.coalesce("count", F.lit(0)).alias("count"),
-        )
-        .orderBy("bin")
+        axis.join(F.broadcast(counts), "i", "left")  # at most 40 bins on both sides
+        .select("bin", F.coalesce("count", F.lit(0)).alias("count")).orderBy("bin")
     )
 
 

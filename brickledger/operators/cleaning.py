@@ -112,8 +112,10 @@ def expand_house_info(df: DataFrame) -> DataFrame:
 
     Each part belongs to the first column, in order of precedence, that is still free and accepts it.
     That is the same as letting each column in turn take its first acceptable part out of the text the
-    columns before it left over.  Patterns over the whole cell do that inside generated code, which is
-    many times faster than lambdas over an array of parts.
+    columns before it left over, which patterns over the whole cell do without lambdas.
+
+    The generator (one row in, one row out) keeps later filters from being rewritten into copies of this
+    chain of expressions, which refer to each other many times over.
     """
     if "house_info_raw" not in df.columns:
         return df
@@ -123,6 +125,8 @@ def expand_house_info(df: DataFrame) -> DataFrame:
     for name, accepts, _ in _HOUSE_INFO:
         work = work.withColumn(f"__{name}", first_match(left, rf"\|(\s*{accepts})(?=\|)"))
         work = work.withColumn("__left", _without_part(left, F.col(f"__{name}")))
+    found = [f"__{name}" for name, _, _ in _HOUSE_INFO]
+    work = work.select(*kept, F.stack(F.lit(1), *found).alias(*found))
     values = {
         name: _fill_blank(df, name, value(strip(F.col(f"__{name}")))) for name, _, value in _HOUSE_INFO
     }

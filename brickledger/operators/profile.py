@@ -9,63 +9,55 @@ from brickledger import fixed
 from brickledger.functions.text import is_blank, is_text
 
 
-def _first_filled(df: DataFrame, columns: list[str], row_id: str, samples: int) -> list[DataFrame]:
-    """Per k, one row with each column's k-th filled value and its row id, in row order.
-
-    Step k is one aggregation without a shuffle: the smallest row id above that of step k-1.
-    """
-    steps: list[DataFrame] = []
-    for _ in range(samples):
-        picks = []
-        last = steps[-1].select(F.struct("*")).scalar() if steps else None
-        for i, name in enumerate(columns):
-            filled = ~is_blank(df, name, ())
-            if last is not None:
-                filled &= F.col(row_id) > last[f"s{i}"]["row"]
-            cell = F.struct(
-                F.col(row_id).alias("row"),
-                F.substring(F.col(f"`{name}`").cast("string"), 1, fixed.PROFILE_SAMPLE_CHARS).alias("text"),
-            )
-            picks.append(F.min_by(cell, F.when(filled, F.col(row_id))).alias(f"s{i}"))
-        steps.append(df.agg(*picks))
-    return steps
-
-
 def column_profile(
     df: DataFrame, samples: int = fixed.PROFILE_SAMPLES, row_id: str = "row_id"
 ) -> DataFrame:
     """One row per column: position, name, dtype, share filled, first values, share with '|' and '/'.
 
-    The counts are a single wide aggregation, turned into rows afterwards.
+    Job k is one aggregation without a shuffle of rows that finds each column's k-th filled value in row
+    order, as the one with the smallest row id above the one before; the first job counts as well.  One
+    row of short texts per job comes back to the driver.
     """
     columns = [c for c in df.columns if c != row_id]
-    if not columns:
-        raise ValueError("nothing to profile")
     measures = [F.count("*").alias("n")]
     for i, name in enumerate(columns):
-        filled = ~is_blank(df, name, ())
-        measures.append(F.count_if(filled).alias(f"f{i}"))
+        cell = F.col(f"`{name}`")
+        measures.append(F.count_if(~is_blank(df, name, ())).alias(f"f{i}"))
         if is_text(df, name):
-            for key, sign in (("p", "|"), ("d", "/")):
-                measures.append(F.count_if(F.col(f"`{name}`").contains(sign)).alias(f"{key}{i}"))
-    steps = _first_filled(df, columns, row_id, samples)
-    firsts = [step.select(F.struct("*")).scalar() for step in steps]
+            measures.append(F.count_if(cell.contains("|")).alias(f"p{i}"))
+            measures.append(F.count_if(cell.contains("/")).alias(f"d{i}"))
+    firsts: list[list[str]] = [[] for _ in columns]
+    last: list = [None] * len(columns)
+    counted = None
+    for step in range(max(samples, 1)):
+        picks = []
+        for i, name in enumerate(columns):
+            later = ~is_blank(df, name, ())
+            if step:
+                later &= (F.col(row_id) > F.lit(last[i])) if last[i] is not None else F.lit(False)
+            text = F.substring(F.col(f"`{name}`").cast("string"), 1, fixed.PROFILE_SAMPLE_CHARS)
+            cell = F.struct(F.col(row_id).alias("row"), text.alias("text"))
+            picks.append(F.min_by(cell, F.when(later, F.col(row_id))).alias(f"s{i}"))
+        found = df.agg(*picks, *([] if step else measures)).first()
+        counted = counted or found
+        for i in range(len(columns)):
+            last[i] = found[f"s{i}"]["row"] if found[f"s{i}"] else None
+            if found[f"s{i}"] and samples:
+                firsts[i].append(found[f"s{i}"]["text"])
     rows = []
     for i, name in enumerate(columns):
-        text = is_text(df, name)
-        filled = F.nullif(F.col(f"f{i}"), F.lit(0))
-        none = F.lit(None).cast("double")
-        rows.append(F.struct(
-            F.lit(i).alias("position"),
-            F.lit(name).alias("name"),
-            F.lit(df.schema[name].dataType.simpleString()).alias("dtype"),
-            F.round(F.col(f"f{i}") / F.col("n"), 4).alias("non_null_ratio"),
-            F.array_compact(F.array(*[f[f"s{i}"]["text"] for f in firsts])).cast("array<string>")
-            .alias("samples"),
-            (F.col(f"p{i}") / filled if text else none).alias("pipe_like_ratio"),
-            (F.col(f"d{i}") / filled if text else none).alias("slash_like_ratio"),
+        filled, text = counted[f"f{i}"], is_text(df, name) and counted[f"f{i}"] > 0
+        rows.append((
+            i, name, df.schema[name].dataType.simpleString(),
+            filled / counted["n"] if counted["n"] else None, firsts[i],
+            counted[f"p{i}"] / filled if text else None, counted[f"d{i}"] / filled if text else None,
         ))
-    return df.agg(*measures).filter("n > 0").select(F.inline(F.array(*rows)))
+    schema = (
+        "position int, name string, dtype string, non_null_ratio double, samples array<string>, "
+        "pipe_like_ratio double, slash_like_ratio double"
+    )
+    profile = df.sparkSession.createDataFrame(rows if counted["n"] else [], schema)
+    return profile.withColumn("non_null_ratio", F.round("non_null_ratio", 4))
 
 
 def top_profile(profile: DataFrame, columns: int = fixed.PROFILE_MAX_COLUMNS) -> DataFrame:

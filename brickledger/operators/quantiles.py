@@ -23,8 +23,11 @@ _SORTABLE = 1_000_000
 
 
 def _value_counts(df: DataFrame, value: Column, by: Column) -> DataFrame:
-    rows = df.select(by.alias("g"), value.cast("double").alias("v"))
-    return rows.filter("v IS NOT NULL AND NOT isnan(v)").groupBy("g", "v").agg(F.count("*").alias("c"))
+    """Rows per group and value.  NULL and NaN are dropped by their count, after the aggregation: a filter
+    on the value would be pushed down and have it computed twice."""
+    number = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+    rows = df.select(by.alias("g"), number.alias("v"))
+    return rows.groupBy("g", "v").agg(F.count("v").alias("c")).filter("c > 0")
 
 
 def _log_bucket(v: Column) -> Column:

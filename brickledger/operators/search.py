@@ -264,10 +264,11 @@ def search_batch(df: DataFrame, intents: dict[str, SearchIntent]) -> DataFrame:
         clean = rows.frame.agg(*[
             F.bool_or(rows.candidate(intent) & ~rows.noise).alias(f"c{i}") for i, (_, intent) in enumerate(some)
         ]).select(F.struct("*")).scalar()
+        frame = rows.frame.withColumns({"__clean": clean, "__price": rows.price()})
         tries = F.array(*[
             F.when(
                 rows.candidate(intent) & rows.hard(intent)
-                & (~rows.noise | ~F.coalesce(clean[f"c{i}"], F.lit(False))),
+                & (~rows.noise | ~F.coalesce(F.col(f"__clean.c{i}"), F.lit(False))),
                 F.struct(
                     F.lit(key).alias("intent_id"), F.lit(intent.max_rows).alias("most"),
                     rows.score(intent).alias("score"),
@@ -278,8 +279,7 @@ def search_batch(df: DataFrame, intents: dict[str, SearchIntent]) -> DataFrame:
         order = [F.desc("score"), F.col("__price"), *[F.col(c) for c in rows.row_order()]]
         place = F.row_number().over(Window.partitionBy("intent_id").orderBy(*order))
         parts.append(
-            rows.frame.withColumn("__price", rows.price())
-            .withColumn("__hit", F.explode(F.array_compact(tries)))
+            frame.withColumn("__hit", F.explode(F.array_compact(tries)))
             .select(*df.columns, "__price", "__hit.intent_id", "__hit.most", "__hit.score")
             .withColumn("rank", place)
             .filter(F.col("rank") <= fixed.SEARCH_MAX_ROWS).filter(F.col("rank") <= F.col("most"))
