@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 1: the time after
-one warm-up run; more runs give the median).
+BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 1; more give the
+median), BENCH_KEYS (comma-separated).  The session is warmed up with one query; progress goes to stderr.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import sys
 import time
 
 from verification.compare import make_session
@@ -32,9 +33,10 @@ def main() -> None:
         return time.perf_counter() - start
 
     seconds = {}
+    timed("floor_band")
     for key in os.environ.get("BENCH_KEYS", ",".join(HEADLINE)).split(","):
-        timed(key)
         seconds[key] = round(statistics.median(timed(key) for _ in range(runs)), 3)
+        print(key, seconds[key], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(directory.rstrip("/")).removeprefix("sf"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,12 +44,17 @@ def is_text(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.StringType)
 
 
+def _any_case(words) -> list[str]:
+    """All upper- and lower-case spellings: looking one up is much cheaper than lower-casing every cell."""
+    return sorted({"".join(s) for w in words for s in product(*[{c.lower(), c.upper()} for c in w])})
+
+
 def is_blank(df: DataFrame, column: str, words=fixed.BLANK_WORDS) -> Column:
     """True where a cell holds nothing: NULL, NaN, or for text one of ``words``."""
     c = F.col(f"`{column}`")
     kind = df.schema[column].dataType
     if isinstance(kind, T.StringType) and words:
-        return F.lower(strip(F.coalesce(c, F.lit("")))).isin(*words)
+        return strip(F.coalesce(c, F.lit(""))).isin(*_any_case(words))
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return F.nanvl(c, F.lit(None).cast(kind)).isNull()
     return c.isNull()

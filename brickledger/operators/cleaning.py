@@ -211,6 +211,20 @@ def fill_unit_price(df: DataFrame) -> DataFrame:
     return df.withColumn("unit_price", derived)
 
 
+def _computed_once(df: DataFrame, columns) -> DataFrame:
+    """The same rows, with these columns behind a generator that gives one row per row.
+
+    A filter on a computed column would otherwise be pushed below its computation and repeat it, several
+    times over where such columns build on each other.
+    """
+    names = [c for c in columns if c in df.columns]
+    if not names:
+        return df
+    once = F.stack(F.lit(1), *names).alias(*[f"__{c}" for c in names])
+    rows = df.select(*[c for c in df.columns if c not in names], once)
+    return rows.select(*[F.col(f"__{c}").alias(c) if c in names else F.col(c) for c in df.columns])
+
+
 def finalize(df: DataFrame) -> DataFrame:
     """Promote staging columns, parse text numbers, coerce, fill the unit price."""
     return (
@@ -218,4 +232,5 @@ def finalize(df: DataFrame) -> DataFrame:
         .transform(parse_numeric_text)
         .transform(coerce_numeric)
         .transform(fill_unit_price)
+        .transform(lambda rows: _computed_once(rows, fixed.NUMERIC_COLUMNS))
     )

@@ -13,22 +13,27 @@ ROW_ORDER = ("ingest_file", "row_id")
 def resolve_dedup_keys(df: DataFrame, min_non_null_ratio: float = 0.05) -> list[str] | None:
     """The columns that tell listings apart, or None for whole rows.
 
-    Runs one aggregation without a shuffle of rows; only where listing numbers exist without a source
-    file, a second one counts distinct numbers.  One row comes back to the driver each time.
+    Small jobs that bring one row to the driver: the listing number and source file are counted first,
+    the other columns, which may have to be parsed, only where those do not decide.
     """
-    candidates = [c for c in fixed.DEDUP_PREFERENCE if c in df.columns]
-    tagged = [c for c in ("ingest_file",) if c in df.columns]
-    if not candidates:
+    tagged = "ingest_file" in df.columns
+    counted = df.agg(
+        F.count("*").alias("n"),
+        (F.count("ingest_file") if tagged else F.lit(0)).alias("files"),
+        (F.count("listing_id") if "listing_id" in df.columns else F.lit(0)).alias("numbers"),
+    ).first()
+    n = counted["n"]
+    if not n:
         return None
-    filled = df.agg(F.count("*").alias("n"), *[F.count(c).alias(c) for c in candidates + tagged]).first()
-    n, has_file = filled["n"], bool(tagged) and filled["ingest_file"] > 0
-    usable = [c for c in candidates if n and filled[c] / n >= min_non_null_ratio]
-    if "listing_id" in usable:
-        if has_file:
+    if counted["numbers"] and counted["numbers"] / n >= min_non_null_ratio:
+        if counted["files"]:
             return ["ingest_file", "listing_id"]
         if df.agg(F.count_distinct("listing_id")).first()[0] >= max(1, int(0.92 * n)):
             return ["listing_id"]
-    keys = (["ingest_file"] if has_file else []) + usable
+    candidates = [c for c in fixed.DEDUP_PREFERENCE if c in df.columns]
+    filled = df.agg(F.count("*").alias("n"), *[F.count(c).alias(c) for c in candidates]).first()
+    usable = [c for c in candidates if filled[c] / n >= min_non_null_ratio]
+    keys = (["ingest_file"] if counted["files"] else []) + usable
     return keys if len(keys) >= 2 else None
 
 
