@@ -16,9 +16,8 @@ from verification.compare import make_session
 from verification.queries import QUERIES
 
 HEADLINE = (
-    "expand_house_info", "expand_follow_info", "finalize", "dedup_first", "iqr_filter", "etl_clean",
-    "rule_features", "district_price_rank", "layout_box_stats", "price_histogram", "community_followers",
-    "quality_report", "search_topk", "search_batch",
+    "expand_house_info", "finalize", "dedup_first", "iqr_filter", "etl_clean", "district_price_rank",
+    "price_histogram", "community_followers", "quality_report", "search_topk",
 )
 
 

@@ -48,8 +48,12 @@ def clean_listings(raw: DataFrame, checkpoint: bool = False) -> DataFrame:
 
 
 def clean_and_label(raw: DataFrame, checkpoint: bool = False) -> DataFrame:
-    """The default job: :func:`clean_listings`, then rule-based text labels."""
-    return clean_listings(raw, checkpoint).transform(labels.rule_features)
+    """The default job: :func:`clean_listings`, then rule-based text labels.
+
+    The clean-up at the end of :func:`labels.rule_features` is left out, as it changes nothing in rows
+    that have been through it already.
+    """
+    return clean_listings(raw, checkpoint).transform(labels.text_labels)
 
 
 def stage_counts(raw: DataFrame) -> DataFrame:

@@ -43,6 +43,10 @@ def parsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
+    return parsed(spark, d).transform(labels.text_labels)
+
+
+def rule_features(spark: SparkSession, d: str) -> DataFrame:
     return parsed(spark, d).transform(labels.rule_features)
 
 
@@ -411,7 +415,7 @@ QUERIES = {
     "tag_elevator": partial(_label, "tag_elevator"),
     "layout_normalized": layout_normalized,
     "build_year_fill": build_year_fill,
-    "rule_features": labelled,
+    "rule_features": rule_features,
     "score_sample": score_sample,
     "score_apply": score_apply,
     "quality_metrics": quality_metrics,
