@@ -31,7 +31,7 @@ def probe_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per table file: path, name, encoding, header line, ok and the reason if it cannot be read.
 
     A single distributed pass over the lines decides the encoding: a file is UTF-8 when all its lines are.
-    Spreadsheet files are listed as not readable.
+    Spreadsheet files are listed as not readable; files of zero bytes, which Spark skips, are not listed.
     """
     files = spark.read.option("recursiveFileLookup", "true")
     listed = files.option("pathGlobFilter", "*.{csv,CSV,Csv,xls,XLS,xlsx,XLSX}").format("binaryFile").load(path)
