@@ -15,7 +15,7 @@ from brickledger.functions import cells
 from brickledger.functions.numbers import to_number
 from brickledger.operators.checks import has_rows
 from brickledger.operators.outliers import price_outliers
-from brickledger.operators.quantiles import exact_quantiles
+from brickledger.operators.quantiles import exact_quantiles, value_counts
 
 
 def _pairs(df: DataFrame, **columns: Column) -> DataFrame:
@@ -164,37 +164,33 @@ def total_area_scatter(df: DataFrame) -> DataFrame:
 def price_histogram(df: DataFrame) -> DataFrame:
     """Counts of 10 to 40 equal unit-price bins by bin centre, empty bins included.
 
-    A first job finds the range, which goes into the second as numbers.
+    Prices are counted per distinct value once; the range and then the bins, at most 40 rows, come from
+    those counts, so the table is read once.
     """
-    prices = df.select(to_number(df, "unit_price").alias("v"))
-    n, lo, hi = prices.agg(F.count("v"), F.min("v"), F.max("v")).first()
-    if n < fixed.MIN_ROWS:
-        return df.sparkSession.createDataFrame([], "bin double, count bigint")
-    if lo == hi:
-        lo, hi = lo - 0.5, hi + 0.5
-    fewest, most = fixed.HISTOGRAM_BINS
-    bins = min(most, max(fewest, n // 5))
-    edges = [lo + i * ((hi - lo) / bins) for i in range(bins)] + [hi]
-    # The bin by division can be off by one at an edge; the edges decide.
-    edge = F.array(*[F.lit(e) for e in edges])
-    guess = F.least(F.floor((F.col("v") - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
-    counts = (
-        prices.withColumn("i", guess)
-        .withColumn(
-            "i",
+    counts = value_counts(df, to_number(df, "unit_price"), F.lit("")).persist()
+    try:
+        n, lo, hi = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.min("v"), F.max("v")).first()
+        if n < fixed.MIN_ROWS:
+            return df.sparkSession.createDataFrame([], "bin double, count bigint")
+        if lo == hi:
+            lo, hi = lo - 0.5, hi + 0.5
+        fewest, most = fixed.HISTOGRAM_BINS
+        bins = min(most, max(fewest, n // 5))
+        edges = [lo + i * ((hi - lo) / bins) for i in range(bins)] + [hi]
+        # The bin by division can be off by one at an edge; the edges decide.
+        edge = F.array(*[F.lit(e) for e in edges])
+        guess = F.least(F.floor((F.col("v") - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+        exact = (
             F.when(F.col("v") < F.get(edge, F.col("i")), F.col("i") - 1)
             .when((F.col("v") >= F.get(edge, F.col("i") + 1)) & (F.col("i") < bins - 1), F.col("i") + 1)
-            .otherwise(F.col("i")),
+            .otherwise(F.col("i"))
         )
-        .groupBy("i").agg(F.count("v").alias("count"))
-    )
-    axis = df.sparkSession.createDataFrame(
-        [(i, (edges[i] + edges[i + 1]) / 2) for i in range(bins)], "i int, bin double"
-    )
-    return (
-        axis.join(F.broadcast(counts), "i", "left")  # at most 40 bins on both sides
-        .select("bin", F.coalesce("count", F.lit(0)).alias("count")).orderBy("bin")
-    )
+        filled = counts.withColumn("i", guess).groupBy(exact.alias("i")).agg(F.sum("c").alias("n")).collect()
+    finally:
+        counts.unpersist()
+    by_bin = {r["i"]: r["n"] for r in filled}
+    rows = [((edges[i] + edges[i + 1]) / 2, by_bin.get(i, 0)) for i in range(bins)]
+    return df.sparkSession.createDataFrame(rows, "bin double, count bigint")
 
 
 TASKS = {

@@ -22,7 +22,7 @@ _SLICES = 4096
 _SORTABLE = 1_000_000
 
 
-def _value_counts(df: DataFrame, value: Column, by: Column) -> DataFrame:
+def value_counts(df: DataFrame, value: Column, by: Column) -> DataFrame:
     """Rows per group and value.  NULL and NaN are dropped by their count, after the aggregation: a filter
     on the value would be pushed down and have it computed twice."""
     number = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
@@ -73,7 +73,7 @@ def exact_quantiles(
 
     Meant for a handful of groups, whose results are driver-side numbers; without ``by`` the group is ''.
     """
-    counts = _value_counts(df, value, F.lit("") if by is None else by).persist()
+    counts = value_counts(df, value, F.lit("") if by is None else by).persist()
     try:
         totals = {r["g"]: r["n"] for r in counts.groupBy("g").agg(F.sum("c").alias("n")).collect()}
         ranks = {}

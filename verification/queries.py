@@ -38,8 +38,8 @@ def raw(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return listings(spark, d, columns) if columns else listings(spark, d)
 
 
-def parsed(spark: SparkSession, d: str) -> DataFrame:
-    return etl.parse_listings(raw(spark, d)).transform(cleaning.floor_band)
+def parsed(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return etl.parse_listings(raw(spark, d, *columns)).transform(cleaning.floor_band)
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -307,8 +307,9 @@ def profile_top(spark: SparkSession, d: str) -> DataFrame:
 # --- Analyses --------------------------------------------------------------------------------------
 
 
-def _analysis(job, *round_columns: str):
-    return lambda spark, d: rounded(job(parsed(spark, d)), *round_columns)
+def _analysis(job, *round_columns: str, columns: tuple[str, ...] = ()):
+    """An analysis of the parsed listings, of all or only the given raw columns."""
+    return lambda spark, d: rounded(job(parsed(spark, d, *columns)), *round_columns)
 
 
 # --- Search ----------------------------------------------------------------------------------------
@@ -434,7 +435,7 @@ QUERIES = {
     "decoration_price": _analysis(analysis.decoration_price, "unit_price"),
     "floor_band_price": _analysis(analysis.floor_band_price, "unit_price"),
     "age_price_trend": _analysis(analysis.age_price_trend, "unit_price"),
-    "community_followers": _analysis(analysis.community_followers),
+    "community_followers": _analysis(analysis.community_followers, columns=("community", "follow_info_raw")),
     "total_area_scatter": _analysis(analysis.total_area_scatter),
     "price_outliers": _analysis(outliers.price_outliers, "low", "high"),
     "price_histogram": _analysis(analysis.price_histogram, "bin"),
