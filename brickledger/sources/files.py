@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import re
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,9 @@ from brickledger.functions.text import strip
 _BOM = "﻿"
 # GB18030 contains GBK and CP936, so every file that is not UTF-8 is read with it.
 _OTHER_ENCODING = "GB18030"
+_EXTENSION = r"(?i)\.csv$"
+_TABLES = (".csv", ".xls", ".xlsx")
+_FILE_STATUS = "path string, name string, length long, encoding string, header string, reason string, ok boolean"
 
 
 def file_stem(file_name: Column) -> Column:
@@ -27,40 +32,99 @@ def tag_source_file(df: DataFrame) -> DataFrame:
     return df.withColumn("ingest_file", file_stem(F.col("_metadata.file_name")))
 
 
-def probe_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per table file: path, name, encoding, header line, ok and the reason if it cannot be read.
+def _offered(spark: SparkSession, path: str, recursive: bool) -> tuple[str, DataFrame]:
+    """The folder's path and one row per table file in it: path, name below the folder, length.
 
-    A single distributed pass over the lines decides the encoding: a file is UTF-8 when all its lines are.
-    Spreadsheet files are listed as not readable; files of zero bytes, which Spark skips, are not listed.
+    The listing is the file system's own, so names and empty files that Spark's readers skip are in it.  It is made
+    on the driver, as Spark's file index is.
     """
-    files = spark.read.option("recursiveFileLookup", "true")
-    listed = files.option("pathGlobFilter", "*.{csv,CSV,Csv,xls,XLS,xlsx,XLSX}").format("binaryFile").load(path)
-    listed = listed.select("path", "length", F.element_at(F.split("path", "/"), -1).alias("name"))
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = system.makeQualified(root)
+    if system.getFileStatus(root).isFile():
+        root = root.getParent()
+    listing, rows = system.listFiles(system.makeQualified(hadoop.Path(path)), recursive), []
+    folder = root.toUri().getPath().rstrip("/")
+    while listing.hasNext():
+        status = listing.next()
+        full = status.getPath().toUri().getPath()
+        if full.lower().endswith(_TABLES):
+            rows.append((status.getPath().toString(), full[len(folder) + 1:], status.getLen()))
+    return root.toUri().getRawPath().rstrip("/"), spark.createDataFrame(rows, "path string, name string, length long")
+
+
+def _below(folder: str) -> Column:
+    """The path of a row's file below the folder; equal for no two files."""
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + re.escape(folder) + "/", "")
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))  # Spark escapes all but the plus sign
+
+
+def _is_gb18030(line: Column) -> Column:
+    """Whether the bytes of a line are GB18030: nothing is left when all its one, two and four byte codes go."""
+    codes = r"[\x00-\x80\xff]+|[\x81-\xfe][\x40-\x7e\x80-\xfe]|[\x81-\xfe][\x30-\x39][\x81-\xfe][\x30-\x39]"
+    return F.regexp_replace(F.decode(line.cast("binary"), "ISO-8859-1"), codes, "") == ""
+
+
+def probe_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """One row per table file under a directory: path, name, length, encoding, header line, ok and why not.
+
+    A single distributed pass over the lines decides the encoding: a file is UTF-8 when all its lines are, else
+    GB18030 when all are that.  Every file has a row, whatever its name; spreadsheets, empty files, names that
+    Spark's readers skip and files of other encodings say so in ``reason``.
+    """
+    folder, offered = _offered(spark, path, recursive)
+    return _probed(spark, path, recursive, folder, offered)
+
+
+def _probed(spark: SparkSession, path: str, recursive: bool, folder: str, offered: DataFrame) -> DataFrame:
+    offered = offered.withColumns({
+        "spreadsheet": F.lower("name").rlike(r"\.xlsx?$"), "hidden": F.col("name").rlike("(^|/)[_.]"),
+    })
+    files = spark.read.option("recursiveFileLookup", str(recursive).lower())
     meta = F.col("_metadata")
-    lines = files.option("pathGlobFilter", "*.{csv,CSV,Csv}").text(path).select(
-        meta["file_path"].alias("path"),
-        F.struct(meta["file_block_start"], F.monotonically_increasing_id()).alias("place"),
-        "value",
+    if offered.filter("not spreadsheet and not hidden and length > 0").isEmpty():
+        content = spark.createDataFrame([], "file_path string, utf8 boolean, gb18030 boolean, first_line string")
+    else:
+        lines = files.option("pathGlobFilter", "*.[cC][sS][vV]").text(path).select(
+            meta["file_path"].alias("file_path"),
+            F.struct(meta["file_block_start"], F.monotonically_increasing_id()).alias("place"),
+            "value",
+        )
+        content = lines.groupBy("file_path").agg(
+            F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_and(_is_gb18030(F.col("value"))).alias("gb18030"),
+            F.min_by("value", "place").alias("first_line"),
+        )
+    able = spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "true"
+    other = F.decode(F.col("first_line").cast("binary"), _OTHER_ENCODING) if able else F.lit(None).cast("string")
+    decoded = F.when(F.col("utf8"), F.col("first_line")).otherwise(F.when(F.col("gb18030"), other))
+    # Spark writes paths with one or three slashes after the scheme.
+    plain = lambda c: F.regexp_replace(c, "^([a-zA-Z0-9+.-]+:)/+", "$1/")
+    joined = offered.join(content.withColumn("file_path", plain("file_path")), _encoded(plain("path")) == F.col("file_path"), "left")
+    reason = (
+        F.when(F.col("spreadsheet"), "spreadsheet files are not supported")
+        .when(F.col("length") == 0, "empty file")
+        .when(F.col("hidden"), "Spark's readers skip names that begin with _ or .")
+        .when(F.col("utf8").isNull(), "empty file")
+        .when(~F.col("utf8") & ~F.col("gb18030"), "neither UTF-8 nor GB18030")
+        .when(~F.col("utf8") & ~F.lit(able), "GB18030 needs the setting spark.sql.legacy.javaCharsets=true")
+        .when(F.length(strip(decoded)) == 0, "empty file")
     )
-    content = lines.groupBy("path").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.min_by("value", "place").alias("first_line")
-    )
-    decoded = F.when(F.col("utf8"), F.col("first_line")).otherwise(
-        F.decode(F.col("first_line").cast("binary"), _OTHER_ENCODING)
-    )
-    spreadsheet = F.lower("name").rlike(r"\.xlsx?$")
-    return listed.join(content, "path", "left").select(
-        "path", "name",
-        F.when(F.col("utf8"), "UTF-8").when(~F.col("utf8"), _OTHER_ENCODING).alias("encoding"),
-        F.regexp_replace(decoded, _BOM, "").alias("header"),
-        (~spreadsheet & (F.length(strip(decoded)) > 0)).alias("ok"),
-    ).withColumn(
-        "reason",
-        F.when(spreadsheet, "spreadsheet files are not supported").when(~F.coalesce("ok", F.lit(False)), "empty file"),
-    ).withColumn("ok", F.coalesce("ok", F.lit(False)))
-
-
-def _read_group(spark: SparkSession, paths: list[str], encoding: str, header: str, multi_line: bool) -> DataFrame:
+    return joined.select(
+        "path", "name", "length",
+        F.when(F.col("utf8"), "UTF-8").when(F.col("gb18030"), _OTHER_ENCODING).alias("encoding"),
+        F.regexp_replace(decoded, _BOM, "").alias("header"), reason.alias("reason"),
+    ).withColumn("ok", F.col("reason").isNull())
+
+
+def _encoded(path: Column) -> Column:
+    """A path as in the hidden column file_path, where % and space are escaped."""
+    return F.replace(F.replace(path, F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20"))
+
+
+def _read_group(
+    spark: SparkSession, paths: list[str], encoding: str, header: str, multi_line: bool, folder: str, alike: list[str]
+) -> DataFrame:
     names = next(csv.reader([header]))
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     rows = spark.read.csv(
@@ -72,37 +136,44 @@ def _read_group(spark: SparkSession, paths: list[str], encoding: str, header: st
         known = F.when(~cell.isin(*fixed.CSV_NULL_CELLS), cell)
         sources.setdefault(normalize_header(name) or f"unnamed_{i}", []).append(known)
     row_id = F.concat_ws(
-        "-", F.col("_metadata.file_name"),
+        "-", _below(folder),
         F.lpad(F.col("_metadata.file_block_start").cast("string"), 15, "0"),
         F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"),
     )
     columns = {key: F.coalesce(*cells) for key, cells in sources.items()}
-    columns |= {"ingest_file": file_stem(F.col("_metadata.file_name")), "row_id": row_id}
+    name = _below(folder)
+    short = F.regexp_replace(name, _EXTENSION, "")
+    ingest_file = F.when(name.isin(alike), name).otherwise(short) if alike else short
+    columns |= {"ingest_file": ingest_file, "row_id": row_id}
     return rows.select(*[c.alias(key) for key, c in columns.items()])
 
 
 def read_listing_files(
-    spark: SparkSession, path: str, multi_line: bool = False
+    spark: SparkSession, path: str, multi_line: bool = False, recursive: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Union all listing files under a directory; returns (rows, files).
+    """Union the listing files of a directory; returns (rows, files).
 
     Headers are mapped to standard columns per file, so files may spell them differently.  All cells are
-    text; the cells CSV readers take as missing are NULL.  ``ingest_file`` names the source file and
-    ``row_id`` follows the order of rows in it.  ``files`` has one row per file with the reason why it
-    was left out, if it was.  Files are read in groups of equal encoding and header, and stay splittable
-    unless ``multi_line`` asks for line breaks inside quoted cells.
-
-    Sets spark.sql.legacy.javaCharsets, without which Spark refuses GB18030.
+    text; the cells CSV readers take as missing are NULL.  ``ingest_file`` is the file's path below the directory
+    without .csv (kept where x.csv and x.CSV differ in nothing else), so its name where ``recursive`` is off, and ``row_id`` follows the order of rows in it; both tell
+    equal names in different folders apart.  ``files`` has one row per file with the reason why it was left out, if it
+    was.  Files are read in groups of equal encoding and header, and stay splittable unless ``multi_line`` asks for
+    line breaks inside quoted cells.
+
+    GB18030 files are read only where the session has spark.sql.legacy.javaCharsets=true, without which Spark refuses
+    them.  The paths go to the driver, as they do for Spark's own file index.
     """
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    files = probe_files(spark, path).persist()
-    groups = (
-        files.filter("ok").groupBy("encoding", "header").agg(F.array_sort(F.collect_list("path")).alias("paths"))
-        .orderBy("encoding", "header").collect()  # file names, as many as Spark's own file index holds
-    )
+    folder, offered = _offered(spark, path, recursive)
+    probed = _probed(spark, path, recursive, folder, offered).collect()
+    files = spark.createDataFrame(probed, _FILE_STATUS)
+    stems = Counter(re.sub(_EXTENSION, "", r["name"]) for r in probed if r["ok"])
+    alike = [r["name"] for r in probed if r["ok"] and stems[re.sub(_EXTENSION, "", r["name"])] > 1]
+    groups: dict[tuple[str, str], list[str]] = {}
+    for found in sorted((r for r in probed if r["ok"]), key=lambda r: (r["encoding"], r["header"], r["path"])):
+        groups.setdefault((found["encoding"], found["header"]), []).append(found["path"])
     if not groups:
         raise ValueError(f"no readable table among the files under {path}")
-    parts = [_read_group(spark, g["paths"], g["encoding"], g["header"], multi_line) for g in groups]
+    parts = [_read_group(spark, paths, encoding, header, multi_line, folder, alike) for (encoding, header), paths in groups.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), files
 
 
