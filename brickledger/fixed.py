@@ -182,8 +182,6 @@ SUBWAY_STATIONS = (
     "白佛桥", "康河", "万盛",
 )
 
-LAYOUT_MAX_CHARS = 80
-DECORATION_MAX_CHARS = 20
 BUILD_YEAR_RANGE = (1900, 2035)
 
 # --- Analysis --------------------------------------------------------------------------------------
@@ -202,7 +200,6 @@ IQR_FACTOR = 1.5
 TOP_LAYOUTS = 12
 TOP_COMMUNITIES = 15
 HISTOGRAM_BINS = (10, 40)
-MAX_TASKS = 8
 
 # Analysis tasks with the columns they need, in the order in which they are offered.
 ANALYSIS_TASKS = (
@@ -232,7 +229,6 @@ RETENTION_MIN_RAW_ROWS = 50
 SUBWAY_SHARE_WARN = 0.3
 UNIT_PRICE_VALID = (30, 600_000)
 DERIVABLE_SHARE = 0.2
-PRICE_PAIR_SHARE = 0.25
 UNIT_PRICE_SPARSE = 0.5
 
 # --- Search ----------------------------------------------------------------------------------------
@@ -288,10 +284,10 @@ YEAR_OK, YEAR_NEAR, YEAR_NEAR_SPAN = 45.0, 18.0, 8
 PARKING_PENALTY, ABSURD_PENALTY = 600.0, 550.0
 FAMILY_BONUS = 110.0
 NO_PRICE = 1e18
-SEARCH_ROWS, SEARCH_MAX_ROWS = 15, 40
+SEARCH_ROWS = 15
 
 # --- Report and scoring ----------------------------------------------------------------------------
 
 REPORT_SAMPLE_ROWS = 5_000
 PROFILE_SAMPLES, PROFILE_SAMPLE_CHARS, PROFILE_MAX_COLUMNS = 3, 120, 48
-SCORING_ROWS, SCORING_SEED = 200, 42
+SCORING_ROWS, SCORING_SEED, SCORING_SNIPPET_CHARS = 200, 42, 400

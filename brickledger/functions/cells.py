@@ -39,11 +39,12 @@ def floor_band(text: Column) -> Column:
     )
 
 
-def decoration(text: Column) -> Column:
+def decoration(text: Column, max_chars: int | None = None) -> Column:
+    """The label of a decoration, else the trimmed text, cut to ``max_chars`` if that is given."""
     s = strip(text)
     return F.coalesce(
         labelled(s, fixed.DECORATIONS),
-        F.nullif(F.substring(s, 1, fixed.DECORATION_MAX_CHARS), F.lit("")),
+        F.nullif(s if max_chars is None else F.substring(s, 1, max_chars), F.lit("")),
         F.lit(fixed.UNKNOWN),
     )
 
@@ -53,8 +54,8 @@ def _count(digits: Column) -> Column:
     return F.regexp_replace(ascii_digits(digits), "^0+(?!$)", "")
 
 
-def layout(text: Column) -> Column:
-    """'N室M厅' where it can be told, else the trimmed text (80 characters), '' for NULL."""
+def layout(text: Column, max_chars: int | None = None) -> Column:
+    """'N室M厅' where it can be told, else the trimmed text, cut to ``max_chars`` if that is given, '' for NULL."""
     t = strip(text)
     low = F.lower(t)
     packed = F.replace(t, F.lit(" "), F.lit(""))
@@ -67,7 +68,7 @@ def layout(text: Column) -> Column:
     return F.coalesce(
         exact,
         F.concat(rooms, F.lit("室"), halls, F.lit("厅")),
-        F.substring(t, 1, fixed.LAYOUT_MAX_CHARS),
+        t if max_chars is None else F.substring(t, 1, max_chars),
         F.lit(""),
     )
 

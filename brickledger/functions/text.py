@@ -19,6 +19,15 @@ _SPACE = (
 _WIDE_DIGITS = "０１２３４５６７８９"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with ``value`` computed once, however often the body names it.
+
+    Filters on computed columns are pushed below their computation with the columns replaced by their expressions;
+    where such columns name each other several times over, only this keeps the result small.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.trim(text, F.lit(_SPACE))
 
@@ -51,8 +60,11 @@ def _any_case(words) -> list[str]:
 
 def is_blank(df: DataFrame, column: str, words=fixed.BLANK_WORDS) -> Column:
     """True where a cell holds nothing: NULL, NaN, or for text one of ``words``."""
-    c = F.col(f"`{column}`")
-    kind = df.schema[column].dataType
+    return blank(F.col(f"`{column}`"), df.schema[column].dataType, words)
+
+
+def blank(c: Column, kind: T.DataType, words=fixed.BLANK_WORDS) -> Column:
+    """:func:`is_blank` of a column of the given type."""
     if isinstance(kind, T.StringType) and words:
         return strip(F.coalesce(c, F.lit(""))).isin(*_any_case(words))
     if isinstance(kind, (T.DoubleType, T.FloatType)):

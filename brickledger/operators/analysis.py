@@ -1,19 +1,20 @@
 """Aggregate analyses of a clean listings table.
 
 Every analysis is one grouped aggregation with map-side combine over two or three columns; nothing is
-broadcast but the twelve commonest layouts.  Analyses of the task list give no rows for a table of fewer
-than five rows.
+broadcast but the commonest layouts.  Analyses of the task list give no rows for a table of fewer than
+``min_rows`` rows, five unless told otherwise; 0 turns that off.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brickledger import fixed
 from brickledger.functions import cells
 from brickledger.functions.numbers import to_number
-from brickledger.operators.checks import has_rows
 from brickledger.operators.outliers import price_outliers
 from brickledger.operators.quantiles import exact_quantiles, value_counts
 
@@ -22,7 +23,16 @@ def _pairs(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[c.alias(name) for name, c in columns.items()]).dropna()
 
 
-def _mean_price_by(df: DataFrame, **key: Column) -> DataFrame:
+def _of_large_tables(groups: DataFrame, rows: str, min_rows: int) -> DataFrame:
+    """The groups if their counts ``rows`` add up to at least ``min_rows``, else none; without that column.
+
+    Groups are few next to the rows they count, so the sum is taken over all of them in one task.
+    """
+    total = F.sum(rows).over(Window.partitionBy(F.lit(0)))
+    return groups.withColumn("__all", total).filter(F.col("__all") >= min_rows).drop("__all", rows)
+
+
+def _mean_price_by(df: DataFrame, min_rows: int, **key: Column) -> DataFrame:
     """Mean unit price per key.  Groups without a key or a price go by their count, after the
     aggregation: a filter in front of it would be pushed down and have both computed twice."""
     (name,) = key
@@ -30,8 +40,9 @@ def _mean_price_by(df: DataFrame, **key: Column) -> DataFrame:
     means = rows.groupBy(name).agg(
         F.avg("price").alias("unit_price"),
         F.count(F.when(F.col(name).isNotNull(), F.col("price"))).alias("__n"),
+        F.count("*").alias("__rows"),
     )
-    return means.filter("__n > 0").filter(has_rows(df, fixed.MIN_ROWS)).drop("__n")
+    return _of_large_tables(means, "__rows", min_rows).filter("__n > 0").drop("__n")
 
 
 def _band_table(spark) -> DataFrame:
@@ -76,101 +87,112 @@ def area_band_counts(df: DataFrame) -> DataFrame:
     return bands.agg(F.count("band").alias("listings")).filter("listings > 0")
 
 
-def decade_avg(df: DataFrame) -> DataFrame:
+def decade_avg(df: DataFrame, min_rows: int = fixed.MIN_ROWS) -> DataFrame:
     """Mean unit price per building decade, given at least five listings with both values."""
     year, price = to_number(df, "build_year"), to_number(df, "unit_price")
     rows = df.select(cells.decade(year).alias("decade_start"), price.alias("price"))
     valid = F.count(F.when(F.col("decade_start").isNotNull(), F.col("price")))
     means = rows.groupBy("decade_start").agg(F.avg("price").alias("avg_unit_price"), valid.alias("__n"))
-    means = means.filter("__n > 0")
-    # Decades are few, whatever the size of the table.
-    whole = Window.partitionBy(F.lit(0))
-    return means.withColumn("__all", F.sum("__n").over(whole)).filter(
-        F.col("__all") >= fixed.MIN_ROWS
-    ).drop("__n", "__all")
+    return _of_large_tables(means.filter("__n > 0"), "__n", min_rows)
 
 
 # --- Task list -------------------------------------------------------------------------------------
 
 
-def district_price_rank(df: DataFrame) -> DataFrame:
-    return _mean_price_by(df, district=F.col("district")).orderBy(F.desc("unit_price"), "district")
+def district_price_rank(df: DataFrame, min_rows: int = fixed.MIN_ROWS) -> DataFrame:
+    means = _mean_price_by(df, min_rows, district=F.col("district"))
+    return means.orderBy(F.desc("unit_price"), "district")
 
 
-def top_layouts(df: DataFrame) -> DataFrame:
+def top_layouts(df: DataFrame, layouts: int = fixed.TOP_LAYOUTS, min_rows: int = fixed.MIN_ROWS) -> DataFrame:
     """The commonest layouts among listings with a unit price; equal counts in layout order."""
-    priced = _pairs(df, category=F.col("layout"), unit_price=to_number(df, "unit_price"))
-    counted = priced.groupBy("category").agg(F.count("*").alias("n"))
-    return counted.orderBy(F.desc("n"), "category").limit(fixed.TOP_LAYOUTS).select("category")
+    rows = df.select(F.col("layout").alias("category"), to_number(df, "unit_price").alias("price"))
+    counted = rows.groupBy("category").agg(F.count("price").alias("n"), F.count("*").alias("__rows"))
+    known = _of_large_tables(counted, "__rows", min_rows).filter("category IS NOT NULL AND n > 0")
+    return known.orderBy(F.desc("n"), "category").limit(layouts).select("category")
 
 
-def layout_price_box(df: DataFrame) -> DataFrame:
-    """(category, unit_price) of all listings of the twelve commonest layouts."""
+def layout_price_box(
+    df: DataFrame, layouts: int = fixed.TOP_LAYOUTS, min_rows: int = fixed.MIN_ROWS
+) -> DataFrame:
+    """(category, unit_price) of all listings of the commonest layouts, of which there are ``layouts``."""
     priced = _pairs(df, category=F.col("layout"), unit_price=to_number(df, "unit_price"))
-    commonest = F.broadcast(top_layouts(df))  # twelve rows
-    return priced.join(commonest, "category", "left_semi").filter(has_rows(df, fixed.MIN_ROWS))
+    commonest = F.broadcast(top_layouts(df, layouts, min_rows))  # as many rows as asked for
+    return priced.join(commonest, "category", "left_semi")
 
 
-def layout_box_stats(df: DataFrame) -> DataFrame:
+def layout_box_stats(
+    df: DataFrame, layouts: int = fixed.TOP_LAYOUTS, min_rows: int = fixed.MIN_ROWS
+) -> DataFrame:
     """Five-number summary per layout of :func:`layout_price_box`."""
     names = {"min": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "max": 1.0}
     found = exact_quantiles(
-        layout_price_box(df), F.col("unit_price"), list(names.values()), F.col("category")
+        layout_price_box(df, layouts, min_rows), F.col("unit_price"), list(names.values()), F.col("category")
     )
     rows = [[category, s["n"], *[s[q] for q in names.values()]] for category, s in found.items()]
     schema = "category string, listings bigint, " + ", ".join(f"{n} double" for n in names)
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def area_band_price(df: DataFrame) -> DataFrame:
-    means = _mean_price_by(df, band=cells.area_band(to_number(df, "area_m2")))
+def area_band_price(df: DataFrame, min_rows: int = fixed.MIN_ROWS) -> DataFrame:
+    means = _mean_price_by(df, min_rows, band=cells.area_band(to_number(df, "area_m2")))
     return means.orderBy(_band_position(F.col("band")))
 
 
-def area_band_share(df: DataFrame) -> DataFrame:
-    """Listings per non-empty area band, given at least five listings with an area."""
-    with_area = _pairs(df, area_m2=to_number(df, "area_m2"))
-    counts = area_band_counts(df).filter(has_rows(with_area, fixed.MIN_ROWS))
-    return counts.withColumnRenamed("listings", "count").orderBy(_band_position(F.col("band")))
+def area_band_share(df: DataFrame, min_rows: int = fixed.MIN_ROWS) -> DataFrame:
+    """Listings per non-empty area band, given at least ``min_rows`` listings with an area."""
+    area = to_number(df, "area_m2")
+    rows = df.select(area.alias("area"), cells.area_band(area).alias("band"))
+    counts = rows.groupBy("band").agg(F.count("band").alias("count"), F.count("area").alias("__rows"))
+    counts = _of_large_tables(counts, "__rows", min_rows).filter(F.col("count") > 0)
+    return counts.orderBy(_band_position(F.col("band")))
 
 
-def decoration_price(df: DataFrame) -> DataFrame:
-    return _mean_price_by(df, decoration=F.col("decoration"))
+def decoration_price(df: DataFrame, min_rows: int = fixed.MIN_ROWS) -> DataFrame:
+    return _mean_price_by(df, min_rows, decoration=F.col("decoration"))
 
 
-def floor_band_price(df: DataFrame) -> DataFrame:
-    return _mean_price_by(df, floor_band=F.col("floor_band"))
+def floor_band_price(df: DataFrame, min_rows: int = fixed.MIN_ROWS) -> DataFrame:
+    return _mean_price_by(df, min_rows, floor_band=F.col("floor_band"))
 
 
-def age_price_trend(df: DataFrame) -> DataFrame:
-    return _mean_price_by(df, decade_start=cells.decade(to_number(df, "build_year")))
+def age_price_trend(df: DataFrame, min_rows: int = fixed.MIN_ROWS) -> DataFrame:
+    return _mean_price_by(df, min_rows, decade_start=cells.decade(to_number(df, "build_year")))
 
 
-def community_followers(df: DataFrame) -> DataFrame:
-    """The fifteen communities with most followers."""
+def community_followers(
+    df: DataFrame, communities: int = fixed.TOP_COMMUNITIES, min_rows: int = fixed.MIN_ROWS
+) -> DataFrame:
+    """The communities with most followers, of which there are ``communities``."""
     pairs = df.select("community", to_number(df, "followers").alias("f"))
     sums = pairs.groupBy("community").agg(
-        F.sum("f").alias("followers"), F.count(F.when(F.col("community").isNotNull(), F.col("f"))).alias("__n")
+        F.sum("f").alias("followers"),
+        F.count(F.when(F.col("community").isNotNull(), F.col("f"))).alias("__n"),
+        F.count("*").alias("__rows"),
     )
-    ranked = sums.filter("__n > 0").drop("__n").filter(has_rows(df, fixed.MIN_ROWS)).orderBy(F.desc("followers"), "community")
-    return ranked.limit(fixed.TOP_COMMUNITIES)
+    ranked = _of_large_tables(sums, "__rows", min_rows).filter("__n > 0").drop("__n")
+    return ranked.orderBy(F.desc("followers"), "community").limit(communities)
 
 
-def total_area_scatter(df: DataFrame) -> DataFrame:
+def total_area_scatter(df: DataFrame, min_rows: int = fixed.MIN_ROWS) -> DataFrame:
+    """All pairs; none if the table is smaller, which a count of at most ``min_rows`` rows tells."""
     pairs = _pairs(df, area_m2=to_number(df, "area_m2"), total_price=to_number(df, "total_price"))
-    return pairs.filter(has_rows(df, fixed.MIN_ROWS))
+    if min_rows <= 0:
+        return pairs
+    there = df.select(F.lit(1)).limit(min_rows).agg(F.count("*")).scalar()
+    return pairs.filter(there >= min_rows)
 
 
-def price_histogram(df: DataFrame) -> DataFrame:
-    """Counts of 10 to 40 equal unit-price bins by bin centre, empty bins included.
+def price_histogram(df: DataFrame, min_rows: int = fixed.MIN_ROWS) -> DataFrame:
+    """Counts of 10 to 40 equal unit-price bins by bin centre, empty bins included; infinite prices are no values.
 
     Prices are counted per distinct value once; the range and then the bins, at most 40 rows, come from
     those counts, so the table is read once.
     """
-    counts = value_counts(df, to_number(df, "unit_price"), F.lit("")).persist()
+    counts = value_counts(df, to_number(df, "unit_price"), F.lit("")).filter(F.abs("v") < float("inf")).persist()
     try:
         n, lo, hi = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.min("v"), F.max("v")).first()
-        if n < fixed.MIN_ROWS:
+        if n < max(1, min_rows):
             return df.sparkSession.createDataFrame([], "bin double, count bigint")
         if lo == hi:
             lo, hi = lo - 0.5, hi + 0.5
@@ -209,28 +231,39 @@ TASKS = {
 
 
 def applicable_tasks(columns) -> list[str]:
-    """Tasks whose columns are there, in fixed order, the first eight."""
-    fitting = [name for name, needed in fixed.ANALYSIS_TASKS if set(needed) <= set(columns)]
-    return fitting[: fixed.MAX_TASKS]
+    """All tasks whose columns are there, in fixed order."""
+    return [name for name, needed in fixed.ANALYSIS_TASKS if set(needed) <= set(columns)]
 
 
-def run_tasks(df: DataFrame, tasks: list[str] | None = None) -> dict[str, DataFrame]:
-    """One DataFrame per planned task whose columns are there, keyed '<task>_<position>'."""
+def run_tasks(
+    df: DataFrame, tasks: list[str] | None = None, errors: dict[str, str] | None = None
+) -> dict[str, DataFrame]:
+    """One DataFrame per planned task whose columns are there, keyed '<task>_<position>'.
+
+    A task that fails while it is set up ends up in ``errors`` with its reason, if that is given; the others go on.
+    """
     planned = applicable_tasks(df.columns) if tasks is None else tasks
     needed = dict(fixed.ANALYSIS_TASKS)
-    return {
-        f"{name}_{i}": TASKS[name](df)
-        for i, name in enumerate(planned)
-        if set(needed[name]) <= set(df.columns)
-    }
+    results = {}
+    for i, name in enumerate(planned):
+        if not set(needed[name]) <= set(df.columns):
+            continue
+        try:
+            results[f"{name}_{i}"] = TASKS[name](df)
+        except Exception as error:
+            if errors is None:
+                raise
+            errors[name] = error_text(error)
+    return results
 
 
-def task_status(df: DataFrame, tasks: list[str] | None = None) -> DataFrame:
-    """One row per planned task: position, task, whether it gives a result, and why not.
+def error_text(error: Exception) -> str:
+    """The first line of an error with its kind."""
+    return f"{type(error).__name__}: {(str(error).strip().splitlines() or [''])[0]}"
 
-    All row counts the tasks depend on come from one aggregation.
-    """
-    planned = applicable_tasks(df.columns) if tasks is None else tasks
+
+def _task_counts(df: DataFrame, planned: list[str], errors: dict[str, str]) -> tuple[list[Column], list[Column]]:
+    """Aggregates named n, v0, v1, ... and, from those, one (position, task, reason) struct per task."""
     needed = dict(fixed.ANALYSIS_TASKS)
 
     def filled(*columns: str) -> Column:
@@ -248,58 +281,79 @@ def task_status(df: DataFrame, tasks: list[str] | None = None) -> DataFrame:
                  "unit_price_histogram": fixed.MIN_ROWS, "price_outlier_flag": fixed.MIN_ROWS}.get(name, 0)
         counts.append((filled(*needed[name]) if present else F.lit(0)).alias(f"v{i}"))
         reason = F.lit("missing columns") if not present else (
-            F.when(F.col("n") < fixed.MIN_ROWS, "too few rows")
-            .when(F.col(f"v{i}") < least, "too few values")
+            F.lit(errors[name]) if name in errors
+            else F.when(F.col("n") < fixed.MIN_ROWS, "too few rows").when(F.col(f"v{i}") < least, "too few values")
         )
         rows.append(F.struct(F.lit(i).alias("position"), F.lit(name).alias("task"), reason.alias("reason")))
+    return counts, rows
+
+
+_NO_TASKS = "position int, task string, ok boolean, reason string"
+
+
+def task_status(
+    df: DataFrame, tasks: list[str] | None = None, errors: dict[str, str] | None = None
+) -> DataFrame:
+    """One row per planned task: position, task, whether it gives a result, and why not.
+
+    All row counts the tasks depend on come from one aggregation; ``errors`` has the reasons of tasks that failed.
+    """
+    planned = applicable_tasks(df.columns) if tasks is None else tasks
+    if not planned:
+        return df.sparkSession.createDataFrame([], _NO_TASKS)
+    counts, rows = _task_counts(df, planned, errors or {})
     status = df.agg(*counts).select(F.inline(F.array(*rows)))
     return status.select("position", "task", F.col("reason").isNull().alias("ok"), "reason")
 
 
-def summary_facts(df: DataFrame, tasks: list[str] | None = None) -> DataFrame:
-    """The numbers of a written summary as (section, rank, label, value) rows."""
+def summary_facts(
+    df: DataFrame, tasks: list[str] | None = None, errors: dict[str, str] | None = None
+) -> DataFrame:
+    """The numbers of a written summary as (section, rank, label, value) rows.
+
+    The table is read three times: for one aggregate with all counts and the mean, for the price quantiles, and for
+    one aggregate by district.
+    """
     spark = df.sparkSession
-    facts = [df.agg(F.count("*").cast("double").alias("value")).select(
-        F.lit("overview").alias("section"), F.lit(1).alias("rank"), F.lit("rows").alias("label"), "value"
-    )]
-
-    def ranked(rows: DataFrame, section: str, label: Column, value: Column, order, n: int) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("section").orderBy(*order))
-        top = rows.orderBy(*order).limit(n).withColumn("section", F.lit(section))
-        return top.select(
-            "section", place.alias("rank"), label.alias("label"), value.cast("double").alias("value")
-        )
+    planned = applicable_tasks(df.columns) if tasks is None else tasks
+    counts, states = _task_counts(df, planned, errors or {})
+    price = to_number(df, "unit_price") if "unit_price" in df.columns else F.lit(None).cast("double")
+    measures = [*counts, F.avg(price).alias("mean")]
+    if "area_m2" in df.columns:
+        band = cells.area_band(to_number(df, "area_m2"))
+        measures += [F.count_if(band == label).alias(f"b{i}") for i, (label, _, _) in enumerate(fixed.AREA_BANDS)]
+
+    def fact(section: str, rank, label, value: Column) -> Column:
+        made = {"section": F.lit(section), "rank": rank if isinstance(rank, Column) else F.lit(rank),
+                "label": label if isinstance(label, Column) else F.lit(label), "value": value.cast("double")}
+        return F.struct(*[c.alias(name) for name, c in made.items()])
 
+    facts = [fact("overview", 1, "rows", F.col("n"))]
     if "unit_price" in df.columns:
-        found = exact_quantiles(df, to_number(df, "unit_price"), [0.0, 0.25, 0.5, 0.75, 1.0]).get("")
-        names = ("min", "p25", "median", "p75", "max")
-        rows = [
-            ("price", i + 1, name, float(found[q]))
-            for i, (name, q) in enumerate(zip(names, (0.0, 0.25, 0.5, 0.75, 1.0)))
-        ] if found else []
-        facts.append(spark.createDataFrame(rows, "section string, rank int, label string, value double"))
-        facts.append(df.agg(F.avg(to_number(df, "unit_price")).alias("value")).select(
-            F.lit("price"), F.lit(6), F.lit("mean"), "value"
-        ))
+        facts.append(fact("price", 6, "mean", F.col("mean")))
+    done = F.size(F.filter(F.array(*[s["reason"] for s in states]), lambda r: r.isNull())) if states else F.lit(0)
+    facts += [fact("tasks", 1, "ok", done), fact("tasks", 2, "total", F.lit(len(states)))]
+    if "area_m2" in df.columns:
+        # Largest first, equal ones in band order.
+        bands = F.array_sort(F.array(*[
+            F.struct((-F.col(f"b{i}")).alias("minus"), F.lit(i).alias("i"), F.lit(label).alias("band"))
+            for i, (label, _, _) in enumerate(fixed.AREA_BANDS)
+        ]))
+        facts += [fact("area_bands", k + 1, bands[k]["band"], -bands[k]["minus"]) for k in range(3)]
+    parts = [df.agg(*measures).select(F.inline(F.array(*facts)))]
+    if "unit_price" in df.columns:
+        names = {"min": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "max": 1.0}
+        found = exact_quantiles(df, price, list(names.values())).get("")
+        rows = [("price", i + 1, name, float(found[q])) for i, (name, q) in enumerate(names.items())] if found else []
+        parts.append(spark.createDataFrame(rows, "section string, rank int, label string, value double"))
     if "district" in df.columns:
-        by_district = district_summary(df)
         order = (F.desc("listings"), F.asc_nulls_last("district"))
+        top = district_summary(df).orderBy(*order).limit(5)
+        top = top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
         name = F.coalesce("district", F.lit(""))
-        facts.append(ranked(by_district, "district_listings", name, F.col("listings"), order, 5))
-        facts.append(ranked(by_district, "district_price", name, F.col("avg_unit_price"), order, 5))
-    if "area_m2" in df.columns:
-        order = (F.desc("listings"), F.asc("position"))
-        facts.append(ranked(area_buckets(df), "area_bands", F.col("band"), F.col("listings"), order, 3))
-    status = task_status(df, tasks)
-    done = status.agg(F.count_if("ok").alias("ok"), F.count("*").alias("total"))
-    facts.append(done.select(F.inline(F.array(*[
-        F.struct(
-            F.lit("tasks").alias("section"), F.lit(i).alias("rank"), F.lit(name).alias("label"),
-            F.col(name).cast("double").alias("value"),
+        both = F.array(
+            fact("district_listings", F.col("rank"), name, F.col("listings")),
+            fact("district_price", F.col("rank"), name, F.col("avg_unit_price")),
         )
-        for i, name in ((1, "ok"), (2, "total"))
-    ]))))
-    result = facts[0]
-    for more in facts[1:]:
-        result = result.union(more)
-    return result
+        parts.append(top.select(F.inline(both)))
+    return reduce(DataFrame.union, parts)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brickledger import fixed
 from brickledger.functions.numbers import to_number
+from brickledger.functions.text import let
 from brickledger.operators.quantiles import exact_quantiles
 
 
@@ -29,26 +30,30 @@ def iqr_bounds(df: DataFrame, column: str, factor: float = fixed.IQR_FACTOR) ->
     return Bounds(found["n"], found[0.25] - factor * spread, found[0.75] + factor * spread)
 
 
-def is_inlier(df: DataFrame, column: str, factor: float = fixed.IQR_FACTOR):
-    """Column: true for NULL values, values inside the bounds, and any value of a small table."""
+def is_inlier(
+    df: DataFrame, column: str, factor: float = fixed.IQR_FACTOR, min_values: int = fixed.IQR_MIN_ROWS
+) -> Column:
+    """True for NULL values, values inside the bounds, and any value where there are under ``min_values``."""
     bounds = iqr_bounds(df, column, factor)
-    if bounds is None or bounds.n < fixed.IQR_MIN_ROWS:
+    if bounds is None or bounds.n < min_values:
         return F.lit(True)
-    value = to_number(df, column)
-    return value.isNull() | value.between(bounds.low, bounds.high)
+    return let(to_number(df, column), lambda v: v.isNull() | v.between(bounds.low, bounds.high))
 
 
 def remove_price_outliers(
-    df: DataFrame, column: str = "unit_price", factor: float = fixed.IQR_FACTOR
+    df: DataFrame, column: str = "unit_price", factor: float = fixed.IQR_FACTOR, min_values: int = fixed.IQR_MIN_ROWS
 ) -> DataFrame:
-    """Drop rows outside the interquartile bounds, which go into the filter as two numbers."""
+    """Drop rows outside the interquartile bounds, which go into the filter as two numbers.
+
+    Tables of fewer than ``min_values`` values stay as they are; 0 turns that off.
+    """
     if column not in df.columns:
         return df
-    return df.filter(is_inlier(df, column, factor))
+    return df.filter(is_inlier(df, column, factor, min_values))
 
 
-def price_outliers(df: DataFrame, column: str = "unit_price") -> DataFrame:
-    """One row: how many values there are, the bounds, and how many values lie outside; empty under 5."""
+def price_outliers(df: DataFrame, column: str = "unit_price", min_rows: int = fixed.MIN_ROWS) -> DataFrame:
+    """One row: how many values there are, the bounds, and how many lie outside; empty under ``min_rows`` values."""
     bounds = iqr_bounds(df, column) or Bounds(0, None, None)
     value = to_number(df, column)
     outside = (value < bounds.low) | (value > bounds.high) if bounds.n else F.lit(False)
@@ -57,4 +62,4 @@ def price_outliers(df: DataFrame, column: str = "unit_price") -> DataFrame:
         F.count_if(outside).alias("outlier_rows"),
     ).select(
         "*", F.lit(bounds.low).cast("double").alias("low"), F.lit(bounds.high).cast("double").alias("high")
-    ).filter(F.col("valid_rows") >= fixed.MIN_ROWS)
+    ).filter(F.col("valid_rows") >= min_rows)

@@ -10,7 +10,8 @@ from brickledger.functions.text import is_blank, is_text
 
 
 def column_profile(
-    df: DataFrame, samples: int = fixed.PROFILE_SAMPLES, row_id: str = "row_id"
+    df: DataFrame, samples: int = fixed.PROFILE_SAMPLES, row_id: str = "row_id",
+    sample_chars: int | None = fixed.PROFILE_SAMPLE_CHARS,
 ) -> DataFrame:
     """One row per column: position, name, dtype, share filled, first values, share with '|' and '/'.
 
@@ -35,7 +36,9 @@ def column_profile(
             later = ~is_blank(df, name, ())
             if step:
                 later &= (F.col(row_id) > F.lit(last[i])) if last[i] is not None else F.lit(False)
-            text = F.substring(F.col(f"`{name}`").cast("string"), 1, fixed.PROFILE_SAMPLE_CHARS)
+            text = F.col(f"`{name}`").cast("string")
+            if sample_chars is not None:
+                text = F.substring(text, 1, sample_chars)
             cell = F.struct(F.col(row_id).alias("row"), text.alias("text"))
             picks.append(F.min_by(cell, F.when(later, F.col(row_id))).alias(f"s{i}"))
         found = df.agg(*picks, *([] if step else measures)).first()

@@ -68,7 +68,7 @@ def quality_report(raw: DataFrame, clean: DataFrame, **limits) -> DataFrame:
     pair = F.least(total, area)
     price_ok = (
         (price >= limits["min_unit_price_coverage"])
-        | (pair >= fixed.PRICE_PAIR_SHARE) | (pair >= fixed.DERIVABLE_SHARE)
+        | (pair >= fixed.DERIVABLE_SHARE)
     )
     failures = {"clean_empty": ~some, "row_retention_critical": critical}
     warnings = {

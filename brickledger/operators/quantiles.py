@@ -4,7 +4,7 @@ The built-in exact percentile merges every distinct value into one buffer in one
 counted per distinct value first (a shuffle with map-side combine, so a value that fills a third of the
 table is one row per map task).  The wanted ranks are then narrowed down: a histogram over logarithmic
 buckets, of which a DOUBLE has a few million at most, then histograms of equal slices of the few buckets
-that hold a wanted rank, until such a piece has at most ``_SORTABLE`` distinct values, which one task
+that hold a wanted rank, until such a piece has at most ``sortable`` distinct values, which one task
 can sort.  Both bucket functions are monotone, so the answer is exact.  Each step brings back two rows
 per quantile; with prices one histogram and one sort are enough.
 """
@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 _PER_E_FOLD = 1024
 _OFFSET = 1024 * 800
 _SLICES = 4096
-_SORTABLE = 1_000_000
+#: Distinct values that one task may sort.
+SORTABLE = 1_000_000
+#: Groups whose results one call may bring to the driver.
+MAX_GROUPS = 10_000
 
 
 def value_counts(df: DataFrame, value: Column, by: Column) -> DataFrame:
@@ -54,8 +57,8 @@ def _holding(ranked: DataFrame, wanted: dict) -> list:
         F.struct(F.lit(key).alias("key"), F.lit(piece).alias("of"), F.lit(rank).alias("rank"))
         for key, (piece, rank) in wanted.items()
     ])
-    inside = (F.col("w.rank") >= F.col("below")) & (F.col("w.rank") < F.col("below") + F.col("n"))
-    return ranked.withColumn("w", F.explode(asked)).filter((F.col("w.of") == F.col("piece")) & inside).collect()
+    here = F.filter(asked, lambda w: (w["of"] == F.col("piece")) & (w["rank"] >= F.col("below")) & (w["rank"] < F.col("below") + F.col("n")))
+    return ranked.withColumn("here", here).filter(F.size("here") > 0).withColumn("w", F.explode("here")).drop("here").collect()
 
 
 def _in_piece(pieces: list) -> Column:
@@ -67,15 +70,20 @@ def _in_piece(pieces: list) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, value: Column, probabilities: list[float], by: Column | None = None
+    df: DataFrame, value: Column, probabilities: list[float], by: Column | None = None, sortable: int = SORTABLE,
+    max_groups: int = MAX_GROUPS,
 ) -> dict[object, dict]:
     """Linearly interpolated quantiles: {group: {"n": values, probability: quantile, ...}}.
 
-    Meant for a handful of groups, whose results are driver-side numbers; without ``by`` the group is ''.
+    Meant for a handful of groups, whose results are driver-side numbers, more than ``max_groups`` are an error;
+    without ``by`` the group is ''.
     """
     counts = value_counts(df, value, F.lit("") if by is None else by).persist()
     try:
-        totals = {r["g"]: r["n"] for r in counts.groupBy("g").agg(F.sum("c").alias("n")).collect()}
+        groups = counts.groupBy("g").agg(F.sum("c").alias("n")).limit(max_groups + 1).collect()
+        if len(groups) > max_groups:
+            raise ValueError(f"more than {max_groups} groups")
+        totals = {r["g"]: r["n"] for r in groups}
         ranks = {}
         for g, n in totals.items():
             for q in probabilities:
@@ -83,7 +91,7 @@ def exact_quantiles(
                     ranks[f"{len(ranks)}"] = (g, rounded((n - 1) * q))
         if not ranks:
             return {}
-        found = _values_at(counts, ranks)
+        found = _values_at(counts, ranks, sortable)
     finally:
         counts.unpersist()
     results, key = {}, iter(ranks)
@@ -96,7 +104,7 @@ def exact_quantiles(
     return results
 
 
-def _values_at(counts: DataFrame, ranks: dict[str, tuple[object, int]]) -> dict[str, float]:
+def _values_at(counts: DataFrame, ranks: dict[str, tuple[object, int]], sortable: int) -> dict[str, float]:
     buckets = _histogram(counts.withColumnRenamed("g", "piece"), "piece", _log_bucket(F.col("v")))
     hits, groups = _holding(buckets, ranks), {key: g for key, (g, _) in ranks.items()}
     while True:
@@ -109,7 +117,7 @@ def _values_at(counts: DataFrame, ranks: dict[str, tuple[object, int]]) -> dict[
             for r in hits
         }
         rows = counts.withColumn("piece", _in_piece(pieces)).filter("piece IS NOT NULL")
-        if max(r["distinct"] for r in hits) <= _SORTABLE:
+        if max(r["distinct"] for r in hits) <= sortable:
             values = _ranked(rows.withColumn("n", F.col("c")), "piece", "v")
             return {r["w"]["key"]: r["v"] for r in _holding(values, wanted)}
         share = F.coalesce(*[

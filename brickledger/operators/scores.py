@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brickledger import fixed
-from brickledger.operators.checks import has_rows
+from brickledger.operators.ranking import first_rows
 
 HINTS = {"subway": "description_hint_subway", "school": "description_hint_school"}
 
 
 def sample_for_scoring(
-    df: DataFrame, rows: int = fixed.SCORING_ROWS, seed: int = fixed.SCORING_SEED
+    df: DataFrame,
+    rows: int = fixed.SCORING_ROWS,
+    seed: int = fixed.SCORING_SEED,
+    snippet_chars: int | None = fixed.SCORING_SNIPPET_CHARS,
+    min_rows: int = fixed.MIN_ROWS,
 ) -> DataFrame:
-    """A repeatable random sample of (row_id, snippet); empty when the table has under five rows.
+    """A repeatable random sample of (row_id, snippet); empty when it has fewer than ``min_rows`` rows.
 
-    Rows are drawn by the hash of their id, so the draw does not depend on how the table is split up,
-    and each task keeps only its best ``rows``.
+    Rows are drawn by the hash of their id, so the draw does not depend on how the table is split up.
+    ``snippet_chars`` cuts the texts to be scored; None leaves them whole.
     """
     draw = F.md5(F.concat(F.col("row_id").cast("string"), F.lit(f"-{seed}")))
-    text = F.substring(F.coalesce(F.col("description_raw"), F.lit("")), 1, 400)
-    return (
-        df.filter(has_rows(df, fixed.MIN_ROWS))
-        .select("row_id", text.alias("snippet"), draw.alias("__draw"))
-        .orderBy("__draw", "row_id").limit(rows).drop("__draw")
-    )
+    text = F.coalesce(F.col("description_raw"), F.lit(""))
+    if snippet_chars is not None:
+        text = F.substring(text, 1, snippet_chars)
+    drawn = first_rows(df.select("row_id", text.alias("snippet"), draw.alias("__draw")), ["__draw", "row_id"], rows)
+    there = F.count("*").over(Window.partitionBy(F.lit(0)))  # of the sample
+    return drawn.withColumn("__there", there).filter(F.col("__there") >= min(min_rows, rows)).select("row_id", "snippet")
 
 
 def apply_scores(df: DataFrame, scores: DataFrame) -> DataFrame:

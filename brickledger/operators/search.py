@@ -1,7 +1,9 @@
 """Listing search: keep candidates, drop noise, apply hard tags, score, return the best.
 
-A search is a filter, a projection and a top-k: each task keeps its best rows and nothing is shuffled
-but those.  A batch of searches reads the table once.
+A search is a filter, a projection and a top-k in one read: candidates are ordered with noise last and rows without
+the required tags behind others, so the first row tells whether there is a candidate that is no noise, and the results
+are those of the first rows that are like it and have the tags.  Each task keeps its best rows and nothing is shuffled
+but those.  A batch of any number of searches reads the table once.
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ from brickledger.functions import cells
 from brickledger.functions.numbers import to_number
 from brickledger.functions.text import is_text, joined_text
 from brickledger.operators.dedup import ROW_ORDER
+from brickledger.operators.ranking import first_rows
 
 HARD_TAGS = ("tag_near_subway", "tag_lighting", "tag_has_balcony")
-_BATCH = 16
 
 
 @dataclass(frozen=True)
@@ -45,8 +47,8 @@ class SearchIntent:
     max_rows: int = fixed.SEARCH_ROWS
 
     def __post_init__(self):
-        if not 1 <= self.max_rows <= fixed.SEARCH_MAX_ROWS:
-            raise ValueError(f"max_rows must be between 1 and {fixed.SEARCH_MAX_ROWS}")
+        if self.max_rows < 1:
+            raise ValueError("max_rows must be at least 1")
 
     def asked(self, name: str) -> str:
         return (getattr(self, name) or "").strip()
@@ -203,11 +205,6 @@ class _Listings:
         return [c for c in ROW_ORDER if c in self.columns]
 
 
-def _clean_exists(frame: DataFrame, candidate: Column, noise: Column) -> Column:
-    """Whether any candidate is not noise; every task stops at its first one."""
-    return frame.filter(candidate & ~noise).select(F.lit(1)).limit(1).agg(F.count("*")).scalar() > 0
-
-
 def mark_candidates(df: DataFrame, intent: SearchIntent) -> DataFrame:
     """The rows in the district asked for, never all rows when there is none."""
     rows = _Listings(df)
@@ -215,11 +212,14 @@ def mark_candidates(df: DataFrame, intent: SearchIntent) -> DataFrame:
 
 
 def drop_noise(df: DataFrame, intent: SearchIntent = SearchIntent()) -> DataFrame:
-    """Candidates without parking lots and absurd layouts, unless that would leave none."""
+    """Candidates without parking lots and absurd layouts, unless that would leave none.
+
+    Whether it would is found by a second read, which each task ends at its first candidate that is no noise.
+    """
     rows = _Listings(df)
-    found = rows.frame.filter(rows.candidate(intent))
-    clean = _clean_exists(rows.frame, rows.candidate(intent), rows.noise)
-    return found.filter(~rows.noise | ~clean).select(*df.columns)
+    candidate = rows.candidate(intent)
+    clean = rows.frame.filter(candidate & ~rows.noise).select(F.lit(1)).limit(1).agg(F.count("*")).scalar() > 0
+    return rows.frame.filter(candidate).filter(~rows.noise | ~clean).select(*df.columns)
 
 
 def require_tags(df: DataFrame, intent: SearchIntent) -> DataFrame:
@@ -235,103 +235,118 @@ def score_rows(df: DataFrame, intent: SearchIntent) -> DataFrame:
 def search_listings(df: DataFrame, intent: SearchIntent) -> DataFrame:
     """The best rows for an intent with their ``score``, in order."""
     rows = _Listings(df)
-    scored = (
-        rows.frame.filter(rows.candidate(intent))
-        .filter(~rows.noise | ~_clean_exists(rows.frame, rows.candidate(intent), rows.noise))
-        .filter(rows.hard(intent))
-        .withColumns({"score": rows.score(intent), "__price": rows.price()})
+    scored = rows.frame.filter(rows.candidate(intent)).select(
+        *df.columns, rows.noise.alias("__noise"), rows.hard(intent).alias("__hard"), rows.score(intent).alias("score"),
+        rows.price().alias("__price"),
     )
     if not intent.needs_row_samples:
-        scored = scored.limit(0)
-    best = scored.orderBy(F.desc("score"), "__price", *rows.row_order()).limit(intent.max_rows)
-    return best.select(*df.columns, "score")
+        return scored.select(*df.columns, "score").limit(0)
+    order = ["__noise", F.desc("__hard"), F.desc("score"), "__price", *rows.row_order()]
+    best = first_rows(scored, order, intent.max_rows)
+    like = F.first("__noise").over(Window.partitionBy(F.lit(0)).orderBy("__rank"))
+    best = best.withColumn("__like", like).filter(F.col("__hard") & (F.col("__noise") == F.col("__like")))
+    return best.orderBy("__rank").select(*df.columns, "score")
 
 
 def search_batch(df: DataFrame, intents: dict[str, SearchIntent]) -> DataFrame:
     """Search for many intents: (intent_id, rank, row, score) of the best rows of each.
 
-    The table is read once for every ``_BATCH`` intents.  A row is only emitted for intents it is a result
-    candidate of, and every task keeps the best ``max_rows`` rows per intent before the shuffle.
+    The table is read once.  A row is only emitted for intents whose candidate it is, and every task keeps the best
+    ``max_rows`` rows per intent before the shuffle.
     """
     wanted = [(key, intent) for key, intent in intents.items() if intent.needs_row_samples]
     if not wanted:
         empty = df.limit(0).withColumns({"intent_id": F.lit(""), "rank": F.lit(0), "score": F.lit(0.0)})
         return empty.select("intent_id", "rank", *df.columns, "score")
-    parts = []
-    for start in range(0, len(wanted), _BATCH):
-        some = wanted[start:start + _BATCH]
-        rows = _Listings(df)
-        clean = rows.frame.agg(*[
-            F.bool_or(rows.candidate(intent) & ~rows.noise).alias(f"c{i}") for i, (_, intent) in enumerate(some)
-        ]).select(F.struct("*")).scalar()
-        frame = rows.frame.withColumns({"__clean": clean, "__price": rows.price()})
-        tries = F.array(*[
-            F.when(
-                rows.candidate(intent) & rows.hard(intent)
-                & (~rows.noise | ~F.coalesce(F.col(f"__clean.c{i}"), F.lit(False))),
-                F.struct(
-                    F.lit(key).alias("intent_id"), F.lit(intent.max_rows).alias("most"),
-                    rows.score(intent).alias("score"),
-                ),
-            )
-            for i, (key, intent) in enumerate(some)
-        ])
-        order = [F.desc("score"), F.col("__price"), *[F.col(c) for c in rows.row_order()]]
-        place = F.row_number().over(Window.partitionBy("intent_id").orderBy(*order))
-        parts.append(
-            frame.withColumn("__hit", F.explode(F.array_compact(tries)))
-            .select(*df.columns, "__price", "__hit.intent_id", "__hit.most", "__hit.score")
-            .withColumn("rank", place)
-            .filter(F.col("rank") <= fixed.SEARCH_MAX_ROWS).filter(F.col("rank") <= F.col("most"))
-            .select("intent_id", "rank", *df.columns, "score")
+    rows = _Listings(df)
+    frame = rows.frame.withColumns({"__noise": rows.noise, "__price": rows.price()})
+    tries = F.array(*[
+        F.when(
+            rows.candidate(intent),
+            F.struct(
+                F.lit(key).alias("intent_id"), F.lit(intent.max_rows).alias("__most"),
+                rows.hard(intent).alias("__hard"), rows.score(intent).alias("score"),
+            ),
         )
-    return reduce(DataFrame.union, parts)
-
+        for key, intent in wanted
+    ])
+    hits = frame.withColumn("__hit", F.explode(F.array_compact(tries))).select(
+        *df.columns, "__noise", "__price", "__hit.*"
+    )
+    order = [F.col("__noise"), F.desc("__hard"), F.desc("score"), F.col("__price"), *[F.col(c) for c in rows.row_order()]]
+    best = first_rows(hits, order, max(i.max_rows for _, i in wanted), "intent_id", F.col("__most"))
+    like = F.first("__noise").over(Window.partitionBy("intent_id").orderBy("__rank"))
+    best = best.withColumn("__like", like).filter(F.col("__hard") & (F.col("__noise") == F.col("__like")))
+    # Rows with the tags come first among equals in noise, so the ranks of those that are left have no gap.
+    return best.select("intent_id", F.col("__rank").alias("rank"), *df.columns, "score")
 
-def search_outcome(df: DataFrame, intent: SearchIntent) -> DataFrame:
-    """One row: rows left after each stage, the reason for an empty result or NULL, and the hard tags.
 
-    All stages are counted in one aggregation.
-    """
-    rows = _Listings(df)
+def _stage_counts(rows: _Listings, intent: SearchIntent) -> dict[str, Column]:
     candidate = rows.candidate(intent)
-    stages = {"table_rows": F.count("*"), "candidates": F.count_if(candidate)}
-    stages["clean_candidates"] = F.count_if(candidate & ~rows.noise)
+    stages = {"candidates": F.count_if(candidate), "clean_candidates": F.count_if(candidate & ~rows.noise)}
     passed, passed_clean = candidate, candidate & ~rows.noise
     for tag in intent.hard_tags:
         passed, passed_clean = passed & rows._tag(tag), passed_clean & rows._tag(tag)
         stages[f"any_{tag}"], stages[f"clean_{tag}"] = F.count_if(passed), F.count_if(passed_clean)
-    counted = rows.frame.agg(*[c.alias(name) for name, c in stages.items()])
-    use_clean = F.col("clean_candidates") > 0
-    left = F.when(use_clean, F.col("clean_candidates")).otherwise(F.col("candidates"))
+    return stages
+
+
+def _outcome(df: DataFrame, key: str | None, intent: SearchIntent, prefix: str) -> Column:
+    """A struct of the outcome from counts whose names begin with ``prefix``."""
+    col = lambda name: F.col(prefix + name)
+    use_clean = col("clean_candidates") > 0
+    left = F.when(use_clean, col("clean_candidates")).otherwise(col("candidates"))
     reason = F.when(F.col("table_rows") == 0, "empty_table")
     if not intent.needs_row_samples:
         reason = F.lit("not_requested")
     else:
-        reason = reason.when(F.col("candidates") == 0, "no_district_match")
+        reason = reason.when(col("candidates") == 0, "no_district_match")
     matched = left
     for tag in intent.hard_tags:
-        matched = F.when(use_clean, F.col(f"clean_{tag}")).otherwise(F.col(f"any_{tag}"))
+        matched = F.when(use_clean, col(f"clean_{tag}")).otherwise(col(f"any_{tag}"))
         if intent.needs_row_samples:
             why = f"no_column:{tag}" if tag not in df.columns else f"no_row:{tag}"
             reason = reason.when(matched == 0, why)
     results = F.lit(0) if not intent.needs_row_samples else F.least(matched, F.lit(intent.max_rows))
-    return counted.select(
-        "table_rows", "candidates", left.alias("after_noise"), matched.alias("after_hard_tags"),
-        results.cast("bigint").alias("results"), reason.alias("reason"),
-        F.lit(",".join(intent.hard_tags)).alias("hard_tags"),
-    )
+    outcome = {
+        "table_rows": F.col("table_rows"), "candidates": col("candidates"), "after_noise": left,
+        "after_hard_tags": matched, "results": results.cast("bigint"), "reason": reason,
+        "hard_tags": F.lit(",".join(intent.hard_tags)),
+    } | ({} if key is None else {"intent_id": F.lit(key)})
+    return F.struct(*[c.alias(name) for name, c in outcome.items()])
+
+
+def search_outcome(df: DataFrame, intent: SearchIntent) -> DataFrame:
+    """One row: rows left after each stage, the reason for an empty result or NULL, and the hard tags.
+
+    All stages are counted in one aggregation.
+    """
+    rows = _Listings(df)
+    stages = {"table_rows": F.count("*"), **_stage_counts(rows, intent)}
+    counted = rows.frame.agg(*[c.alias(name) for name, c in stages.items()])
+    return counted.select(_outcome(df, None, intent, "").alias("o")).select("o.*")
+
+
+def search_outcomes(df: DataFrame, intents: dict[str, SearchIntent]) -> DataFrame:
+    """:func:`search_outcome` of many intents with their intent_id, in one aggregation."""
+    rows = _Listings(df)
+    stages = {"table_rows": F.count("*")}
+    for i, intent in enumerate(intents.values()):
+        stages |= {f"i{i}_{name}": c for name, c in _stage_counts(rows, intent).items()}
+    counted = rows.frame.agg(*[c.alias(name) for name, c in stages.items()])
+    outcomes = [_outcome(df, key, intent, f"i{i}_") for i, (key, intent) in enumerate(intents.items())]
+    return counted.select(F.inline(F.array(*outcomes)))
 
 
-def display(df: DataFrame) -> DataFrame:
-    """The columns shown to a user, text cut to 160 characters."""
+def display(df: DataFrame, max_chars: int | None = fixed.DISPLAY_MAX_CHARS) -> DataFrame:
+    """The columns shown to a user, texts cut to ``max_chars`` characters; None leaves them whole."""
     return df.select(*[
-        F.substring(c, 1, fixed.DISPLAY_MAX_CHARS).alias(c) if is_text(df, c) else F.col(c)
+        F.substring(c, 1, max_chars).alias(c) if max_chars is not None and is_text(df, c) else F.col(c)
         for c in fixed.DISPLAY_COLUMNS if c in df.columns
     ])
 
 
-def display_json(df: DataFrame) -> DataFrame:
+def display_json(df: DataFrame, max_chars: int | None = fixed.DISPLAY_MAX_CHARS) -> DataFrame:
     """:func:`display` as one JSON document per row; NULL fields are kept."""
-    shown = display(df)
+    shown = display(df, max_chars)
     return shown.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("listing"))

@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brickledger import fixed
 from brickledger.operators import analysis, cleaning, dedup, labels, outliers, quality
+from brickledger.operators.ranking import first_rows
 from brickledger.sources.files import slim_for_export
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where the session has none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="brickledger-")
-        spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def parse_listings(raw: DataFrame) -> DataFrame:
     """All row-level parsing: composite cells, promotion, numbers, unit price.  No shuffle."""
     return raw.transform(cleaning.expand_composites).transform(cleaning.finalize)
@@ -33,35 +20,45 @@ def deduplicate(parsed: DataFrame) -> DataFrame:
     return dedup.drop_duplicates_first(parsed, dedup.resolve_dedup_keys(parsed))
 
 
-def clean_listings(raw: DataFrame, checkpoint: bool = False) -> DataFrame:
+def _parsed(raw: DataFrame, folder: str | None) -> DataFrame:
+    """The parsed listings; with a folder, written to its ``parsed`` table and read from there."""
+    parsed = parse_listings(raw)
+    if folder is None:
+        return parsed
+    parsed.write.mode("overwrite").parquet(f"{folder}/parsed")
+    return raw.sparkSession.read.schema(parsed.schema).parquet(f"{folder}/parsed")
+
+
+def clean_listings(raw: DataFrame, folder: str | None = None) -> DataFrame:
     """Parse, drop duplicates, drop price outliers, derive the floor band.
 
     Dedup keys and price bounds are decided by small jobs on the columns they need, so the wide rows are
-    shuffled once, by dedup key.  ``checkpoint`` writes the deduplicated rows to the checkpoint folder
-    first, which pays when parsing again costs more than writing.
+    shuffled once, by dedup key.  With ``folder``, one that all executors share, the listings are parsed once into its
+    table ``parsed`` and those jobs read their columns from it.
     """
-    unique = deduplicate(parse_listings(raw))
-    if checkpoint:
-        ensure_checkpoint_dir(raw.sparkSession)
-        unique = unique.checkpoint()
+    unique = deduplicate(_parsed(raw, folder))
     return unique.transform(outliers.remove_price_outliers).transform(cleaning.floor_band)
 
 
-def clean_and_label(raw: DataFrame, checkpoint: bool = False) -> DataFrame:
+def clean_and_label(raw: DataFrame, folder: str | None = None) -> DataFrame:
     """The default job: :func:`clean_listings`, then rule-based text labels.
 
     The clean-up at the end of :func:`labels.rule_features` is left out, as it changes nothing in rows
     that have been through it already.
     """
-    return clean_listings(raw, checkpoint).transform(labels.text_labels)
+    return clean_listings(raw, folder).transform(labels.text_labels)
+
+
+def stage_counts(raw: DataFrame, folder: str | None = None) -> DataFrame:
+    """Rows after each stage that can drop rows, and whether it dropped the most; ``folder`` as in clean_listings."""
+    return _stage_counts(_parsed(raw, folder))
 
 
-def stage_counts(raw: DataFrame) -> DataFrame:
-    """Rows after each stage that can drop rows, and whether it dropped the most."""
-    unique = deduplicate(parse_listings(raw))
+def _stage_counts(parsed: DataFrame) -> DataFrame:
+    unique = deduplicate(parsed)
     kept = outliers.is_inlier(unique, "unit_price") if "unit_price" in unique.columns else F.lit(True)
     after = unique.agg(F.count("*").alias("dedup"), F.count_if(kept).alias("iqr"))
-    counts = after.select(raw.agg(F.count("*")).scalar().alias("input"), "*")
+    counts = after.select(parsed.agg(F.count("*")).scalar().alias("input"), "*")
     rows = [
         F.struct(F.lit(i).alias("position"), F.lit(stage).alias("stage"), F.col(stage).alias("rows"),
                  (F.col(before) - F.col(stage)).alias("dropped"))
@@ -87,33 +84,48 @@ def report_summary(df: DataFrame) -> DataFrame:
 
 def report_sample(df: DataFrame, rows: int = fixed.REPORT_SAMPLE_ROWS) -> DataFrame:
     order = [c for c in dedup.ROW_ORDER if c in df.columns] or df.columns
-    return df.orderBy(*order).limit(rows)
+    return first_rows(df, list(order), rows).orderBy("__rank").drop("__rank")
 
 
 def write_report(clean: DataFrame, folder: str, tasks: list[str] | None = None) -> list[str]:
-    """Write sample, summary, districts, task status and task results as Parquet directories."""
-    tables = {
-        "clean_sample": report_sample(clean),
-        "summary": report_summary(clean),
-        "plan_tasks": analysis.task_status(clean, tasks),
-        "facts": analysis.summary_facts(clean, tasks),
-    }
-    if "district" in clean.columns:
-        tables["district"] = analysis.district_summary(clean)
-    tables |= {f"tasks/{key}": result for key, result in analysis.run_tasks(clean, tasks).items()}
-    for name, table in tables.items():
+    """Write sample, summary, districts, task results, task status and facts as Parquet directories.
+
+    A task that fails, while it is set up or while it runs, has its reason in ``plan_tasks``; the others are written.
+    """
+    errors: dict[str, str] = {}
+    results = analysis.run_tasks(clean, tasks, errors)
+    written = []
+
+    def write(name: str, table: DataFrame) -> None:
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
-    return list(tables)
+        written.append(name)
+
+    write("clean_sample", report_sample(clean))
+    write("summary", report_summary(clean))
+    if "district" in clean.columns:
+        write("district", analysis.district_summary(clean))
+    for key, result in results.items():
+        try:
+            write(f"tasks/{key}", result)
+        except Exception as error:
+            errors[key.rpartition("_")[0]] = analysis.error_text(error)
+    write("plan_tasks", analysis.task_status(clean, tasks, errors))
+    write("facts", analysis.summary_facts(clean, tasks, errors))
+    return written
 
 
 def run_listing_job(raw: DataFrame, folder: str, tasks: list[str] | None = None) -> DataFrame:
-    """Clean, label, write, assess, analyse, report; returns the quality report.
+    """Parse, count the stages, clean, label, write, assess, analyse, report; returns the quality report.
 
-    The clean table is written once and every analysis reads the two or three columns it needs from it.
+    The parsed and the clean table are written once each, and what follows reads the columns it needs from them.
     """
-    clean_and_label(raw).write.mode("overwrite").parquet(f"{folder}/clean")
-    clean = raw.sparkSession.read.parquet(f"{folder}/clean")
+    spark = raw.sparkSession
+    parsed = _parsed(raw, folder)
+    _stage_counts(parsed).write.mode("overwrite").parquet(f"{folder}/stages")
+    unique = deduplicate(parsed).transform(outliers.remove_price_outliers).transform(cleaning.floor_band)
+    unique.transform(labels.text_labels).write.mode("overwrite").parquet(f"{folder}/clean")
+    clean = spark.read.parquet(f"{folder}/clean")
     slim_for_export(clean).write.mode("overwrite").parquet(f"{folder}/export")
-    quality.quality_report(raw, clean).write.mode("overwrite").parquet(f"{folder}/quality")
+    quality.quality_report(parsed, clean).write.mode("overwrite").parquet(f"{folder}/quality")
     write_report(clean, folder, tasks)
-    return raw.sparkSession.read.parquet(f"{folder}/quality")
+    return spark.read.parquet(f"{folder}/quality")

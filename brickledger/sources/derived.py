@@ -58,17 +58,12 @@ _FROM_CUSTOMER = {"district", "community"}
 _FROM_ORDERS = _FROM_CUSTOMER | {"house_info_raw"}
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Split a scan that has fewer splits than there are cores, as small files do, over all cores."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def listings(spark: SparkSession, directory: str, columns=tuple(COLUMNS)) -> DataFrame:
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{directory}/{name}.parquet")
 
-    rows = _spread(table("lineitem"))
+    # By the key of the first join, which needs this shuffle anyway for large tables.
+    rows = table("lineitem").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
     if _FROM_ORDERS & set(columns):
         rows = rows.join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     if _FROM_CUSTOMER & set(columns):
