@@ -156,7 +156,7 @@ _BANDS = "(VALUES (0, '<=60'), (1, '60-90'), (2, '90-120'), (3, '120-150'), (4,
 _PRICE_BOX = """
 SELECT layout AS category, unit_price FROM parsed WHERE unit_price IS NOT NULL AND layout IN (
   SELECT layout FROM parsed WHERE unit_price IS NOT NULL AND layout IS NOT NULL
-  GROUP BY layout ORDER BY count(*) DESC, layout LIMIT 12)
+  GROUP BY layout ORDER BY count(*) DESC, layout LIMIT 5)
 """
 
 
@@ -240,6 +240,15 @@ SELECT '{key}' AS intent_id, count(*) AS table_rows, count(*) FILTER ({candidate
   CASE WHEN count(*) FILTER ({candidate}) = 0 THEN 'no_district_match' END AS reason, '{tags}' AS hard_tags
 FROM labelled"""
 
+_MANY = f"""
+SELECT 'm' || i AS intent_id, row_id, row_number() OVER (PARTITION BY i ORDER BY {_BEST}) AS rank, score FROM (
+  SELECT *, 120.0::DOUBLE + CASE WHEN unit_price <= high THEN 55 WHEN unit_price <= high * 1.2 THEN 22 ELSE 0 END AS score
+  FROM labelled JOIN (
+    SELECT i, ['锦江', '武侯', '高新', '新都', '温江', '双流', '成华'][1 + i % 7] AS stem, 15000.0::DOUBLE + 500 * i AS high
+    FROM range(40) AS t(i)) ON contains(district, stem)
+  WHERE NOT {_PARKING})
+QUALIFY rank <= 1 + i % 5"""
+
 _OUTCOMES = "\nUNION ALL\n".join(
     _OUTCOME.format(key=key, candidate=candidate, parking=_PARKING, hard=hard, most=most, tags=tags)
     for key, candidate, hard, most, tags in (
@@ -303,8 +312,10 @@ UNION ALL SELECT 'area_bands', CAST(place AS INT), band, CAST(n AS DOUBLE) FROM
   SELECT band, coalesce(n, 0) AS n, row_number() OVER (ORDER BY coalesce(n, 0) DESC, position) AS place
   FROM {_BANDS} LEFT JOIN (SELECT {_AREA_BAND} AS band, count(*) AS n FROM parsed GROUP BY 1) USING (band)
 ) WHERE place <= 3
-UNION ALL SELECT 'tasks', 1, 'ok', 8.0
-UNION ALL SELECT 'tasks', 2, 'total', 8.0"""
+UNION ALL SELECT 'tasks', 1, 'ok', CASE WHEN count(*) < 5 THEN 0 ELSE 7
+  + CAST(count(*) FILTER (district IS NOT NULL AND unit_price IS NOT NULL) > 0 AS INT)
+  + CAST(count(area_m2) >= 5 AS INT) + 2 * CAST(count(unit_price) >= 5 AS INT) END FROM parsed
+UNION ALL SELECT 'tasks', 2, 'total', 11"""
 
 _HISTOGRAM = """
 SELECT round((e0 + e1) / 2, 4) AS bin, count(v) AS count FROM (
@@ -329,13 +340,32 @@ _LABEL_KEYS = {
     "tag_lighting": "tag_lighting", "tag_station": "tag_subway_station_hint", "tag_elevator": "tag_elevator",
 }
 
+_NEEDED = {
+    "district_price_rank": ("district", "unit_price"), "layout_price_box": ("layout", "unit_price"),
+    "area_band_price": ("area_m2", "unit_price"), "area_band_share_pie": ("area_m2",),
+    "decoration_price_compare": ("decoration", "unit_price"), "floor_band_price": ("floor_band", "unit_price"),
+    "building_age_price_trend": ("build_year", "unit_price"), "community_followers_rank": ("community", "followers"),
+    "total_area_scatter": ("area_m2", "total_price"), "unit_price_histogram": ("unit_price",),
+    "price_outlier_flag": ("unit_price",),
+}
+
+
+def _offered(variant: str, *missing: str) -> str:
+    fitting = [name for name in _TASK_NAMES if not set(_NEEDED[name]) & set(missing)]
+    rows = ", ".join(f"('{variant}', {i}, '{name}')" for i, name in enumerate(fitting))
+    return (
+        f"SELECT variant, position, task, (SELECT count(*) >= 5 FROM parsed WHERE unit_price IS NOT NULL AND district IS NOT NULL) "
+        f"AS ok FROM (VALUES {rows}) AS t(variant, position, task)"
+    )
+
+
 _QUANTILE_COLUMNS = """round(min({c}), 4) AS "min", round(quantile_cont({c}, 0.25), 4) AS p25,
   round(quantile_cont({c}, 0.5), 4) AS p50, round(quantile_cont({c}, 0.75), 4) AS p75, round(max({c}), 4) AS "max"
 """.format(c="unit_price")
 
 _KEYWORDS = {
-    "锦江区": ("锦江区", "锦江"), "武侯区": ("武侯区", "武侯"), "温江区": ("温江区", "温江"),
-    "双流区": ("双流区", "双流"), "新都": ("新都", "新都区"),
+    "锦江区": ("锦江区", "锦江"), "武侯": ("武侯", "武侯区"), "温江区": ("温江区", "温江"),
+    "双流区": ("双流区", "双流"), "新都": ("新都", "新都区"), "成华": ("成华", "成华区"),
     "高新区": (
         "高新区", "高新", "成都高新", "成都高新区", "高新城南", "高新城南区", "新川科技园", "新川科技园区",
         "新川", "新川区",
@@ -375,6 +405,12 @@ ORACLE = {
 SELECT 'o' || o_orderkey AS listing_id, o_orderstatus AS listing_title, CAST(o_custkey AS VARCHAR) AS followers,
   CAST(NULL AS VARCHAR) AS community FROM orders
 UNION ALL SELECT 'p' || p_partkey, p_name, NULL, p_brand FROM part""",
+    "src_file_status": """
+SELECT true AS ok, '' AS reason, 4 AS files, count(*) AS "rows" FROM orders
+UNION ALL SELECT false, 'spreadsheet files are not supported', 1, 0
+UNION ALL SELECT false, 'empty file', 1, 0
+UNION ALL SELECT false, 'Spark''s readers skip names that begin with _ or .', 1, 0
+UNION ALL SELECT false, 'neither UTF-8 nor GB18030', 1, 0""",
     "src_ingest_file": """
 SELECT 'lineitem' AS ingest_file, count(*) AS "rows" FROM lineitem
 UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'customer', count(*) FROM customer""",
@@ -406,8 +442,10 @@ SELECT o_orderkey,
   CAST(o_custkey AS DOUBLE) AS followers
 FROM orders""",
     "expand_house_info": _sql(
-        "SELECT row_id, house_info_raw, layout_str, area_m2_str, orientation_str, decoration_str, build_year, "
-        "building_type_str, floor_text FROM expanded", "expanded"
+        "SELECT row_id, CASE WHEN CAST(split_part(row_id, '-', 2) AS INT) % 2 = 1 "
+        "THEN array_to_string(list_reverse(string_split(house_info_raw, '|')), '|') ELSE house_info_raw END AS house_info_raw, "
+        "layout_str, area_m2_str, orientation_str, decoration_str, build_year, building_type_str, floor_text FROM expanded",
+        "expanded",
     ),
     "expand_follow_info": _sql(
         "SELECT row_id, follow_info_raw, followers, publish_time_raw, listing_time FROM expanded", "expanded"
@@ -424,8 +462,7 @@ FROM orders""",
     ),
     "parse_total_price": _sql(f"SELECT row_id, {_SCALED} AS total_price_wan FROM listings", "listings"),
     "parse_area": _sql(
-        "SELECT row_id, CAST(regexp_extract(house_info_raw, '[0-9]+') AS DOUBLE) AS first_number FROM listings",
-        "listings",
+        "SELECT row_id, CAST(replace(area_m2_str, '平米', '') AS DOUBLE) AS area_m2 FROM expanded", "expanded"
     ),
     "fill_unit_price": _sql(
         "SELECT row_id, total_price, coalesce(unit_price, total_price * 10000 / nullif(area_m2, 0)) AS unit_price, "
@@ -439,7 +476,7 @@ FROM orders""",
     "floor_band": _sql(f"SELECT row_id, floor, {_BAND} AS floor_band FROM listings", "listings"),
     "normalize_decoration": _sql(
         "SELECT row_id, description_raw, CASE WHEN description_raw IS NULL OR description_raw = '' THEN '未知' "
-        "WHEN description_raw LIKE '%精装%' THEN '精装' ELSE substring(description_raw, 1, 20) END AS decoration "
+        "WHEN description_raw LIKE '%精装%' THEN '精装' ELSE description_raw END AS decoration "
         "FROM listings", "listings"
     ),
     "finalize": _sql(
@@ -530,14 +567,22 @@ FROM orders""",
     ),
     "price_histogram": _sql(_HISTOGRAM, "parsed", extra={"shape": _SHAPE}),
     "task_status": _sql(
-        "SELECT t.position, t.task, true AS ok, CAST(NULL AS VARCHAR) AS reason FROM (VALUES "
+        "SELECT t.position, t.task, reason IS NULL AS ok, reason FROM (SELECT position, task, CASE "
+        "WHEN task = 'decoration_price_compare' THEN 'missing columns' "
+        "WHEN (SELECT count(*) FROM parsed) < 5 THEN 'too few rows' "
+        "WHEN task = 'area_band_share_pie' AND (SELECT count(*) FROM parsed WHERE area_m2 > 10000) < 5 THEN 'too few values' "
+        "END AS reason FROM (VALUES "
         + ", ".join(f"({i}, '{name}')" for i, name in enumerate(_TASK_NAMES))
-        + ") AS t(position, task) WHERE (SELECT count(unit_price) FROM parsed) >= 5", "parsed"
+        + ") AS v(position, task)) AS t", "parsed"
+    ),
+    "applicable_tasks": _sql(
+        " UNION ALL ".join([_offered("all"), _offered("no_price", "unit_price"), _offered("no_area", "area_m2", "floor_band")]),
+        "parsed",
     ),
     "summary_facts": _sql(_FACTS, "parsed"),
     "geo_keywords": _sql(
-        "SELECT l.district, count(*) AS listings, keyword FROM listings l "
-        f"JOIN (VALUES {_KEYWORD_ROWS}) AS k(district, keyword) ON l.district = k.district GROUP BY 1, 3",
+        "SELECT asked, keyword, count(l.district) AS listings "
+        f"FROM (VALUES {_KEYWORD_ROWS}) AS k(asked, keyword) LEFT JOIN listings l ON contains(l.district, keyword) GROUP BY 1, 2",
         "listings",
     ),
     "search_geo": _sql(
@@ -546,7 +591,10 @@ FROM orders""",
     ),
     "search_candidates": _sql("SELECT row_id, district FROM listings WHERE district LIKE '%温江%'", "listings"),
     "search_noise": _sql(
-        f"SELECT row_id, description_raw, house_info_raw FROM listings WHERE NOT {_PARKING}", "listings"
+        f"SELECT row_id, description_raw, house_info_raw, 'all' AS \"table\" FROM listings "
+        f"WHERE NOT {_PARKING} AND NOT ends_with(row_id, '7') UNION ALL "
+        "SELECT row_id, description_raw, '12室9厅' || split_part(house_info_raw, '厅', 2), 'noise' FROM listings "
+        "WHERE ends_with(row_id, '7')", "listings"
     ),
     "search_hard": _sql(
         "SELECT row_id FROM labelled WHERE tag_near_subway AND tag_has_balcony", "labelled"
@@ -554,12 +602,23 @@ FROM orders""",
     "search_score": _sql(f"SELECT row_id, round({_SCORES['a']}, 4) AS score FROM labelled", "labelled"),
     "search_topk": _search("a"),
     "search_listings": _search("b"),
-    "search_outcome": _sql(_OUTCOMES, "labelled"),
+    "search_outcome": _sql(_OUTCOMES + """
+UNION ALL SELECT 'e', count(*), count(*) FILTER (contains(district, '锦江')), count(*) FILTER (contains(district, '锦江') AND NOT """ + _PARKING + """),
+  count(*) FILTER (contains(district, '锦江') AND NOT """ + _PARKING + """), 0, 'not_requested', '' FROM labelled
+UNION ALL SELECT 'f', count(*), count(*), count(*) FILTER (NOT """ + _PARKING + """),
+  count(*) FILTER (tag_near_subway AND tag_lighting), 0, 'no_row:tag_lighting', 'tag_near_subway,tag_lighting' FROM labelled""", "labelled"),
     "search_batch": _sql(
-        " UNION ALL ".join(
-            f"SELECT '{key}' AS intent_id, CAST(row_number() OVER (ORDER BY {_BEST}) AS INT) AS rank, row_id, "
-            f"round(score, 4) AS score FROM ({_found(key)})" for key in _SCORES
-        ), "labelled"
+        " UNION ALL ".join([
+            *[
+                f"SELECT '{key}' AS intent_id, CAST(row_number() OVER (ORDER BY {_BEST}) AS INT) AS rank, row_id, "
+                f"round(score, 4) AS score FROM ({_found(key)})" for key in _SCORES
+            ],
+            f"SELECT intent_id, CAST(rank AS INT), row_id, score FROM ({_MANY})",
+        ]), "labelled"
+    ),
+    "search_json": _sql(
+        "SELECT to_json(struct_pack(district := district, community := community, layout := layout, build_year := build_year, "
+        f"listing_id := listing_id, tag_near_subway := tag_near_subway))::VARCHAR AS listing FROM ({_found('b')})", "labelled"
     ),
     "search_display": _sql(
         "SELECT district, community, layout, layout_normalized, area_m2, total_price, unit_price, floor, "

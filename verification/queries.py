@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import partial
+import tempfile
+from functools import partial, reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,8 +70,11 @@ _FILE_HEADERS = {
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder below the shared folder of the session."""
-    return f"{etl.ensure_checkpoint_dir(spark).rstrip('/')}/listing-files-{uuid4()}"
+    """A new folder below the session's shared one; below a temporary one only where the session has none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = "file://" + tempfile.mkdtemp(prefix="brickledger-")
+    return f"{shared.rstrip('/')}/listings-{uuid4()}"
 
 
 def src_csv(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +87,7 @@ def src_csv(spark: SparkSession, d: str) -> DataFrame:
             *[F.col(c).alias(h) for c, h in zip(_FILE_COLUMNS, headers)]
         )
         part.write.csv(f"{folder}/{encoding}", header=True, encoding=encoding, escape='"')
-    back, _ = files.read_listing_files(spark, folder)
+    back, _ = files.read_listing_files(spark, folder, recursive=True)
     return back.select(F.col("行号").alias("source_row"), *_FILE_COLUMNS[1:])
 
 
@@ -99,10 +103,31 @@ def src_union(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("p"), "p_partkey").alias("编号"), F.col("p_name").alias("标题"),
         F.col("p_brand").alias("小区"),
     ).write.csv(f"{folder}/b", header=True)
-    back, _ = files.read_listing_files(spark, folder)
+    back, _ = files.read_listing_files(spark, folder, recursive=True)
     return back.select("listing_id", "listing_title", "followers", "community")
 
 
+def src_file_status(spark: SparkSession, d: str) -> DataFrame:
+    """Files by state, and the rows read from them: four good ones and one of each kind that can't be read."""
+    folder = _scratch(spark)
+    orders = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("房源编号"), F.col("o_orderstatus").alias("标题")
+    )
+    orders.repartition(4, "房源编号").write.csv(f"{folder}/2024", header=True)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, content in {"2024/_x.csv": b"\xe6\xa0\x87\n1\n", "zero.csv": b"", "a.xlsx": b"PK", "odd.csv": b"a\xff\x20\x81\x20\n"}.items():
+        stream = system.create(hadoop.Path(f"{folder}/{name}"))
+        stream.write(bytearray(content))
+        stream.close()
+    rows, found = files.read_listing_files(spark, folder, recursive=True)
+    counts = rows.groupBy("ingest_file").agg(F.count("*").alias("rows"))
+    state = found.withColumn("ingest_file", F.regexp_replace("name", r"\.csv$", "")).join(counts, "ingest_file", "left")
+    return state.groupBy("ok", F.coalesce("reason", F.lit("")).alias("reason")).agg(
+        F.count("*").alias("files"), F.sum(F.coalesce("rows", F.lit(0))).alias("rows")
+    )
+
+
 def src_ingest_file(spark: SparkSession, d: str) -> DataFrame:
     tagged = [
         files.tag_source_file(table(spark, d, name)).select("ingest_file")
@@ -163,8 +188,20 @@ def coerce_numeric(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.coerce_numeric(orders)
 
 
+def _shuffled_parts(rows: DataFrame) -> DataFrame:
+    """The parts of every other listing's house info the other way round."""
+    parts = F.array_join(F.reverse(F.split("house_info_raw", r"\|")), "|")
+    odd = F.element_at(F.split("row_id", "-"), 2).cast("int") % 2 == 1
+    return rows.withColumn("house_info_raw", F.when(odd, parts).otherwise(F.col("house_info_raw")))
+
+
 def expand_house_info(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.expand_house_info(raw(spark, d, "row_id", "house_info_raw"))
+    return cleaning.expand_house_info(_shuffled_parts(raw(spark, d, "row_id", "house_info_raw")))
+
+
+def parse_area(spark: SparkSession, d: str) -> DataFrame:
+    rows = cleaning.expand_house_info(raw(spark, d, "row_id", "house_info_raw"))
+    return rows.select("row_id", numbers.area_m2(F.col("area_m2_str")).alias("area_m2"))
 
 
 def expand_follow_info(spark: SparkSession, d: str) -> DataFrame:
@@ -229,15 +266,15 @@ def iqr_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def etl_clean(spark: SparkSession, d: str) -> DataFrame:
-    return etl.clean_listings(raw(spark, d))
+    return etl.clean_listings(raw(spark, d), _scratch(spark))
 
 
 def etl_stage_counts(spark: SparkSession, d: str) -> DataFrame:
-    return etl.stage_counts(raw(spark, d))
+    return etl.stage_counts(raw(spark, d), _scratch(spark))
 
 
 def default_clean(spark: SparkSession, d: str) -> DataFrame:
-    return etl.clean_and_label(raw(spark, d))
+    return etl.clean_and_label(raw(spark, d), _scratch(spark))
 
 
 # --- Labels ----------------------------------------------------------------------------------------
@@ -312,20 +349,44 @@ def _analysis(job, *round_columns: str, columns: tuple[str, ...] = ()):
     return lambda spark, d: rounded(job(parsed(spark, d, *columns)), *round_columns)
 
 
+def _without_some(rows: DataFrame) -> DataFrame:
+    """No decoration, next to no areas: tasks that need them can't give a result."""
+    return rows.drop("decoration").withColumn("area_m2", F.when(F.col("area_m2") > 10_000, F.col("area_m2")))
+
+
+def task_status(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.task_status(_without_some(parsed(spark, d)), list(analysis.TASKS))
+
+
+def applicable_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """The tasks offered for the whole table and for parts of its columns, with their state."""
+    rows = parsed(spark, d)
+    variants = {"all": rows, "no_price": rows.drop("unit_price"), "no_area": rows.drop("area_m2", "floor_band")}
+    return reduce(DataFrame.union, [
+        analysis.task_status(some).select(F.lit(name).alias("variant"), "position", "task", "ok")
+        for name, some in variants.items()
+    ])
+
+
 # --- Search ----------------------------------------------------------------------------------------
 
 _FOUND = ["row_id", "district", "community", "layout_normalized", "total_price", "unit_price", "score"]
 
 
+ASKED = ("锦江区", "武侯", "高新区", "新都", "温江区", "双流区", "成华")
+
+
 def geo_keywords(spark: SparkSession, d: str) -> DataFrame:
-    """Listings found per district and keyword of that district."""
-    rows = raw(spark, d, "district")
-    counts = rows.groupBy("district").agg(F.count("*").alias("listings")).filter("district IS NOT NULL")
-    words = {name: search.geo_keywords(name) for name in ("锦江区", "武侯区", "高新区", "新都", "温江区", "双流区")}
-    by_name = F.coalesce(*[
-        F.when(F.col("district") == name, F.array(*[F.lit(w) for w in found])) for name, found in words.items()
+    """How many listings each keyword of each district asked for finds."""
+    words = [(asked, word) for asked in ASKED for word in search.geo_keywords(asked)]
+    counts = raw(spark, d, "district").agg(*[
+        F.count_if(F.col("district").contains(word)).alias(f"c{i}") for i, (_, word) in enumerate(words)
     ])
-    return counts.select("district", "listings", F.explode(by_name).alias("keyword"))
+    rows = [
+        F.struct(F.lit(asked).alias("asked"), F.lit(word).alias("keyword"), F.col(f"c{i}").alias("listings"))
+        for i, (asked, word) in enumerate(words)
+    ]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def search_geo(spark: SparkSession, d: str) -> DataFrame:
@@ -339,7 +400,14 @@ def search_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_noise(spark: SparkSession, d: str) -> DataFrame:
-    return search.drop_noise(raw(spark, d, "row_id", "description_raw", "house_info_raw"))
+    """With parking lots and absurd layouts among others, and where there is nothing else."""
+    rows = raw(spark, d, "row_id", "description_raw", "house_info_raw")
+    absurd = F.concat(F.lit("12室9厅"), F.substring_index("house_info_raw", "厅", -1))
+    rows = rows.withColumn("house_info_raw", F.when(F.col("row_id").endswith("7"), absurd).otherwise(F.col("house_info_raw")))
+    only = rows.filter(F.col("row_id").endswith("7"))
+    return search.drop_noise(rows).withColumn("table", F.lit("all")).union(
+        search.drop_noise(only).withColumn("table", F.lit("noise"))
+    )
 
 
 def search_hard(spark: SparkSession, d: str) -> DataFrame:
@@ -362,17 +430,34 @@ def search_listings(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found.select(*_FOUND), "score")
 
 
+#: Many small searches beside the four above.
+MANY = {
+    f"m{i}": search.SearchIntent(
+        needs_row_samples=True, district_contains=ASKED[i % len(ASKED)], max_unit_price=15000.0 + 500 * i, max_rows=1 + i % 5,
+    )
+    for i in range(40)
+}
+
+
 def search_batch(spark: SparkSession, d: str) -> DataFrame:
-    found = search.search_batch(labelled(spark, d), INTENTS)
+    found = search.search_batch(labelled(spark, d), {**INTENTS, **MANY})
     return rounded(found.select("intent_id", "rank", "row_id", "score"), "score")
 
 
+OUTCOMES = {
+    **INTENTS,
+    "e": search.SearchIntent(district_contains="锦江"),
+    "f": search.SearchIntent(needs_row_samples=True, require_tag_near_subway=True, require_tag_lighting=True),
+}
+
+
 def search_outcome(spark: SparkSession, d: str) -> DataFrame:
-    rows, results = labelled(spark, d), None
-    for key, intent in INTENTS.items():
-        one = search.search_outcome(rows, intent).withColumn("intent_id", F.lit(key))
-        results = one if results is None else results.union(one)
-    return results
+    return search.search_outcomes(labelled(spark, d), OUTCOMES)
+
+
+def search_json(spark: SparkSession, d: str) -> DataFrame:
+    found = search.search_listings(labelled(spark, d), INTENTS["b"])
+    return search.display_json(found.select("row_id", "listing_id", "district", "community", "layout", "build_year", "tag_near_subway"))
 
 
 def search_display(spark: SparkSession, d: str) -> DataFrame:
@@ -382,6 +467,7 @@ def search_display(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "src_csv": src_csv,
     "src_union": src_union,
+    "src_file_status": src_file_status,
     "src_ingest_file": src_ingest_file,
     "schema_alias": schema_alias,
     "schema_rename": schema_rename,
@@ -396,7 +482,7 @@ QUERIES = {
     "promote_staging": promote_staging,
     "parse_unit_price": partial(_one_number, "unit_price", numbers.unit_price_yuan, "unit_price_yuan"),
     "parse_total_price": partial(_one_number, "total_price", numbers.total_price_wan, "total_price_wan"),
-    "parse_area": partial(_one_number, "house_info_raw", numbers.area_m2, "first_number"),
+    "parse_area": parse_area,
     "fill_unit_price": fill_unit_price,
     "coerce_followers": coerce_followers,
     "floor_band": floor_band,
@@ -428,8 +514,8 @@ QUERIES = {
     "area_buckets": _analysis(analysis.area_buckets),
     "decade_avg": _analysis(analysis.decade_avg, "avg_unit_price"),
     "district_price_rank": _analysis(analysis.district_price_rank, "unit_price"),
-    "layout_price_box": _analysis(analysis.layout_price_box),
-    "layout_box_stats": _analysis(analysis.layout_box_stats, "min", "p25", "p50", "p75", "max"),
+    "layout_price_box": _analysis(lambda df: analysis.layout_price_box(df, 5)),
+    "layout_box_stats": _analysis(lambda df: analysis.layout_box_stats(df, 5), "min", "p25", "p50", "p75", "max"),
     "area_band_price": _analysis(analysis.area_band_price, "unit_price"),
     "area_band_share": _analysis(analysis.area_band_share),
     "decoration_price": _analysis(analysis.decoration_price, "unit_price"),
@@ -439,7 +525,8 @@ QUERIES = {
     "total_area_scatter": _analysis(analysis.total_area_scatter),
     "price_outliers": _analysis(outliers.price_outliers, "low", "high"),
     "price_histogram": _analysis(analysis.price_histogram, "bin"),
-    "task_status": _analysis(lambda df: analysis.task_status(df, list(analysis.TASKS))),
+    "task_status": task_status,
+    "applicable_tasks": applicable_tasks,
     "summary_facts": _analysis(analysis.summary_facts, "value"),
     "geo_keywords": geo_keywords,
     "search_geo": search_geo,
@@ -451,6 +538,7 @@ QUERIES = {
     "search_listings": search_listings,
     "search_outcome": search_outcome,
     "search_batch": search_batch,
+    "search_json": search_json,
     "search_display": search_display,
 }
 
