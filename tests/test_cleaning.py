@@ -43,13 +43,15 @@ def test_floor_band(spark):
 
 def test_decoration(spark):
     assert values(spark, ["精装修 南北通透", "清水房", "普通装修", "豪华", "x" * 30, " ", None], cells.decoration) == [
-        "精装", "毛坯", "简装", "豪装", "x" * 20, "未知", "未知"]
+        "精装", "毛坯", "简装", "豪装", "x" * 30, "未知", "未知"]
+    assert values(spark, ["x" * 30], lambda t: cells.decoration(t, 20)) == ["x" * 20]
 
 
 def test_layout(spark):
     assert values(spark, ["两室一厅", "3室2厅", "二房一厅", "三室两厅", "12房", "十三室", "4 室 02 厅", "开间", "y" * 90, "", None],
                   cells.layout) == [
-        "2室1厅", "3室2厅", "2室1厅", "3室1厅", "2室1厅", "3室1厅", "4室2厅", "开间", "y" * 80, "", ""]
+        "2室1厅", "3室2厅", "2室1厅", "3室1厅", "2室1厅", "3室1厅", "4室2厅", "开间", "y" * 90, "", ""]
+    assert values(spark, ["y" * 90], lambda t: cells.layout(t, 80)) == ["y" * 80]
 
 
 def test_house_info_parts_go_to_the_first_free_column_that_accepts_them(spark):

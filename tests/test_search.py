@@ -27,7 +27,7 @@ def test_keywords():
 
 def test_max_rows_is_checked():
     with pytest.raises(ValueError):
-        SearchIntent(max_rows=41)
+        SearchIntent(max_rows=0)
 
 
 def test_short_district_matches_full_name(spark):
@@ -143,4 +143,5 @@ def test_display(spark):
     df = table(spark, [("x" * 200, 1.0, "hidden", None)], "community string, unit_price double, description_raw string, layout string")
     shown = search.display(df)
     assert shown.columns == ["community", "layout", "unit_price"] and len(shown.first()["community"]) == 160
+    assert len(search.display(df, None).first()["community"]) > 160
     assert '"layout":null' in search.display_json(df).first()["listing"]

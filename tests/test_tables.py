@@ -36,8 +36,7 @@ def test_dedup_keeps_first_row_and_takes_nulls_as_equal(spark):
 
 
 @pytest.mark.parametrize("sortable", [1_000_000, 3])
-def test_quantiles_against_numpy(spark, monkeypatch, sortable):
-    monkeypatch.setattr(quantiles, "_SORTABLE", sortable)
+def test_quantiles_against_numpy(spark, sortable):
     rng = random.Random(1)
     data = {
         "skewed": [7.25] * 300 + [rng.lognormvariate(9, 1) for _ in range(500)],
@@ -47,7 +46,7 @@ def test_quantiles_against_numpy(spark, monkeypatch, sortable):
     rows = [(g, v) for g, values in data.items() for v in values] + [("skewed", None), ("one", float("nan"))]
     df = spark.createDataFrame(rows, "g string, v double")
     probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    found = quantiles.exact_quantiles(df, F.col("v"), probabilities, F.col("g"))
+    found = quantiles.exact_quantiles(df, F.col("v"), probabilities, F.col("g"), sortable)
     for g, values in data.items():
         assert found[g]["n"] == len(values)
         assert np.allclose([found[g][q] for q in probabilities], np.quantile(values, probabilities), rtol=1e-12)
@@ -106,6 +105,53 @@ def test_task_analyses(market):
         (2000, 67000.0), (2010, 72000.0), (1990, 65000.0)}
     assert [tuple(r) for r in analysis.community_followers(market).collect()] == [("B", 8.0), ("A", 5.0), ("C", 4.0)]
     assert analysis.district_price_rank(market.limit(4)).count() == 0
+    assert analysis.district_price_rank(market.limit(4), min_rows=0).count() == 2
+    assert analysis.total_area_scatter(market.limit(4).withColumn("total_price", F.lit(1.0))).count() == 0
+    assert analysis.community_followers(market, communities=1).count() == 1
+    assert analysis.layout_price_box(market, layouts=1).count() == 3
+
+
+def test_histogram_leaves_out_infinite_prices(spark, market):
+    more = market.union(market.limit(1).withColumn("unit_price", F.lit(float("inf"))))
+    bins = analysis.price_histogram(more).collect()
+    assert sum(r["count"] for r in bins) == 5 and bins == analysis.price_histogram(market).collect()
+
+
+def test_failing_task_has_its_reason_and_others_go_on(spark, market, tmp_path, monkeypatch):
+    from brickledger.plans import etl
+
+    def eager(df):
+        raise ValueError("no way\nat all")
+
+    def lazy(df):
+        return df.select(F.raise_error(F.lit("not now")).alias("x"))
+
+    monkeypatch.setitem(analysis.TASKS, "district_price_rank", eager)
+    monkeypatch.setitem(analysis.TASKS, "area_band_price", lazy)
+    etl.write_report(market, str(tmp_path))
+    state = {r["task"]: (r["ok"], r["reason"]) for r in spark.read.parquet(f"{tmp_path}/plan_tasks").collect()}
+    assert state["district_price_rank"] == (False, "ValueError: no way")
+    assert state["area_band_price"][0] is False and "not now" in state["area_band_price"][1]
+    assert state["unit_price_histogram"] == (True, None)
+    assert spark.read.parquet(f"{tmp_path}/tasks/unit_price_histogram_6").count() == 10
+    facts = {r["label"]: r["value"] for r in spark.read.parquet(f"{tmp_path}/facts").collect() if r["section"] == "tasks"}
+    assert facts["total"] - facts["ok"] >= 2
+
+
+def test_two_level_top_rows(spark):
+    from brickledger.operators.ranking import first_rows
+
+    df = spark.range(20_000).selectExpr("id * 7919 % 20000 as v", "id % 3 as g").repartition(1000)
+    top = first_rows(df, ["v"], 5)
+    assert [(r["v"], r["__rank"]) for r in top.orderBy("__rank").collect()] == [(i, i + 1) for i in range(5)]
+    by = first_rows(df, [F.desc("v")], 4, "g", F.col("g") + 1)
+    want = {g: sorted((i * 7919 % 20000 for i in range(g, 20_000, 3)), reverse=True)[: g + 1] for g in range(3)}
+    got = {}
+    for r in by.orderBy("g", "__rank").collect():
+        got.setdefault(r["g"], []).append(r["v"])
+    assert got == want
+    # Every task of the first level passes on five rows at most: the last one gets 1024 times that at most.
+    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
 
 
 def test_applicable_and_status(spark, market):
