@@ -85,7 +85,12 @@ def _unit(vectors) -> np.ndarray:
 
 @F.pandas_udf(DoubleType())
 def _cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series((_unit(a) * _unit(b)).sum(1) if len(a) else [], dtype="float64")
+    out = np.empty(len(a))
+    size = a.map(len).to_numpy()
+    for n in np.unique(size):
+        some = np.flatnonzero(size == n)
+        out[some] = (_unit(a.iloc[some]) * _unit(b.iloc[some])).sum(1)
+    return pd.Series(out)
 
 
 def _entries(index: Index):
