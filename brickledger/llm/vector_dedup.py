@@ -146,13 +146,16 @@ def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, margin: floa
     if threshold <= 0:
         raise ValueError("threshold must be positive")
     near = math.sqrt(2 - 2 * threshold)
-    dims = [r.dim for r in vectors.groupBy("dim").count().orderBy("dim").limit(1001).collect()]
+    dims = [(r["dim"], r["count"]) for r in vectors.groupBy("dim").count().orderBy("dim").limit(1001).collect()]
     if len(dims) > 1000:
         raise ValueError("vectors of more than 1000 different lengths")
     pairs = spark.createDataFrame([], "a long, b long")
-    for dim in dims:
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    for dim, rows in dims:
         own = vectors.where(F.col("dim") == dim).select("id", "v")
-        sample = [r.v for r in own.orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS).collect()]
+        # Four times the rows wanted by hash, so that no task has to order more than a few of them.
+        few = own.withColumn("draw", draw).where(F.col("draw") <= (1 << 40) * min(1.0, 4 * TRAIN_ROWS / rows))
+        sample = [r.v for r in few.orderBy("draw", "id").limit(TRAIN_ROWS).collect()]
         index = Index(_unit(sample))
         coded = own.mapInPandas(_entries(index), "id long, list int, code binary, error double")
         asked = own.mapInPandas(_lookups(index, margin), "id long, list int, v array<double>")
