@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brickledger.functions.text import let
 from brickledger.llm.shared import with_row
 
 #: What counts as white space at the ends of a line.
@@ -22,17 +23,23 @@ def _lines(text: Column) -> Column:
 def _windows(text: Column, size: int) -> Column:
     """One struct (digest, at) per `size` consecutive lines that are not blank; at: their places among all lines."""
     numbered = F.transform(_lines(text), lambda line, i: F.struct(F.btrim(line, F.lit(BLANKS)).alias("line"), i.alias("i")))
-    full = F.filter(numbered, lambda x: x["line"] != "")
-    return F.when(
-        F.size(full) >= size,
-        F.transform(
-            F.sequence(F.lit(1), F.size(full) - (size - 1)),
-            lambda i: F.struct(
-                F.unhex(F.md5(F.array_join(F.transform(F.slice(full, i, size), lambda x: x["line"]), "\n"))).alias("digest"),
-                F.transform(F.slice(full, i, size), lambda x: x["i"]).alias("at"),
+
+    def windows(full: Column) -> Column:
+        return F.when(
+            F.size(full) >= size,
+            F.transform(
+                F.sequence(F.lit(1), F.size(full) - (size - 1)),
+                lambda i: let(
+                    F.slice(full, i, size),
+                    lambda w: F.struct(
+                        F.unhex(F.md5(F.array_join(F.transform(w, lambda x: x["line"]), "\n"))).alias("digest"),
+                        F.transform(w, lambda x: x["i"]).alias("at"),
+                    ),
+                ),
             ),
-        ),
-    )
+        )
+
+    return let(F.filter(numbered, lambda x: x["line"] != ""), windows)
 
 
 def remove_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -56,8 +63,12 @@ def remove_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     covered = covered.withColumnsRenamed({"doc": "gone_doc", "mark": "gone_mark"})
     joined = base.join(covered, (base["mark"] == F.col("gone_mark")) & base["doc"].eqNullSafe(F.col("gone_doc")), "left")
     lines = _lines(F.col("text"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    def without(own: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("gone"))
+        return F.array_join(F.transform(stay, lambda i: F.get(own, i)), "\n")
+
+    kept = let(lines, without)
     return joined.select(
         "row",
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
