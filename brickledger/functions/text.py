@@ -19,12 +19,24 @@ _SPACE = (
 _WIDE_DIGITS = "０１２３４５６７８９"
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with ``value`` computed once, however often the body names it.
+def pinned(value: Column) -> Column:
+    """The same text, computed where it stands.
 
-    Filters on computed columns are pushed below their computation with the columns replaced by their expressions;
-    where such columns name each other several times over, only this keeps the result small.
+    Filters on a computed column would be pushed below its computation and repeat it, many times over where columns
+    build on each other.  They stop at an expression that counts as not deterministic, as the number of the partition
+    does; unlike other barriers this one goes when the column is not asked for, and keeps code generation.  The value
+    is no branch of a condition, as what repeats in branches is computed each time.
     """
+    return F.elt(F.spark_partition_id() * 0 + 1, value)
+
+
+def pinned_number(value: Column) -> Column:
+    """:func:`pinned` for DOUBLE values."""
+    return value + F.spark_partition_id() * 0
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with ``value`` computed once, however often the body names it; without code generation."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 

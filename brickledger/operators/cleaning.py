@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brickledger import fixed
 from brickledger.functions import cells, numbers
-from brickledger.functions.text import blank, first_match, is_text, let, strip
+from brickledger.functions.text import first_match, is_blank, is_text, pinned, pinned_number, strip
 from brickledger.schema import require_columns, require_standard
 
 
@@ -97,7 +97,7 @@ def _fill_blank(df: DataFrame, column: str, value: Column) -> Column:
         return value
     kind = df.schema[column].dataType
     filler = value if is_text(df, column) else value.try_cast(kind)
-    return let(F.col(column), lambda c: F.when(blank(c, kind), filler.cast(kind)).otherwise(c))
+    return F.when(is_blank(df, column), filler.cast(kind)).otherwise(F.col(column))
 
 
 def _without_part(text: Column, part: Column) -> Column:
@@ -107,35 +107,27 @@ def _without_part(text: Column, part: Column) -> Column:
     return F.coalesce(rest, text)
 
 
-def _take_part(text: Column, accepts: str) -> Column:
-    """(part, left): the first part that the pattern accepts, and the text without it."""
-    def split(t: Column) -> Column:
-        return let(
-            first_match(t, rf"\|(\s*{accepts})(?=\|)"),
-            lambda p: F.struct(p.alias("part"), _without_part(t, p).alias("left")),
-        )
-
-    return let(text, split)
-
-
 def expand_house_info(df: DataFrame) -> DataFrame:
     """Take the '|'-separated house_info_raw apart into staging columns, filling blanks only.
 
     Each part belongs to the first column, in order of precedence, that is still free and accepts it.
     That is the same as letting each column in turn take its first acceptable part out of the text the
-    columns before it left over.  Every step names the one before once, so a column needs no more than the
-    steps up to its own, and a filter on it is no longer than that.
+    columns before it left over, which patterns over the whole cell do without lambdas.
+
+    The parts are pinned: later filters are not rewritten into copies of this chain of expressions, which refer to each
+    other many times over, and a column needs no more than the steps up to its own.
     """
     if "house_info_raw" not in df.columns:
         return df
     kept = df.columns
-    left = F.concat(F.lit("|"), F.col("house_info_raw").cast("string"), F.lit("|"))
-    work = df
+    left, raw = F.col("__left"), F.col("house_info_raw").cast("string")
+    work = df.withColumn("__left", F.concat(F.lit("|"), raw, F.lit("|")))
     for name, accepts, _ in _HOUSE_INFO:
-        work = work.withColumn(f"__{name}", _take_part(left, accepts))
-        left = F.col(f"__{name}.left")
+        work = work.withColumn(f"__{name}", first_match(left, rf"\|(\s*{accepts})(?=\|)"))
+        work = work.withColumn("__left", _without_part(left, F.col(f"__{name}")))
+    work = work.select(*kept, *[pinned(F.col(f"__{name}")).alias(f"__{name}") for name, _, _ in _HOUSE_INFO])
     values = {
-        name: _fill_blank(df, name, let(strip(F.col(f"__{name}.part")), value)) for name, _, value in _HOUSE_INFO
+        name: _fill_blank(df, name, value(strip(F.col(f"__{name}")))) for name, _, value in _HOUSE_INFO
     }
     return work.withColumns(values).select(*kept, *[n for n in values if n not in kept])
 
@@ -168,17 +160,6 @@ def expand_composites(df: DataFrame) -> DataFrame:
 # --- Promotion, numbers ----------------------------------------------------------------------------
 
 
-def _promotion(source: str, kind, of, parse):
-    """A blank target becomes its staging column's value, if that says something."""
-    def promoted(t: Column) -> Column:
-        return let(
-            F.col(source),
-            lambda s: F.when(blank(t, kind) & ~blank(s, of, fixed.NULL_WORDS), parse(s).cast(kind)).otherwise(t),
-        )
-
-    return promoted
-
-
 def promote_staging(df: DataFrame) -> DataFrame:
     """Fill blank canonical columns from their staging columns."""
     for source, target in fixed.STAGING_PAIRS:
@@ -187,9 +168,12 @@ def promote_staging(df: DataFrame) -> DataFrame:
         if target not in df.columns:
             df = df.withColumn(target, F.col(source))
             continue
-        kind, of = df.schema[target].dataType, df.schema[source].dataType
-        parse = numbers.area_m2 if target == "area_m2" and is_text(df, source) else lambda s: s
-        df = df.withColumn(target, let(F.col(target), _promotion(source, kind, of, parse)))
+        value = F.col(source)
+        if target == "area_m2" and is_text(df, source):
+            value = numbers.area_m2(value)
+        kind = df.schema[target].dataType
+        usable = is_blank(df, target) & ~is_blank(df, source, fixed.NULL_WORDS)
+        df = df.withColumn(target, F.when(usable, value.cast(kind)).otherwise(F.col(target)))
     return df
 
 
@@ -200,17 +184,13 @@ _TEXT_PARSERS = {
 }
 
 
-def _bound(parser, options: dict):
-    return lambda c: parser(c, **options)
-
-
 def parse_numeric_text(df: DataFrame, rescale_small_unit_price: bool = False) -> DataFrame:
     """Parse price and area columns that are still text; numeric columns stay as they are."""
     parsed = {}
     for name, parser in _TEXT_PARSERS.items():
         if name in df.columns and is_text(df, name):
             options = {"rescale_small": rescale_small_unit_price} if name == "unit_price" else {}
-            parsed[name] = let(F.col(name), _bound(parser, options))
+            parsed[name] = parser(F.col(name), **options)
     return df.withColumns(parsed) if parsed else df
 
 
@@ -230,6 +210,10 @@ def fill_unit_price(df: DataFrame) -> DataFrame:
     return df.withColumn("unit_price", derived)
 
 
+def _pin_numbers(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: pinned_number(F.col(c)) for c in fixed.NUMERIC_COLUMNS if c in df.columns})
+
+
 def finalize(df: DataFrame) -> DataFrame:
     """Promote staging columns, parse text numbers, coerce, fill the unit price."""
     return (
@@ -237,4 +221,5 @@ def finalize(df: DataFrame) -> DataFrame:
         .transform(parse_numeric_text)
         .transform(coerce_numeric)
         .transform(fill_unit_price)
+        .transform(_pin_numbers)
     )
