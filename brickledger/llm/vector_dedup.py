@@ -16,11 +16,13 @@ from brickledger.llm.shared import class_of, written
 THRESHOLD = 0.9
 #: Vectors that the codebooks are fitted on: the least by a hash of the id, so a sample that no order of rows biases.
 TRAIN_ROWS = 4096
-LISTS = 64
+LISTS = 256
 SUBSPACES = 16
 CODES = 64
-#: A vector is looked up in every list whose centre is at most so much less similar than its own list's.
-MARGIN = 0.3
+#: A vector is looked up in every list whose centre is at most so much further than its own: the squared distances,
+#: halved, differ by no more.  Of two vectors d apart, whose lists' centres are g apart, the gap is at most d * g, and in
+#: any but the worst direction far less.
+MARGIN = 0.09
 #: About so many rows of a list, and so many look-ups in it, meet in one task; larger lists are split into cells.
 CELL_ROWS = 4096
 _SEED = 11
@@ -69,11 +71,11 @@ class Index:
     def distances(self, x: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric squared distances of vectors to coded members of one list, by one table per subspace."""
         rest = x - self.centres[which]
-        out = np.zeros((len(x), len(codes)))
+        out = np.zeros((len(x), len(codes)), np.float32)
         for m, (book, a, b) in enumerate(zip(self.books, self.edges, self.edges[1:], strict=False)):
             part = rest[:, a:b]
             table = (part**2).sum(1)[:, None] - 2 * part @ book.T + (book**2).sum(1)
-            out += table[:, codes[:, m]]
+            out += table.astype(np.float32)[:, codes[:, m]]
         return out
 
 
@@ -110,8 +112,11 @@ def _lookups(index: Index, margin: float):
         for df in batches:
             if len(df):
                 x = _unit(df["v"])
-                rows, lists = np.nonzero(index.probes(x, margin))
-                yield pd.DataFrame({"id": df["id"].to_numpy()[rows], "list": lists, "v": [x[r] for r in rows]})
+                ids = df["id"].to_numpy()
+                for start in range(0, len(x), 512):
+                    part = x[start : start + 512]
+                    rows, lists = np.nonzero(index.probes(part, margin))
+                    yield pd.DataFrame({"id": ids[start + rows], "list": lists, "v": list(part[rows].astype(np.float32))})
 
     return run
 
@@ -121,10 +126,10 @@ def _meet(index: Index, near: float):
         found = []
         if len(members) and len(asked):
             codes = np.frombuffer(b"".join(members["code"]), np.uint8).reshape(len(members), -1)
-            ids, reach = members["id"].to_numpy(), near + members["error"].to_numpy() + 1e-9
+            ids, reach = members["id"].to_numpy(), near + members["error"].to_numpy() + 1e-3
             for start in range(0, len(asked), 256):
                 part = asked.iloc[start : start + 256]
-                far = np.sqrt(np.maximum(index.distances(np.stack(part["v"]), key[0], codes), 0))
+                far = np.sqrt(np.maximum(index.distances(np.stack(part["v"]).astype(np.float64), key[0], codes), 0))
                 i, j = np.nonzero(far <= reach)
                 a, b = part["id"].to_numpy()[i], ids[j]
                 found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b])
@@ -134,7 +139,9 @@ def _meet(index: Index, near: float):
     return run
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
+def similar_pairs(
+    vectors: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, lists: int = LISTS
+) -> DataFrame:
     """(a, b, cosine), a < b: pairs of the distinct vectors (id, v, dim) whose cosine is at least `threshold`.
 
     Every vector is coded in its list and looked up in all lists within `margin`.  A code's known error makes the
@@ -156,9 +163,9 @@ def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, margin: floa
         # Four times the rows wanted by hash, so that no task has to order more than a few of them.
         few = own.withColumn("draw", draw).where(F.col("draw") <= (1 << 40) * min(1.0, 4 * TRAIN_ROWS / rows))
         sample = [r.v for r in few.orderBy("draw", "id").limit(TRAIN_ROWS).collect()]
-        index = Index(_unit(sample))
+        index = Index(_unit(sample), lists)
         coded = own.mapInPandas(_entries(index), "id long, list int, code binary, error double")
-        asked = own.mapInPandas(_lookups(index, margin), "id long, list int, v array<double>")
+        asked = own.mapInPandas(_lookups(index, margin), "id long, list int, v array<float>")
         counts = lambda df: {r["list"]: -(-r["count"] // CELL_ROWS) for r in df.groupBy("list").count().collect()}
         n_coded, n_asked = counts(coded), counts(asked)
         sizes = spark.createDataFrame([(c, n, n_asked.get(c, 1)) for c, n in n_coded.items()], "list int, parts int, blocks int")
@@ -178,7 +185,8 @@ def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, margin: floa
 
 
 def near_duplicates(
-    table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, margin: float = MARGIN
+    table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD,
+    margin: float = MARGIN, lists: int = LISTS,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row: near-duplicates by cosine of at least `threshold`.
 
@@ -203,7 +211,7 @@ def near_duplicates(
         marked.select("digest", F.col("first").alias("vec"), "id"), (rows["digest"] == marked["digest"]) & F.col("vec_id").eqNullSafe(F.col("vec"))
     )
     one = written(one.dropDuplicates(["id"]).select("id", "v", F.size("v").alias("dim")))
-    links = written(similar_pairs(one, threshold, margin).select("a", "b"))
+    links = written(similar_pairs(one, threshold, margin, lists).select("a", "b"))
     both = links.union(links.select("b", "a"))
     sizes = marked.select(F.col("id").alias("b"), "copies")
     linked = both.join(sizes, "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("linked"))
