@@ -79,7 +79,8 @@ def fingerprint_links(marks: DataFrame, radius: int = RADIUS, parts: int = PARTS
     emitted = marks.select("fp", F.explode(balls).alias("v")).select(
         F.col("fp").bitwiseAND(F.col("v.m")).bitwiseXOR(F.col("v.f")).alias("variant"), "fp"
     )
-    a, b = emitted.alias("a"), emitted.alias("b")
+    # Sizes before the explosion would make one side look small enough to broadcast.
+    a, b = emitted.alias("a"), emitted.alias("b").hint("merge")
     close = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius
     met = a.join(b, (F.col("a.variant") == F.col("b.variant")) & (F.col("a.fp") < F.col("b.fp")) & close)
     return met.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
