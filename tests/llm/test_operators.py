@@ -1,6 +1,5 @@
 """The ten operators against brute force and on odd rows."""
 
-import hashlib
 import math
 import random
 import re
@@ -102,11 +101,10 @@ def test_mix_keeps_quotas(spark, budget):
             assert {r.epoch for r in own} == {0}
             continue
         whole, partial = divmod(round(weight * mix.budget), tokens[name])
-        count = sum((n if n != "null" else None) is not None for n in [name])
         per_epoch = Counter()
         for r in own:
             per_epoch[r.epoch] += r.n_tokens
-        assert all(per_epoch[e] == tokens[name] for e in range(whole)), (name, count)
+        assert all(per_epoch[e] == tokens[name] for e in range(whole)), name
         assert per_epoch[whole] <= partial < per_epoch[whole] + 30 + 1
         last = sorted((r.order_key for r in own if r.epoch == whole))
         first = {r.doc_id: r.order_key for r in own if r.epoch == whole}
@@ -413,7 +411,3 @@ def test_covers_meet_at_every_shift():
         for i in range(period):
             for j in range(period):
                 assert any((i + s) % period in cover and (j + s) % period in cover for s in range(period))
-
-
-def test_digest_of_what_stays():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
