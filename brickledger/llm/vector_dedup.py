@@ -19,12 +19,8 @@ TRAIN_ROWS = 4096
 LISTS = 256
 SUBSPACES = 16
 CODES = 64
-#: A vector is looked up in every list whose centre is at most so much further than its own: the squared distances,
-#: halved, differ by no more.  Of two vectors d apart, whose lists' centres are g apart, the gap is at most d * g, and in
-#: any but the worst direction far less.
-MARGIN = 0.09
 #: About so many rows of a list, and so many look-ups in it, meet in one task; larger lists are split into cells.
-CELL_ROWS = 4096
+CELL_ROWS = 2048
 _SEED = 11
 
 
@@ -45,6 +41,7 @@ class Index:
 
     def __init__(self, sample: np.ndarray, lists: int = LISTS, subspaces: int = SUBSPACES, codes: int = CODES):
         self.centres = _kmeans(sample, lists)
+        self.apart = np.stack([np.sqrt(((self.centres - c) ** 2).sum(1)) for c in self.centres])
         self.edges = np.linspace(0, sample.shape[1], min(subspaces, sample.shape[1]) + 1).astype(int)
         rest = sample - self.centres[self.nearest(sample)]
         self.books = [_kmeans(rest[:, a:b], codes) for a, b in zip(self.edges, self.edges[1:], strict=False)]
@@ -63,10 +60,18 @@ class Index:
             error += ((part - book[codes[:, m]]) ** 2).sum(1)
         return codes, np.sqrt(error)
 
-    def probes(self, x: np.ndarray, margin: float) -> np.ndarray:
-        """rows x lists: where a vector is looked up; its own list always."""
+    def probes(self, x: np.ndarray, reach: float) -> np.ndarray:
+        """rows x lists: where a vector is looked up; its own list always.
+
+        The gap to a list is half of what the squared distance of its centre exceeds that of the own centre by.  Of two
+        vectors at most `reach` apart, each has its gap to the other's list; as functions of the vector the two gaps
+        are opposite and change by the centres' distance a unit, so they add up to at most `reach` times that
+        distance and one is at most half of it.  So one of the two vectors is looked up in the other's list.
+        """
         near = (self.centres**2).sum(1) - 2 * x @ self.centres.T
-        return near <= near.min(1)[:, None] + 2 * margin
+        own = self.nearest(x)
+        gaps = (near - near[np.arange(len(x)), own][:, None]) / 2
+        return gaps <= reach * self.apart[own] / 2 + 1e-9
 
     def distances(self, x: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric squared distances of vectors to coded members of one list, by one table per subspace."""
@@ -107,15 +112,15 @@ def _entries(index: Index):
     return run
 
 
-def _lookups(index: Index, margin: float):
+def _lookups(index: Index, reach: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             if len(df):
                 x = _unit(df["v"])
                 ids = df["id"].to_numpy()
-                for start in range(0, len(x), 512):
-                    part = x[start : start + 512]
-                    rows, lists = np.nonzero(index.probes(part, margin))
+                for start in range(0, len(x), 128):
+                    part = x[start : start + 128]
+                    rows, lists = np.nonzero(index.probes(part, reach))
                     yield pd.DataFrame({"id": ids[start + rows], "list": lists, "v": list(part[rows].astype(np.float32))})
 
     return run
@@ -139,14 +144,12 @@ def _meet(index: Index, near: float):
     return run
 
 
-def similar_pairs(
-    vectors: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, lists: int = LISTS
-) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, lists: int = LISTS) -> DataFrame:
     """(a, b, cosine), a < b: pairs of the distinct vectors (id, v, dim) whose cosine is at least `threshold`.
 
-    Every vector is coded in its list and looked up in all lists within `margin`.  A code's known error makes the
-    look-up safe: a pair is a candidate if its table distance less the error may still reach the threshold, so only
-    unprobed lists can lose a pair.  Lists are split into cells of bounded size, hot ones into many; candidates are
+    Every vector is coded in its list and looked up in all lists that Index.probes cannot rule out.  A code's known
+    error makes the look-up safe: a pair is a candidate if its table distance less the error may still reach the
+    threshold.  So no pair is lost.  Lists are split into cells of bounded size, hot ones into many; candidates are
     reranked by their cosine in double precision.  To the driver go the sample and the sizes of lists.
     """
     spark = vectors.sparkSession
@@ -165,7 +168,7 @@ def similar_pairs(
         sample = [r.v for r in few.orderBy("draw", "id").limit(TRAIN_ROWS).collect()]
         index = Index(_unit(sample), lists)
         coded = own.mapInPandas(_entries(index), "id long, list int, code binary, error double")
-        asked = own.mapInPandas(_lookups(index, margin), "id long, list int, v array<float>")
+        asked = own.mapInPandas(_lookups(index, near), "id long, list int, v array<float>")
         counts = lambda df: {r["list"]: -(-r["count"] // CELL_ROWS) for r in df.groupBy("list").count().collect()}
         n_coded, n_asked = counts(coded), counts(asked)
         sizes = spark.createDataFrame([(c, n, n_asked.get(c, 1)) for c, n in n_coded.items()], "list int, parts int, blocks int")
@@ -186,7 +189,7 @@ def similar_pairs(
 
 def near_duplicates(
     table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD,
-    margin: float = MARGIN, lists: int = LISTS,
+    lists: int = LISTS,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row: near-duplicates by cosine of at least `threshold`.
 
@@ -211,7 +214,7 @@ def near_duplicates(
         marked.select("digest", F.col("first").alias("vec"), "id"), (rows["digest"] == marked["digest"]) & F.col("vec_id").eqNullSafe(F.col("vec"))
     )
     one = written(one.dropDuplicates(["id"]).select("id", "v", F.size("v").alias("dim")))
-    links = written(similar_pairs(one, threshold, margin, lists).select("a", "b"))
+    links = written(similar_pairs(one, threshold, lists).select("a", "b"))
     both = links.union(links.select("b", "a"))
     sizes = marked.select(F.col("id").alias("b"), "copies")
     linked = both.join(sizes, "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("linked"))

@@ -200,6 +200,23 @@ def test_vector_links_equal_brute_force(spark):
     assert vector_dedup.near_duplicates(frame.limit(0)).collect() == []
 
 
+def test_vector_links_of_a_skewed_spectrum(spark):
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(3000, 32)) / np.arange(1, 33) ** 1.5
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    away = rng.normal(size=x.shape) / np.arange(1, 33) ** 1.5
+    away -= (away * x).sum(1)[:, None] * x
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    near = 0.902 * x + np.sqrt(1 - 0.902**2) * away
+    both = np.concatenate([x, near])
+    frame = spark.createDataFrame(list(enumerate(both.tolist())), "vec_id long, embedding array<double>")
+    cosine = both @ both.T
+    assert np.abs(cosine - 0.9).min() > 1e-12
+    want = (cosine >= 0.9).sum(1) - 1
+    found = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(frame).collect()}
+    assert [found[i] for i in range(len(both))] == want.tolist()
+
+
 def test_vector_recall_on_the_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     rows = table.collect()
