@@ -1,8 +1,9 @@
-"""SimHash near-dedup by meet-in-the-middle ball hashing."""
+"""SimHash near-dedup by meet-in-the-middle ball hashing; near-dedup by Jaccard similarity of the same shingles."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brickledger.llm.shared import class_of, with_row, written
+from brickledger.llm.shared import class_of, components, with_row, written
 
 SHINGLE = 3
 SEED = 42
@@ -18,6 +19,10 @@ RADIUS = 3
 #: Parts of the 64 bits of which one is masked at a time when the radius is odd.
 PARTS = 4
 _CHUNK = 1 << 15
+#: Bands of least shingle hashes, and hashes in a band: a pair of Jaccard similarity j meets in some band with
+#: probability 1 - (1 - j ** BAND_ROWS) ** BANDS; 0.99993 at 0.8.
+BANDS = 24
+BAND_ROWS = 5
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -86,7 +91,9 @@ def fingerprint_links(marks: DataFrame, radius: int = RADIUS, parts: int = PARTS
     return met.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE
+) -> DataFrame:
     """(doc_id, fp, class_id) for every row: class_id is the least doc_id reachable by links of up to `radius` bits.
 
     Documents of equal fingerprint meet as one, so copies are never paired.  Runs its jobs when called.
@@ -95,24 +102,133 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     class of its fingerprint; the class is null only if it has no other doc_id.  Repeated rows: each is returned.
     Further columns take no part.  Tables without rows give none.
     """
-    found = written(fingerprints(docs, doc_id, text))
+    found = written(fingerprints(docs, doc_id, text, shingle))
     marks = written(found.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("first")))
     links = fingerprint_links(marks.select(F.col("node").alias("fp")), radius)
     classes = class_of(marks, links)
     return found.join(classes.select(F.col("node").alias("fp"), "class_id"), "fp").select("doc_id", "fp", "class_id")
 
 
-def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def _least_of_each(docs: DataFrame, classes: DataFrame, doc_id: str) -> DataFrame:
+    keys = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("doc")).distinct()
+    rows = with_row(docs, doc=F.col(doc_id))
+    kept = rows.join(keys, "doc", "left_semi").dropDuplicates(["doc"])
+    return kept.unionByName(rows.where(F.col("doc").isNull())).select("row.*")
+
+
+def keep_one_of_each(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE
+) -> DataFrame:
     """One row of each class of near-duplicates: the one of the least doc_id.
 
     Rows that repeat a doc_id: one of them stays.  Rows of null doc_id link others, but all stay themselves, as
     nothing tells them apart.  All columns are returned as they were.
     """
-    classes = near_duplicates(docs, doc_id, text, radius)
-    keys = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("doc")).distinct()
-    rows = with_row(docs, doc=F.col(doc_id))
-    kept = rows.join(keys, "doc", "left_semi").dropDuplicates(["doc"])
-    return kept.unionByName(rows.where(F.col("doc").isNull())).select("row.*")
+    return _least_of_each(docs, near_duplicates(docs, doc_id, text, radius, shingle), doc_id)
+
+
+def shingle_set(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
+    """The distinct hashes of the shingles that `fingerprint` counts, in order; none without words."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else iter([b" ".join(words)])
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(gram, seed) for gram in grams), np.uint64, max(1, len(words) - shingle + 1)))
+
+
+def _bands(hashes: np.ndarray, factors: np.ndarray) -> list[int]:
+    """One signed long per band: a hash of the band's number and of the least products of the hashes with its factors."""
+    least = np.full(len(factors), np.iinfo(np.uint64).max)
+    for start in range(0, len(hashes), 512):
+        np.minimum(least, np.multiply.outer(factors, hashes[start : start + 512]).min(axis=1), out=least)
+    return [_signed(xxhash.xxh64_intdigest(band.tobytes(), k)) for k, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def _banded(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """(doc_id, text, node, size, bands): node stands for the text's set of shingles, size is their number."""
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, bands = [], [], []
+            for t in batch.column(1):
+                hashes = shingle_set(t.as_py(), shingle)
+                nodes.append(_signed(xxhash.xxh64_intdigest(hashes.tobytes())))
+                sizes.append(len(hashes))
+                bands.append(_bands(hashes, factors) if len(hashes) else [])
+            added = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], ["doc_id", "text", "node", "size", "bands"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return given.mapInArrow(run, f"doc_id {kind}, text string, node long, size long, bands array<long>")
+
+
+def _verified(pairs: DataFrame, found: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of at least `similarity`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = lru_cache(64)(lambda t: shingle_set(t, shingle))
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = hashes(x.as_py()), hashes(y.as_py())
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both / (len(x) + len(y) - both) >= similarity)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = written(found.select("node", "text").join(asked, "node", "left_semi").dropDuplicates(["node"]))
+    of = lambda name, text: texts.select(F.col("node").alias(name), F.col("text").alias(text))
+    # Both sides are texts: not to be broadcast.
+    rows = pairs.join(of("a", "ta").hint("merge"), "a").join(of("b", "tb").hint("merge"), "b")
+    return written(rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+
+
+def similar_classes(
+    docs: DataFrame, shingle: int, similarity: float, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(doc_id, class_id) for every row: class_id is the least doc_id reachable by links of Jaccard similarity.
+
+    A link: the sets of shingles have at least `similarity` in common, counted exactly for every candidate.  Two
+    documents are candidates if a band of their least hashes is equal (see BANDS); a fingerprint of 64 bits does not
+    tell such pairs from others.  Each member of a bucket is first compared with the bucket's least; then all members
+    that this left in different classes are compared with each other, so no bucket or pair is capped and no link
+    between candidates is lost.  Equal sets meet as one (64 bits of hash).  Runs its jobs when called.
+
+    Null and empty texts and texts of white space alone: the empty set, all one class.  Null doc_id, repeated rows
+    and further columns: as in near_duplicates.  Tables without rows give none.
+    """
+    found = written(_banded(docs, doc_id, text, shingle))
+    marks = written(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    buckets = marks.select(F.explode("bands").alias("band"), "node", "size")
+    least = buckets.groupBy("band").agg(F.min(F.struct("node", "size")).alias("least"), F.max("node").alias("last"))
+    shared = written(buckets.join(least.where("least.node < last").drop("last"), "band"))
+    # The similarity is at most the ratio of the sizes.
+    fits = lambda x, y: F.least(x, y) / F.greatest(x, y) >= similarity
+    stars = shared.where(F.col("node") != F.col("least.node")).where(fits(F.col("size"), F.col("least.size")))
+    stars = written(stars.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct())
+    links = _verified(stars, found, shingle, similarity)
+
+    apart = shared.join(components(links), "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
+    apart = written(apart)
+    several = apart.groupBy("band").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one < other")
+    apart = apart.join(several.select("band"), "band", "left_semi")
+    a, b = apart.alias("a"), apart.alias("b").hint("merge")
+    differ = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & fits(F.col("a.size"), F.col("b.size"))
+    rest = a.join(b, (F.col("a.band") == F.col("b.band")) & differ).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    rest = written(rest.distinct().join(stars, ["a", "b"], "left_anti"))
+    links = links.union(_verified(rest, found, shingle, similarity))
+    classes = class_of(marks.select("node", "first"), links)
+    return found.select("doc_id", "node").join(classes.select("node", "class_id"), "node").select("doc_id", "class_id")
+
+
+def keep_one_of_similar(
+    docs: DataFrame, shingle: int, similarity: float, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row of each class of similar_classes, by the rules of keep_one_of_each."""
+    return _least_of_each(docs, similar_classes(docs, shingle, similarity, doc_id, text), doc_id)
 
 
 def op6_simhash(spark, sf_dir):

@@ -330,6 +330,46 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(table.limit(0)).collect() == []
 
 
+def replaced(text, n, seed):
+    """The text with n of its words, spread evenly, replaced by new ones."""
+    words = text.split()
+    for k in range(n):
+        words[(2 * k + 1) * len(words) // (2 * n)] = f"new{seed}x{k}"
+    return " ".join(words)
+
+
+def jaccard(x, y, n=5):
+    x, y = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (x.lower().split(), y.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_classes_equal_brute_force(spark):
+    texts = [t for t in ODD if t is None or t.isascii()]
+    for i in range(60):
+        base = prose(i, [40, 60, 200, 400][i % 4], 3000)
+        texts += [base, *[replaced(base, n, f"{i}y{n}") for n in (1, 2, 4, 7)], base.upper()]
+    # A chain: neighbours are similar, its ends are not.
+    for n in range(12):
+        texts.append(replaced(prose(77, 300, 3000), 3 * n, "chain") if n else prose(77, 300, 3000))
+    none = [i for i, t in enumerate(texts) if not (t or "").split()]
+    sound = [i for i in range(len(texts)) if i not in none]
+    links = [(none[0], i) for i in none] + [(i, j) for i in sound for j in sound if i < j and jaccard(texts[i], texts[j]) >= 0.8]
+    want = components_of(range(len(texts)), links)
+    table = docs(spark, texts)
+    assert {r.doc_id: r.class_id for r in simhash.similar_classes(table, 5, 0.8).collect()} == want
+    kept = simhash.keep_one_of_similar(table, 5, 0.8)
+    assert {r.doc_id for r in kept.collect()} == set(want.values()) and kept.columns == table.columns
+    nulls = docs(spark, ["a b c d", "a b c d", "other words here now"], [None, 3, None]).union(docs(spark, ["a b c d"], [3]))
+    assert sorted(str(r.doc_id) for r in simhash.keep_one_of_similar(nulls, 5, 0.8).collect()) == ["3", "None", "None"]
+    assert simhash.similar_classes(table.limit(0), 5, 0.8).collect() == []
+
+
+def test_shingle_of_near_duplicates(spark):
+    texts = [prose(i, 30, 400) for i in range(5)]
+    found = {r.doc_id: r.fp % (1 << 64) for r in simhash.near_duplicates(docs(spark, texts), shingle=5).collect()}
+    assert found == {i: simhash.fingerprint(t, 5) for i, t in enumerate(texts)}
+
+
 # --- 7 lines ---------------------------------------------------------------------------------------
 
 

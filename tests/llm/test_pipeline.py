@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline as pipeline
 import public_tokenizers
 from brickledger.llm import quality
-from tests.llm.test_operators import components_of, plain_fingerprint, plain_lines, prose
+from tests.llm.test_operators import components_of, jaccard, plain_fingerprint, plain_lines, prose, replaced
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row string"
 
@@ -77,6 +77,15 @@ def test_stages_follow_each_other(spark, tables):
     assert got == want
 
 
+def test_near_dedup_stage_finds_copies_of_similarity_0_8(spark):
+    base = [prose(1000 + i, 200, 3000) for i in range(100)]
+    near = [replaced(t, 4, f"z{i}") for i, t in enumerate(base)]
+    assert all(0.8 <= jaccard(a, b) < 0.85 for a, b in zip(base, near))
+    rows = [(i, t, "en", "a", len(t), "clash") for i, t in enumerate(base + near)]
+    kept = dict(pipeline.STAGES)["SimHash near-dedup"](spark, spark.createDataFrame(rows, COLUMNS), "")
+    assert {r.doc_id for r in kept.collect()} == set(range(100))
+
+
 def test_run_gives_the_last_stage(spark, tables):
     folder, _ = tables
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
