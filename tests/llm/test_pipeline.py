@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
 import public_tokenizers
-from brickledger.llm import quality
+from brickledger.llm import mixing, quality
 from tests.llm.test_operators import components_of, jaccard, plain_fingerprint, plain_lines, prose, replaced
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row string"
@@ -86,6 +86,14 @@ def test_near_dedup_stage_finds_copies_of_similarity_0_8(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(100))
 
 
+def test_mixing_stage_keeps_the_order_of_the_mix(spark):
+    rows = [(i, prose(i, 20, 100), "en", "abc"[min(2, i % 7)], 9, "clash") for i in range(200)]
+    table = spark.createDataFrame(rows, COLUMNS)
+    mixed = mixing.mix_sources(table, repetition_limit=mixing.REPETITION_LIMIT).orderBy("position", "order_key")
+    stage = dict(pipeline.STAGES)["mixing sources to target weights"]
+    assert [r.doc_id for r in stage(spark, table, "").collect()] == [r.doc_id for r in mixed.select("row.doc_id").collect()]
+
+
 def test_run_gives_the_last_stage(spark, tables):
     folder, _ = tables
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
