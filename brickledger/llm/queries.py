@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from brickledger.llm.html_text import op11_html_text
 from brickledger.llm.line_dedup import ORACLE_LINE_DEDUP, op7_line_dedup
 from brickledger.llm.mixing import ORACLE_MIXING, op1_mixing
 from brickledger.llm.packing import op10_packing
+from brickledger.llm.prefix_trie import ORACLE_PREFIX_TRIE, op12_prefix_trie
 from brickledger.llm.quality import op3_quality
 from brickledger.llm.simhash import op6_simhash
 from brickledger.llm.substring_dedup import ORACLE_SUBSTRING_DEDUP, op9_substring_dedup
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
+    "op11_html_text": op11_html_text,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE = {
@@ -33,4 +37,5 @@ ORACLE = {
     "op7_line_dedup": ORACLE_LINE_DEDUP,
     "op8_url_filters": ORACLE_URL_FILTERS,
     "op9_substring_dedup": ORACLE_SUBSTRING_DEDUP,
+    "op12_prefix_trie": ORACLE_PREFIX_TRIE,
 }
