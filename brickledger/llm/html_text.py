@@ -52,8 +52,8 @@ _CONTAINERS = _BOILERPLATE | frozenset(
 _BLOCKS = _CONTAINERS | _TEXTUAL | frozenset("html head li dt dd td th caption figcaption summary legend hr option".split())
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>""")
-_BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>""")
+_BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _WORD = re.compile(r"[^\W\d_]+")

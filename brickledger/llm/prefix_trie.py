@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -70,15 +69,21 @@ def median_order(n: int) -> Iterator[int]:
             waiting += [(middle + 1, end), (start, middle)]
 
 
-def _prefix_key(ids: list[int], depth: int) -> bytes:
-    return hashlib.sha256(np.array(ids[:depth], "<i8").tobytes()).digest()
+def _prefix_keys(ids: list[int]) -> Iterator[bytes]:
+    """A digest of each prefix, the empty one first."""
+    digest = hashlib.sha256()
+    yield digest.digest()
+    for one in ids:
+        digest.update(one.to_bytes(8, "little", signed=True))
+        yield digest.digest()
 
 
-def grow_shard(items: list[dict], whole: bool) -> tuple[list[dict], list[dict]]:
+def grow_shard(items: list[dict], whole: bool, later: bool = False) -> tuple[list[dict], list[dict]]:
     """(nodes, items): the finished nodes of a shard, and its first and last path with what their nodes have so far.
 
     The nodes of these two paths may go on in neighbouring shards, so they are handed on, unless the shard is all
-    there is (`whole`).  An item is a path with, at some depths, members, children, leaves and savings of finished
+    there is (`whole`).  A node that was handed on before (`later`) has a key, by which its finished children know it.
+    An item is a path with, at some depths, members, children, leaves and savings of finished
     subtrees below.
     """
     items = sorted(items, key=lambda item: item["ids"])
@@ -113,10 +118,8 @@ def grow_shard(items: list[dict], whole: bool) -> tuple[list[dict], list[dict]]:
             if node:
                 add(tree.parent[node], n[node], first[node], 1, leaves[node], saved[node])
     keys = {}
-    for i in handed or range(len(items)):
-        for depth, node in enumerate(paths[i]):
-            if node not in keys and (whole or node in open_nodes):
-                keys[node] = _prefix_key(items[i]["ids"], depth)
+    for i in range(len(items)) if later else handed:
+        keys |= zip(paths[i], _prefix_keys(items[i]["ids"]), strict=True)
     nodes = []
     for node in range(size):
         if node not in open_nodes:
@@ -126,7 +129,7 @@ def grow_shard(items: list[dict], whole: bool) -> tuple[list[dict], list[dict]]:
                     "conv_id": first[node], "depth": tree.depth[node], "n_convs": n[node], "n_children": children[node],
                     "parent_conv_id": first[above] if node and above not in open_nodes else None,
                     "n_leaves": leaves[node], "saved_tokens": saved[node], "mark": mark[node],
-                    "key": keys.get(node), "parent_key": keys[above] if above in open_nodes else None,
+                    "key": keys.get(node) if later else None, "parent_key": keys[above] if above in open_nodes else None,
                 }
             )
     rest, done = [], set()
@@ -143,13 +146,13 @@ def grow_shard(items: list[dict], whole: bool) -> tuple[list[dict], list[dict]]:
     return nodes, rest
 
 
-def _round(items: DataFrame, whole: bool) -> DataFrame:
+def _round(items: DataFrame, whole: bool, later: bool) -> DataFrame:
     """One tree per partition: rows (node, item), one of both null."""
     schema = f"node struct<{','.join(part.strip().replace(' ', ':') for part in _NODE.split(','))}>, item struct<ids:array<bigint>,bytes:array<bigint>,carry:{_CARRY}>"
     empty = items.sparkSession.createDataFrame([], schema).toArrow().schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, rest = grow_shard([row for batch in batches for row in batch.to_pylist()], whole)
+        nodes, rest = grow_shard([row for batch in batches for row in batch.to_pylist()], whole, later)
         rows = [{"node": node, "item": None} for node in nodes] + [{"node": None, "item": item} for item in rest]
         for start in range(0, len(rows), 4096):
             yield pa.RecordBatch.from_pylist(rows[start : start + 4096], schema=empty)
@@ -175,7 +178,7 @@ def prefix_nodes(paths: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
         shards = min(-(-(total["turns"] or 0) // shard_turns), max(1, total["n"] // 4))
         # Without a key the number of partitions is as asked for: the last tree must hold all.
         dealt = items.repartition(1) if shards <= 1 else items.repartitionByRange(shards, "ids")
-        grown = written(_round(dealt, shards <= 1))
+        grown = written(_round(dealt, shards <= 1, bool(done)))
         done.append(grown.where("node IS NOT NULL").select("node.*"))
         if shards <= 1:
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from brickledger.llm.hard_negatives import ORACLE_HARD_NEGATIVES, op13_hard_negatives
 from brickledger.llm.html_text import op11_html_text
 from brickledger.llm.line_dedup import ORACLE_LINE_DEDUP, op7_line_dedup
 from brickledger.llm.mixing import ORACLE_MIXING, op1_mixing
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_html_text": op11_html_text,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE = {
@@ -38,4 +40,5 @@ ORACLE = {
     "op8_url_filters": ORACLE_URL_FILTERS,
     "op9_substring_dedup": ORACLE_SUBSTRING_DEDUP,
     "op12_prefix_trie": ORACLE_PREFIX_TRIE,
+    "op13_hard_negatives": ORACLE_HARD_NEGATIVES,
 }
