@@ -3,7 +3,7 @@
 A search is a filter, a projection and a top-k in one read: candidates are ordered with noise last and rows without
 the required tags behind others, so the first row tells whether there is a candidate that is no noise, and the results
 are those of the first rows that are like it and have the tags.  Each task keeps its best rows and nothing is shuffled
-but those.  A batch of any number of searches reads the table once.
+but those.  Many searches at once are a table of their own, see batch_search.
 """
 
 from __future__ import annotations
@@ -24,6 +24,11 @@ from brickledger.operators.ranking import first_rows
 HARD_TAGS = ("tag_near_subway", "tag_lighting", "tag_has_balcony")
 
 
+def hard_tag_flag(tag: str) -> str:
+    """The field of a search that requires a tag."""
+    return f"require_{tag}"
+
+
 @dataclass(frozen=True)
 class SearchIntent:
     """What a user looks for.  Only ``require_*`` and the district exclude; the rest orders the rows."""
@@ -55,7 +60,7 @@ class SearchIntent:
 
     @property
     def hard_tags(self) -> list[str]:
-        return [tag for tag in HARD_TAGS if getattr(self, f"require_{tag}")]
+        return [tag for tag in HARD_TAGS if getattr(self, hard_tag_flag(tag))]
 
 
 def _spellings(name: str) -> list[str]:
@@ -248,39 +253,6 @@ def search_listings(df: DataFrame, intent: SearchIntent) -> DataFrame:
     return best.orderBy("__rank").select(*df.columns, "score")
 
 
-def search_batch(df: DataFrame, intents: dict[str, SearchIntent]) -> DataFrame:
-    """Search for many intents: (intent_id, rank, row, score) of the best rows of each.
-
-    The table is read once.  A row is only emitted for intents whose candidate it is, and every task keeps the best
-    ``max_rows`` rows per intent before the shuffle.
-    """
-    wanted = [(key, intent) for key, intent in intents.items() if intent.needs_row_samples]
-    if not wanted:
-        empty = df.limit(0).withColumns({"intent_id": F.lit(""), "rank": F.lit(0), "score": F.lit(0.0)})
-        return empty.select("intent_id", "rank", *df.columns, "score")
-    rows = _Listings(df)
-    frame = rows.frame.withColumns({"__noise": rows.noise, "__price": rows.price()})
-    tries = F.array(*[
-        F.when(
-            rows.candidate(intent),
-            F.struct(
-                F.lit(key).alias("intent_id"), F.lit(intent.max_rows).alias("__most"),
-                rows.hard(intent).alias("__hard"), rows.score(intent).alias("score"),
-            ),
-        )
-        for key, intent in wanted
-    ])
-    hits = frame.withColumn("__hit", F.explode(F.array_compact(tries))).select(
-        *df.columns, "__noise", "__price", "__hit.*"
-    )
-    order = [F.col("__noise"), F.desc("__hard"), F.desc("score"), F.col("__price"), *[F.col(c) for c in rows.row_order()]]
-    best = first_rows(hits, order, max(i.max_rows for _, i in wanted), "intent_id", F.col("__most"))
-    like = F.first("__noise").over(Window.partitionBy("intent_id").orderBy("__rank"))
-    best = best.withColumn("__like", like).filter(F.col("__hard") & (F.col("__noise") == F.col("__like")))
-    # Rows with the tags come first among equals in noise, so the ranks of those that are left have no gap.
-    return best.select("intent_id", F.col("__rank").alias("rank"), *df.columns, "score")
-
-
 def _stage_counts(rows: _Listings, intent: SearchIntent) -> dict[str, Column]:
     candidate = rows.candidate(intent)
     stages = {"candidates": F.count_if(candidate), "clean_candidates": F.count_if(candidate & ~rows.noise)}
@@ -291,28 +263,27 @@ def _stage_counts(rows: _Listings, intent: SearchIntent) -> dict[str, Column]:
     return stages
 
 
-def _outcome(df: DataFrame, key: str | None, intent: SearchIntent, prefix: str) -> Column:
-    """A struct of the outcome from counts whose names begin with ``prefix``."""
-    col = lambda name: F.col(prefix + name)
-    use_clean = col("clean_candidates") > 0
-    left = F.when(use_clean, col("clean_candidates")).otherwise(col("candidates"))
+def _outcome(df: DataFrame, intent: SearchIntent) -> Column:
+    """A struct of the outcome from the stages' counts."""
+    use_clean = F.col("clean_candidates") > 0
+    left = F.when(use_clean, F.col("clean_candidates")).otherwise(F.col("candidates"))
     reason = F.when(F.col("table_rows") == 0, "empty_table")
     if not intent.needs_row_samples:
         reason = F.lit("not_requested")
     else:
-        reason = reason.when(col("candidates") == 0, "no_district_match")
+        reason = reason.when(F.col("candidates") == 0, "no_district_match")
     matched = left
     for tag in intent.hard_tags:
-        matched = F.when(use_clean, col(f"clean_{tag}")).otherwise(col(f"any_{tag}"))
+        matched = F.when(use_clean, F.col(f"clean_{tag}")).otherwise(F.col(f"any_{tag}"))
         if intent.needs_row_samples:
             why = f"no_column:{tag}" if tag not in df.columns else f"no_row:{tag}"
             reason = reason.when(matched == 0, why)
     results = F.lit(0) if not intent.needs_row_samples else F.least(matched, F.lit(intent.max_rows))
     outcome = {
-        "table_rows": F.col("table_rows"), "candidates": col("candidates"), "after_noise": left,
+        "table_rows": F.col("table_rows"), "candidates": F.col("candidates"), "after_noise": left,
         "after_hard_tags": matched, "results": results.cast("bigint"), "reason": reason,
         "hard_tags": F.lit(",".join(intent.hard_tags)),
-    } | ({} if key is None else {"intent_id": F.lit(key)})
+    }
     return F.struct(*[c.alias(name) for name, c in outcome.items()])
 
 
@@ -324,18 +295,7 @@ def search_outcome(df: DataFrame, intent: SearchIntent) -> DataFrame:
     rows = _Listings(df)
     stages = {"table_rows": F.count("*"), **_stage_counts(rows, intent)}
     counted = rows.frame.agg(*[c.alias(name) for name, c in stages.items()])
-    return counted.select(_outcome(df, None, intent, "").alias("o")).select("o.*")
-
-
-def search_outcomes(df: DataFrame, intents: dict[str, SearchIntent]) -> DataFrame:
-    """:func:`search_outcome` of many intents with their intent_id, in one aggregation."""
-    rows = _Listings(df)
-    stages = {"table_rows": F.count("*")}
-    for i, intent in enumerate(intents.values()):
-        stages |= {f"i{i}_{name}": c for name, c in _stage_counts(rows, intent).items()}
-    counted = rows.frame.agg(*[c.alias(name) for name, c in stages.items()])
-    outcomes = [_outcome(df, key, intent, f"i{i}_") for i, (key, intent) in enumerate(intents.items())]
-    return counted.select(F.inline(F.array(*outcomes)))
+    return counted.select(_outcome(df, intent).alias("o")).select("o.*")
 
 
 def display(df: DataFrame, max_chars: int | None = fixed.DISPLAY_MAX_CHARS) -> DataFrame:

@@ -1,8 +1,10 @@
 """Search behaviour."""
 
+import random
+
 import pytest
 
-from brickledger.operators import search
+from brickledger.operators import batch_search, search
 from brickledger.operators.search import SearchIntent
 
 FREE_TEXT = ("location_raw", "listing_title", "community", "description_raw", "house_info_raw", "follow_info_raw")
@@ -120,7 +122,6 @@ def test_keywords_are_literal_and_nulls_are_empty(spark):
 
 
 def test_batch_equals_single_searches(spark):
-    import random
     rng = random.Random(3)
     rows = [(f"{i:04d}", rng.choice(["高新区", "锦江区", "新都", None]), rng.choice(["A", "B"]),
              rng.choice(["地铁", "车位", "阳台 采光", None]), rng.choice(["2室1厅", "12室1厅", "3室2厅", None]),
@@ -132,13 +133,74 @@ def test_batch_equals_single_searches(spark):
         layout_contains=rng.choice([None, "2室"]), has_balcony=rng.choice([None, True]), max_rows=rng.choice([1, 7, 40]),
         require_tag_near_subway=rng.choice([True, False])) for i in range(18)}
     batch = {}
-    for r in search.search_batch(df, intents).collect():
+    for r in batch_search.search_batch(df, intents).collect():
         batch.setdefault(r["intent_id"], []).append((r["rank"], r["row_id"], r["score"]))
     for key in ("0", "1", "2", "3", "16", "17"):
         single = [(i + 1, r["row_id"], r["score"]) for i, r in enumerate(search.search_listings(df, intents[key]).collect())]
         assert sorted(batch.get(key, [])) == single
 
 
+def _listings(spark, n):
+    rng = random.Random(5)
+    rows = [(f"{i:05d}", rng.choice(["高新区", "锦江区", "新都", "郫都区", None]), rng.choice(["A", "B花园"]), rng.choice(["地铁 高新", "车位", "阳台", None]),
+             rng.choice([1e4, 2e4, None]), rng.choice([50.0, 150.0]), rng.choice([2000, 2015, None])) for i in range(n)]
+    return spark.createDataFrame(rows, "row_id string, district string, community string, description_raw string, unit_price double, "
+                                       "total_price double, build_year int").repartition(4)
+
+
+def test_ten_thousand_searches_are_a_table(spark):
+    rng = random.Random(6)
+    intents = {f"{i}": SearchIntent(
+        needs_row_samples=True, district_contains=rng.choice(["高新", " 锦江 ", "青羊", "郫县", "郫", f"新{i % 50}", "新都", f"街{i}"]),
+        community_contains=rng.choice([None, " ", "花园", f"x{i}"]), min_unit_price=rng.choice([None, 15e3]), max_unit_price=rng.choice([None, 9e3 + i]),
+        max_total_price_wan=rng.choice([None, 100.0]), min_build_year=rng.choice([None, 2005]), max_rows=rng.choice([1, 3])) for i in range(10_000)}
+    df = _listings(spark, 1000).cache()
+    batch = {}
+    for r in batch_search.search_batch(df, intents).collect():
+        batch.setdefault(r["intent_id"], []).append((r["rank"], r["row_id"], r["score"]))
+    some = rng.sample(sorted(intents), 6) + [k for k, i in intents.items() if i.district_contains == "郫"][:1]
+    for key in some:
+        single = [(i + 1, r["row_id"], r["score"]) for i, r in enumerate(search.search_listings(df, intents[key]).collect())]
+        assert sorted(batch.get(key, [])) == single
+    found = {r["intent_id"]: r.asDict() for r in batch_search.search_outcomes(df, {k: intents[k] for k in some}).collect()}
+    for key in some:
+        assert found[key] == {**search.search_outcome(df, intents[key]).first().asDict(), "intent_id": key}
+
+
+def test_plan_does_not_grow_with_the_searches(spark):
+    df = _listings(spark, 10)
+    lines = []
+    for n in (2, 500):
+        found = batch_search.search_batch(df, {f"{i}": SearchIntent(True, district_contains=f"区{i}") for i in range(n)})
+        lines.append(found._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+    assert lines[0] == lines[1]
+
+
+def test_searches_with_few_columns_over_odd_tables(spark):
+    df = table(spark, [("新都", "A"), (None, "新都 B"), ("锦江", "C")], "district string, listing_title string")
+    asked = spark.createDataFrame([("x", True, "新都"), ("y", True, None), ("z", None, "新都"), ("w", True, "")],
+                                  "intent_id string, needs_row_samples boolean, district_contains string")
+    found = {(r["intent_id"], r["rank"], r["listing_title"]) for r in batch_search.search_batch(df, asked).collect()}
+    assert {f for f in found if f[0] == "x"} == {("x", 1, "新都 B"), ("x", 2, "A")} and {f[0] for f in found} == {"x", "y", "w"}
+    assert sum(f[0] == "y" for f in found) == 3
+    assert batch_search.search_batch(df, asked.limit(0)).count() == 0 and batch_search.search_outcomes(df, asked.limit(0)).count() == 0
+    empty = {r["intent_id"]: r["reason"] for r in batch_search.search_outcomes(df.limit(0), asked).collect()}
+    assert empty == {"x": "empty_table", "y": "empty_table", "z": "not_requested", "w": "empty_table"}
+    # Without a column that could name a district, every listing is in every district.
+    no_geo = df.select(df.listing_title.alias("description_raw"))
+    assert batch_search.search_batch(no_geo, asked.filter("intent_id = 'x'")).count() == 3
+    for wrong in ([("a", 1), ("a", 2)], [("a", 0)], [(None, 1)]):
+        with pytest.raises(ValueError):
+            batch_search.search_batch(df, spark.createDataFrame([(i, True, n) for i, n in wrong], "intent_id string, needs_row_samples boolean, max_rows int"))
+
+
+def test_keywords_of_a_column(spark):
+    names_ = ["新都区", "锦江", "郫县", "成都市", "高新南区", "天府新区", "县", "区区"]
+    df = spark.createDataFrame([(n,) for n in names_], "d string")
+    found = {r["d"]: r["k"] for r in df.select("d", batch_search.keywords(df.d).alias("k")).collect()}
+    assert found == {n: search.geo_keywords(n) for n in names_}
+
+
 def test_display(spark):
     df = table(spark, [("x" * 200, 1.0, "hidden", None)], "community string, unit_price double, description_raw string, layout string")
     shown = search.display(df)

@@ -249,6 +249,20 @@ SELECT 'm' || i AS intent_id, row_id, row_number() OVER (PARTITION BY i ORDER BY
   WHERE NOT {_PARKING})
 QUALIFY rank <= 1 + i % 5"""
 
+_REQUESTS = f"""
+SELECT intent_id, CAST(row_number() OVER (PARTITION BY intent_id ORDER BY {_BEST}) AS INT) AS rank, row_id, round(score, 4) AS score,
+  most FROM (
+  SELECT *, 120.0::DOUBLE
+    + CASE WHEN contains(lower(community), part) THEN 128.25 ELSE 0 END
+    + CASE WHEN unit_price <= high THEN 55 WHEN unit_price <= high * 1.2 THEN 22 ELSE 0 END AS score
+  FROM labelled JOIN (
+    SELECT 's' || s_suppkey AS intent_id, ['锦江', '武侯', '高新', '新都', '温江', '双流', '成华'][1 + s_suppkey % 7] AS stem,
+      CASE WHEN s_suppkey % 3 = 0 THEN 'building小区' || s_suppkey % 20 END AS part,
+      15000.0::DOUBLE + s_suppkey % 97 * 200 AS high, 1 + s_suppkey % 5 AS most
+    FROM supplier) ON contains(district, stem)
+  WHERE NOT {_PARKING})
+QUALIFY rank <= most"""
+
 _OUTCOMES = "\nUNION ALL\n".join(
     _OUTCOME.format(key=key, candidate=candidate, parking=_PARKING, hard=hard, most=most, tags=tags)
     for key, candidate, hard, most, tags in (
@@ -616,6 +630,7 @@ UNION ALL SELECT 'f', count(*), count(*), count(*) FILTER (NOT """ + _PARKING +
             f"SELECT intent_id, CAST(rank AS INT), row_id, score FROM ({_MANY})",
         ]), "labelled"
     ),
+    "search_requests": _sql(f"SELECT intent_id, rank, row_id, score FROM ({_REQUESTS})", "labelled"),
     "search_json": _sql(
         "SELECT to_json(struct_pack(district := district, community := community, layout := layout, build_year := build_year, "
         f"listing_id := listing_id, tag_near_subway := tag_near_subway))::VARCHAR AS listing FROM ({_found('b')})", "labelled"

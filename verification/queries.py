@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brickledger.functions import numbers
 from brickledger.operators import (
-    analysis, cleaning, dedup, labels, outliers, profile, quality, scores, search,
+    analysis, batch_search, cleaning, dedup, labels, outliers, profile, quality, scores, search,
 )
 from brickledger.plans import etl
 from brickledger.schema import canonicalize_headers, rename_standard
@@ -440,7 +440,21 @@ MANY = {
 
 
 def search_batch(spark: SparkSession, d: str) -> DataFrame:
-    found = search.search_batch(labelled(spark, d), {**INTENTS, **MANY})
+    found = batch_search.search_batch(labelled(spark, d), {**INTENTS, **MANY})
+    return rounded(found.select("intent_id", "rank", "row_id", "score"), "score")
+
+
+def search_requests(spark: SparkSession, d: str) -> DataFrame:
+    """One search per supplier: the searches are a table, too."""
+    district = F.element_at(F.array(*map(F.lit, ASKED)), (F.col("s_suppkey") % len(ASKED) + 1).cast("int"))
+    requests = table(spark, d, "supplier").select(
+        F.concat(F.lit("s"), "s_suppkey").alias("intent_id"), F.lit(True).alias("needs_row_samples"),
+        district.alias("district_contains"),
+        F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit(" Building小区"), F.col("s_suppkey") % 20)).alias("community_contains"),
+        (F.lit(15000.0) + F.col("s_suppkey") % 97 * 200).alias("max_unit_price"),
+        (F.col("s_suppkey") % 5 + 1).alias("max_rows"),
+    )
+    found = batch_search.search_batch(labelled(spark, d), requests)
     return rounded(found.select("intent_id", "rank", "row_id", "score"), "score")
 
 
@@ -452,7 +466,7 @@ OUTCOMES = {
 
 
 def search_outcome(spark: SparkSession, d: str) -> DataFrame:
-    return search.search_outcomes(labelled(spark, d), OUTCOMES)
+    return batch_search.search_outcomes(labelled(spark, d), OUTCOMES)
 
 
 def search_json(spark: SparkSession, d: str) -> DataFrame:
@@ -538,6 +552,7 @@ QUERIES = {
     "search_listings": search_listings,
     "search_outcome": search_outcome,
     "search_batch": search_batch,
+    "search_requests": search_requests,
     "search_json": search_json,
     "search_display": search_display,
 }
