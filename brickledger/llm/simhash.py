@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brickledger.llm.shared import class_of, components, with_row, written
@@ -23,6 +23,11 @@ _CHUNK = 1 << 15
 #: probability 1 - (1 - j ** BAND_ROWS) ** BANDS; 0.99993 at 0.8.
 BANDS = 24
 BAND_ROWS = 5
+#: A candidate is counted exactly if the number of equal least hashes is no more than so many standard deviations
+#: below what the similarity gives; at 0.8 a pair is passed over with a probability of 4e-5.
+ESTIMATE_SDS = 4.2
+#: Buckets of up to so many pairs per member are paired directly.
+SPARSE = 8
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -137,53 +142,90 @@ def shingle_set(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
     return np.unique(np.fromiter((digest(gram, seed) for gram in grams), np.uint64, max(1, len(words) - shingle + 1)))
 
 
-def _bands(hashes: np.ndarray, factors: np.ndarray) -> list[int]:
-    """One signed long per band: a hash of the band's number and of the least products of the hashes with its factors."""
+def _least_products(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """For each factor the least product with a hash."""
     least = np.full(len(factors), np.iinfo(np.uint64).max)
     for start in range(0, len(hashes), 512):
         np.minimum(least, np.multiply.outer(factors, hashes[start : start + 512]).min(axis=1), out=least)
-    return [_signed(xxhash.xxh64_intdigest(band.tobytes(), k)) for k, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
+    return least
 
 
 def _banded(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(doc_id, text, node, size, bands): node stands for the text's set of shingles, size is their number."""
+    """(doc_id, digest, hashes, least, bands): the set of shingles, 128 bits that stand for it, the least hashes.
+
+    `least` has 32 bits of each of the BANDS * BAND_ROWS least products, `bands` a hash of each band of them.
+    """
     factors = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    names = ["doc_id", "digest", "hashes", "least", "bands"]
+    kinds = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sizes, bands = [], [], []
-            for t in batch.column(1):
-                hashes = shingle_set(t.as_py(), shingle)
-                nodes.append(_signed(xxhash.xxh64_intdigest(hashes.tobytes())))
-                sizes.append(len(hashes))
-                bands.append(_bands(hashes, factors) if len(hashes) else [])
-            added = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], ["doc_id", "text", "node", "size", "bands"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch, made = whole.slice(start, 1024), []
+                for t in batch.column(1):
+                    hashes = shingle_set(t.as_py(), shingle)
+                    least = _least_products(hashes, factors)
+                    bands = [_signed(xxhash.xxh64_intdigest(band.tobytes(), k)) for k, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
+                    high = (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    made.append((xxhash.xxh3_128_digest(hashes.tobytes()), hashes.view(np.int64), high, bands if len(hashes) else []))
+                columns = [pa.array(column, kind) for column, kind in zip(zip(*made, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
     kind = docs.schema[doc_id].dataType.simpleString()
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return given.mapInArrow(run, f"doc_id {kind}, text string, node long, size long, bands array<long>")
+    return given.mapInArrow(run, f"doc_id {kind}, digest binary, hashes array<long>, least array<int>, bands array<long>")
 
 
-def _verified(pairs: DataFrame, found: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of at least `similarity`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = lru_cache(64)(lambda t: shingle_set(t, shingle))
-        for batch in batches:
-            near = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = hashes(x.as_py()), hashes(y.as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both / (len(x) + len(y) - both) >= similarity)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of at least `similarity`; `sets`: node, least, hashes.
 
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = written(found.select("node", "text").join(asked, "node", "left_semi").dropDuplicates(["node"]))
-    of = lambda name, text: texts.select(F.col("node").alias(name), F.col("text").alias(text))
-    # Both sides are texts: not to be broadcast.
-    rows = pairs.join(of("a", "ta").hint("merge"), "a").join(of("b", "tb").hint("merge"), "b")
-    return written(rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+    First by the share of equal least hashes: pairs more than ESTIMATE_SDS standard deviations below `similarity` go.
+    What is left is counted exactly.  The sets of b meet the pairs first, so that the set of a node with many partners,
+    which are all its b, is sent once and not once per partner.
+    """
+    rows = BANDS * BAND_ROWS
+    fewest = rows * similarity - ESTIMATE_SDS * (rows * similarity * (1 - similarity)) ** 0.5
+    of = lambda column, name: sets.select(F.col("node").alias(name), F.col(column).alias(f"{column}_{name}")).hint("merge")
+    equal = F.size(F.filter(F.zip_with("least_a", "least_b", lambda x, y: x == y), lambda same: same))
+    near = pairs.join(of("least", "b"), "b").join(of("least", "a"), "a").where(equal >= fewest)
+    near = written(near.select("a", "b"))
+    both = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    counted = near.join(of("hashes", "b"), "b").join(of("hashes", "a"), "a")
+    share = both / (F.size("hashes_a") + F.size("hashes_b") - both)
+    return written(counted.where(share >= similarity).select("a", "b"))
+
+
+def apart_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of nodes that share a band, are of different roots, and can have the similarity; exactly those.
+
+    `members` (band, node, size, root).  Buckets with few such pairs, up to SPARSE per member, give all of them.  In the
+    others pairs must share a rare shingle: with a set's shingles in order of their frequency in the bucket, two sets of
+    similarity s share one of the first (1 - s) * size + 1 of each.  Texts that share a passage and little else have
+    those to themselves and are never paired, however many they are.
+    """
+    # The similarity is at most the ratio of the sizes.
+    fits = F.least("a.size", "b.size") / F.greatest("a.size", "b.size") >= similarity
+    differ = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & fits
+    of_root = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    buckets = of_root.groupBy("band").agg(F.sum("n").alias("all"), F.sum(F.col("n").cast("double") * F.col("n")).alias("alike"), F.count(F.lit(1)).alias("roots"))
+    buckets = buckets.where("roots > 1").withColumn("dense", F.col("all") * F.col("all") - F.col("alike") > 2 * SPARSE * F.col("all"))
+    mixed = written(members.join(buckets.select("band", "dense"), "band"))
+    pick = [F.col("a.node").alias("a"), F.col("b.node").alias("b")]
+    sparse = mixed.where("NOT dense")
+    direct = sparse.alias("a").join(sparse.alias("b").hint("merge"), (F.col("a.band") == F.col("b.band")) & differ).select(*pick)
+    dense = mixed.where("dense").select("band", "node", "size", "root")
+    hashes = sets.select("node", F.col("hashes").alias("hash"))
+    words = dense.join(hashes.hint("merge"), "node").select("band", "node", "size", "root", F.explode("hash").alias("hash"))
+    words = written(words)
+    counts = words.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(W.partitionBy("band", "node").orderBy("n", "hash"))
+    first = words.join(counts.hint("merge"), ["band", "hash"]).withColumn("place", place)
+    # The sum of two doubles may fall just below a whole number.
+    rare = first.where(F.col("place") <= F.floor(F.col("size") * (1 - similarity) + 1e-6) + 1).where("n > 1")
+    rare = written(rare.select("band", "hash", "node", "size", "root"))
+    meets = (F.col("a.band") == F.col("b.band")) & (F.col("a.hash") == F.col("b.hash")) & differ
+    return direct.union(rare.alias("a").join(rare.alias("b").hint("merge"), meets).select(*pick)).distinct()
 
 
 def similar_classes(
@@ -193,35 +235,31 @@ def similar_classes(
 
     A link: the sets of shingles have at least `similarity` in common, counted exactly for every candidate.  Two
     documents are candidates if a band of their least hashes is equal (see BANDS); a fingerprint of 64 bits does not
-    tell such pairs from others.  Each member of a bucket is first compared with the bucket's least; then all members
-    that this left in different classes are compared with each other, so no bucket or pair is capped and no link
-    between candidates is lost.  Equal sets meet as one (64 bits of hash).  Runs its jobs when called.
+    tell such pairs from others.  Each member of a bucket is first compared with the bucket's least, so a group of
+    copies costs as many pairs as it has members; then the members that this left in different classes are paired
+    (apart_pairs).  No bucket or pair is capped.  Equal sets meet as one (by 128 bits).  Candidates are passed over whose
+    equal least hashes say that they are far below the similarity (see ESTIMATE_SDS).  Runs its jobs when called.
 
     Null and empty texts and texts of white space alone: the empty set, all one class.  Null doc_id, repeated rows
     and further columns: as in near_duplicates.  Tables without rows give none.
     """
-    found = written(_banded(docs, doc_id, text, shingle))
-    marks = written(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    buckets = marks.select(F.explode("bands").alias("band"), "node", "size")
+    found = written(_banded(docs, doc_id, text, shingle).withColumn("row", F.monotonically_increasing_id()))
+    marks = written(found.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first")))
+    chosen = found.select(F.col("row").alias("node"), "hashes", "least", "bands").join(marks.select("node"), "node", "left_semi")
+    sets = written(chosen.withColumn("size", F.size("hashes")))
+    buckets = sets.select(F.explode("bands").alias("band"), "node", "size")
     least = buckets.groupBy("band").agg(F.min(F.struct("node", "size")).alias("least"), F.max("node").alias("last"))
     shared = written(buckets.join(least.where("least.node < last").drop("last"), "band"))
-    # The similarity is at most the ratio of the sizes.
-    fits = lambda x, y: F.least(x, y) / F.greatest(x, y) >= similarity
-    stars = shared.where(F.col("node") != F.col("least.node")).where(fits(F.col("size"), F.col("least.size")))
+    fits = F.least("size", "least.size") / F.greatest("size", "least.size") >= similarity
+    stars = shared.where(F.col("node") != F.col("least.node")).where(fits)
     stars = written(stars.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct())
-    links = _verified(stars, found, shingle, similarity)
-
-    apart = shared.join(components(links), "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
-    apart = written(apart)
-    several = apart.groupBy("band").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one < other")
-    apart = apart.join(several.select("band"), "band", "left_semi")
-    a, b = apart.alias("a"), apart.alias("b").hint("merge")
-    differ = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & fits(F.col("a.size"), F.col("b.size"))
-    rest = a.join(b, (F.col("a.band") == F.col("b.band")) & differ).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    rest = written(rest.distinct().join(stars, ["a", "b"], "left_anti"))
-    links = links.union(_verified(rest, found, shingle, similarity))
+    links = _similar(stars, sets, similarity)
+    rooted = shared.join(components(links), "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
+    rest = written(apart_pairs(written(rooted), sets, similarity).join(stars, ["a", "b"], "left_anti"))
+    links = links.union(_similar(rest, sets, similarity))
     classes = class_of(marks.select("node", "first"), links)
-    return found.select("doc_id", "node").join(classes.select("node", "class_id"), "node").select("doc_id", "class_id")
+    of_digest = marks.select("digest", "node").join(classes.select("node", "class_id"), "node").select("digest", "class_id")
+    return found.select("doc_id", "digest").join(of_digest, "digest").select("doc_id", "class_id")
 
 
 def keep_one_of_similar(
