@@ -41,20 +41,21 @@ def test_every_file_has_a_row_and_its_own_identity(spark, tmp_path):
     (tmp_path / "zero.csv").write_bytes(b"")
     (tmp_path / "odd name%.csv").write_bytes(b"\xff\x20\x81\x20\n1\n")
     rows, found = files.read_listing_files(spark, str(tmp_path), recursive=True)
-    assert {(r["ingest_file"], r["listing_id"]) for r in rows.collect()} == {("2024/x", "1"), ("2025/x", "1"), ("a", "7")}
-    assert rows.select("row_id").distinct().count() == 3
-    assert etl.clean_listings(rows).count() == 3
+    assert {(r["ingest_file"], r["listing_id"]) for r in rows.collect()} == {
+        ("2024/x", "1"), ("2025/x", "1"), ("a", "7"), ("_b", "8"), ("odd name%", None)}
+    assert rows.select("row_id").distinct().count() == 5
+    assert etl.clean_listings(rows).count() == 5
     state = {r["name"]: r["reason"] for r in found.collect()}
     assert state == {
         "2024/x.csv": None, "2025/x.csv": None, "a.csv": None, "zero.csv": "empty file",
-        "_b.csv": "Spark's readers skip names that begin with _ or .", "odd name%.csv": "neither UTF-8 nor GB18030",
+        "_b.csv": None, "odd name%.csv": None,
     }
     write(tmp_path / "a.CSV", "编号\n9\n")
     tagged = files.read_listing_files(spark, str(tmp_path))[0].collect()
-    assert {(r["ingest_file"], r["listing_id"]) for r in tagged} == {("a.csv", "7"), ("a.CSV", "9")}
+    assert {(r["ingest_file"], r["listing_id"]) for r in tagged} == {("a.csv", "7"), ("a.CSV", "9"), ("_b", "8"), ("odd name%", None)}
     (tmp_path / "a.CSV").unlink()
     flat, listed = files.read_listing_files(spark, str(tmp_path))
-    assert [r["ingest_file"] for r in flat.collect()] == ["a"] and listed.count() == 4
+    assert {r["ingest_file"] for r in flat.collect()} == {"a", "_b", "odd name%"} and listed.count() == 4
 
 
 def test_names_with_signs_are_read(spark, tmp_path):

@@ -420,11 +420,11 @@ SELECT 'o' || o_orderkey AS listing_id, o_orderstatus AS listing_title, CAST(o_c
   CAST(NULL AS VARCHAR) AS community FROM orders
 UNION ALL SELECT 'p' || p_partkey, p_name, NULL, p_brand FROM part""",
     "src_file_status": """
-SELECT true AS ok, '' AS reason, 4 AS files, count(*) AS "rows" FROM orders
-UNION ALL SELECT false, 'spreadsheet files are not supported', 1, 0
-UNION ALL SELECT false, 'empty file', 1, 0
-UNION ALL SELECT false, 'Spark''s readers skip names that begin with _ or .', 1, 0
-UNION ALL SELECT false, 'neither UTF-8 nor GB18030', 1, 0""",
+SELECT true AS ok, '' AS reason, 'UTF-8' AS encoding, 5 AS files,
+  (SELECT count(*) FROM orders) + (SELECT count(*) FROM nation) AS "rows"
+UNION ALL SELECT true, '', 'GBK, bytes replaced', 1, count(*) FROM region
+UNION ALL SELECT false, 'spreadsheet files are not supported', '', 1, 0
+UNION ALL SELECT false, 'empty file', '', 1, 0""",
     "src_ingest_file": """
 SELECT 'lineitem' AS ingest_file, count(*) AS "rows" FROM lineitem
 UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'customer', count(*) FROM customer""",

@@ -108,24 +108,27 @@ def src_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def src_file_status(spark: SparkSession, d: str) -> DataFrame:
-    """Files by state, and the rows read from them: four good ones and one of each kind that can't be read."""
+    """Files by state and encoding, and the rows read from them: four plain ones, one whose name Spark's readers pass
+    over, one with bytes of no encoding, and two that hold no table."""
     folder = _scratch(spark)
     orders = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("房源编号"), F.col("o_orderstatus").alias("标题")
     )
     orders.repartition(4, "房源编号").write.csv(f"{folder}/2024", header=True)
+    names = [[f"{r[0]},{r[1]}" for r in table(spark, d, t).select(f"{t[0]}_{t}key", f"{t[0]}_name").collect()] for t in ("nation", "region")]
+    hidden, odd = ["\n".join(["房源编号,标题", *lines, ""]).encode() for lines in names]  # 25 and 5 rows at every size
     hadoop = spark._jvm.org.apache.hadoop.fs
     system = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    for name, content in {"2024/_x.csv": b"\xe6\xa0\x87\n1\n", "zero.csv": b"", "a.xlsx": b"PK", "odd.csv": b"a\xff\x20\x81\x20\n"}.items():
+    contents = {"2024/_x.csv": hidden, "zero.csv": b"", "a.xlsx": b"PK", "odd.csv": odd.replace(b"A", b"\x81\x20")}
+    for name, content in contents.items():
         stream = system.create(hadoop.Path(f"{folder}/{name}"))
         stream.write(bytearray(content))
         stream.close()
     rows, found = files.read_listing_files(spark, folder, recursive=True)
     counts = rows.groupBy("ingest_file").agg(F.count("*").alias("rows"))
     state = found.withColumn("ingest_file", F.regexp_replace("name", r"\.csv$", "")).join(counts, "ingest_file", "left")
-    return state.groupBy("ok", F.coalesce("reason", F.lit("")).alias("reason")).agg(
-        F.count("*").alias("files"), F.sum(F.coalesce("rows", F.lit(0))).alias("rows")
-    )
+    said = [F.coalesce(c, F.lit("")).alias(c) for c in ("reason", "encoding")]
+    return state.groupBy("ok", *said).agg(F.count("*").alias("files"), F.sum(F.coalesce("rows", F.lit(0))).alias("rows"))
 
 
 def src_ingest_file(spark: SparkSession, d: str) -> DataFrame:
