@@ -69,6 +69,8 @@ DEDUP_PREFERENCE = (
     "listing_id", "community", "layout", "area_m2", "house_info_raw", "listing_title",
     "description_raw", "location_raw", "follow_info_raw", "total_price", "unit_price", "district",
 )
+# Least share of filled cells of a usable column, and of different listing numbers if they are to do alone.
+DEDUP_MIN_FILLED, DEDUP_MIN_DISTINCT = 0.05, 0.92
 
 # --- Cells that mean "nothing here" ----------------------------------------------------------------
 

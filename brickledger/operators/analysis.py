@@ -1,8 +1,9 @@
 """Aggregate analyses of a clean listings table.
 
 Every analysis is one grouped aggregation with map-side combine over two or three columns; nothing is
-broadcast but the commonest layouts.  Analyses of the task list give no rows for a table of fewer than
-``min_rows`` rows, five unless told otherwise; 0 turns that off.
+broadcast but the commonest layouts.  Run together (:func:`run_tasks`), all that group the table are one aggregation
+over grouping sets.  Analyses of the task list give no rows for a table of fewer than ``min_rows`` rows, five unless
+told otherwise; 0 turns that off.
 """
 
 from __future__ import annotations
@@ -16,20 +17,18 @@ from brickledger import fixed
 from brickledger.functions import cells
 from brickledger.functions.numbers import to_number
 from brickledger.operators.outliers import price_outliers
-from brickledger.operators.quantiles import exact_quantiles, value_counts
+from brickledger.operators.quantiles import approximate_quantiles, exact_quantiles, value_counts
 
 
 def _pairs(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[c.alias(name) for name, c in columns.items()]).dropna()
 
 
-def _of_large_tables(groups: DataFrame, rows: str, min_rows: int) -> DataFrame:
-    """The groups if their counts ``rows`` add up to at least ``min_rows``, else none; without that column.
-
-    Groups are few next to the rows they count, so the sum is taken over all of them in one task.
-    """
-    total = F.sum(rows).over(Window.partitionBy(F.lit(0)))
-    return groups.withColumn("__all", total).filter(F.col("__all") >= min_rows).drop("__all", rows)
+def _enough(rows: DataFrame, min_rows: int) -> Column:
+    """Whether there are at least ``min_rows`` rows, which a count of at most that many tells."""
+    if min_rows <= 0:
+        return F.lit(True)
+    return rows.select(F.lit(1)).limit(min_rows).agg(F.count("*")).scalar() >= min_rows
 
 
 def _mean_price_by(df: DataFrame, min_rows: int, **key: Column) -> DataFrame:
@@ -40,9 +39,8 @@ def _mean_price_by(df: DataFrame, min_rows: int, **key: Column) -> DataFrame:
     means = rows.groupBy(name).agg(
         F.avg("price").alias("unit_price"),
         F.count(F.when(F.col(name).isNotNull(), F.col("price"))).alias("__n"),
-        F.count("*").alias("__rows"),
     )
-    return _of_large_tables(means, "__rows", min_rows).filter("__n > 0").drop("__n")
+    return means.filter("__n > 0").drop("__n").filter(_enough(df, min_rows))
 
 
 def _band_table(spark) -> DataFrame:
@@ -66,9 +64,10 @@ def district_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def price_quantiles(df: DataFrame) -> DataFrame:
+def price_quantiles(df: DataFrame, approx: bool = False) -> DataFrame:
+    """Five-number summary of the unit price; ``approx`` takes the inner three from a sketch, in one read."""
     names = {"min": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "max": 1.0}
-    found = exact_quantiles(df, to_number(df, "unit_price"), list(names.values())).get("")
+    found = (approximate_quantiles if approx else exact_quantiles)(df, to_number(df, "unit_price"), list(names.values())).get("")
     rows = [[found[q] for q in names.values()]] if found else []
     return df.sparkSession.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
 
@@ -93,7 +92,7 @@ def decade_avg(df: DataFrame, min_rows: int = fixed.MIN_ROWS) -> DataFrame:
     rows = df.select(cells.decade(year).alias("decade_start"), price.alias("price"))
     valid = F.count(F.when(F.col("decade_start").isNotNull(), F.col("price")))
     means = rows.groupBy("decade_start").agg(F.avg("price").alias("avg_unit_price"), valid.alias("__n"))
-    return _of_large_tables(means.filter("__n > 0"), "__n", min_rows)
+    return means.filter("__n > 0").drop("__n").filter(_enough(rows.dropna(), min_rows))
 
 
 # --- Task list -------------------------------------------------------------------------------------
@@ -107,26 +106,32 @@ def district_price_rank(df: DataFrame, min_rows: int = fixed.MIN_ROWS) -> DataFr
 def top_layouts(df: DataFrame, layouts: int = fixed.TOP_LAYOUTS, min_rows: int = fixed.MIN_ROWS) -> DataFrame:
     """The commonest layouts among listings with a unit price; equal counts in layout order."""
     rows = df.select(F.col("layout").alias("category"), to_number(df, "unit_price").alias("price"))
-    counted = rows.groupBy("category").agg(F.count("price").alias("n"), F.count("*").alias("__rows"))
-    known = _of_large_tables(counted, "__rows", min_rows).filter("category IS NOT NULL AND n > 0")
-    return known.orderBy(F.desc("n"), "category").limit(layouts).select("category")
+    counted = rows.groupBy("category").agg(F.count("price").alias("n")).filter("category IS NOT NULL AND n > 0")
+    return _commonest(counted.filter(_enough(df, min_rows)), layouts)
+
+
+def _commonest(counted: DataFrame, layouts: int) -> DataFrame:
+    return counted.orderBy(F.desc("n"), "category").limit(layouts).select("category")
 
 
 def layout_price_box(
     df: DataFrame, layouts: int = fixed.TOP_LAYOUTS, min_rows: int = fixed.MIN_ROWS
 ) -> DataFrame:
     """(category, unit_price) of all listings of the commonest layouts, of which there are ``layouts``."""
+    return _of_layouts(df, top_layouts(df, layouts, min_rows))
+
+
+def _of_layouts(df: DataFrame, layouts: DataFrame) -> DataFrame:
     priced = _pairs(df, category=F.col("layout"), unit_price=to_number(df, "unit_price"))
-    commonest = F.broadcast(top_layouts(df, layouts, min_rows))  # as many rows as asked for
-    return priced.join(commonest, "category", "left_semi")
+    return priced.join(F.broadcast(layouts), "category", "left_semi")  # as many rows as asked for
 
 
 def layout_box_stats(
-    df: DataFrame, layouts: int = fixed.TOP_LAYOUTS, min_rows: int = fixed.MIN_ROWS
+    df: DataFrame, layouts: int = fixed.TOP_LAYOUTS, min_rows: int = fixed.MIN_ROWS, approx: bool = False
 ) -> DataFrame:
-    """Five-number summary per layout of :func:`layout_price_box`."""
+    """Five-number summary per layout of :func:`layout_price_box`; ``approx`` as in :func:`price_quantiles`."""
     names = {"min": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "max": 1.0}
-    found = exact_quantiles(
+    found = (approximate_quantiles if approx else exact_quantiles)(
         layout_price_box(df, layouts, min_rows), F.col("unit_price"), list(names.values()), F.col("category")
     )
     rows = [[category, s["n"], *[s[q] for q in names.values()]] for category, s in found.items()]
@@ -136,16 +141,19 @@ def layout_box_stats(
 
 def area_band_price(df: DataFrame, min_rows: int = fixed.MIN_ROWS) -> DataFrame:
     means = _mean_price_by(df, min_rows, band=cells.area_band(to_number(df, "area_m2")))
-    return means.orderBy(_band_position(F.col("band")))
+    return _in_band_order(means)
+
+
+def _in_band_order(bands: DataFrame) -> DataFrame:
+    return bands.orderBy(_band_position(F.col("band")))
 
 
 def area_band_share(df: DataFrame, min_rows: int = fixed.MIN_ROWS) -> DataFrame:
     """Listings per non-empty area band, given at least ``min_rows`` listings with an area."""
     area = to_number(df, "area_m2")
     rows = df.select(area.alias("area"), cells.area_band(area).alias("band"))
-    counts = rows.groupBy("band").agg(F.count("band").alias("count"), F.count("area").alias("__rows"))
-    counts = _of_large_tables(counts, "__rows", min_rows).filter(F.col("count") > 0)
-    return counts.orderBy(_band_position(F.col("band")))
+    counts = rows.groupBy("band").agg(F.count("band").alias("count")).filter(F.col("count") > 0)
+    return _in_band_order(counts.filter(_enough(rows.filter("area IS NOT NULL"), min_rows)))
 
 
 def decoration_price(df: DataFrame, min_rows: int = fixed.MIN_ROWS) -> DataFrame:
@@ -168,19 +176,18 @@ def community_followers(
     sums = pairs.groupBy("community").agg(
         F.sum("f").alias("followers"),
         F.count(F.when(F.col("community").isNotNull(), F.col("f"))).alias("__n"),
-        F.count("*").alias("__rows"),
     )
-    ranked = _of_large_tables(sums, "__rows", min_rows).filter("__n > 0").drop("__n")
-    return ranked.orderBy(F.desc("followers"), "community").limit(communities)
+    return _most_followed(sums.filter("__n > 0").drop("__n").filter(_enough(df, min_rows)), communities)
+
+
+def _most_followed(sums: DataFrame, communities: int) -> DataFrame:
+    return sums.orderBy(F.desc("followers"), "community").limit(communities)
 
 
 def total_area_scatter(df: DataFrame, min_rows: int = fixed.MIN_ROWS) -> DataFrame:
     """All pairs; none if the table is smaller, which a count of at most ``min_rows`` rows tells."""
     pairs = _pairs(df, area_m2=to_number(df, "area_m2"), total_price=to_number(df, "total_price"))
-    if min_rows <= 0:
-        return pairs
-    there = df.select(F.lit(1)).limit(min_rows).agg(F.count("*")).scalar()
-    return pairs.filter(there >= min_rows)
+    return pairs.filter(_enough(df, min_rows))
 
 
 def price_histogram(df: DataFrame, min_rows: int = fixed.MIN_ROWS) -> DataFrame:
@@ -235,21 +242,102 @@ def applicable_tasks(columns) -> list[str]:
     return [name for name, needed in fixed.ANALYSIS_TASKS if set(needed) <= set(columns)]
 
 
+# --- All grouped analyses in one read ----------------------------------------------------------------
+
+
+class GroupedTasks:
+    """The analyses that group the table, from one aggregation over grouping sets, which is kept until :meth:`close`.
+
+    The table is read once: a set for each key and one for the whole table, with all counts and sums that the analyses
+    need.  Each analysis then takes its set, a few rows for all keys but layout and community.
+    """
+
+    KEYS = {
+        "district": ("district", lambda df: F.col("district")),
+        "layout": ("layout", lambda df: F.col("layout")),
+        "decoration": ("decoration", lambda df: F.col("decoration")),
+        "floor_band": ("floor_band", lambda df: F.col("floor_band")),
+        "band": ("area_m2", lambda df: cells.area_band(to_number(df, "area_m2"))),
+        "decade_start": ("build_year", lambda df: cells.decade(to_number(df, "build_year"))),
+        "community": ("community", lambda df: F.col("community")),
+    }
+    NEEDS = {
+        "district_price_rank": "district", "layout_price_box": "layout", "area_band_price": "band", "area_band_share_pie": "band",
+        "decoration_price_compare": "decoration", "floor_band_price": "floor_band", "building_age_price_trend": "decade_start",
+        "community_followers_rank": "community",
+    }
+
+    def __init__(self, df: DataFrame, tasks: list[str], min_rows: int = fixed.MIN_ROWS):
+        self.df, self.min_rows = df, min_rows
+        self.keys = [key for key in self.KEYS if key in {self.NEEDS.get(task) for task in tasks}]
+        numbers = {"price": "unit_price", "followers": "followers", "area": "area_m2"}
+        rows = df.select(
+            *[self.KEYS[key][1](df).alias(key) for key in self.keys],
+            *[(to_number(df, c) if c in df.columns else F.lit(None).cast("double")).alias(f"__{name}") for name, c in numbers.items()],
+        )
+        measures = [
+            F.grouping_id().alias("__set"), F.count("*").alias("__n"), F.avg("__price").alias("unit_price"),
+            F.count("__price").alias("__prices"), F.sum("__followers").alias("followers"), F.count("__followers").alias("__followed"),
+            F.count("__area").alias("__areas"),
+        ]
+        sets = [[F.col(key)] for key in self.keys] + [[]]
+        self.sums = rows.groupingSets(sets, *[F.col(key) for key in self.keys]).agg(*measures).persist()
+
+    def close(self) -> None:
+        self.sums.unpersist()
+
+    def _of(self, key: str, counted: str) -> DataFrame:
+        """The groups of a key that have one, and something counted."""
+        everything = (1 << len(self.keys)) - 1
+        bit = 1 << (len(self.keys) - 1 - self.keys.index(key))
+        return self.sums.filter((F.col("__set") == everything - bit) & F.col(key).isNotNull() & (F.col(counted) > 0))
+
+    def _enough(self, counted: str = "__n") -> Column:
+        if self.min_rows <= 0:
+            return F.lit(True)
+        everything = self.sums.filter(F.col("__set") == (1 << len(self.keys)) - 1)
+        return F.coalesce(everything.agg(F.max(counted)).scalar(), F.lit(0)) >= self.min_rows
+
+    def _means(self, key: str) -> DataFrame:
+        return self._of(key, "__prices").select(key, "unit_price").filter(self._enough())
+
+    def result(self, task: str) -> DataFrame:
+        key = self.NEEDS[task]
+        if task == "district_price_rank":
+            return self._means(key).orderBy(F.desc("unit_price"), "district")
+        if task == "layout_price_box":
+            counted = self._of(key, "__prices").select(F.col(key).alias("category"), F.col("__prices").alias("n"))
+            return _of_layouts(self.df, _commonest(counted.filter(self._enough()), fixed.TOP_LAYOUTS))
+        if task == "area_band_price":
+            return _in_band_order(self._means(key))
+        if task == "area_band_share_pie":
+            return _in_band_order(self._of(key, "__n").select(key, F.col("__n").alias("count")).filter(self._enough("__areas")))
+        if task == "community_followers_rank":
+            sums = self._of(key, "__followed").select(key, "followers")
+            return _most_followed(sums.filter(self._enough()), fixed.TOP_COMMUNITIES)
+        return self._means(key)
+
+
 def run_tasks(
-    df: DataFrame, tasks: list[str] | None = None, errors: dict[str, str] | None = None
+    df: DataFrame, tasks: list[str] | None = None, errors: dict[str, str] | None = None, grouped: GroupedTasks | None = None
 ) -> dict[str, DataFrame]:
     """One DataFrame per planned task whose columns are there, keyed '<task>_<position>'.
 
-    A task that fails while it is set up ends up in ``errors`` with its reason, if that is given; the others go on.
+    All tasks that group the table share one aggregation, see :class:`GroupedTasks`; give one as ``grouped`` to close it
+    when the results are written.  A task that fails while it is set up ends up in ``errors`` with its reason, if that
+    is given; the others go on.
     """
     planned = applicable_tasks(df.columns) if tasks is None else tasks
     needed = dict(fixed.ANALYSIS_TASKS)
+    able = [name for name in planned if set(needed[name]) <= set(df.columns)]
+    if grouped is None and any(name in GroupedTasks.NEEDS for name in able):
+        grouped = GroupedTasks(df, able)
     results = {}
     for i, name in enumerate(planned):
-        if not set(needed[name]) <= set(df.columns):
+        if name not in able:
             continue
         try:
-            results[f"{name}_{i}"] = TASKS[name](df)
+            results[f"{name}_{i}"] = grouped.result(name) if grouped and name in GroupedTasks.NEEDS else TASKS[name](df)
         except Exception as error:
             if errors is None:
                 raise

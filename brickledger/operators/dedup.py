@@ -8,19 +8,27 @@ from pyspark.sql import functions as F
 from brickledger import fixed
 
 ROW_ORDER = ("ingest_file", "row_id")
+#: Registers of the distinct-count sketch (a power of two), and how far off it may be: seven standard errors.
+_SKETCH_SIZE = 14
+_SKETCH_ERROR = 7 * 1.04 / 2 ** (_SKETCH_SIZE / 2)
 
 
-def resolve_dedup_keys(df: DataFrame, min_non_null_ratio: float = 0.05) -> list[str] | None:
+def resolve_dedup_keys(df: DataFrame, min_non_null_ratio: float = fixed.DEDUP_MIN_FILLED) -> list[str] | None:
     """The columns that tell listings apart, or None for whole rows.
 
     Small jobs that bring one row to the driver: the listing number and source file are counted first,
-    the other columns, which may have to be parsed, only where those do not decide.
+    the other columns, which may have to be parsed, only where those do not decide.  Whether listing numbers differ
+    enough is told by a sketch in the first of these jobs; they are only counted exactly, which shuffles them all, where
+    the limit lies within the sketch's error.
     """
-    tagged = "ingest_file" in df.columns
+    tagged, numbered = "ingest_file" in df.columns, "listing_id" in df.columns
+    # Sketches pass over empty text, so none is.
+    number = F.concat(F.lit("#"), F.col("listing_id").cast("string")) if numbered else F.lit(None).cast("string")
     counted = df.agg(
         F.count("*").alias("n"),
         (F.count("ingest_file") if tagged else F.lit(0)).alias("files"),
-        (F.count("listing_id") if "listing_id" in df.columns else F.lit(0)).alias("numbers"),
+        (F.count("listing_id") if numbered else F.lit(0)).alias("numbers"),
+        F.hll_sketch_estimate(F.hll_sketch_agg(number, _SKETCH_SIZE)).alias("about"),
     ).first()
     n = counted["n"]
     if not n:
@@ -28,7 +36,11 @@ def resolve_dedup_keys(df: DataFrame, min_non_null_ratio: float = 0.05) -> list[
     if counted["numbers"] and counted["numbers"] / n >= min_non_null_ratio:
         if counted["files"]:
             return ["ingest_file", "listing_id"]
-        if df.agg(F.count_distinct("listing_id")).first()[0] >= max(1, int(0.92 * n)):
+        least = max(1, int(fixed.DEDUP_MIN_DISTINCT * n))
+        about = counted["about"]
+        if abs(about - least) <= _SKETCH_ERROR * max(about, least):
+            about = df.agg(F.count_distinct("listing_id")).first()[0]
+        if about >= least:
             return ["listing_id"]
     candidates = [c for c in fixed.DEDUP_PREFERENCE if c in df.columns]
     filled = df.agg(F.count("*").alias("n"), *[F.count(c).alias(c) for c in candidates]).first()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brickledger import fixed
 from brickledger.functions.numbers import to_number
-from brickledger.operators.quantiles import exact_quantiles
+from brickledger.operators.quantiles import approximate_quantiles, exact_quantiles
 
 
 class Bounds(NamedTuple):
@@ -20,9 +20,10 @@ class Bounds(NamedTuple):
     high: float
 
 
-def iqr_bounds(df: DataFrame, column: str, factor: float = fixed.IQR_FACTOR) -> Bounds | None:
-    """Runs the jobs of an exact quantile over one column; None without any value."""
-    found = exact_quantiles(df, to_number(df, column), [0.25, 0.75]).get("")
+def iqr_bounds(df: DataFrame, column: str, factor: float = fixed.IQR_FACTOR, approx: bool = False) -> Bounds | None:
+    """Runs the jobs of an exact quantile over one column, or the one job of a sketch; None without any value."""
+    quantiles = approximate_quantiles if approx else exact_quantiles
+    found = quantiles(df, to_number(df, column), [0.25, 0.75]).get("")
     if found is None:
         return None
     spread = found[0.75] - found[0.25]
@@ -30,10 +31,10 @@ def iqr_bounds(df: DataFrame, column: str, factor: float = fixed.IQR_FACTOR) ->
 
 
 def is_inlier(
-    df: DataFrame, column: str, factor: float = fixed.IQR_FACTOR, min_values: int = fixed.IQR_MIN_ROWS
+    df: DataFrame, column: str, factor: float = fixed.IQR_FACTOR, min_values: int = fixed.IQR_MIN_ROWS, approx: bool = False
 ) -> Column:
     """True for NULL values, values inside the bounds, and any value where there are under ``min_values``."""
-    bounds = iqr_bounds(df, column, factor)
+    bounds = iqr_bounds(df, column, factor, approx)
     if bounds is None or bounds.n < min_values:
         return F.lit(True)
     value = to_number(df, column)
@@ -41,20 +42,24 @@ def is_inlier(
 
 
 def remove_price_outliers(
-    df: DataFrame, column: str = "unit_price", factor: float = fixed.IQR_FACTOR, min_values: int = fixed.IQR_MIN_ROWS
+    df: DataFrame, column: str = "unit_price", factor: float = fixed.IQR_FACTOR, min_values: int = fixed.IQR_MIN_ROWS,
+    approx: bool = False,
 ) -> DataFrame:
     """Drop rows outside the interquartile bounds, which go into the filter as two numbers.
 
-    Tables of fewer than ``min_values`` values stay as they are; 0 turns that off.
+    Tables of fewer than ``min_values`` values stay as they are; 0 turns that off.  ``approx`` takes the quartiles from a
+    sketch, in one job and with a rank error of :data:`quantiles.SKETCH_RANK_ERROR`.
     """
     if column not in df.columns:
         return df
-    return df.filter(is_inlier(df, column, factor, min_values))
+    return df.filter(is_inlier(df, column, factor, min_values, approx))
 
 
-def price_outliers(df: DataFrame, column: str = "unit_price", min_rows: int = fixed.MIN_ROWS) -> DataFrame:
+def price_outliers(
+    df: DataFrame, column: str = "unit_price", min_rows: int = fixed.MIN_ROWS, approx: bool = False
+) -> DataFrame:
     """One row: how many values there are, the bounds, and how many lie outside; empty under ``min_rows`` values."""
-    bounds = iqr_bounds(df, column) or Bounds(0, None, None)
+    bounds = iqr_bounds(df, column, approx=approx) or Bounds(0, None, None)
     value = to_number(df, column)
     outside = (value < bounds.low) | (value > bounds.high) if bounds.n else F.lit(False)
     return df.agg(

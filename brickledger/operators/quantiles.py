@@ -16,6 +16,8 @@ from math import ceil, floor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Size of a sketch and the rank error that goes with it: of all values by that share at most, with 99 % confidence.
+SKETCH_SIZE, SKETCH_RANK_ERROR = 1000, 0.0033
 _PER_E_FOLD = 1024
 _OFFSET = 1024 * 800
 _SLICES = 4096
@@ -125,3 +127,46 @@ def _values_at(counts: DataFrame, ranks: dict[str, tuple[object, int]], sortable
             for k, (_, low, high) in enumerate(pieces)
         ])
         hits = _holding(_histogram(rows, "piece", F.floor(share * _SLICES)), wanted)
+
+
+def value_sketches(df: DataFrame, value: Column, by: Column | None = None, size: int = SKETCH_SIZE) -> DataFrame:
+    """(g, n, low, high, sketch): a mergeable sketch of the values of each group, one read with map-side merge.
+
+    Sketches may be written, one table for each part of the data, and merged later by :func:`merged_sketches`, so new
+    data do not call for old data to be read again.  NULL and NaN are no values, infinite values are.
+    """
+    number = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+    rows = df.select((F.lit("") if by is None else by).alias("g"), number.alias("v"))
+    found = rows.groupBy("g").agg(
+        F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.kll_sketch_agg_double("v", size).alias("sketch")
+    )
+    return found.filter("n > 0")
+
+
+def merged_sketches(sketches: DataFrame, size: int = SKETCH_SIZE) -> DataFrame:
+    """One sketch per group from any number of :func:`value_sketches`."""
+    return sketches.groupBy("g").agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.kll_merge_agg_double("sketch", size).alias("sketch")
+    )
+
+
+def sketched_quantiles(sketches: DataFrame, probabilities: list[float]) -> DataFrame:
+    """(g, n, q0, q1, ...): a value for each probability whose rank is off by SKETCH_RANK_ERROR of n at most.
+
+    The least and the largest value are exact.
+    """
+    def at(q: float) -> Column:
+        ends = {0.0: F.col("low"), 1.0: F.col("high")}
+        return ends[q] if q in ends else F.kll_sketch_get_quantile_double("sketch", F.lit(float(q)))
+
+    return sketches.select("g", "n", *[at(q).alias(f"q{i}") for i, q in enumerate(probabilities)])
+
+
+def approximate_quantiles(
+    df: DataFrame, value: Column, probabilities: list[float], by: Column | None = None, max_groups: int = MAX_GROUPS
+) -> dict[object, dict]:
+    """:func:`exact_quantiles` from sketches: one job, values as :func:`sketched_quantiles` has them."""
+    rows = sketched_quantiles(value_sketches(df, value, by), probabilities).limit(max_groups + 1).collect()
+    if len(rows) > max_groups:
+        raise ValueError(f"more than {max_groups} groups")
+    return {r["g"]: {"n": r["n"], **{q: r[f"q{i}"] for i, q in enumerate(probabilities)}} for r in rows}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from brickledger import fixed
@@ -58,7 +58,11 @@ def _stage_counts(parsed: DataFrame) -> DataFrame:
     unique = deduplicate(parsed)
     kept = outliers.is_inlier(unique, "unit_price") if "unit_price" in unique.columns else F.lit(True)
     after = unique.agg(F.count("*").alias("dedup"), F.count_if(kept).alias("iqr"))
-    counts = after.select(parsed.agg(F.count("*")).scalar().alias("input"), "*")
+    return _stage_rows(after.select(parsed.agg(F.count("*")).scalar().alias("input"), "*"))
+
+
+def _stage_rows(counts: DataFrame) -> DataFrame:
+    """One row per stage from the counts input, dedup and iqr."""
     rows = [
         F.struct(F.lit(i).alias("position"), F.lit(stage).alias("stage"), F.col(stage).alias("rows"),
                  (F.col(before) - F.col(stage)).alias("dropped"))
@@ -93,7 +97,10 @@ def write_report(clean: DataFrame, folder: str, tasks: list[str] | None = None)
     A task that fails, while it is set up or while it runs, has its reason in ``plan_tasks``; the others are written.
     """
     errors: dict[str, str] = {}
-    results = analysis.run_tasks(clean, tasks, errors)
+    needed = dict(fixed.ANALYSIS_TASKS)
+    planned = analysis.applicable_tasks(clean.columns) if tasks is None else tasks
+    grouped = analysis.GroupedTasks(clean, [task for task in planned if set(needed[task]) <= set(clean.columns)])
+    results = analysis.run_tasks(clean, tasks, errors, grouped)
     written = []
 
     def write(name: str, table: DataFrame) -> None:
@@ -109,22 +116,32 @@ def write_report(clean: DataFrame, folder: str, tasks: list[str] | None = None)
             write(f"tasks/{key}", result)
         except Exception as error:
             errors[key.rpartition("_")[0]] = analysis.error_text(error)
+    grouped.close()
     write("plan_tasks", analysis.task_status(clean, tasks, errors))
     write("facts", analysis.summary_facts(clean, tasks, errors))
     return written
 
 
+def _write_counted(df: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """df as a table, read again, and the rows written, counted on the way."""
+    counted = Observation()
+    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), counted.get.get("rows", 0)
+
+
 def run_listing_job(raw: DataFrame, folder: str, tasks: list[str] | None = None) -> DataFrame:
-    """Parse, count the stages, clean, label, write, assess, analyse, report; returns the quality report.
+    """Parse, deduplicate, clean, label, write, assess, analyse, report; returns the quality report.
 
-    The parsed and the clean table are written once each, and what follows reads the columns it needs from them.
+    The parsed, the unique and the clean table are written once each, and what follows reads the columns it needs from
+    them; the rows of each stage are counted as they are written, so rows are parsed and deduplicated once.
     """
     spark = raw.sparkSession
-    parsed = _parsed(raw, folder)
-    _stage_counts(parsed).write.mode("overwrite").parquet(f"{folder}/stages")
-    unique = deduplicate(parsed).transform(outliers.remove_price_outliers).transform(cleaning.floor_band)
-    unique.transform(labels.text_labels).write.mode("overwrite").parquet(f"{folder}/clean")
-    clean = spark.read.parquet(f"{folder}/clean")
+    parsed, n_parsed = _write_counted(parse_listings(raw), f"{folder}/parsed")
+    unique, n_unique = _write_counted(deduplicate(parsed), f"{folder}/unique")
+    kept = unique.transform(outliers.remove_price_outliers).transform(cleaning.floor_band)
+    clean, n_clean = _write_counted(kept.transform(labels.text_labels), f"{folder}/clean")
+    counts = spark.createDataFrame([(n_parsed, n_unique, n_clean)], "input long, dedup long, iqr long")
+    _stage_rows(counts).write.mode("overwrite").parquet(f"{folder}/stages")
     slim_for_export(clean).write.mode("overwrite").parquet(f"{folder}/export")
     quality.quality_report(parsed, clean).write.mode("overwrite").parquet(f"{folder}/quality")
     write_report(clean, folder, tasks)

@@ -580,6 +580,25 @@ FROM orders""",
         "FROM parsed, parsed_bounds", "parsed", "parsed_bounds"
     ),
     "price_histogram": _sql(_HISTOGRAM, "parsed", extra={"shape": _SHAPE}),
+    "quantiles_by_sketch": _sql(
+        "SELECT probability, (SELECT count(unit_price) FROM parsed) AS n, true AS near "
+        "FROM (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) AS v(probability)", "parsed"
+    ),
+    "grouped_tasks": _sql(
+        " UNION ALL ".join([
+            *[
+                f"SELECT '{task}' AS task, {key}::VARCHAR AS key, round(avg(unit_price), 4) AS value FROM parsed "
+                f"WHERE {key} IS NOT NULL AND unit_price IS NOT NULL GROUP BY {key}"
+                for task, key in (
+                    ("district_price_rank", "district"), ("area_band_price", f"({_AREA_BAND})"), ("decoration_price_compare", "decoration"),
+                    ("floor_band_price", "floor_band"), ("building_age_price_trend", "CAST(floor(build_year / 10) * 10 AS BIGINT)"),
+                )
+            ],
+            f"SELECT 'area_band_share_pie', {_AREA_BAND}, count(*)::DOUBLE FROM parsed WHERE ({_AREA_BAND}) IS NOT NULL GROUP BY 2",
+            "SELECT * FROM (SELECT 'community_followers_rank', community, sum(followers) FROM parsed WHERE followers IS NOT NULL "
+            "GROUP BY community ORDER BY sum(followers) DESC, community LIMIT 15)",
+        ]), "parsed"
+    ),
     "task_status": _sql(
         "SELECT t.position, t.task, reason IS NULL AS ok, reason FROM (SELECT position, task, CASE "
         "WHEN task = 'decoration_price_compare' THEN 'missing columns' "

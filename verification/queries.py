@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brickledger.functions import numbers
 from brickledger.operators import (
-    analysis, batch_search, cleaning, dedup, labels, outliers, profile, quality, scores, search,
+    analysis, batch_search, cleaning, dedup, labels, outliers, profile, quality, quantiles, scores, search,
 )
 from brickledger.plans import etl
 from brickledger.schema import canonicalize_headers, rename_standard
@@ -352,6 +352,40 @@ def _analysis(job, *round_columns: str, columns: tuple[str, ...] = ()):
     return lambda spark, d: rounded(job(parsed(spark, d, *columns)), *round_columns)
 
 
+def quantiles_by_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Prices per file sketched apart and merged: values, and whether the quartiles' ranks are as near as promised."""
+    rows = parsed(spark, d).select("ingest_file", "unit_price")
+    wanted = [0.25, 0.5, 0.75]
+    apart = quantiles.value_sketches(rows, F.col("unit_price"), F.col("ingest_file"))
+    merged = quantiles.merged_sketches(apart.withColumn("g", F.lit("")))
+    found = quantiles.sketched_quantiles(merged, wanted).select(F.array("q0", "q1", "q2").alias("q"))
+    q = F.col("q")
+    ranks = rows.crossJoin(F.broadcast(found)).agg(  # one row
+        F.count("unit_price").alias("n"),
+        *[F.count_if(F.col("unit_price") < q[i]).alias(f"less{i}") for i in range(3)],
+        *[F.count_if(F.col("unit_price") <= q[i]).alias(f"upto{i}") for i in range(3)],
+    )
+    near = quantiles.SKETCH_RANK_ERROR * F.col("n") + 1
+    cells = [
+        F.struct(F.lit(p).alias("probability"), "n", ((F.col(f"less{i}") <= p * F.col("n") + near) & (F.col(f"upto{i}") >= p * F.col("n") - near)).alias("near"))
+        for i, p in enumerate(wanted)
+    ]
+    return ranks.select(F.inline(F.array(*cells)))
+
+
+def grouped_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """The results of all analyses that group the table, from one read, as (task, key, value)."""
+    rows = parsed(spark, d)
+    shared = analysis.GroupedTasks(rows, list(analysis.GroupedTasks.NEEDS))
+    values = {"area_band_share_pie": "count", "community_followers_rank": "followers"}
+    parts = []
+    for task, key in analysis.GroupedTasks.NEEDS.items():
+        if task != "layout_price_box":
+            value = F.round(F.col(values.get(task, "unit_price")).cast("double"), 4)
+            parts.append(shared.result(task).select(F.lit(task).alias("task"), F.col(key).cast("string").alias("key"), value.alias("value")))
+    return reduce(DataFrame.union, parts)
+
+
 def _without_some(rows: DataFrame) -> DataFrame:
     """No decoration, next to no areas: tasks that need them can't give a result."""
     return rows.drop("decoration").withColumn("area_m2", F.when(F.col("area_m2") > 10_000, F.col("area_m2")))
@@ -542,6 +576,8 @@ QUERIES = {
     "total_area_scatter": _analysis(analysis.total_area_scatter),
     "price_outliers": _analysis(outliers.price_outliers, "low", "high"),
     "price_histogram": _analysis(analysis.price_histogram, "bin"),
+    "quantiles_by_sketch": quantiles_by_sketch,
+    "grouped_tasks": grouped_tasks,
     "task_status": task_status,
     "applicable_tasks": applicable_tasks,
     "summary_facts": _analysis(analysis.summary_facts, "value"),
