@@ -150,14 +150,18 @@ def _least_products(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return least
 
 
+def _set_digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
 def _banded(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(doc_id, digest, hashes, least, bands): the set of shingles, 128 bits that stand for it, the least hashes.
+    """(doc_id, digest, size, least, bands): 128 bits that stand for the set of shingles, its size and least hashes.
 
     `least` has 32 bits of each of the BANDS * BAND_ROWS least products, `bands` a hash of each band of them.
     """
     factors = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-    names = ["doc_id", "digest", "hashes", "least", "bands"]
-    kinds = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    names = ["doc_id", "digest", "size", "least", "bands"]
+    kinds = [pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -168,35 +172,63 @@ def _banded(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
                     least = _least_products(hashes, factors)
                     bands = [_signed(xxhash.xxh64_intdigest(band.tobytes(), k)) for k, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
                     high = (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    made.append((xxhash.xxh3_128_digest(hashes.tobytes()), hashes.view(np.int64), high, bands if len(hashes) else []))
+                    made.append((_set_digest(hashes), len(hashes), high, bands if len(hashes) else []))
                 columns = [pa.array(column, kind) for column, kind in zip(zip(*made, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
     kind = docs.schema[doc_id].dataType.simpleString()
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return given.mapInArrow(run, f"doc_id {kind}, digest binary, hashes array<long>, least array<int>, bands array<long>")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of at least `similarity`; `sets`: node, least, hashes.
-
-    First by the share of equal least hashes: pairs more than ESTIMATE_SDS standard deviations below `similarity` go.
-    What is left is counted exactly.  The sets of b meet the pairs first, so that the set of a node with many partners,
-    which are all its b, is sent once and not once per partner.
-    """
-    rows = BANDS * BAND_ROWS
-    fewest = rows * similarity - ESTIMATE_SDS * (rows * similarity * (1 - similarity)) ** 0.5
-    of = lambda column, name: sets.select(F.col("node").alias(name), F.col(column).alias(f"{column}_{name}")).hint("merge")
-    equal = F.size(F.filter(F.zip_with("least_a", "least_b", lambda x, y: x == y), lambda same: same))
-    near = pairs.join(of("least", "b"), "b").join(of("least", "a"), "a").where(equal >= fewest)
-    near = written(near.select("a", "b"))
-    both = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    counted = near.join(of("hashes", "b"), "b").join(of("hashes", "a"), "a")
-    share = both / (F.size("hashes_a") + F.size("hashes_b") - both)
-    return written(counted.where(share >= similarity).select("a", "b"))
-
-
-def apart_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    return given.mapInArrow(run, f"doc_id {kind}, digest binary, size int, least array<int>, bands array<long>")
+
+
+class _Sets:
+    """The shingle sets of nodes that are asked for, made anew from their texts, as few are: all sets are larger than
+    all texts.  `sets` (node, size, least, bands), `marks` (node, digest, first: the least doc_id of that set)."""
+
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, shingle: int, sets: DataFrame, marks: DataFrame):
+        self.docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        self.shingle, self.sets, self.marks = shingle, sets, marks
+
+    def hashes(self, nodes: DataFrame) -> DataFrame:
+        """(node, hashes) for the distinct `nodes` (node)."""
+        shingle = self.shingle
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    made = [shingle_set(t.as_py(), shingle) for t in batch.column(0).slice(start, 256)]
+                    digests = pa.array([_set_digest(h) for h in made], pa.binary())
+                    yield pa.RecordBatch.from_arrays([digests, pa.array([h.view(np.int64) for h in made], pa.list_(pa.int64()))], ["digest", "hashes"])
+
+        wanted = written(self.marks.join(nodes, "node", "left_semi").select("node", "digest", "first"))
+        # A set of rows without a doc_id is looked for among all of those.
+        ids = wanted.select(F.col("first").alias("id")).distinct()
+        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
+        made = texts.mapInArrow(run, "digest binary, hashes array<long>").join(wanted.select("node", "digest"), "digest")
+        return written(made.select("node", "hashes").dropDuplicates(["node"]))
+
+    def similar(self, pairs: DataFrame, similarity: float) -> DataFrame:
+        """The pairs (a, b) whose sets have a Jaccard similarity of at least `similarity`.
+
+        First by the share of equal least hashes: pairs more than ESTIMATE_SDS standard deviations below `similarity`
+        go.  What is left is counted exactly.  The sets of b meet the pairs first, so that the set of a node with many
+        partners, which are all its b, is sent once and not once per partner.
+        """
+        rows = BANDS * BAND_ROWS
+        fewest = rows * similarity - ESTIMATE_SDS * (rows * similarity * (1 - similarity)) ** 0.5
+        least = lambda name: self.sets.select(F.col("node").alias(name), F.col("least").alias(f"least_{name}")).hint("merge")
+        equal = F.size(F.filter(F.zip_with("least_a", "least_b", lambda x, y: x == y), lambda same: same))
+        near = written(pairs.join(least("b"), "b").join(least("a"), "a").where(equal >= fewest).select("a", "b"))
+        if near.isEmpty():
+            return near
+        made = self.hashes(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
+        of = lambda name: made.select(F.col("node").alias(name), F.col("hashes").alias(f"hashes_{name}")).hint("merge")
+        both = F.size(F.array_intersect("hashes_a", "hashes_b"))
+        share = both / (F.size("hashes_a") + F.size("hashes_b") - both)
+        return written(near.join(of("b"), "b").join(of("a"), "a").where(share >= similarity).select("a", "b"))
+
+
+def apart_pairs(members: DataFrame, sets: _Sets, similarity: float) -> DataFrame:
     """(a, b): pairs of nodes that share a band, are of different roots, and can have the similarity; exactly those.
 
     `members` (band, node, size, root).  Buckets with few such pairs, up to SPARSE per member, give all of them.  In the
@@ -215,9 +247,10 @@ def apart_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataF
     sparse = mixed.where("NOT dense")
     direct = sparse.alias("a").join(sparse.alias("b").hint("merge"), (F.col("a.band") == F.col("b.band")) & differ).select(*pick)
     dense = mixed.where("dense").select("band", "node", "size", "root")
-    hashes = sets.select("node", F.col("hashes").alias("hash"))
-    words = dense.join(hashes.hint("merge"), "node").select("band", "node", "size", "root", F.explode("hash").alias("hash"))
-    words = written(words)
+    if dense.isEmpty():
+        return direct.distinct()
+    hashes = sets.hashes(dense.select("node").distinct())
+    words = written(dense.join(hashes.hint("merge"), "node").select("band", "node", "size", "root", F.explode("hashes").alias("hash")))
     counts = words.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(W.partitionBy("band", "node").orderBy("n", "hash"))
     first = words.join(counts.hint("merge"), ["band", "hash"]).withColumn("place", place)
@@ -238,25 +271,26 @@ def similar_classes(
     tell such pairs from others.  Each member of a bucket is first compared with the bucket's least, so a group of
     copies costs as many pairs as it has members; then the members that this left in different classes are paired
     (apart_pairs).  No bucket or pair is capped.  Equal sets meet as one (by 128 bits).  Candidates are passed over whose
-    equal least hashes say that they are far below the similarity (see ESTIMATE_SDS).  Runs its jobs when called.
+    equal least hashes say that they are far below the similarity (see ESTIMATE_SDS).  Runs its jobs when called and
+    reads `docs` up to four times, once whole and then for the texts of candidates.
 
     Null and empty texts and texts of white space alone: the empty set, all one class.  Null doc_id, repeated rows
     and further columns: as in near_duplicates.  Tables without rows give none.
     """
     found = written(_banded(docs, doc_id, text, shingle).withColumn("row", F.monotonically_increasing_id()))
     marks = written(found.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first")))
-    chosen = found.select(F.col("row").alias("node"), "hashes", "least", "bands").join(marks.select("node"), "node", "left_semi")
-    sets = written(chosen.withColumn("size", F.size("hashes")))
-    buckets = sets.select(F.explode("bands").alias("band"), "node", "size")
+    chosen = found.select(F.col("row").alias("node"), "size", "least", "bands").join(marks.select("node"), "node", "left_semi")
+    sets = _Sets(docs, doc_id, text, shingle, written(chosen), marks)
+    buckets = sets.sets.select(F.explode("bands").alias("band"), "node", "size")
     least = buckets.groupBy("band").agg(F.min(F.struct("node", "size")).alias("least"), F.max("node").alias("last"))
     shared = written(buckets.join(least.where("least.node < last").drop("last"), "band"))
     fits = F.least("size", "least.size") / F.greatest("size", "least.size") >= similarity
     stars = shared.where(F.col("node") != F.col("least.node")).where(fits)
     stars = written(stars.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct())
-    links = _similar(stars, sets, similarity)
+    links = sets.similar(stars, similarity)
     rooted = shared.join(components(links), "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
     rest = written(apart_pairs(written(rooted), sets, similarity).join(stars, ["a", "b"], "left_anti"))
-    links = links.union(_similar(rest, sets, similarity))
+    links = links.union(sets.similar(rest, similarity))
     classes = class_of(marks.select("node", "first"), links)
     of_digest = marks.select("digest", "node").join(classes.select("node", "class_id"), "node").select("digest", "class_id")
     return found.select("doc_id", "digest").join(of_digest, "digest").select("doc_id", "class_id")

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline as pipeline
 import public_tokenizers
 from brickledger.llm import mixing, quality
-from tests.llm.test_operators import components_of, jaccard, plain_fingerprint, plain_lines, prose, replaced
+from tests.llm.test_operators import components_of, jaccard, plain_lines, prose, replaced
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row string"
 
@@ -58,9 +58,9 @@ def test_stages_follow_each_other(spark, tables):
     assert all(r.n_chars == len(r.text or "") for r in found.values()) and lined.columns == docs.columns
 
     one = stages["SimHash near-dedup"](spark, lined, folder).cache()
-    marks = {i: plain_fingerprint(r.text) for i, r in found.items()}
-    links = [(i, j) for i in marks for j in marks if i < j and (marks[i] ^ marks[j]).bit_count() <= 3]
-    assert {r.doc_id for r in one.collect()} == set(components_of(marks, links).values()) and one.columns == docs.columns
+    texts = {i: r.text or "" for i, r in found.items()}
+    links = [(i, j) for i in texts for j in texts if i < j and jaccard(texts[i], texts[j]) >= 0.8]
+    assert {r.doc_id for r in one.collect()} == set(components_of(texts, links).values()) and one.columns == docs.columns
 
     mixed = stages["mixing sources to target weights"](spark, one, folder).cache()
     times = Counter(r.doc_id for r in mixed.collect())
