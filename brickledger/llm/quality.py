@@ -18,14 +18,14 @@ from brickledger.llm.shared import with_row
 BUCKETS = 1 << 20
 #: Rated documents of each grade that are used at most: those of the least hash of doc_id.
 TRAIN_PER_GRADE = 2_000
-#: Features in a smaller or larger share of the training documents have no weight.
-LEAST_SHARE, MOST_SHARE = 0.002, 0.4
-#: Features that join at once, such rounds at most, and how many standard deviations a slope must stand out from chance.
-JOIN_FEATURES, JOIN_ROUNDS, STANDS_OUT = 8, 60, 6.0
+#: How many standard deviations a slope must stand out from chance for its feature to have a weight (of a million
+#: features without meaning fewer than four do so by chance), and how many features join between two fits.
+STANDS_OUT, JOIN_FEATURES = 5.0, 8
 RIDGE, LAST_ROUNDS = 1e-4, 400
 #: A document is kept if the probability of the highest grade is at least this.
 KEEP = 0.5
-MOST_WORDS = 1_000_000
+#: Words that a task remembers at once.
+MOST_WORDS = 200_000
 
 #: Shares of words that repeat the one before, each a feature if exceeded.
 REPEATS = (0.1, 0.3, 0.6)
@@ -80,12 +80,12 @@ class OrdinalModel:
             return 1 / (1 + np.exp(np.asarray(self.thresholds)[None, :] - scores[:, None]))
 
 
-def fit(rows: np.ndarray, buckets: np.ndarray, grades: np.ndarray, n_grades: int) -> OrdinalModel:
+def fit(rows: np.ndarray, buckets: np.ndarray, grades: np.ndarray, n_grades: int, stands_out: float = STANDS_OUT) -> OrdinalModel:
     """Weights and ordered thresholds from the documents' features (row and bucket pairs).
 
     Features mark defects: weights are at most 0, so ordinary words can't make up for one, and a text without marks
-    has the highest score.  They join in rounds, those of the steepest slopes first, as long as slopes stand out from
-    chance; after each round all that have joined are fitted again.
+    has the highest score.  Every feature may join, however rare or common: in rounds, those of the steepest slopes
+    first, until no slope stands out from chance any more; after each round all that have joined are fitted again.
     """
     n = len(grades)
     names, column, df = np.unique(buckets, return_inverse=True, return_counts=True)
@@ -93,18 +93,21 @@ def fit(rows: np.ndarray, buckets: np.ndarray, grades: np.ndarray, n_grades: int
     if len(np.unique(grades)) < 2 or not len(names):
         return OrdinalModel({}, tuple(map(float, thresholds)))
     share = df / n
-    useful = (share >= LEAST_SHARE) & (df >= 3) & (share <= MOST_SHARE)
     spread = np.sqrt(share * (1 - share)) + 1e-9
     order = np.argsort(column, kind="stable")
     docs_of = np.split(rows[order], np.cumsum(df)[:-1])
     weights, chosen = np.zeros(0), np.zeros(0, int)
-    for _ in range(JOIN_ROUNDS):
+    while True:
         weights, thresholds, by_doc = _descend([docs_of[j] for j in chosen], grades, weights, thresholds, 60)
-        slope = (np.bincount(column, weights=by_doc[rows], minlength=len(names)) - share * by_doc.sum()) / spread
-        slope = np.where(useful, slope / np.sqrt((by_doc**2).sum()), 0)
+        # Bernstein's bound on the sum of a feature's slopes if its documents were drawn by chance, as standard deviations:
+        # a few documents are no evidence, however steep their slopes.
+        pull = by_doc - by_doc.mean()
+        total = np.maximum(np.bincount(column, weights=pull[rows], minlength=len(names)), 0)
+        chance = n * spread**2 * (pull**2).mean() + pull.max() * total / 3
+        slope = total / np.sqrt(chance + 1e-300)
         slope[chosen] = 0
         new = np.argsort(-slope, kind="stable")[:JOIN_FEATURES]
-        new = new[slope[new] > STANDS_OUT]
+        new = new[slope[new] > stands_out]
         if not len(new):
             break
         chosen, weights = np.r_[chosen, new], np.r_[weights, np.zeros(len(new))]
@@ -167,7 +170,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def train(
     docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, per_grade: int = TRAIN_PER_GRADE,
-    doc_id: str = "doc_id", text: str = "text",
+    stands_out: float = STANDS_OUT, doc_id: str = "doc_id", text: str = "text",
 ) -> OrdinalModel:
     """Fit on at most `per_grade` rated documents of each grade 0 .. n_grades - 1; null grades and ids take no part.
 
@@ -188,7 +191,7 @@ def train(
     order = np.lexsort((counts, grades))  # not that of the partitions
     buckets = np.split(lists.values.to_numpy(), np.cumsum(counts)[:-1]) if len(grades) else []
     flat = np.concatenate([np.sort(buckets[i]) for i in order]) if len(grades) else np.empty(0, int)
-    return fit(np.repeat(np.arange(len(grades)), counts[order]), flat, grades[order], n_grades)
+    return fit(np.repeat(np.arange(len(grades)), counts[order]), flat, grades[order], n_grades, stands_out)
 
 
 def grade_documents(
@@ -200,19 +203,24 @@ def grade_documents(
     that is at least `keep`.  Null and empty texts have no features: score 0.  Repeated rows and null doc_id change
     nothing, each row is graded alone; `row` holds the input's columns.  Tables without rows give none.
     """
-    weighted = frozenset(model.weights)
+    weighted, place = frozenset(model.weights), docs.columns.index(text)
+
+    def score(text: str | None, known: _Known) -> float:
+        if not text or text.isspace():
+            return -np.inf
+        return sum(model.weights[f] for f in sorted(features(text, known)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(weighted)
         for batch in batches:
-            scores = np.array([sum(model.weights[f] for f in sorted(features(t.as_py(), known))) for t in batch.column(1)], float)
+            scores = np.array([score(t.as_py(), known) for t in batch.column(0).field(place)], float)
             tails = model.tails(scores)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *map(pa.array, (scores, tails.sum(1), tails[:, -1], tails[:, -1] >= keep))],
                 ["row", "score", "expected_grade", "p_top", "kept"],
             )
 
-    rows = with_row(docs, text=F.col(text))
+    rows = with_row(docs)
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(run, f"row {kind}, score double, expected_grade double, p_top double, kept boolean")
 
