@@ -18,9 +18,9 @@ from brickledger.llm.shared import with_row
 BUCKETS = 1 << 20
 #: Rated documents of each grade that are used at most: those of the least hash of doc_id.
 TRAIN_PER_GRADE = 2_000
-#: How many standard deviations a slope must stand out from chance for its feature to have a weight (of a million
-#: features without meaning fewer than four do so by chance), and how many features join between two fits.
-STANDS_OUT, JOIN_FEATURES = 5.0, 8
+#: How many standard deviations a slope must stand out from chance for its feature to have a weight (by a bound that
+#: overstates chance for rare features, hence no more than 3), and how many features join between two fits.
+STANDS_OUT, JOIN_FEATURES = 3.0, 8
 RIDGE, LAST_ROUNDS = 1e-4, 400
 #: A document is kept if the probability of the highest grade is at least this.
 KEEP = 0.5
