@@ -130,3 +130,26 @@ def test_entry(spark):
                                  "search_batch", "summary_facts"])
 def test_query_agrees_with_sql(spark, key):
     assert compare(spark, SMALL, key) == ""
+
+
+def test_entry_without_what_the_subpackage_needs():
+    """A missing dependency of the subpackage leaves the listings' queries."""
+    import subprocess
+    import sys
+    code = (
+        "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; from verification.queries import QUERIES; "
+        "assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(QUERIES)"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def test_stages_are_counted_as_they_are_written(spark, tmp_path):
+    """One dedup shuffle: the job's stage rows are those of the counts on their own."""
+    from verification.queries import raw
+    rows = raw(spark, SMALL).limit(2000).cache()
+    etl.run_listing_job(rows, str(tmp_path))
+    alone = {tuple(r) for r in etl.stage_counts(rows).collect()}
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/stages").collect()} == alone
+    assert {r[1]: r[2] for r in alone}["dedup"] == spark.read.parquet(f"{tmp_path}/unique").count()
+    etl.run_listing_job(rows.limit(0), f"{tmp_path}/none")
+    assert {r["rows"] for r in spark.read.parquet(f"{tmp_path}/none/stages").collect()} == {0}

@@ -214,3 +214,59 @@ def test_profile(spark):
     assert (out["v"]["samples"], out["v"]["pipe_like_ratio"], out["v"]["dtype"]) == (["1.5", "2.5"], None, "double")
     assert [r["name"] for r in profile.top_profile(profile.column_profile(df), 1).collect()] == ["t"]
     assert profile.column_profile(df.limit(0)).count() == 0
+
+
+def test_grouped_tasks_are_the_analyses_in_one_read(spark):
+    from verification.queries import parsed
+    rows = parsed(spark, "/root/testdata/sf0.001").limit(3000).cache()
+    shared = analysis.GroupedTasks(rows, list(analysis.GroupedTasks.NEEDS))
+    fresh = analysis.run_tasks(rows, grouped=shared)
+    for key, found in fresh.items():
+        name = key.rpartition("_")[0]
+        if name in analysis.GroupedTasks.NEEDS and name != "layout_price_box":
+            alone = analysis.TASKS[name](rows)
+            round_ = lambda df: [tuple(round(c, 6) if isinstance(c, float) else c for c in r) for r in df.collect()]
+            assert found.columns == alone.columns and sorted(round_(found), key=str) == sorted(round_(alone), key=str)
+    assert sorted(map(str, fresh["layout_price_box_1"].collect())) == sorted(map(str, analysis.layout_price_box(rows).collect()))
+    assert shared.sums.is_cached and "Expand" in shared.sums._jdf.queryExecution().optimizedPlan().toString()
+    shared.close()
+    few = rows.limit(4)
+    assert all(df.count() == 0 for key, df in analysis.run_tasks(few).items() if key.rpartition("_")[0] in analysis.GroupedTasks.NEEDS)
+
+
+def test_groups_do_not_meet_in_one_task(spark):
+    from verification.queries import parsed
+    rows = parsed(spark, "/root/testdata/sf0.001")
+    for job in (analysis.decoration_price, analysis.floor_band_price, analysis.community_followers):
+        plan = job(rows)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan
+
+
+def test_quantile_sketches_keep_their_rank_error(spark):
+    import random
+    rng = random.Random(1)
+    values = [rng.lognormvariate(0, 2) for _ in range(60_000)] + [5.0] * 20_000
+    df = spark.createDataFrame([(i % 7, v) for i, v in enumerate(values)], "part int, v double").repartition(8)
+    wanted = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    found = quantiles.approximate_quantiles(df, F.col("v"), wanted)[""]
+    parts = quantiles.value_sketches(df, F.col("v"), F.col("part"))
+    merged = quantiles.sketched_quantiles(quantiles.merged_sketches(parts.withColumn("g", F.lit("all"))), wanted).first()
+    order = sorted(values)
+    for i, q in enumerate(wanted):
+        for value in (found[q], merged[f"q{i}"]):
+            less, upto = sum(v < value for v in order), sum(v <= value for v in order)
+            slack = quantiles.SKETCH_RANK_ERROR * len(order) + 1
+            assert less - slack <= q * len(order) <= upto + slack
+    assert (found[0.0], found[1.0], found["n"]) == (order[0], order[-1], len(order))
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "v double")
+    assert quantiles.approximate_quantiles(odd, F.col("v"), wanted) == {}
+    exact, about = outliers.iqr_bounds(df, "v"), outliers.iqr_bounds(df, "v", approx=True)
+    assert exact.n == about.n and abs(exact.high - about.high) < 0.05 * exact.high
+
+
+@pytest.mark.parametrize("distinct, want", [(919, None), (920, ["listing_id"]), (921, ["listing_id"]), (1000, ["listing_id"]), (400, None)])
+def test_distinct_numbers_at_the_border(spark, distinct, want):
+    df = spark.createDataFrame([(f"{i % distinct}",) for i in range(1000)], "listing_id string")
+    assert dedup.resolve_dedup_keys(df) == want
+    small = spark.createDataFrame([("",), ("a",), ("b",), ("c",)], "listing_id string")
+    assert dedup.resolve_dedup_keys(small) == ["listing_id"]
