@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator, Mapping
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: (host and path, verdict); a rule fits its host and all subdomains, if the path starts with the rule's.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -18,6 +20,8 @@ SOFT_TERMS = (
     "pills", "poker", "prize", "promo", "replica", "sex", "slots", "track", "win",
 )
 SOFT_HITS = 2
+#: Rules or terms that a worker holds at most: some hundred MB.
+MOST_ENTRIES = 1_000_000
 
 _A_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
@@ -35,7 +39,7 @@ def host_and_path(url: str | None) -> tuple[str, str]:
 
 
 class UrlJudge:
-    """Rules by host, and one automaton over all terms; built once per task from bounded arguments."""
+    """Rules by host, and one automaton over all terms."""
 
     def __init__(self, rules: Mapping[str, str], strict: Iterable[str], soft: Iterable[str], soft_hits: int):
         self.by_host: dict[str, list[tuple[str, str, str]]] = {}
@@ -78,28 +82,65 @@ class UrlJudge:
         return host, path, rule, strict, soft, verdict or ("block" if strict or soft >= self.soft_hits else "allow")
 
 
+_judges: dict[bytes, UrlJudge] = {}
+
+
+def _judge(key: bytes, arguments: tuple) -> UrlJudge:
+    """This worker's judge, built once for all tasks that follow; that of other arguments goes."""
+    if key not in _judges:
+        _judges.clear()
+        _judges[key] = UrlJudge(*arguments)
+    return _judges[key]
+
+
+def _listed(table: DataFrame, key: str, value: str, most: int) -> dict[str, str]:
+    """A table of two text columns as a dictionary of `most` entries at most; null keys and empty ones are no entries."""
+    rows = table.select(F.col(key).cast("string"), F.col(value).cast("string")).where(F.length(F.col(key)) > 0)
+    rows = rows.groupBy(key).agg(F.min(value).alias(value)).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} entries of {key}; raise most_entries if a task can hold them")
+    return {row[0]: row[1] for row in rows}
+
+
 def judge_urls(
     pages: DataFrame,
     page_id: str = "page_id",
     url: str = "url",
-    rules: Mapping[str, str] = RULES,
+    rules: Mapping[str, str] | DataFrame = RULES,
     strict: Iterable[str] = STRICT_TERMS,
     soft: Iterable[str] = SOFT_TERMS,
     soft_hits: int = SOFT_HITS,
+    vocabulary: DataFrame | None = None,
+    most_entries: int = MOST_ENTRIES,
 ) -> DataFrame:
     """(page_id, host, path, rule, n_strict, n_soft, verdict) for every row of `pages`; a projection, no shuffle.
 
     A rule's verdict goes before the vocabulary's.  The vocabulary blocks a url with one strict or `soft_hits`
     different soft terms anywhere in it, A-Z in lower case; a term counts only where neither neighbour is a letter
-    a-z or a digit.  Rules and terms go to every task, so they are meant for lists of a few MB.
+    a-z or a digit.
+
+    Rules may be a table (rule, verdict), and `vocabulary` a table (term, class) in place of `strict` and `soft`, class
+    "strict" or "soft".  Terms are taken in lower case; one of both classes is strict, one of any other class an error.
+    Both tables go to every worker, which builds one automaton for all its tasks: more than `most_entries` rows of
+    either are an error, never cut.
 
     Null url or none of "://": host and path empty, no rule; null has no hits and is allowed.  Repeated rows, null
     page_id and further columns change nothing: each row is judged alone.  No rows give none.
     """
+    if isinstance(rules, DataFrame):
+        rules = _listed(rules, "rule", "verdict", most_entries)
+    if vocabulary is not None:
+        lowered = vocabulary.select(F.lower("term").alias("term"), F.when(F.col("class") == "strict", "a").when(F.col("class") == "soft", "b").otherwise("?").alias("class"))
+        # The least class of a term: strict before soft; what is neither comes first and is refused.
+        terms = _listed(lowered, "term", "class", most_entries)
+        if "?" in terms.values():
+            raise ValueError("a class that is neither strict nor soft")
+        strict, soft = ([term for term, kind in sorted(terms.items()) if kind == wanted] for wanted in "ab")
     arguments = (dict(rules), tuple(strict), tuple(soft), soft_hits)
+    key = hashlib.sha256(repr(arguments).encode()).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = UrlJudge(*arguments).judge
+        judge = _judge(key, arguments).judge
         for batch in batches:
             columns = list(zip(*map(judge, batch.column(1).to_pylist()), strict=True)) or [()] * 6
             types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())

@@ -120,8 +120,8 @@ def _lookups(index: Index, reach: float):
                 ids = df["id"].to_numpy()
                 for start in range(0, len(x), 128):
                     part = x[start : start + 128]
-                    rows, lists = np.nonzero(index.probes(part, reach))
-                    yield pd.DataFrame({"id": ids[start + rows], "list": lists, "v": list(part[rows].astype(np.float32))})
+                    lists = [np.flatnonzero(row).astype(np.int32) for row in index.probes(part, reach)]
+                    yield pd.DataFrame({"id": ids[start : start + 128], "v": list(part.astype(np.float32)), "lists": lists})
 
     return run
 
@@ -167,8 +167,10 @@ def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, lists: int =
         few = own.withColumn("draw", draw).where(F.col("draw") <= (1 << 40) * min(1.0, 4 * TRAIN_ROWS / rows))
         sample = [r.v for r in few.orderBy("draw", "id").limit(TRAIN_ROWS).collect()]
         index = Index(_unit(sample), lists)
-        coded = own.mapInPandas(_entries(index), "id long, list int, code binary, error double")
-        asked = own.mapInPandas(_lookups(index, near), "id long, list int, v array<float>")
+        coded = written(own.mapInPandas(_entries(index), "id long, list int, code binary, error double"))
+        # Written as lists per vector; the vector goes with each look-up only on its way to the cell.
+        asked = written(own.mapInPandas(_lookups(index, near), "id long, v array<float>, lists array<int>"))
+        asked = asked.select("id", F.explode("lists").alias("list"), "v")
         counts = lambda df: {r["list"]: -(-r["count"] // CELL_ROWS) for r in df.groupBy("list").count().collect()}
         n_coded, n_asked = counts(coded), counts(asked)
         sizes = spark.createDataFrame([(c, n, n_asked.get(c, 1)) for c, n in n_coded.items()], "list int, parts int, blocks int")
