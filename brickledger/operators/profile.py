@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from brickledger import fixed
 from brickledger.functions.text import is_blank, is_text
+from brickledger.operators.ranking import first_rows
 
 
 def column_profile(
@@ -15,41 +16,37 @@ def column_profile(
 ) -> DataFrame:
     """One row per column: position, name, dtype, share filled, first values, share with '|' and '/'.
 
-    Job k is one aggregation without a shuffle of rows that finds each column's k-th filled value in row
-    order, as the one with the smallest row id above the one before; the first job counts as well.  One
-    row of short texts per job comes back to the driver.
+    The table is read once.  Counts are observed on the way; filled cells are turned into (column, row, text), of which
+    every task sends its first ``samples`` per column, in row order.  A few short texts per column come to the driver.
     """
     columns = [c for c in df.columns if c != row_id]
-    measures = [F.count("*").alias("n")]
+    measures, cells = [F.count(F.lit(1)).alias("n")], []
     for i, name in enumerate(columns):
-        cell = F.col(f"`{name}`")
-        measures.append(F.count_if(~is_blank(df, name, ())).alias(f"f{i}"))
+        cell, filled = F.col(f"`{name}`"), ~is_blank(df, name, ())
+        measures.append(F.count_if(filled).alias(f"f{i}"))
         if is_text(df, name):
             measures.append(F.count_if(cell.contains("|")).alias(f"p{i}"))
             measures.append(F.count_if(cell.contains("/")).alias(f"d{i}"))
+        text = cell.cast("string")
+        if sample_chars is not None:
+            text = F.substring(text, 1, sample_chars)
+        cells.append(F.when(filled, F.struct(F.lit(i).alias("column"), text.alias("text"))))
+    counted = Observation()
+    seen = df.observe(counted, *measures)
+    filled_cells = seen.select(F.col(row_id).alias("row"), F.inline(F.array_compact(F.array(*cells)))) if cells else seen.limit(0)
     firsts: list[list[str]] = [[] for _ in columns]
-    last: list = [None] * len(columns)
-    counted = None
-    for step in range(max(samples, 1)):
-        picks = []
-        for i, name in enumerate(columns):
-            later = ~is_blank(df, name, ())
-            if step:
-                later &= (F.col(row_id) > F.lit(last[i])) if last[i] is not None else F.lit(False)
-            text = F.col(f"`{name}`").cast("string")
-            if sample_chars is not None:
-                text = F.substring(text, 1, sample_chars)
-            cell = F.struct(F.col(row_id).alias("row"), text.alias("text"))
-            picks.append(F.min_by(cell, F.when(later, F.col(row_id))).alias(f"s{i}"))
-        found = df.agg(*picks, *([] if step else measures)).first()
-        counted = counted or found
-        for i in range(len(columns)):
-            last[i] = found[f"s{i}"]["row"] if found[f"s{i}"] else None
-            if found[f"s{i}"] and samples:
-                firsts[i].append(found[f"s{i}"]["text"])
+    if columns:
+        best = first_rows(filled_cells, ["row"], max(samples, 1), "column")
+        for found in best.select("column", "__rank", "text").orderBy("column", "__rank").collect():
+            if samples:
+                firsts[found["column"]].append(found["text"])
+    else:
+        seen.write.format("noop").mode("overwrite").save()
+    counted = {"n": 0, **counted.get}
     rows = []
     for i, name in enumerate(columns):
-        filled, text = counted[f"f{i}"], is_text(df, name) and counted[f"f{i}"] > 0
+        filled = counted.get(f"f{i}", 0)
+        text = is_text(df, name) and filled > 0
         rows.append((
             i, name, df.schema[name].dataType.simpleString(),
             filled / counted["n"] if counted["n"] else None, firsts[i],
