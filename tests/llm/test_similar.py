@@ -34,9 +34,23 @@ def test_pairs_of_texts_that_share_a_passage_grow_with_their_number(spark, verif
     assert totals[2] <= 2.5 * totals[1] <= 6.25 * totals[0]
 
 
-@pytest.mark.parametrize("sparse", [-1, 8])
+def test_copies_of_a_template_that_are_apart_do_not_pair_up(spark, verified):
+    """Every pair is at a similarity of about 0.7, but for twins, which are found."""
+    base = prose(7, 120, 4000)
+    totals = []
+    for n in (150, 300, 600):
+        verified.clear()
+        texts = [replaced(base, 4, f"t{i}") for i in range(n)]  # the same places, other words
+        twins = [replaced(t, 1, "z") for t in texts[:10]]
+        assert 0.6 < jaccard(texts[0], texts[1]) < 0.8 <= min(map(jaccard, texts, twins))
+        found = {r.doc_id: r.class_id for r in simhash.similar_classes(docs(spark, texts + twins), 5, 0.8).collect()}
+        assert found == {**{i: i for i in range(n)}, **{n + i: i for i in range(10)}}
+        totals.append(sum(verified))
+    assert totals[2] <= 3 * totals[1] <= 9 * totals[0]
+
+
+@pytest.mark.parametrize("sparse", [4, 8])
 def test_groups_in_one_bucket_equal_brute_force(spark, monkeypatch, sparse):
-    """All buckets by shared rare shingles (-1), and the usual way."""
     monkeypatch.setattr(simhash, "SPARSE", sparse)
     rng = random.Random(4)
     passage, texts = prose(2, 70, 400), []
