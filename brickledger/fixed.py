@@ -293,3 +293,5 @@ SEARCH_ROWS = 15
 REPORT_SAMPLE_ROWS = 5_000
 PROFILE_SAMPLES, PROFILE_SAMPLE_CHARS, PROFILE_MAX_COLUMNS = 3, 120, 48
 SCORING_ROWS, SCORING_SEED, SCORING_SNIPPET_CHARS = 200, 42, 400
+# The library's own default: one row in a hundred.
+SCORING_SHARE = 0.01

@@ -12,7 +12,7 @@ from brickledger.operators.ranking import first_rows
 
 def column_profile(
     df: DataFrame, samples: int = fixed.PROFILE_SAMPLES, row_id: str = "row_id",
-    sample_chars: int | None = fixed.PROFILE_SAMPLE_CHARS,
+    sample_chars: int | None = None,
 ) -> DataFrame:
     """One row per column: position, name, dtype, share filled, first values, share with '|' and '/'.
 

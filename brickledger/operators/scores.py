@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brickledger import fixed
@@ -11,25 +11,35 @@ from brickledger.operators.ranking import first_rows
 HINTS = {"subway": "description_hint_subway", "school": "description_hint_school"}
 
 
+def _draw(seed: int) -> Column:
+    """A repeatable random number of a row as text; by its id, so that it does not depend on how the table is split up."""
+    return F.md5(F.concat(F.col("row_id").cast("string"), F.lit(f"-{seed}")))
+
+
 def sample_for_scoring(
     df: DataFrame,
-    rows: int = fixed.SCORING_ROWS,
+    share: float | None = fixed.SCORING_SHARE,
+    rows: int | None = None,
     seed: int = fixed.SCORING_SEED,
-    snippet_chars: int | None = fixed.SCORING_SNIPPET_CHARS,
+    snippet_chars: int | None = None,
     min_rows: int = fixed.MIN_ROWS,
 ) -> DataFrame:
-    """A repeatable random sample of (row_id, snippet); empty when it has fewer than ``min_rows`` rows.
+    """A repeatable random sample of (row_id, snippet): a share of the rows, or a number of them.
 
-    Rows are drawn by the hash of their id, so the draw does not depend on how the table is split up.
-    ``snippet_chars`` cuts the texts to be scored; None leaves them whole.
+    A share is a filter on the draw, without a shuffle, and grows with the table.  ``rows`` asks for the rows of least
+    draw in place of a share; there may be fewer than ``min_rows`` of them, then there are none.  Texts are whole unless
+    ``snippet_chars`` cuts them.
     """
-    draw = F.md5(F.concat(F.col("row_id").cast("string"), F.lit(f"-{seed}")))
     text = F.coalesce(F.col("description_raw"), F.lit(""))
     if snippet_chars is not None:
         text = F.substring(text, 1, snippet_chars)
-    drawn = first_rows(df.select("row_id", text.alias("snippet"), draw.alias("__draw")), ["__draw", "row_id"], rows)
+    drawn = df.select("row_id", text.alias("snippet"), _draw(seed).alias("__draw"))
+    if rows is None:
+        below = f"{min(int((1.0 if share is None else share) * 16**8), 16**8):09x}"
+        return drawn.filter(F.concat(F.lit("0"), F.substring("__draw", 1, 8)) < below).select("row_id", "snippet")
+    least = first_rows(drawn, ["__draw", "row_id"], rows)
     there = F.count("*").over(Window.partitionBy(F.lit(0)))  # of the sample
-    return drawn.withColumn("__there", there).filter(F.col("__there") >= min(min_rows, rows)).select("row_id", "snippet")
+    return least.withColumn("__there", there).filter(F.col("__there") >= min(min_rows, rows)).select("row_id", "snippet")
 
 
 def apply_scores(df: DataFrame, scores: DataFrame) -> DataFrame:

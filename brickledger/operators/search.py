@@ -298,7 +298,7 @@ def search_outcome(df: DataFrame, intent: SearchIntent) -> DataFrame:
     return counted.select(_outcome(df, intent).alias("o")).select("o.*")
 
 
-def display(df: DataFrame, max_chars: int | None = fixed.DISPLAY_MAX_CHARS) -> DataFrame:
+def display(df: DataFrame, max_chars: int | None = None) -> DataFrame:
     """The columns shown to a user, texts cut to ``max_chars`` characters; None leaves them whole."""
     return df.select(*[
         F.substring(c, 1, max_chars).alias(c) if max_chars is not None and is_text(df, c) else F.col(c)
@@ -306,7 +306,7 @@ def display(df: DataFrame, max_chars: int | None = fixed.DISPLAY_MAX_CHARS) -> D
     ])
 
 
-def display_json(df: DataFrame, max_chars: int | None = fixed.DISPLAY_MAX_CHARS) -> DataFrame:
+def display_json(df: DataFrame, max_chars: int | None = None) -> DataFrame:
     """:func:`display` as one JSON document per row; NULL fields are kept."""
     shown = display(df, max_chars)
     return shown.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("listing"))

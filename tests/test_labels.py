@@ -52,4 +52,10 @@ def test_scores(spark):
     assert out["1"] == (1.0, 0.0) and out["2"] == (0.0, 0.4) and out["3"] == (None, None) and len(out) == 6
     first = scores.sample_for_scoring(df, rows=3).collect()
     assert first == scores.sample_for_scoring(df.repartition(3), rows=3).collect() and len(first) == 3
-    assert scores.sample_for_scoring(df.limit(4)).count() == 0
+    assert scores.sample_for_scoring(df.limit(4), rows=200).count() == 0
+    some = spark.range(5000).selectExpr("string(id) AS row_id", "repeat('x', 900) AS description_raw")
+    tenth = scores.sample_for_scoring(some, share=0.1)
+    assert 400 < tenth.count() < 600 and tenth.filter("length(snippet) <> 900").count() == 0
+    assert sorted(tenth.collect()) == sorted(scores.sample_for_scoring(some.repartition(7), share=0.1).collect())
+    assert scores.sample_for_scoring(some, share=1.0).count() == 5000 and scores.sample_for_scoring(some, share=0.0).count() == 0
+    assert scores.sample_for_scoring(some, share=1.0, snippet_chars=3).first()["snippet"] == "xxx"

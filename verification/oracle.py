@@ -526,6 +526,9 @@ FROM orders""",
         "SELECT row_id, substring(coalesce(description_raw, ''), 1, 400) AS snippet FROM listings "
         "ORDER BY md5(row_id || '-42'), row_id LIMIT 200", "listings"
     ),
+    "score_share": _sql(
+        "SELECT row_id, coalesce(description_raw, '') AS snippet FROM listings WHERE md5(row_id || '-42') < '028f5c28'", "listings"
+    ),
     "score_apply": _sql(
         f"SELECT row_id, total_price, least(1.0, {_SCALED} / 300) AS description_hint_subway, "
         "CASE WHEN row_id LIKE '%-1' OR row_id LIKE '%-2' THEN CAST(0 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END "

@@ -9,6 +9,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brickledger import fixed
 from brickledger.functions import numbers
 from brickledger.operators import (
     analysis, batch_search, cleaning, dedup, labels, outliers, profile, quality, quantiles, scores, search,
@@ -301,6 +302,12 @@ def build_year_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_sample(spark: SparkSession, d: str) -> DataFrame:
+    rows = raw(spark, d, "row_id", "description_raw")
+    return scores.sample_for_scoring(rows, rows=fixed.SCORING_ROWS, snippet_chars=fixed.SCORING_SNIPPET_CHARS)
+
+
+def score_share(spark: SparkSession, d: str) -> DataFrame:
+    """One row in a hundred, with its whole text."""
     return scores.sample_for_scoring(raw(spark, d, "row_id", "description_raw"))
 
 
@@ -334,7 +341,7 @@ def quality_report(spark: SparkSession, d: str) -> DataFrame:
 
 def column_profile(spark: SparkSession, d: str) -> DataFrame:
     rows = raw(spark, d)
-    return rounded(profile.column_profile(rows), "pipe_like_ratio", "slash_like_ratio").withColumn(
+    return rounded(profile.column_profile(rows, sample_chars=fixed.PROFILE_SAMPLE_CHARS), "pipe_like_ratio", "slash_like_ratio").withColumn(
         "samples", F.concat_ws("#", "samples")
     )
 
@@ -508,11 +515,12 @@ def search_outcome(spark: SparkSession, d: str) -> DataFrame:
 
 def search_json(spark: SparkSession, d: str) -> DataFrame:
     found = search.search_listings(labelled(spark, d), INTENTS["b"])
-    return search.display_json(found.select("row_id", "listing_id", "district", "community", "layout", "build_year", "tag_near_subway"))
+    shown = found.select("row_id", "listing_id", "district", "community", "layout", "build_year", "tag_near_subway")
+    return search.display_json(shown, fixed.DISPLAY_MAX_CHARS)
 
 
 def search_display(spark: SparkSession, d: str) -> DataFrame:
-    return search.display(labelled(spark, d))
+    return search.display(labelled(spark, d), fixed.DISPLAY_MAX_CHARS)
 
 
 QUERIES = {
@@ -555,6 +563,7 @@ QUERIES = {
     "build_year_fill": build_year_fill,
     "rule_features": rule_features,
     "score_sample": score_sample,
+    "score_share": score_share,
     "score_apply": score_apply,
     "quality_metrics": quality_metrics,
     "quality_report": quality_report,
