@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brickledger import fixed
 from brickledger.functions import cells, numbers
-from brickledger.functions.text import first_match, is_blank, is_text, pinned, pinned_number, strip
+from brickledger.functions.text import first_match, is_blank, is_text, let, matches, pinned, pinned_number, strip
 from brickledger.schema import require_columns, require_standard
 
 
@@ -107,24 +107,59 @@ def _without_part(text: Column, part: Column) -> Column:
     return F.coalesce(rest, text)
 
 
-def expand_house_info(df: DataFrame) -> DataFrame:
-    """Take the '|'-separated house_info_raw apart into staging columns, filling blanks only.
+def _part_accepted(part: Column) -> list[Column]:
+    """For each column of _HOUSE_INFO whether it accepts a part, a stripped one."""
+    short = lambda chars: F.char_length(part) <= chars
+    return [
+        matches(part, fixed.LAYOUT_CELL), matches(part, fixed.AREA_CELL),
+        short(fixed.ORIENTATION_MAX_CHARS) & part.rlike("[东南西北]"),
+        part.rlike("|".join(w for _, words in fixed.HOUSE_INFO_DECORATIONS for w in words)),
+        (part.rlike("[年建]") | short(8)) & matches(part, fixed.YEAR_CELL),
+        part.rlike("|".join(fixed.BUILDING_TYPES)), part.rlike("[层楼共]"),
+    ]
 
-    Each part belongs to the first column, in order of precedence, that is still free and accepts it.
-    That is the same as letting each column in turn take its first acceptable part out of the text the
-    columns before it left over, which patterns over the whole cell do without lambdas.
 
-    The parts are pinned: later filters are not rewritten into copies of this chain of expressions, which refer to each
-    other many times over, and a column needs no more than the steps up to its own.
-    """
-    if "house_info_raw" not in df.columns:
-        return df
-    kept = df.columns
+def _folded(df: DataFrame) -> DataFrame:
+    """The cell's parts by one fold: each goes to the first column that is still free and accepts it."""
+    names = [name for name, _, _ in _HOUSE_INFO]
+    none = F.struct(*[F.lit(None).cast("string").alias(name) for name in names])
+
+    def step(taken: Column, part: Column) -> Column:
+        place = F.lit(None).cast("int")
+        for i, accepted in reversed(list(enumerate(_part_accepted(part)))):
+            place = F.when(taken[names[i]].isNull() & accepted, i).otherwise(place)
+        return let(place, lambda at: F.struct(*[F.when(at == i, part).otherwise(taken[name]).alias(name) for i, name in enumerate(names)]))
+
+    parts = F.filter(F.transform(F.split(F.col("house_info_raw").cast("string"), r"\|"), strip), lambda part: part != "")
+    work = df.withColumn("__parts", F.aggregate(parts, none, step))
+    return work.withColumns({f"__{name}": F.col(f"__parts.{name}") for name in names})
+
+
+def _chained(df: DataFrame) -> DataFrame:
+    """The cell's parts by patterns over the whole cell, each over what the columns before left over."""
     left, raw = F.col("__left"), F.col("house_info_raw").cast("string")
     work = df.withColumn("__left", F.concat(F.lit("|"), raw, F.lit("|")))
     for name, accepts, _ in _HOUSE_INFO:
         work = work.withColumn(f"__{name}", first_match(left, rf"\|(\s*{accepts})(?=\|)"))
         work = work.withColumn("__left", _without_part(left, F.col(f"__{name}")))
+    return work
+
+
+def expand_house_info(df: DataFrame, all_columns: bool = False) -> DataFrame:
+    """Take the '|'-separated house_info_raw apart into staging columns, filling blanks only.
+
+    Each part belongs to the first column, in order of precedence, that is still free and accepts it.  There are two
+    ways with the same result.  ``all_columns``: one fold over the parts, the faster one where all columns are asked
+    for.  Else, as that is the same, each column in turn takes its first acceptable part out of the text that the
+    columns before it left over: then a column needs no more than the steps up to its own.
+
+    The parts are pinned: later filters are not rewritten into copies of these expressions, which refer to each other
+    many times over.
+    """
+    if "house_info_raw" not in df.columns:
+        return df
+    kept = df.columns
+    work = _folded(df) if all_columns else _chained(df)
     work = work.select(*kept, *[pinned(F.col(f"__{name}")).alias(f"__{name}") for name, _, _ in _HOUSE_INFO])
     values = {
         name: _fill_blank(df, name, value(strip(F.col(f"__{name}")))) for name, _, value in _HOUSE_INFO
@@ -153,8 +188,9 @@ def expand_follow_info(df: DataFrame) -> DataFrame:
     return work.withColumns(values).select(*kept, *[n for n in values if n not in kept])
 
 
-def expand_composites(df: DataFrame) -> DataFrame:
-    return df.transform(expand_house_info).transform(expand_follow_info)
+def expand_composites(df: DataFrame, all_columns: bool = False) -> DataFrame:
+    """Both composite cells; ``all_columns`` as in :func:`expand_house_info`."""
+    return expand_house_info(df, all_columns).transform(expand_follow_info)
 
 
 # --- Promotion, numbers ----------------------------------------------------------------------------

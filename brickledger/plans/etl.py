@@ -11,9 +11,12 @@ from brickledger.operators.ranking import first_rows
 from brickledger.sources.files import slim_for_export
 
 
-def parse_listings(raw: DataFrame) -> DataFrame:
-    """All row-level parsing: composite cells, promotion, numbers, unit price.  No shuffle."""
-    return raw.transform(cleaning.expand_composites).transform(cleaning.finalize)
+def parse_listings(raw: DataFrame, all_columns: bool = False) -> DataFrame:
+    """All row-level parsing: composite cells, promotion, numbers, unit price.  No shuffle.
+
+    ``all_columns`` is the faster way where all of them are needed, as for a table that is written.
+    """
+    return cleaning.expand_composites(raw, all_columns).transform(cleaning.finalize)
 
 
 def deduplicate(parsed: DataFrame) -> DataFrame:
@@ -22,9 +25,9 @@ def deduplicate(parsed: DataFrame) -> DataFrame:
 
 def _parsed(raw: DataFrame, folder: str | None) -> DataFrame:
     """The parsed listings; with a folder, written to its ``parsed`` table and read from there."""
-    parsed = parse_listings(raw)
     if folder is None:
-        return parsed
+        return parse_listings(raw)
+    parsed = parse_listings(raw, all_columns=True)
     parsed.write.mode("overwrite").parquet(f"{folder}/parsed")
     return raw.sparkSession.read.schema(parsed.schema).parquet(f"{folder}/parsed")
 
@@ -136,7 +139,7 @@ def run_listing_job(raw: DataFrame, folder: str, tasks: list[str] | None = None)
     them; the rows of each stage are counted as they are written, so rows are parsed and deduplicated once.
     """
     spark = raw.sparkSession
-    parsed, n_parsed = _write_counted(parse_listings(raw), f"{folder}/parsed")
+    parsed, n_parsed = _write_counted(parse_listings(raw, all_columns=True), f"{folder}/parsed")
     unique, n_unique = _write_counted(deduplicate(parsed), f"{folder}/unique")
     kept = unique.transform(outliers.remove_price_outliers).transform(cleaning.floor_band)
     clean, n_clean = _write_counted(kept.transform(labels.text_labels), f"{folder}/clean")

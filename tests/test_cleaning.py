@@ -176,3 +176,16 @@ def test_slim_export(spark):
                                      "listing_time string, publish_time_raw string, house_info_raw string")
     assert slim_for_export(wide).columns == ["area_m2", "layout_normalized", "listing_time", "house_info_raw"]
     assert slim_for_export(wide.select("area_m2_str", "layout")).columns == ["area_m2_str", "layout"]
+
+
+def test_both_ways_of_taking_house_info_apart_are_one(spark):
+    import random
+    rng = random.Random(11)
+    parts = ["3室2厅", " 2 室 1 厅 ", "89平米", "100.5㎡", "南", "东南 西北", "南向很长很长很长很长很长很长的说明", "精装", "毛坯", "2016年建", "2016", "12016建",
+             "板楼", "塔楼", "中楼层(共26层)", "低层", "共6层", "", " ", "其他", "nan", "3室2厅 精装", "南 2010年", "板楼 2003年 精装 南", "　"]
+    cells = ["|".join(rng.choices(parts, k=rng.randrange(9))) for _ in range(1500)] + [None, "|", "||", "南|南|南", "精装|简装|2010年建|2011年建"]
+    df = spark.createDataFrame([(c, "清水" if i % 9 == 0 else None) for i, c in enumerate(cells)], "house_info_raw string, decoration_str string")
+    folded, chained = cleaning.expand_house_info(df, all_columns=True), cleaning.expand_house_info(df)
+    assert folded.columns == chained.columns
+    for a, b in zip(folded.collect(), chained.collect()):
+        assert a == b

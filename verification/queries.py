@@ -200,7 +200,7 @@ def _shuffled_parts(rows: DataFrame) -> DataFrame:
 
 
 def expand_house_info(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.expand_house_info(_shuffled_parts(raw(spark, d, "row_id", "house_info_raw")))
+    return cleaning.expand_house_info(_shuffled_parts(raw(spark, d, "row_id", "house_info_raw")), all_columns=True)
 
 
 def parse_area(spark: SparkSession, d: str) -> DataFrame:
@@ -241,9 +241,8 @@ def normalize_decoration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def finalize(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.finalize(cleaning.expand_house_info(
-        raw(spark, d, "row_id", "house_info_raw", "total_price", "unit_price")
-    ))
+    rows = raw(spark, d, "row_id", "house_info_raw", "total_price", "unit_price")
+    return cleaning.finalize(cleaning.expand_house_info(rows, all_columns=True))
 
 
 # --- Tables ----------------------------------------------------------------------------------------
