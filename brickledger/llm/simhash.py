@@ -26,7 +26,7 @@ BAND_ROWS = 5
 #: A candidate is counted exactly if the number of equal least hashes is no more than so many standard deviations
 #: below what the similarity gives; at 0.8 a pair is passed over with a probability of 4e-5.
 ESTIMATE_SDS = 4.2
-#: Buckets of up to so many pairs per member are paired directly, as are sets that share a shingle up to so many have.
+#: Sets that share a shingle that up to so many have are all paired.
 SPARSE = 8
 
 
@@ -229,46 +229,37 @@ class _Sets:
 
 
 def apart_pairs(members: DataFrame, sets: _Sets, similarity: float) -> DataFrame:
-    """(a, b): candidate pairs of nodes that share a band and are of different roots; linear in the members.
-
-    `members` (band, node, size, root).  Buckets of up to SPARSE such pairs per member give all of them.  In the others
-    pairs must share a shingle that is rare in the bucket: with a set's shingles in order of their frequency there, two
-    sets of similarity s share one of the first (1 - s) * size + 1 of each.  Where up to SPARSE sets share such a
-    shingle, all of them are paired; where more do, each is paired with the one that has least of its own, as sets of
-    which both are mostly what many share are near that one, too.  Texts that share a passage and little else have the
-    rare shingles to themselves and are never paired, however many they are.
+    """(a, b): candidate pairs of nodes of different roots; linear in the members.
+
+    `members` (band, node, size, root); those of buckets of several roots take part.  Pairs must share a shingle that
+    is rare among these: with a set's shingles in order of their frequency, two sets of similarity s share one of the
+    first (1 - s) * size + 1 of each.  Where up to SPARSE sets share such a shingle, all of them are paired; where more
+    do, each is paired with the one that has least of its own, as sets of which both are mostly what many share are near
+    that one, too.  Texts that share a passage and little else have the rare shingles to themselves and are never
+    paired, however many they are.
     """
-    # The similarity is at most the ratio of the sizes.
-    fits = F.least("a.size", "b.size") / F.greatest("a.size", "b.size") >= similarity
-    differ = (F.col("a.root") != F.col("b.root")) & fits
-    of_root = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    buckets = of_root.groupBy("band").agg(F.sum("n").alias("all"), F.sum(F.col("n").cast("double") * F.col("n")).alias("alike"), F.count(F.lit(1)).alias("roots"))
-    buckets = buckets.where("roots > 1").withColumn("dense", F.col("all") * F.col("all") - F.col("alike") > 2 * SPARSE * F.col("all"))
-    mixed = written(members.join(buckets.select("band", "dense"), "band"))
-    pick = [F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")]
-    once = F.col("a.node") < F.col("b.node")
-    sparse = mixed.where("NOT dense")
-    direct = sparse.alias("a").join(sparse.alias("b").hint("merge"), (F.col("a.band") == F.col("b.band")) & differ & once).select(*pick)
-    dense = mixed.where("dense").select("band", "node", "size", "root")
-    if dense.isEmpty():
-        return direct.distinct()
-    hashes = sets.hashes(dense.select("node").distinct())
-    words = written(dense.join(hashes.hint("merge"), "node").select("band", "node", "size", "root", F.explode("hashes").alias("hash")))
-    counts = words.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"))
-    of_node = W.partitionBy("band", "node")
-    placed = words.join(counts.hint("merge"), ["band", "hash"]).withColumns({
+    mixed = members.groupBy("band").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one < other")
+    open_nodes = written(members.join(mixed.select("band"), "band", "left_semi").select("node", "size", "root").distinct())
+    hashes = sets.hashes(open_nodes.select("node"))
+    words = written(open_nodes.join(hashes.hint("merge"), "node").select("node", "size", "root", F.explode("hashes").alias("hash")))
+    counts = words.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    of_node = W.partitionBy("node")
+    placed = words.join(counts.hint("merge"), "hash").withColumns({
         "place": F.row_number().over(of_node.orderBy("n", "hash")),
         "own": F.count_if(F.col("n") <= SPARSE).over(of_node) / F.col("size"),
     })
     # The product of two doubles may fall just below a whole number.
     first = placed.where(F.col("place") <= F.floor(F.col("size") * (1 - similarity) + 1e-6) + 1).where("n > 1")
-    first = written(first.select("band", "hash", "node", "size", "root", "n", "own"))
-    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.hash") == F.col("b.hash")) & differ
+    first = written(first.select("hash", "node", "size", "root", "n", "own"))
+    # The similarity is at most the ratio of the sizes.
+    fits = F.least("a.size", "b.size") / F.greatest("a.size", "b.size") >= similarity
+    same = (F.col("a.hash") == F.col("b.hash")) & (F.col("a.root") != F.col("b.root")) & fits
+    pick = [F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")]
     few, many = first.where(F.col("n") <= SPARSE), first.where(F.col("n") > SPARSE)
-    rare = few.alias("a").join(few.alias("b").hint("merge"), same & once).select(*pick)
-    centre = many.groupBy("band", "hash").agg(F.min(F.struct("own", "node", "size", "root")).alias("c")).select("band", "hash", "c.*")
+    rare = few.alias("a").join(few.alias("b").hint("merge"), same & (F.col("a.node") < F.col("b.node"))).select(*pick)
+    centre = many.groupBy("hash").agg(F.min(F.struct("own", "node", "size", "root")).alias("c")).select("hash", "c.*")
     common = many.alias("a").join(centre.alias("b").hint("merge"), same).select(*pick)
-    return direct.union(rare).union(common).distinct()
+    return rare.union(common).distinct()
 
 
 def similar_classes(
@@ -280,7 +271,7 @@ def similar_classes(
     documents are candidates if a band of their least hashes is equal (see BANDS); a fingerprint of 64 bits does not
     tell such pairs from others.  Each member of a bucket is first compared with the bucket's least, so a group of
     copies costs as many pairs as it has members; then the members that this left in different classes are paired where
-    they share what is rare in the bucket (apart_pairs), so that pairs grow with the members of a bucket, not their
+    they share what is rare (apart_pairs), so that pairs grow with the members of a bucket, not their
     square.  No bucket is cut.  Equal sets meet as one (by 128 bits).  Candidates are passed over whose equal least
     hashes say that they are far below the similarity (see ESTIMATE_SDS).  Runs its jobs when called and reads `docs`
     up to four times, once whole and then for the texts of candidates.
