@@ -26,7 +26,7 @@ BAND_ROWS = 5
 #: A candidate is counted exactly if the number of equal least hashes is no more than so many standard deviations
 #: below what the similarity gives; at 0.8 a pair is passed over with a probability of 4e-5.
 ESTIMATE_SDS = 4.2
-#: Sets that share a shingle that up to so many have are all paired.
+#: A shingle of up to so many sets counts as their own; sets of the first turn for one shingle.
 SPARSE = 8
 
 
@@ -207,8 +207,8 @@ class _Sets:
         made = texts.mapInArrow(run, "digest binary, hashes array<long>").join(wanted.select("node", "digest"), "digest")
         return written(made.select("node", "hashes").dropDuplicates(["node"]))
 
-    def similar(self, pairs: DataFrame, similarity: float) -> DataFrame:
-        """The pairs (a, b) whose sets have a Jaccard similarity of at least `similarity`.
+    def similar(self, pairs: DataFrame, similarity: float, made: DataFrame | None = None) -> DataFrame:
+        """The pairs (a, b) whose sets have a Jaccard similarity of at least `similarity`; `made`: their hashes, if at hand.
 
         First by the share of equal least hashes: pairs more than ESTIMATE_SDS standard deviations below `similarity`
         go.  What is left is counted exactly.  The sets of b meet the pairs first, so that the set of a node with many
@@ -221,27 +221,20 @@ class _Sets:
         near = written(pairs.join(least("b"), "b").join(least("a"), "a").where(equal >= fewest).select("a", "b"))
         if near.isEmpty():
             return near
-        made = self.hashes(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
+        if made is None:
+            made = self.hashes(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
         of = lambda name: made.select(F.col("node").alias(name), F.col("hashes").alias(f"hashes_{name}")).hint("merge")
         both = F.size(F.array_intersect("hashes_a", "hashes_b"))
         share = both / (F.size("hashes_a") + F.size("hashes_b") - both)
         return written(near.join(of("b"), "b").join(of("a"), "a").where(share >= similarity).select("a", "b"))
 
 
-def apart_pairs(members: DataFrame, sets: _Sets, similarity: float) -> DataFrame:
-    """(a, b): candidate pairs of nodes of different roots; linear in the members.
+def prefixes(words: DataFrame, similarity: float) -> DataFrame:
+    """(hash, node, size, root, place, own) of `words` (node, size, root, hash): the shingles by which sets can meet.
 
-    `members` (band, node, size, root); those of buckets of several roots take part.  Pairs must share a shingle that
-    is rare among these: with a set's shingles in order of their frequency, two sets of similarity s share one of the
-    first (1 - s) * size + 1 of each.  Where up to SPARSE sets share such a shingle, all of them are paired; where more
-    do, each is paired with the one that has least of its own, as sets of which both are mostly what many share are near
-    that one, too.  Texts that share a passage and little else have the rare shingles to themselves and are never
-    paired, however many they are.
+    With a set's shingles in order of their frequency (then hash), two sets of similarity s share one of the first
+    (1 - s) * size + 1 of each.  `own` is the share of a set's shingles that up to SPARSE sets have.
     """
-    mixed = members.groupBy("band").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one < other")
-    open_nodes = written(members.join(mixed.select("band"), "band", "left_semi").select("node", "size", "root").distinct())
-    hashes = sets.hashes(open_nodes.select("node"))
-    words = written(open_nodes.join(hashes.hint("merge"), "node").select("node", "size", "root", F.explode("hashes").alias("hash")))
     counts = words.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
     of_node = W.partitionBy("node")
     placed = words.join(counts.hint("merge"), "hash").withColumns({
@@ -249,17 +242,73 @@ def apart_pairs(members: DataFrame, sets: _Sets, similarity: float) -> DataFrame
         "own": F.count_if(F.col("n") <= SPARSE).over(of_node) / F.col("size"),
     })
     # The product of two doubles may fall just below a whole number.
-    first = placed.where(F.col("place") <= F.floor(F.col("size") * (1 - similarity) + 1e-6) + 1).where("n > 1")
-    first = written(first.select("hash", "node", "size", "root", "n", "own"))
-    # The similarity is at most the ratio of the sizes.
-    fits = F.least("a.size", "b.size") / F.greatest("a.size", "b.size") >= similarity
-    same = (F.col("a.hash") == F.col("b.hash")) & (F.col("a.root") != F.col("b.root")) & fits
-    pick = [F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")]
-    few, many = first.where(F.col("n") <= SPARSE), first.where(F.col("n") > SPARSE)
-    rare = few.alias("a").join(few.alias("b").hint("merge"), same & (F.col("a.node") < F.col("b.node"))).select(*pick)
-    centre = many.groupBy("hash").agg(F.min(F.struct("own", "node", "size", "root")).alias("c")).select("hash", "c.*")
-    common = many.alias("a").join(centre.alias("b").hint("merge"), same).select(*pick)
-    return rare.union(common).distinct()
+    within = F.col("place") <= F.floor(F.col("size") * (1 - similarity) + 1e-6) + 1
+    return placed.where(within & (F.col("n") > 1)).select("hash", "node", "size", "root", "place", "own")
+
+
+def _meeting(a: DataFrame, b: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of rows of different roots that share a shingle at places that leave enough to have in common.
+
+    All that two sets share stands at or after the first shingle that they share.  So at that one both have at least
+    as many shingles left as sets of these sizes must share; pairs that have fewer can't be similar.
+    """
+    shared = F.ceil((F.col("a.size") + F.col("b.size")) * (similarity / (1 + similarity)) - 1e-6)
+    left = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")) + 1
+    same = (F.col("a.hash") == F.col("b.hash")) & (F.col("a.root") != F.col("b.root")) & (left >= shared)
+    met = a.alias("a").join(b.alias("b").hint("merge"), same)
+    return met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+
+
+def apart_links(members: DataFrame, sets: _Sets, links: DataFrame, similarity: float) -> DataFrame:
+    """`links` and those (a, b) that join nodes of different roots: no two classes that a link joins stay apart.
+
+    `members` (band, node, size, root); those of buckets of several roots take part.  They meet by the shingles of
+    their prefixes, where enough of both is left (_meeting).  Texts that share a passage and little else have the
+    shingles of their prefixes to themselves and never meet, however many they are.
+
+    Where many meet by one shingle, they are compared in turns, and roots are joined after each, as members of one
+    root need no comparison.  First all with the one that has least of its own.  Then the members outside the largest
+    root, drawn by a hash into turns of about SPARSE, 2 * SPARSE, 4 * SPARSE, ..., each with all others of other roots.
+    The turns are as many as the logarithm of the members; nothing is left out.
+    """
+    mixed = members.groupBy("band").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one < other")
+    open_nodes = written(members.join(mixed.select("band"), "band", "left_semi").select("node", "size", "root").distinct())
+    if open_nodes.isEmpty():
+        return links
+    hashes = sets.hashes(open_nodes.select("node"))
+    words = open_nodes.join(hashes.hint("merge"), "node").select("node", "size", "root", F.explode("hashes").alias("hash"))
+    found = written(prefixes(written(words), similarity))
+
+    def several(rows: DataFrame) -> DataFrame:
+        roots = rows.groupBy("hash").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one < other")
+        return written(rows.join(roots.select("hash"), "hash", "left_semi"))
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        roots = components(links).select("node", F.col("root").alias("now"))
+        joined = rows.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("now", "root"))
+        return several(joined.drop("now"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        return written(links.union(sets.similar(pairs, similarity, hashes)))
+
+    live = several(found)
+    centre = live.groupBy("hash").agg(F.min(F.struct("own", "node", "size", "root", "place")).alias("c")).select("hash", "c.*")
+    links = compared(written(_meeting(live, centre, similarity)))
+    live = rooted(live)
+    by_root = live.groupBy("hash", "root").agg(F.count(F.lit(1)).alias("n"))
+    groups = by_root.groupBy("hash").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
+    drawn = F.pmod(F.xxhash64("hash", "node"), F.lit(1 << 20)) / (1 << 20) * (F.col("n") - F.col("most.n"))
+    turn = F.when(F.col("root") != F.col("most.root"), F.floor(F.log2(drawn / SPARSE + 1)).cast("int"))
+    live = written(live.join(groups.hint("merge"), "hash").withColumn("turn", turn).drop("n", "most"))
+    turns = live.agg(F.max("turn")).first()[0]
+    for k in range(0 if turns is None else turns + 1):
+        pairs = written(_meeting(live.where(F.col("turn") == k), live, similarity))
+        if pairs.isEmpty():
+            continue
+        links = compared(pairs)
+        if k < turns:
+            live = rooted(live)
+    return links
 
 
 def similar_classes(
@@ -270,9 +319,9 @@ def similar_classes(
     A link: the sets of shingles have at least `similarity` in common, counted exactly for every candidate.  Two
     documents are candidates if a band of their least hashes is equal (see BANDS); a fingerprint of 64 bits does not
     tell such pairs from others.  Each member of a bucket is first compared with the bucket's least, so a group of
-    copies costs as many pairs as it has members; then the members that this left in different classes are paired where
-    they share what is rare (apart_pairs), so that pairs grow with the members of a bucket, not their
-    square.  No bucket is cut.  Equal sets meet as one (by 128 bits).  Candidates are passed over whose equal least
+    copies costs as many pairs as it has members; then the members that this left in different classes are compared where
+    they share what is rare (apart_links), so that pairs grow with the members of a bucket, not their square, unless
+    most of a bucket are apart and yet made of the same frequent shingles.  No bucket is cut.  Equal sets meet as one (by 128 bits).  Candidates are passed over whose equal least
     hashes say that they are far below the similarity (see ESTIMATE_SDS).  Runs its jobs when called and reads `docs`
     up to four times, once whole and then for the texts of candidates.
 
@@ -291,8 +340,7 @@ def similar_classes(
     stars = written(stars.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct())
     links = sets.similar(stars, similarity)
     rooted = shared.join(components(links), "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
-    rest = written(apart_pairs(written(rooted), sets, similarity).join(stars, ["a", "b"], "left_anti"))
-    links = links.union(sets.similar(rest, similarity))
+    links = apart_links(written(rooted), sets, links, similarity)
     classes = class_of(marks.select("node", "first"), links)
     of_digest = marks.select("digest", "node").join(classes.select("node", "class_id"), "node").select("digest", "class_id")
     return found.select("doc_id", "digest").join(of_digest, "digest").select("doc_id", "class_id")

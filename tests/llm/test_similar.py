@@ -13,9 +13,9 @@ def verified(monkeypatch):
     """The numbers of candidate pairs of each round."""
     counts, similar = [], simhash._Sets.similar
 
-    def counted(self, pairs, similarity):
+    def counted(self, pairs, *rest):
         counts.append(pairs.count())
-        return similar(self, pairs, similarity)
+        return similar(self, pairs, *rest)
 
     monkeypatch.setattr(simhash._Sets, "similar", counted)
     return counts
@@ -65,6 +65,21 @@ def test_groups_in_one_bucket_equal_brute_force(spark, monkeypatch, sparse):
     assert found == want
 
 
+@pytest.mark.parametrize("sparse", [1, 2, 8])
+def test_texts_made_of_the_same_frequent_passages_equal_brute_force(spark, monkeypatch, sparse):
+    """No text has shingles of its own, so that all meet by frequent ones: a centre alone would not find every link."""
+    monkeypatch.setattr(simhash, "SPARSE", sparse)
+    rng = random.Random(11)
+    common = prose(3, 60, 900)
+    pool = [prose(300 + i, 8, 60) for i in range(14)]
+    texts = [" ".join([common, *(pool[i] for i in sorted(rng.sample(range(14), rng.randrange(2, 7))))]) for _ in range(160)]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    want = components_of(range(len(texts)), links)
+    assert 3 < len(set(want.values())) < len(texts)
+    found = {r.doc_id: r.class_id for r in simhash.similar_classes(docs(spark, texts), 5, 0.8).collect()}
+    assert found == want
+
+
 def test_rows_without_an_id_link_others(spark):
     base = prose(9, 200, 3000)
     near = [replaced(base, 2, "x"), replaced(base, 2, "y")]
