@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from brickledger import fixed
-from brickledger.functions.text import ascii_digits, contains_any, first_match, matches, strip
+from brickledger.functions.text import ascii_digits, contains_any, first_match, let, matches, strip
 
 
 def labelled(text: Column, labels) -> Column:
@@ -24,19 +24,16 @@ def first_word(text: Column, words) -> Column:
 def floor_band(text: Column) -> Column:
     """低层/中层/高层 from the wording or from 'n/total', else 未知."""
     s = strip(text)
-    band = F.substring(first_match(s, fixed.FLOOR_WORD), 1, 1)
+    word = F.substring(F.regexp_extract(s, fixed.FLAGS + fixed.FLOOR_WORD, 1), 1, 1)
+    said = F.element_at(F.create_map(*[F.lit(v) for band in ("低层", "中层", "高层") for v in (band[0], band)]), word)
     current = ascii_digits(first_match(s, fixed.FLOOR_RATIO, 1)).try_cast("double")
     total = ascii_digits(first_match(s, fixed.FLOOR_RATIO, 2)).try_cast("double")
-    share = F.when(total > 0, current / total)
-    return (
-        F.when(band == "低", "低层")
-        .when(band == "中", "中层")
-        .when(band == "高", "高层")
-        .when(share <= 1 / 3, "低层")
-        .when(share <= 2 / 3, "中层")
-        .when(share.isNotNull(), "高层")
-        .otherwise(fixed.UNKNOWN)
-    )
+
+    def of_share(share: Column) -> Column:
+        return F.when(share <= 1 / 3, "低层").when(share <= 2 / 3, "中层").when(share.isNotNull(), "高层")
+
+    counted = let(let(total, lambda n: F.when(n > 0, current / n)), of_share)
+    return F.coalesce(said, F.when(s.contains("/"), counted), F.lit(fixed.UNKNOWN))
 
 
 def decoration(text: Column, max_chars: int | None = None) -> Column:
@@ -57,9 +54,8 @@ def _count(digits: Column) -> Column:
 def layout(text: Column, max_chars: int | None = None) -> Column:
     """'N室M厅' where it can be told, else the trimmed text, cut to ``max_chars`` if that is given, '' for NULL."""
     t = strip(text)
-    low = F.lower(t)
     packed = F.replace(t, F.lit(" "), F.lit(""))
-    rooms = F.coalesce(*[F.when(matches(low, p), F.lit(str(n))) for n, p in fixed.ROOM_WORDS])
+    rooms = F.coalesce(*[F.when(matches(t, p), F.lit(str(n))) for n, p in fixed.ROOM_WORDS])
     halls = F.coalesce(_count(first_match(t, fixed.HALL_COUNT)), F.lit("1"))
     exact = F.concat(
         _count(first_match(packed, fixed.LAYOUT_ROOMS_HALLS, 1)), F.lit("室"),
@@ -86,7 +82,7 @@ def near_subway(text: Column) -> Column:
         fixed.SUBWAY_INLINE_DISTANCE, fixed.SUBWAY_WALK,
     )
     said = reduce(lambda a, b: a | b, [matches(text, p) for p in positive])
-    return said & ~matches(text, fixed.SUBWAY_NEGATION)
+    return contains_any(text, fixed.SUBWAY_MARKS) & said & ~matches(text, fixed.SUBWAY_NEGATION)
 
 
 def station_hint(text: Column) -> Column:

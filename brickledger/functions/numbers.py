@@ -19,11 +19,12 @@ def no_nan(number: Column) -> Column:
 
 def plain_number(text: Column) -> Column:
     """Text that is a number as a whole, else NULL."""
-    return F.regexp_extract(strip(text), _PLAIN, 0).try_cast("double")
+    return F.nullif(F.regexp_extract(strip(text), _PLAIN, 0), F.lit("")).try_cast("double")
 
 
 def _captured(text: Column, pattern: str) -> Column:
-    return ascii_digits(F.regexp_extract(text, fixed.FLAGS + pattern, 1)).try_cast("double")
+    # NULL where nothing matches: casting empty text costs an exception for each cell.
+    return ascii_digits(first_match(text, pattern)).try_cast("double")
 
 
 def _cleaned(text: Column) -> Column:
@@ -62,7 +63,7 @@ def unit_price_yuan(text: Column, rescale_small: bool = False) -> Column:
     in_wan = first_match(s, fixed.UNIT_PRICE, 2).isNotNull() | (
         s.contains("万") & s.contains("元") & s.contains("/")
     )
-    loose_wan = s.contains("万") & contains_any(F.lower(s), ("㎡", "平米", "m²"))
+    loose_wan = s.contains("万") & contains_any(s, ("㎡", "平米", "m²", "M²"))
     any_number = _captured(s, fixed.NUMBER)
     return (
         F.when(plain.isNotNull(), plain)
@@ -88,6 +89,6 @@ def total_price_wan(text: Column) -> Column:
 
 def followers(text: Column) -> Column:
     """'1.2万' -> 12000.0, '3千' -> 3000.0: the first number with the unit that follows it."""
-    unit = F.lower(first_match(text, fixed.FOLLOWERS, 2))
-    scale = F.when(unit.isin("万", "w"), 10_000.0).when(unit == "千", 1_000.0).otherwise(1.0)
+    unit = first_match(text, fixed.FOLLOWERS, 2)
+    scale = F.when(unit.isin("万", "w", "W"), 10_000.0).when(unit == "千", 1_000.0).otherwise(1.0)
     return _captured(text, fixed.FOLLOWERS) * scale

@@ -130,19 +130,31 @@ def _folded(df: DataFrame) -> DataFrame:
             place = F.when(taken[names[i]].isNull() & accepted, i).otherwise(place)
         return let(place, lambda at: F.struct(*[F.when(at == i, part).otherwise(taken[name]).alias(name) for i, name in enumerate(names)]))
 
-    parts = F.filter(F.transform(F.split(F.col("house_info_raw").cast("string"), r"\|"), strip), lambda part: part != "")
-    work = df.withColumn("__parts", F.aggregate(parts, none, step))
-    return work.withColumns({f"__{name}": F.col(f"__parts.{name}") for name in names})
+    usual, raw = F.col("__usual"), F.when(F.col("__usual").isNull(), F.col("house_info_raw").cast("string"))
+    parts = F.filter(F.transform(F.split(raw, r"\|"), strip), lambda part: part != "")
+    work = _usual_parts(df).withColumn("__parts", F.aggregate(parts, none, step))
+    return work.withColumns({
+        f"__{name}": F.coalesce(F.get(usual, F.lit(fixed.USUAL_PARTS.index(name))), F.col(f"__parts.{name}")) for name in names
+    })
+
+
+def _usual_parts(df: DataFrame) -> DataFrame:
+    """``__usual``: the parts of a cell that has them all in the usual order, else NULL."""
+    raw = F.col("house_info_raw").cast("string")
+    return df.withColumn("__usual", F.when(raw.rlike(fixed.USUAL_HOUSE_INFO), F.split(raw, r"\|")))
 
 
 def _chained(df: DataFrame) -> DataFrame:
     """The cell's parts by patterns over the whole cell, each over what the columns before left over."""
-    left, raw = F.col("__left"), F.col("house_info_raw").cast("string")
-    work = df.withColumn("__left", F.concat(F.lit("|"), raw, F.lit("|")))
+    left, raw = F.col("__left"), F.when(F.col("__usual").isNull(), F.col("house_info_raw").cast("string"))
+    work = _usual_parts(df).withColumn("__left", F.concat(F.lit("|"), raw, F.lit("|")))
     for name, accepts, _ in _HOUSE_INFO:
-        work = work.withColumn(f"__{name}", first_match(left, rf"\|(\s*{accepts})(?=\|)"))
-        work = work.withColumn("__left", _without_part(left, F.col(f"__{name}")))
-    return work
+        work = work.withColumn(f"__found_{name}", first_match(left, rf"\|(\s*{accepts})(?=\|)"))
+        work = work.withColumn("__left", _without_part(left, F.col(f"__found_{name}")))
+    return work.withColumns({
+        f"__{name}": F.coalesce(F.get("__usual", F.lit(fixed.USUAL_PARTS.index(name))), F.col(f"__found_{name}"))
+        for name, _, _ in _HOUSE_INFO
+    })
 
 
 def expand_house_info(df: DataFrame, all_columns: bool = False) -> DataFrame:
@@ -160,10 +172,8 @@ def expand_house_info(df: DataFrame, all_columns: bool = False) -> DataFrame:
         return df
     kept = df.columns
     work = _folded(df) if all_columns else _chained(df)
-    work = work.select(*kept, *[pinned(F.col(f"__{name}")).alias(f"__{name}") for name, _, _ in _HOUSE_INFO])
-    values = {
-        name: _fill_blank(df, name, value(strip(F.col(f"__{name}")))) for name, _, value in _HOUSE_INFO
-    }
+    work = work.select(*kept, *[pinned(strip(F.col(f"__{name}"))).alias(f"__{name}") for name, _, _ in _HOUSE_INFO])
+    values = {name: _fill_blank(df, name, value(F.col(f"__{name}"))) for name, _, value in _HOUSE_INFO}
     return work.withColumns(values).select(*kept, *[n for n in values if n not in kept])
 
 

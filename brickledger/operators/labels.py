@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brickledger import fixed
 from brickledger.functions import cells
 from brickledger.functions.numbers import to_number
-from brickledger.functions.text import ascii_digits, first_match, joined_text, matches
+from brickledger.functions.text import ascii_digits, contains_any, first_match, joined_text
 from brickledger.operators.cleaning import finalize
 
 
@@ -18,11 +18,11 @@ def text_labels(df: DataFrame) -> DataFrame:
     text = F.col("__text")
     new = {
         "tag_near_subway": cells.near_subway(text),
-        "tag_near_bus": matches(text, fixed.BUS),
-        "tag_has_balcony": matches(text, fixed.BALCONY),
-        "tag_lighting": matches(text, fixed.LIGHTING),
+        "tag_near_bus": contains_any(text, fixed.BUS),
+        "tag_has_balcony": contains_any(text, fixed.BALCONY),
+        "tag_lighting": contains_any(text, fixed.LIGHTING),
         "tag_subway_station_hint": cells.station_hint(text),
-        "tag_elevator": matches(text, fixed.ELEVATOR),
+        "tag_elevator": contains_any(text, fixed.ELEVATOR),
         "layout_normalized": cells.layout(F.col("layout").cast("string")) if "layout" in kept else F.lit(""),
     }
     if "build_year" in kept:

@@ -189,3 +189,17 @@ def test_both_ways_of_taking_house_info_apart_are_one(spark):
     assert folded.columns == chained.columns
     for a, b in zip(folded.collect(), chained.collect()):
         assert a == b
+
+
+def test_usual_house_info_gives_the_parts_that_the_search_finds(spark, monkeypatch):
+    """Cells in the usual order go by place, all others by the search for parts; both ways of the search agree."""
+    usual = ["3室2厅|89平米|南|精装|中楼层(共26层)|2016年建|板楼", "10室9厅|7.5平米|东南|毛坯|低层(共6层)|1999年建|塔板结合"]
+    odd = ["板楼|2016年建|中楼层(共26层)|精装|南|89平米|3室2厅", "3室2厅|89平米|南|精装|中楼层(共2010层)|2016年建|板楼", None, "",
+           "3室2厅|89平米|南|精装|2016年建|板楼", " 3室2厅|89平米|南|精装|中楼层(共26层)|2016年建|板楼 "]
+    df = spark.createDataFrame([(c,) for c in usual + odd], "house_info_raw string")
+    matched = df.filter(F.col("house_info_raw").rlike(cleaning.fixed.USUAL_HOUSE_INFO))
+    assert {r[0] for r in matched.collect()} == set(usual)
+    found = [sorted(map(str, cleaning.expand_house_info(df, whole).collect())) for whole in (False, True)]
+    monkeypatch.setattr(cleaning.fixed, "USUAL_HOUSE_INFO", "x^")
+    searched = [sorted(map(str, cleaning.expand_house_info(df, whole).collect())) for whole in (False, True)]
+    assert found == searched and found[0] == found[1]

@@ -40,16 +40,16 @@ def raw(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return listings(spark, d, columns) if columns else listings(spark, d)
 
 
-def parsed(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return etl.parse_listings(raw(spark, d, *columns)).transform(cleaning.floor_band)
+def parsed(spark: SparkSession, d: str, *columns: str, all_columns: bool = False) -> DataFrame:
+    return etl.parse_listings(raw(spark, d, *columns), all_columns).transform(cleaning.floor_band)
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
-    return parsed(spark, d).transform(labels.text_labels)
+    return parsed(spark, d, all_columns=True).transform(labels.text_labels)
 
 
 def rule_features(spark: SparkSession, d: str) -> DataFrame:
-    return parsed(spark, d).transform(labels.rule_features)
+    return parsed(spark, d, all_columns=True).transform(labels.rule_features)
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
