@@ -237,6 +237,10 @@ TASKS = {
 }
 
 
+#: The analyses as they are here; one put in the place of another in TASKS is run itself and not taken from the groups.
+_OWN_TASKS = dict(TASKS)
+
+
 def applicable_tasks(columns) -> list[str]:
     """All tasks whose columns are there, in fixed order."""
     return [name for name, needed in fixed.ANALYSIS_TASKS if set(needed) <= set(columns)]
@@ -248,6 +252,10 @@ def applicable_tasks(columns) -> list[str]:
 class GroupedTasks:
     """The analyses that group the table, from one aggregation over grouping sets, which is kept until :meth:`close`.
 
+    With ``folder``, one that all executors share, the groups are written to its table ``groups`` at once and read from
+    there.  So they must be where several results go into one plan: Spark then renames columns of all results but the
+    first, does not know the kept aggregation again, and would read the whole table for each.
+
     The table is read once: a set for each key and one for the whole table, with all counts and sums that the analyses
     need.  Each analysis then takes its set, a few rows for all keys but layout and community.
     """
@@ -267,7 +275,7 @@ class GroupedTasks:
         "community_followers_rank": "community",
     }
 
-    def __init__(self, df: DataFrame, tasks: list[str], min_rows: int = fixed.MIN_ROWS):
+    def __init__(self, df: DataFrame, tasks: list[str], min_rows: int = fixed.MIN_ROWS, folder: str | None = None):
         self.df, self.min_rows = df, min_rows
         self.keys = [key for key in self.KEYS if key in {self.NEEDS.get(task) for task in tasks}]
         numbers = {"price": "unit_price", "followers": "followers", "area": "area_m2"}
@@ -281,7 +289,12 @@ class GroupedTasks:
             F.count("__area").alias("__areas"),
         ]
         sets = [[F.col(key)] for key in self.keys] + [[]]
-        self.sums = rows.groupingSets(sets, *[F.col(key) for key in self.keys]).agg(*measures).persist()
+        sums = rows.groupingSets(sets, *[F.col(key) for key in self.keys]).agg(*measures)
+        if folder is None:
+            self.sums = sums.persist()
+        else:
+            sums.write.mode("overwrite").parquet(f"{folder}/groups")
+            self.sums = df.sparkSession.read.schema(sums.schema).parquet(f"{folder}/groups")
 
     def close(self) -> None:
         self.sums.unpersist()
@@ -337,7 +350,8 @@ def run_tasks(
         if name not in able:
             continue
         try:
-            results[f"{name}_{i}"] = grouped.result(name) if grouped and name in GroupedTasks.NEEDS else TASKS[name](df)
+            shared = grouped and name in GroupedTasks.NEEDS and TASKS[name] is _OWN_TASKS[name]
+            results[f"{name}_{i}"] = grouped.result(name) if shared else TASKS[name](df)
         except Exception as error:
             if errors is None:
                 raise

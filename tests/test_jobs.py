@@ -153,3 +153,9 @@ def test_stages_are_counted_as_they_are_written(spark, tmp_path):
     assert {r[1]: r[2] for r in alone}["dedup"] == spark.read.parquet(f"{tmp_path}/unique").count()
     etl.run_listing_job(rows.limit(0), f"{tmp_path}/none")
     assert {r["rows"] for r in spark.read.parquet(f"{tmp_path}/none/stages").collect()} == {0}
+
+
+def test_grouped_results_in_one_plan_read_the_table_once(spark):
+    from verification.queries import QUERIES
+    plan = QUERIES["grouped_tasks"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "l_extendedprice" not in plan

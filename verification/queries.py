@@ -381,8 +381,8 @@ def quantiles_by_sketch(spark: SparkSession, d: str) -> DataFrame:
 
 def grouped_tasks(spark: SparkSession, d: str) -> DataFrame:
     """The results of all analyses that group the table, from one read, as (task, key, value)."""
-    rows = parsed(spark, d)
-    shared = analysis.GroupedTasks(rows, list(analysis.GroupedTasks.NEEDS))
+    rows = parsed(spark, d, all_columns=True)
+    shared = analysis.GroupedTasks(rows, list(analysis.GroupedTasks.NEEDS), folder=_scratch(spark))
     values = {"area_band_share_pie": "count", "community_followers_rank": "followers"}
     parts = []
     for task, key in analysis.GroupedTasks.NEEDS.items():
