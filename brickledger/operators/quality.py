@@ -82,7 +82,7 @@ def quality_report(raw: DataFrame, clean: DataFrame, **limits) -> DataFrame:
         "unit_price_sparse": some & price_ok & (price < fixed.UNIT_PRICE_SPARSE),
         "geo_sparse": some & (c("geo_non_null_ratio") < limits["min_geo_coverage"]),
         "tag_near_subway_sparse": (
-            some & (c("tag_near_subway_true_ratio") < fixed.SUBWAY_SHARE_WARN)
+            some & (F.round(c("tag_near_subway_true_ratio"), 4) < fixed.SUBWAY_SHARE_WARN)  # as the report shows it
         ),
     }
     metrics = quality_metrics(raw, clean).withColumns({

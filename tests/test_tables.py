@@ -270,3 +270,12 @@ def test_distinct_numbers_at_the_border(spark, distinct, want):
     assert dedup.resolve_dedup_keys(df) == want
     small = spark.createDataFrame([("",), ("a",), ("b",), ("c",)], "listing_id string")
     assert dedup.resolve_dedup_keys(small) == ["listing_id"]
+
+
+def test_subway_warning_goes_by_the_ratio_shown(spark):
+    near = (F.col("id") < 29_996).alias("tag_near_subway")
+    clean = spark.range(100_000).select(F.lit("x").alias("district"), F.lit(9e3).alias("unit_price"), near)
+    row = quality.quality_report(clean, clean).first()
+    assert row["tag_near_subway_true_ratio"] == 0.3 and "tag_near_subway_sparse" not in row["warning_codes"]
+    less = spark.range(100_000).select("*", (F.col("id") < 29_994).alias("tag_near_subway"))
+    assert "tag_near_subway_sparse" in quality.quality_report(less, less).first()["warning_codes"]
