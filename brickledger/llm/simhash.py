@@ -353,6 +353,33 @@ def keep_one_of_similar(
     return _least_of_each(docs, similar_classes(docs, shingle, similarity, doc_id, text), doc_id)
 
 
+def keep_one_by_either(
+    docs: DataFrame, shingle: int, similarity: float, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS
+) -> DataFrame:
+    """One row of each class by links of either kind, by the rules of keep_one_of_each; doc_id is a long.
+
+    Documents are linked by fingerprints that differ in at most `radius` bits (near_duplicates) and by Jaccard similarity
+    of at least `similarity` (similar_classes), which fingerprints tell for few pairs at 0.8.  Classes of both kinds that
+    share a row are one.  Where a doc_id is null or repeated, rows are told apart by numbers, with which `docs` is written.
+    """
+    apart = docs.agg(F.count("*") == F.count_distinct(doc_id)).first()[0]
+    keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    if not apart:
+        keyed = written(keyed.withColumn("row", F.monotonically_increasing_id()))
+    key = "id" if apart else "row"
+    by_bits = near_duplicates(keyed, key, "text", radius, shingle).select("doc_id", F.col("class_id").alias("a"))
+    by_sets = similar_classes(keyed, shingle, similarity, key, "text").select("doc_id", F.col("class_id").alias("b"))
+    both = written(by_bits.join(by_sets, "doc_id"))
+    nodes = both.select(F.col("a").alias("node")).union(both.select("b")).distinct()
+    classes = class_of(nodes.withColumn("first", F.col("node")), both.select("a", "b"))
+    found = both.join(classes.select(F.col("node").alias("a"), "class_id"), "a").select("doc_id", "class_id")
+    if not apart:
+        ids = keyed.select("id", F.col("row").alias("doc_id")).join(found, "doc_id")
+        least = ids.groupBy("class_id").agg(F.min("id").alias("least"))
+        found = ids.join(least, "class_id").select(F.col("id").alias("doc_id"), F.col("least").alias("class_id"))
+    return _least_of_each(docs, found, doc_id)
+
+
 def op6_simhash(spark, sf_dir):
     """Fingerprint and class of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -29,8 +29,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: at least 0.8 of the five-word shingles in common."""
-    return simhash.keep_one_of_similar(docs, NEAR_SHINGLE, NEAR_SIMILARITY)
+    """One document of each group of near-duplicates: SimHash fingerprints within 3 bits, or at least 0.8 of the five-word
+    shingles in common, which fingerprints alone would find for few pairs."""
+    return simhash.keep_one_by_either(docs, NEAR_SHINGLE, NEAR_SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
 import public_tokenizers
-from brickledger.llm import mixing, quality
+from brickledger.llm import mixing, quality, simhash
 from tests.llm.test_operators import components_of, jaccard, plain_lines, prose, replaced
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row string"
@@ -109,3 +109,17 @@ def test_run_on_empty_tables(spark, tables, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_dedup_stage_links_by_fingerprints_and_by_shingles(spark):
+    """Texts whose fingerprints are near and whose sets of shingles are not; rows without an id join what they link."""
+    cycle = "one two three four five six seven " * 60
+    far = [cycle + prose(70, 9, 5000), cycle + prose(71, 9, 5000)]
+    assert jaccard(*far) < 0.8 and (simhash.fingerprint(far[0], 5) ^ simhash.fingerprint(far[1], 5)).bit_count() <= 3
+    base = prose(72, 200, 3000)
+    texts = [*far, prose(73, 100, 3000), base, replaced(base, 4, "z"), far[0]]
+    rows = [(i, t, "en", "a", len(t), "clash") for i, t in zip([4, 2, 7, 5, 6, None], texts)]
+    stage = dict(pipeline.STAGES)["SimHash near-dedup"]
+    kept = stage(spark, spark.createDataFrame(rows, COLUMNS), "")
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "5", "7", "None"]
+    assert sorted(r.doc_id for r in stage(spark, spark.createDataFrame(rows[:5], COLUMNS), "").collect()) == [2, 5, 7]
