@@ -139,6 +139,10 @@ USUAL_HOUSE_INFO = (
     r"^[0-9]+室[0-9]+厅\|[0-9]+(?:\.[0-9]+)?平米\|[东南西北]{1,4}\|(?:精装|简装|毛坯|豪装)\|"
     r"[低中高]楼?层\(共[0-9]{1,3}层\)\|(?:19|20)[0-9]{2}年建\|(?:塔板结合|塔板|板楼|塔楼)$"
 )
+# Cells that are what is to be read out of them.
+USUAL_LAYOUT = r"^(?:0|[1-9][0-9]*)室(?:0|[1-9][0-9]*)厅$"
+USUAL_AREA = r"^[0-9]+(?:\.[0-9]+)?平米$"
+USUAL_YEAR = r"^(?:19|20)[0-9]{2}年建$"
 USUAL_PARTS = (
     "layout_str", "area_m2_str", "orientation_str", "decoration_str", "floor_text", "build_year", "building_type_str",
 )

@@ -62,6 +62,7 @@ def layout(text: Column, max_chars: int | None = None) -> Column:
         _count(first_match(packed, fixed.LAYOUT_ROOMS_HALLS, 2)), F.lit("厅"),
     )
     return F.coalesce(
+        F.when(text.rlike(fixed.USUAL_LAYOUT), text),
         exact,
         F.concat(rooms, F.lit("室"), halls, F.lit("厅")),
         t if max_chars is None else F.substring(t, 1, max_chars),

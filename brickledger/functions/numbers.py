@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brickledger import fixed
-from brickledger.functions.text import ascii_digits, contains_any, first_match, strip
+from brickledger.functions.text import ascii_digits, contains_any, filled, first_match, strip
 
 # What counts as a plain number.  The guard is needed because a SQL cast also takes '1d' or '0x1p3'.
 _PLAIN = r"^[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
@@ -19,7 +19,12 @@ def no_nan(number: Column) -> Column:
 
 def plain_number(text: Column) -> Column:
     """Text that is a number as a whole, else NULL."""
-    return F.nullif(F.regexp_extract(strip(text), _PLAIN, 0), F.lit("")).try_cast("double")
+    return filled(F.regexp_extract(strip(text), _PLAIN, 0)).try_cast("double")
+
+
+def _usual(text: Column, unit: str) -> Column:
+    """The number of a cell that is nothing but ASCII digits and a unit, as most are, else NULL."""
+    return filled(F.regexp_extract(text, rf"^([0-9]++(?:\.[0-9]++)?){unit}$", 1)).try_cast("double")
 
 
 def _captured(text: Column, pattern: str) -> Column:
@@ -47,7 +52,7 @@ def first_number(text: Column) -> Column:
 
 def area_m2(text: Column) -> Column:
     """'89平米' -> 89.0"""
-    return F.coalesce(plain_number(text), first_number(text))
+    return F.coalesce(_usual(text, "平米"), plain_number(text), first_number(text))
 
 
 def unit_price_yuan(text: Column, rescale_small: bool = False) -> Column:
@@ -65,7 +70,8 @@ def unit_price_yuan(text: Column, rescale_small: bool = False) -> Column:
     )
     loose_wan = s.contains("万") & contains_any(s, ("㎡", "平米", "m²", "M²"))
     any_number = _captured(s, fixed.NUMBER)
-    return (
+    return F.coalesce(
+        _usual(text, "元/平米"),
         F.when(plain.isNotNull(), plain)
         .when(per_area.isNotNull(), per_area * F.when(in_wan, 10_000.0).otherwise(1.0))
         .when(loose_wan, any_number * 10_000)
@@ -77,7 +83,8 @@ def total_price_wan(text: Column) -> Column:
     """'153万' -> 153.0; a number without 万 above 50 000 is taken as yuan."""
     s = _cleaned(text)
     number = F.coalesce(plain_number(text), _captured(s, fixed.NUMBER))
-    return (
+    return F.coalesce(
+        _usual(text, "万"),
         F.when(
             s.contains("万"),
             F.coalesce(_captured(s, fixed.TOTAL_PRICE_WAN), _captured(s, fixed.NUMBER)),

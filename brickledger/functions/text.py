@@ -26,13 +26,21 @@ def pinned(value: Column) -> Column:
     build on each other.  They stop at an expression that counts as not deterministic, as the number of the partition
     does; unlike other barriers this one goes when the column is not asked for, and keeps code generation.  The value
     is no branch of a condition, as what repeats in branches is computed each time.
+
+    The zero goes through a lambda, which has no generated code.  So the projection is generated on its own, in small
+    methods: within the code of its stage all cells would be parsed in one method, which from 8,000 bytes on the JVM
+    does not compile but interprets.
     """
-    return F.elt(F.spark_partition_id() * 0 + 1, value)
+    return F.elt(_nought() + 1, value)
+
+
+def _nought() -> Column:
+    return F.get(F.transform(F.array(F.spark_partition_id() * 0), lambda n: n), F.lit(0))
 
 
 def pinned_number(value: Column) -> Column:
     """:func:`pinned` for DOUBLE values."""
-    return value + F.spark_partition_id() * 0
+    return value + _nought()
 
 
 def let(value: Column, body) -> Column:
@@ -50,7 +58,12 @@ def ascii_digits(text: Column) -> Column:
 
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     """Regex group of the first match, NULL when there is none."""
-    return F.nullif(F.regexp_extract(text, fixed.FLAGS + pattern, group), F.lit(""))
+    return filled(F.regexp_extract(text, fixed.FLAGS + pattern, group))
+
+
+def filled(text: Column) -> Column:
+    """The text, NULL where it is empty; computed once, while ``nullif`` in a branch of a condition computes it twice."""
+    return F.get(F.array_remove(F.array(text), F.lit("")), F.lit(0))
 
 
 def matches(text: Column, pattern: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brickledger import fixed
-from brickledger.functions.text import strip
+from brickledger.functions.text import pinned_number, strip
 from brickledger.operators.ranking import first_rows
 from brickledger.operators.search import HARD_TAGS, SearchIntent, _Listings, hard_tag_flag
 
@@ -218,7 +218,7 @@ def search_batch(df: DataFrame, intents: DataFrame | dict[str, SearchIntent]) ->
         hard = hard & _hard(rows, tag)
     hits = _candidates(rows, asked).select(
         *df.columns, rows.noise.alias("__noise"), rows.price().alias("__price"), _q("intent_id").alias("intent_id"),
-        _q("max_rows").alias("__most"), hard.alias("__hard"), _score(rows).alias("score"),
+        _q("max_rows").alias("__most"), hard.alias("__hard"), pinned_number(_score(rows)).alias("score"),
     )
     order = [F.col("__noise"), F.desc("__hard"), F.desc("score"), F.col("__price"), *[F.col(c) for c in rows.row_order()]]
     best = first_rows(hits, order, asked.most_rows, "intent_id", F.col("__most"))

@@ -60,12 +60,14 @@ _HOUSE_INFO = (
     (
         "layout_str",
         rf"[^|]*?{fixed.LAYOUT_CELL}[^|]*",
-        lambda p: F.regexp_replace(first_match(p, fixed.LAYOUT_CELL, 0), r"(?U)\s+", ""),
+        lambda p: F.when(p.rlike(fixed.USUAL_LAYOUT), p).otherwise(
+            F.regexp_replace(first_match(p, fixed.LAYOUT_CELL, 0), r"(?U)\s+", "")
+        ),
     ),
     (
         "area_m2_str",
         rf"[^|]*?{fixed.AREA_CELL}[^|]*",
-        lambda p: F.concat(first_match(p, fixed.AREA_CELL), F.lit("平米")),
+        lambda p: F.when(p.rlike(fixed.USUAL_AREA), p).otherwise(F.concat(first_match(p, fixed.AREA_CELL), F.lit("平米"))),
     ),
     (
         "orientation_str",
@@ -80,7 +82,7 @@ _HOUSE_INFO = (
     (
         "build_year",
         rf"(?=[^|]*?[年建]|[^|]{{1,8}}?\s*\|)[^|]*?{fixed.YEAR_CELL}[^|]*",
-        lambda p: first_match(p, fixed.YEAR_CELL),
+        lambda p: F.when(p.rlike(fixed.USUAL_YEAR), F.substring(p, 1, 4)).otherwise(first_match(p, fixed.YEAR_CELL)),
     ),
     (
         "building_type_str",
@@ -174,6 +176,8 @@ def expand_house_info(df: DataFrame, all_columns: bool = False) -> DataFrame:
     work = _folded(df) if all_columns else _chained(df)
     work = work.select(*kept, *[pinned(strip(F.col(f"__{name}"))).alias(f"__{name}") for name, _, _ in _HOUSE_INFO])
     values = {name: _fill_blank(df, name, value(F.col(f"__{name}"))) for name, _, value in _HOUSE_INFO}
+    if "layout_str" not in kept:
+        values["layout_str"] = pinned(values["layout_str"])  # for small generated methods
     return work.withColumns(values).select(*kept, *[n for n in values if n not in kept])
 
 
@@ -261,11 +265,14 @@ def _pin_numbers(df: DataFrame) -> DataFrame:
 
 
 def finalize(df: DataFrame) -> DataFrame:
-    """Promote staging columns, parse text numbers, coerce, fill the unit price."""
+    """Promote staging columns, parse text numbers, coerce, fill the unit price.
+
+    Numbers are pinned where they are parsed, so that the parsing is a projection generated on its own.
+    """
     return (
         df.transform(promote_staging)
         .transform(parse_numeric_text)
         .transform(coerce_numeric)
-        .transform(fill_unit_price)
         .transform(_pin_numbers)
+        .transform(fill_unit_price)
     )

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from brickledger import fixed
 from brickledger.functions import cells
 from brickledger.functions.numbers import to_number
-from brickledger.functions.text import is_text, joined_text
+from brickledger.functions.text import is_text, joined_text, pinned_number
 from brickledger.operators.dedup import ROW_ORDER
 from brickledger.operators.ranking import first_rows
 
@@ -234,14 +234,14 @@ def require_tags(df: DataFrame, intent: SearchIntent) -> DataFrame:
 
 def score_rows(df: DataFrame, intent: SearchIntent) -> DataFrame:
     rows = _Listings(df)
-    return rows.frame.withColumn("score", rows.score(intent)).select(*df.columns, "score")
+    return rows.frame.withColumn("score", pinned_number(rows.score(intent))).select(*df.columns, "score")
 
 
 def search_listings(df: DataFrame, intent: SearchIntent) -> DataFrame:
     """The best rows for an intent with their ``score``, in order."""
     rows = _Listings(df)
     scored = rows.frame.filter(rows.candidate(intent)).select(
-        *df.columns, rows.noise.alias("__noise"), rows.hard(intent).alias("__hard"), rows.score(intent).alias("score"),
+        *df.columns, rows.noise.alias("__noise"), rows.hard(intent).alias("__hard"), pinned_number(rows.score(intent)).alias("score"),
         rows.price().alias("__price"),
     )
     if not intent.needs_row_samples:
