@@ -3,6 +3,10 @@
 The plan is the same for any number of searches.  A listing's pairs of characters are looked up in the index, which
 gives the districts asked for that it is a candidate of; these are joined to the searches, whose words, limits and wishes
 are columns of the score.  A listing only meets the searches whose candidate it is.
+
+Searches that differ in their limits and numbers of rows only have one wish.  A listing first meets the wishes.  Of those
+that no search of a wish can tell apart by its score, as all its limits lie on the same side of their numbers, the first
+go on to the searches, as many as are asked for at most: the others come after them in every search.
 """
 
 from __future__ import annotations
@@ -20,6 +24,9 @@ from brickledger.operators.search import HARD_TAGS, SearchIntent, _Listings, har
 #: Up to so many searches, some megabytes with their keywords, both joins broadcast them; beyond, Spark shuffles.
 BROADCAST_INTENTS = 20_000
 _BITS, _WORD = 1 << 16, 64
+#: Up to so many different limits on a number, listings are told apart by the limits they lie between, else by the number.
+_MOST_LIMITS = 1000
+_LIMITS = ("min_unit_price", "max_unit_price", "min_total_price_wan", "max_total_price_wan", "min_build_year")
 _TYPES = {"str": "string", "bool": "boolean", "float": "double", "int": "int"}
 _FIELDS = {f.name: (_TYPES[f.type.split(" ")[0]], f.default) for f in fields(SearchIntent)}
 
@@ -101,8 +108,18 @@ def _asked(intents: DataFrame) -> _Asked:
     return _Asked(table, districts, facts["n"], facts["most"] or 1, bits, facts["open"] > 0)
 
 
-def _candidates(rows: _Listings, asked: _Asked) -> DataFrame:
-    """The rows with one search (``__q``) each whose candidate they are, and whether its district is said where."""
+def _wishes(asked: _Asked) -> DataFrame:
+    """The searches with the least id of those (``__wish``) that differ from them in limits and numbers of rows only."""
+    same = [c for c in asked.table.columns if c not in ("intent_id", "max_rows", *_LIMITS)]
+    return asked.table.withColumn("__wish", F.min("intent_id").over(Window.partitionBy(*same)))
+
+
+def _candidates(rows: _Listings, asked: _Asked, table: DataFrame | None = None) -> DataFrame:
+    """The rows with one search (``__q``) each whose candidate they are, and whether its district is said where.
+
+    ``table`` has some of the searches.
+    """
+    table = asked.table if table is None else table
     small = F.broadcast if asked.count <= BROADCAST_INTENTS else lambda df: df
     geo = [F.coalesce(c, F.lit("")) for c in rows.geo]
 
@@ -137,7 +154,7 @@ def _candidates(rows: _Listings, asked: _Asked) -> DataFrame:
     key = F.coalesce("district_contains", F.lit(""))
     if not geo:
         key, said = F.lit(""), {}
-    searches = asked.table.select(key.alias("__key"), F.struct(*asked.table.columns).alias("__q"))
+    searches = table.select(key.alias("__key"), F.struct(*table.columns).alias("__q"))
     pairs = hits.withColumns(said).join(small(searches), "__key").drop("__key", "__anchor", "__w")
     if not geo:
         pairs = pairs.withColumn("__in_geo", F.col("__q.district_contains").isNotNull())
@@ -154,12 +171,16 @@ def _hard(rows: _Listings, tag: str) -> Column:
     return ~_q(hard_tag_flag(tag)) | rows._tag(tag)
 
 
-def _score(rows: _Listings) -> Column:
-    """The score of a row for the search ``__q`` beside it: the sum of :meth:`_Listings.score` with columns for words and limits."""
+def _points(condition: Column, n: float) -> Column:
+    return F.when(condition, n).otherwise(0.0)
+
+
+def _parts(rows: _Listings) -> list[Column | str]:
+    """The summands of :meth:`_Listings.score` for the wish ``__q`` beside a row; names of numbers stand for those of limits on them."""
     word = lambda name: F.lower(_q(name))
     said = lambda w: rows.text.contains(w)
     inside = lambda columns, w: rows._any([F.lower(F.col(c).cast("string")).contains(w) for c in columns if c in rows.columns])
-    points = lambda condition, n: F.when(condition, n).otherwise(0.0)
+    points = _points
 
     def capped(wish: str, tag: str, tag_points: float, words, text_points: float, cap: float) -> Column:
         both = points(rows._tag(tag), tag_points) + points(rows._said(*words), text_points)
@@ -172,17 +193,7 @@ def _score(rows: _Listings) -> Column:
         points(inside(["layout", "layout_normalized"], word("layout_contains")), fixed.LAYOUT_SCORE),
         points(said(word("layout_contains")), fixed.LAYOUT_SCORE * fixed.LAYOUT_TEXT_SHARE),
     ]
-    for column, low, high, near in (
-        ("unit_price", "min_unit_price", "max_unit_price", fixed.UNIT_PRICE_NEAR_FACTOR),
-        ("total_price", "min_total_price_wan", "max_total_price_wan", fixed.TOTAL_PRICE_NEAR_FACTOR),
-    ):
-        if column in rows.numbers:
-            value = rows.numbers[column]
-            parts += [
-                points(value <= _q(high), fixed.PRICE_IN_RANGE),
-                points((value > _q(high)) & (value <= _q(high) * near), fixed.PRICE_NEAR),
-                points(value >= _q(low), fixed.PRICE_IN_RANGE * fixed.PRICE_MIN_SHARE),
-            ]
+    parts += [column for column in _PRICES if column in rows.numbers]
     station = said(word("subway_station_contains")) | inside(["tag_subway_station_hint"], word("subway_station_contains"))
     parts += [
         capped("near_subway", "tag_near_subway", fixed.SUBWAY_TAG, fixed.SUBWAY_WORDS, fixed.SUBWAY_TEXT, fixed.SUBWAY_CAP),
@@ -191,15 +202,90 @@ def _score(rows: _Listings) -> Column:
         capped("lighting_preferred", "tag_lighting", fixed.LIGHTING_TAG, fixed.LIGHTING_WORDS, fixed.LIGHTING_TEXT, fixed.LIGHTING_CAP),
     ]
     if "build_year" in rows.numbers:
-        year, wanted = rows.numbers["build_year"], _q("min_build_year")
-        parts += [points(year >= wanted, fixed.YEAR_OK), points((year >= wanted - fixed.YEAR_NEAR_SPAN) & (year < wanted), fixed.YEAR_NEAR)]
-    parts += [
+        parts.append("build_year")
+    return [
+        *parts,
         points(F.col("__parking"), -fixed.PARKING_PENALTY), points(F.col("__absurd"), -fixed.ABSURD_PENALTY),
         points(F.col("__family") & _q("layout_contains").isNotNull(), fixed.FAMILY_BONUS),
     ]
-    total = F.lit(0.0)
-    for part in parts:
-        total = total + part
+
+
+_PRICES = {
+    "unit_price": ("min_unit_price", "max_unit_price", fixed.UNIT_PRICE_NEAR_FACTOR),
+    "total_price": ("min_total_price_wan", "max_total_price_wan", fixed.TOTAL_PRICE_NEAR_FACTOR),
+}
+
+
+def _by_limits(column: str, value: Column) -> list[Column]:
+    """The summands that come from the limits on a number."""
+    if column == "build_year":
+        wanted = _q("min_build_year")
+        near = (value >= wanted - fixed.YEAR_NEAR_SPAN) & (value < wanted)
+        return [_points(value >= wanted, fixed.YEAR_OK), _points(near, fixed.YEAR_NEAR)]
+    low, high, near = _PRICES[column]
+    return [
+        _points(value <= _q(high), fixed.PRICE_IN_RANGE),
+        _points((value > _q(high)) & (value <= _q(high) * near), fixed.PRICE_NEAR),
+        _points(value >= _q(low), fixed.PRICE_IN_RANGE * fixed.PRICE_MIN_SHARE),
+    ]
+
+
+def _between(asked: _Asked, column: str, value: Column) -> Column:
+    """What is the same for numbers that all limits on the column have on the same side: how many lie below or at them.
+
+    Runs a small job over the searches.
+    """
+    if column == "build_year":
+        above, at = [], [F.col("min_build_year"), F.col("min_build_year") - fixed.YEAR_NEAR_SPAN]
+    else:
+        low, high, near = _PRICES[column]
+        above, at = [F.col(high), F.col(high) * near], [F.col(low)]
+    cells = []
+    for limits, beyond in ((above, lambda t: value > t), (at, lambda t: value >= t)):
+        if limits:
+            given = asked.table.select(F.explode(F.array(*[c.cast("double") for c in limits])).alias("t")).dropna().distinct()
+            found = sorted(r["t"] for r in given.limit(_MOST_LIMITS + 1).collect())
+            if len(found) > _MOST_LIMITS:
+                return value
+            if found:
+                many = F.array(*map(F.lit, found))
+                cells.append(F.size(F.filter(many, beyond)))
+    return F.when(value.isNotNull(), F.array(*cells) if cells else F.array(F.lit(0)))
+
+
+def _first_alike(rows: _Listings, asked: _Asked, wishes: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows with one wish each that can be among the first of one of its searches, with the parts of their score."""
+    least = wishes.filter("intent_id = __wish").drop("__wish")
+    numbers = {f"__{c}": value for c, value in rows.numbers.items() if c in (*_PRICES, "build_year")}
+    hard = F.lit(True)
+    for tag in HARD_TAGS:
+        hard = hard & _hard(rows, tag)
+    parts = [p for p in _parts(rows) if not isinstance(p, str)]
+    # Where numbers lie is told once for a row, before it meets the wishes.
+    rows.frame = rows.frame.withColumns({f"__at{c}": _between(asked, c.removeprefix("__"), value) for c, value in numbers.items()})
+    pairs = _candidates(rows, asked, least).select(
+        *columns, rows.noise.alias("__noise"), rows.price().alias("__price"), _q("intent_id").alias("__wish"), hard.alias("__hard"),
+        *[value.alias(name) for name, value in numbers.items()], *[f"__at{c}" for c in numbers],
+        F.array(*parts).alias("__parts"),
+    )
+    # Whole numbers in place of the parts, of which one has few values, far more than that apart.
+    said = F.transform("__parts", lambda p: F.round(p * 10_000).cast("bigint"))
+    pairs = pairs.withColumn("__said", said)
+    alike = Window.partitionBy("__wish", "__noise", "__hard", "__said", *[f"__at{c}" for c in numbers])
+    place = F.row_number().over(alike.orderBy("__price", *rows.row_order()))
+    first = pairs.withColumn("__place", place).filter(F.col("__place") <= asked.most_rows)
+    return first.drop("__place", "__said", *[f"__at{c}" for c in numbers])
+
+
+def _score(rows: _Listings) -> Column:
+    """The score of a row with the parts of a wish for the search ``__q`` beside it, summed in the order of :func:`_parts`."""
+    total, nth = F.lit(0.0), 0
+    for part in _parts(rows):
+        if isinstance(part, str):
+            for points in _by_limits(part, F.col(f"__{part}")):
+                total = total + points
+        else:
+            total, nth = total + F.get("__parts", F.lit(nth)), nth + 1
     return total
 
 
@@ -207,18 +293,18 @@ def search_batch(df: DataFrame, intents: DataFrame | dict[str, SearchIntent]) ->
     """Search for all rows of ``intents``: (intent_id, rank, row, score) of the best rows of each.
 
     ``intents`` has an ``intent_id`` and any of the fields of :class:`SearchIntent` as columns; a missing column or NULL
-    is the field's default.  The listings are read once, every task keeps the best ``max_rows`` rows per search before
-    the shuffle, and a search that asks for no rows gets none.  Runs two small jobs over the searches.
+    is the field's default.  The listings are read once, every task keeps the first rows of those alike before the
+    shuffle, and a search that asks for no rows gets none.  Runs small jobs over the searches.
     """
     table = intent_table(df.sparkSession, intents) if isinstance(intents, dict) else intents
     asked = _asked(table.filter(F.coalesce(F.col("needs_row_samples"), F.lit(False))) if "needs_row_samples" in table.columns else table.limit(0))
     rows = _Listings(df)
-    hard = F.lit(True)
-    for tag in HARD_TAGS:
-        hard = hard & _hard(rows, tag)
-    hits = _candidates(rows, asked).select(
-        *df.columns, rows.noise.alias("__noise"), rows.price().alias("__price"), _q("intent_id").alias("intent_id"),
-        _q("max_rows").alias("__most"), hard.alias("__hard"), pinned_number(_score(rows)).alias("score"),
+    wishes = _wishes(asked)
+    small = F.broadcast if asked.count <= BROADCAST_INTENTS else lambda searches: searches
+    searches = wishes.select("__wish", F.struct(*asked.table.columns).alias("__q"))
+    hits = _first_alike(rows, asked, wishes, df.columns).join(small(searches), "__wish").select(
+        *df.columns, "__noise", "__price", _q("intent_id").alias("intent_id"),
+        _q("max_rows").alias("__most"), "__hard", pinned_number(_score(rows)).alias("score"),
     )
     order = [F.col("__noise"), F.desc("__hard"), F.desc("score"), F.col("__price"), *[F.col(c) for c in rows.row_order()]]
     best = first_rows(hits, order, asked.most_rows, "intent_id", F.col("__most"))

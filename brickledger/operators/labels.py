@@ -36,7 +36,7 @@ def text_labels(df: DataFrame) -> DataFrame:
         "tag_lighting": contains_any(text, fixed.LIGHTING),
         "tag_subway_station_hint": pinned(cells.station_hint(text)),
         "tag_elevator": contains_any(text, fixed.ELEVATOR),
-        "layout_normalized": cells.layout(F.col("layout").cast("string")) if "layout" in kept else F.lit(""),
+        "layout_normalized": pinned(cells.layout(F.col("layout").cast("string"))) if "layout" in kept else F.lit(""),
     }
     if "build_year" in kept:
         year = ascii_digits(first_match(F.col("__text"), fixed.YEAR_TEXT)).try_cast("double")

@@ -20,7 +20,7 @@ def method_sizes(df):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
-@pytest.mark.parametrize("key", ["finalize", "search_display", "decade_avg", "floor_band_price", "export_slim"])
+@pytest.mark.parametrize("key", ["finalize", "search_display", "search_topk", "decade_avg", "floor_band_price", "export_slim"])
 def test_methods_are_small_enough_to_be_compiled(spark, key):
     assert max(method_sizes(queries.QUERIES[key](spark, "/root/testdata/sf0.001"))) < COMPILED_BYTES
 

@@ -207,3 +207,27 @@ def test_display(spark):
     assert shown.columns == ["community", "layout", "unit_price"] and len(shown.first()["community"]) == 160
     assert len(search.display(df).first()["community"]) == 200
     assert '"layout":null' in search.display_json(df).first()["listing"]
+
+
+def test_batch_meets_wishes_before_searches(spark):
+    """Listings that go on to the searches do not grow with the table, and limits that lie at a number keep their sides."""
+    rng = random.Random(8)
+    limits = [100.0 / 1.2, 100.0, 110.0, 120.0, 132.0]
+    intents = {f"{i}": SearchIntent(
+        True, district_contains=rng.choice(["高新", "锦江"]), max_unit_price=rng.choice([None, *limits]), min_unit_price=rng.choice([None, *limits]),
+        min_build_year=rng.choice([None, 2008, 2016]), max_rows=rng.choice([1, 2, 3])) for i in range(60)}
+    rows = [(rng.choice(["高新区", "锦江区"]), rng.choice([90.0, 100.0, 110.0, 120.0, 132.0, 150.0, None]), rng.choice([2000, 2008, 2016, None]))
+            for _ in range(1200)]
+    sizes = []
+    for n in (600, 1200):
+        df = spark.createDataFrame([(f"{i:05d}", *row) for i, row in enumerate(rows[:n])], "row_id string, district string, unit_price double, build_year int")
+        asked = batch_search._asked(batch_search.intent_table(spark, intents))
+        wishes = batch_search._wishes(asked)
+        sizes.append(batch_search._first_alike(search._Listings(df), asked, wishes, df.columns).count())
+    assert sizes[0] <= sizes[1] <= 2 * 7 * 4 * 3 and sizes[1] < 1.2 * sizes[0]
+    batch = {}
+    for r in batch_search.search_batch(df, intents).collect():
+        batch.setdefault(r["intent_id"], []).append((r["rank"], r["row_id"], r["score"]))
+    for key in [*intents][:5]:
+        single = [(i + 1, r["row_id"], r["score"]) for i, r in enumerate(search.search_listings(df, intents[key]).collect())]
+        assert sorted(batch[key]) == single
