@@ -101,6 +101,7 @@ YEAR_TEXT = r"(19\d{2}|20[0-3]\d)"
 FLOOR_WORD = r"(低层|中层|高层|低区|中区|高区|一楼顶楼)"
 FLOOR_RATIO = r"^\s*(\d+)\s*/\s*(\d+)\s*$"
 ROOM_COUNT = r"(\d+)\s*室"
+LONE_ROOM_COUNT = r"^([0-9]++)室[^室]*+$"
 HALL_COUNT = r"(\d+)\s*厅"
 LAYOUT_ROOMS_HALLS = r"(\d+)\s*室\s*(\d+)\s*厅"
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from brickledger import fixed
-from brickledger.functions.text import ascii_digits, contains_any, first_match, let, matches, strip
+from brickledger.functions.text import ascii_digits, contains_any, filled, first_match, let, matches, strip
 
 
 def labelled(text: Column, labels) -> Column:
@@ -71,10 +71,14 @@ def layout(text: Column, max_chars: int | None = None) -> Column:
 
 
 def max_rooms(text: Column) -> Column:
-    """Largest n over all 'n室' in the text, 0 when there is none."""
+    """Largest n over all 'n室' in the text, 0 when there is none.
+
+    A text that begins with the only 'n室' in it, as most do, and one without 室 need no search for all of them.
+    """
+    lone = filled(F.regexp_extract(text, fixed.LONE_ROOM_COUNT, 1)).try_cast("double")
     found = F.regexp_extract_all(text, F.lit(fixed.FLAGS + fixed.ROOM_COUNT), F.lit(1))
     counts = F.transform(found, lambda n: ascii_digits(n).try_cast("double"))
-    return F.coalesce(F.array_max(counts), F.lit(0.0))
+    return F.coalesce(lone, F.when(text.contains("室"), F.array_max(counts)), F.lit(0.0))
 
 
 def near_subway(text: Column) -> Column:

@@ -121,7 +121,7 @@ def _candidates(rows: _Listings, asked: _Asked, table: DataFrame | None = None)
     """
     table = asked.table if table is None else table
     small = F.broadcast if asked.count <= BROADCAST_INTENTS else lambda df: df
-    geo = [F.coalesce(c, F.lit("")) for c in rows.geo]
+    geo = [F.coalesce(F.lower(c), F.lit("")) for c in rows.geo]
 
     def in_geo(word: Column) -> Column:
         found = F.lit(False)
@@ -298,7 +298,7 @@ def search_batch(df: DataFrame, intents: DataFrame | dict[str, SearchIntent]) ->
     """
     table = intent_table(df.sparkSession, intents) if isinstance(intents, dict) else intents
     asked = _asked(table.filter(F.coalesce(F.col("needs_row_samples"), F.lit(False))) if "needs_row_samples" in table.columns else table.limit(0))
-    rows = _Listings(df)
+    rows = _Listings(df, lowered=True)
     wishes = _wishes(asked)
     small = F.broadcast if asked.count <= BROADCAST_INTENTS else lambda searches: searches
     searches = wishes.select("__wish", F.struct(*asked.table.columns).alias("__q"))
@@ -317,7 +317,7 @@ def search_batch(df: DataFrame, intents: DataFrame | dict[str, SearchIntent]) ->
 def search_outcomes(df: DataFrame, intents: DataFrame | dict[str, SearchIntent]) -> DataFrame:
     """:func:`search.search_outcome` of all searches with their intent_id, from one aggregation by search."""
     table = intent_table(df.sparkSession, intents) if isinstance(intents, dict) else intents
-    asked, rows = _asked(table), _Listings(df)
+    asked, rows = _asked(table), _Listings(df, lowered=True)
     clean, passed = ~rows.noise, F.lit(True)
     counts = [F.count("*").alias("candidates"), F.count_if(clean).alias("clean")]
     for tag in HARD_TAGS:

@@ -8,6 +8,7 @@ but those.  Many searches at once are a table of their own, see batch_search.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -84,20 +85,28 @@ def geo_keywords(district: str) -> list[str]:
     return list(dict.fromkeys(form for name in names for form in _spellings(name)))
 
 
+def _same_in_lower_case(word: str) -> bool:
+    """Whether a text has the word if and only if the text in lower case has it: no letter becomes one of these characters,
+    or one of these another.  So the text need not be put into lower case, which costs more than the search."""
+    return re.fullmatch(r"[\u4e00-\u9fff0-9]*", word) is not None
+
+
 class _Listings:
-    """The conditions of a search as expressions over one listings table."""
+    """The conditions of a search as expressions over one listings table; ``lowered``: all words are looked for in lower case."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, lowered: bool = False):
         self.columns = df.columns
-        geo = [F.lower(F.col(c).cast("string")) for c in fixed.GEO_COLUMNS if c in df.columns]
+        geo = [F.col(c).cast("string") for c in fixed.GEO_COLUMNS if c in df.columns]
         rooms = [
             cells.max_rooms(F.coalesce(F.col(c).cast("string"), F.lit("")))
             for c in ("layout_normalized", "layout", "house_info_raw") if c in df.columns
         ]
         family = [c for c in ("layout_normalized", "layout") if c in df.columns]
-        self.text = F.col("__text")
-        self.frame = df.withColumn("__text", F.lower(joined_text(df, fixed.SEARCH_TEXT_COLUMNS)))
-        self.frame = self.frame.withColumns({
+        self.text = F.col("__text")  # in lower case
+        given = joined_text(df, fixed.SEARCH_TEXT_COLUMNS)
+        self.given = self.text if lowered else F.col("__as_given")
+        self.frame = df if lowered else df.withColumn("__as_given", given)
+        self.frame = self.frame.withColumn("__text", F.lower(given if lowered else self.given)).withColumns({
             "__parking": self._said(*fixed.PARKING_WORDS),
             "__absurd": self._any([r >= fixed.ABSURD_ROOMS for r in rooms]),
             "__family": self._any([
@@ -114,12 +123,19 @@ class _Listings:
         conditions = [F.coalesce(c, F.lit(False)) for c in conditions]
         return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)
 
+    @staticmethod
+    def _has(text: Column, word: str, lower: Column | None = None) -> Column:
+        """Whether a text has the word, in either case; ``lower``: the text in lower case, if at hand."""
+        if _same_in_lower_case(word):
+            return text.contains(word)
+        return (F.lower(text) if lower is None else lower).contains(word.lower())
+
     def _said(self, *words: str) -> Column:
-        return self._any([self.text.contains(w.lower()) for w in words])
+        return self._any([self._has(self.given, w, self.text) for w in words])
 
     def _in(self, columns, word: str) -> Column:
         present = [c for c in columns if c in self.columns]
-        return self._any([F.lower(F.col(c).cast("string")).contains(word.lower()) for c in present])
+        return self._any([self._has(F.col(c).cast("string"), word) for c in present])
 
     def _tag(self, name: str) -> Column:
         present = name in self.columns
@@ -128,7 +144,7 @@ class _Listings:
     def geo_match(self, words: list[str]) -> Column:
         if not self.geo or not words:
             return F.lit(True)
-        return self._any([c.contains(w.lower()) for c in self.geo for w in words])
+        return self._any([self._has(c, w) for c in self.geo for w in words])
 
     def candidate(self, intent: SearchIntent) -> Column:
         district = intent.asked("district_contains")
