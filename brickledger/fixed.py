@@ -100,6 +100,7 @@ YEAR_CELL = r"(19\d{2}|20\d{2})"
 YEAR_TEXT = r"(19\d{2}|20[0-3]\d)"
 FLOOR_WORD = r"(低层|中层|高层|低区|中区|高区|一楼顶楼)"
 FLOOR_RATIO = r"^\s*(\d+)\s*/\s*(\d+)\s*$"
+USUAL_FLOOR_RATIO = r"^[0-9]{1,9}/[0-9]{1,9}\z"
 ROOM_COUNT = r"(\d+)\s*室"
 LONE_ROOM_COUNT = r"^([0-9]++)室[^室]*+$"
 HALL_COUNT = r"(\d+)\s*厅"

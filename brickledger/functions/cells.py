@@ -24,7 +24,7 @@ def first_word(text: Column, words) -> Column:
 def floor_band(text: Column) -> Column:
     """低层/中层/高层 from the wording or from 'n/total', else 未知."""
     s = strip(text)
-    word = F.substring(F.regexp_extract(s, fixed.FLAGS + fixed.FLOOR_WORD, 1), 1, 1)
+    word = F.substring(F.regexp_extract(text, fixed.FLAGS + fixed.FLOOR_WORD, 1), 1, 1)
     said = F.element_at(F.create_map(*[F.lit(v) for band in ("低层", "中层", "高层") for v in (band[0], band)]), word)
     current = ascii_digits(first_match(s, fixed.FLOOR_RATIO, 1)).try_cast("double")
     total = ascii_digits(first_match(s, fixed.FLOOR_RATIO, 2)).try_cast("double")
@@ -32,8 +32,10 @@ def floor_band(text: Column) -> Column:
     def of_share(share: Column) -> Column:
         return F.when(share <= 1 / 3, "低层").when(share <= 2 / 3, "中层").when(share.isNotNull(), "高层")
 
-    counted = let(let(total, lambda n: F.when(n > 0, current / n)), of_share)
-    return F.coalesce(said, F.when(s.contains("/"), counted), F.lit(fixed.UNKNOWN))
+    usual = F.try_divide(*[F.substring_index(text, "/", at).try_cast("double") for at in (1, -1)])
+    odd = let(total, lambda n: F.when(n > 0, current / n))
+    counted = let(F.when(text.rlike(fixed.USUAL_FLOOR_RATIO), usual).otherwise(odd), of_share)
+    return F.coalesce(said, F.when(text.contains("/"), counted), F.lit(fixed.UNKNOWN))
 
 
 def decoration(text: Column, max_chars: int | None = None) -> Column:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brickledger.functions import cells
-from brickledger.operators import search
+from brickledger.operators import cleaning, search
 from verification import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -38,3 +38,16 @@ def test_most_rooms(spark, text, rooms):
 
 def test_texts_with_one_room_count_are_not_searched_for_all(spark):
     assert "^([0-9]++)室" in optimized(queries.search_score(spark, SMALL))
+
+
+@pytest.mark.parametrize("text, band", [
+    ("1/3", "低层"), ("2/3", "中层"), ("33/33", "高层"), (" 4 / 6 ", "中层"), ("１/９", "低层"), ("5/0", "未知"), ("0/0", "未知"), ("1/33\n", "低层"),
+    ("1/2/3", "未知"), ("/", "未知"), ("中楼层(共26层)", "未知"), (" 低层(共6层)", "低层"), (None, "未知"),
+])
+def test_floor_bands(spark, text, band):
+    df = spark.createDataFrame([(text,)], "floor string")
+    assert cleaning.floor_band(df).first().floor_band == band
+
+
+def test_usual_floors_are_divided_without_a_search_for_their_parts(spark):
+    assert "substring_index(" in optimized(queries.QUERIES["floor_band"](spark, SMALL))
