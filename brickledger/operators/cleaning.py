@@ -154,7 +154,7 @@ def _chained(df: DataFrame) -> DataFrame:
         work = work.withColumn(f"__found_{name}", first_match(left, rf"\|(\s*{accepts})(?=\|)"))
         work = work.withColumn("__left", _without_part(left, F.col(f"__found_{name}")))
     return work.withColumns({
-        f"__{name}": F.coalesce(F.get("__usual", F.lit(fixed.USUAL_PARTS.index(name))), F.col(f"__found_{name}"))
+        f"__{name}": F.coalesce(F.get("__usual", F.lit(fixed.USUAL_PARTS.index(name))), strip(F.col(f"__found_{name}")))
         for name, _, _ in _HOUSE_INFO
     })
 
@@ -174,7 +174,7 @@ def expand_house_info(df: DataFrame, all_columns: bool = False) -> DataFrame:
         return df
     kept = df.columns
     work = _folded(df) if all_columns else _chained(df)
-    work = work.select(*kept, *[pinned(strip(F.col(f"__{name}"))).alias(f"__{name}") for name, _, _ in _HOUSE_INFO])
+    work = work.select(*kept, *[pinned(F.col(f"__{name}")).alias(f"__{name}") for name, _, _ in _HOUSE_INFO])
     values = {name: _fill_blank(df, name, value(F.col(f"__{name}"))) for name, _, value in _HOUSE_INFO}
     if "layout_str" not in kept:
         values["layout_str"] = pinned(values["layout_str"])  # for small generated methods

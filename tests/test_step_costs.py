@@ -51,3 +51,12 @@ def test_floor_bands(spark, text, band):
 
 def test_usual_floors_are_divided_without_a_search_for_their_parts(spark):
     assert "substring_index(" in optimized(queries.QUERIES["floor_band"](spark, SMALL))
+
+
+def test_parts_of_house_info_are_trimmed_once(spark):
+    rows = spark.createDataFrame([(" 精装 | 3室2厅 |89平米",), ("3室2厅|89平米|南|精装|低楼层(共6层)|2016年建|板楼",)], "house_info_raw string")
+    names = ["layout_str", "area_m2_str", "decoration_str", "building_type_str"]
+    for all_columns in (False, True):
+        found = cleaning.expand_house_info(rows, all_columns)
+        assert [tuple(r) for r in found.select(names).collect()] == [("3室2厅", "89平米", "精装", None), ("3室2厅", "89平米", "精装", "板楼")]
+    assert ", trim(__" not in found._jdf.queryExecution().analyzed().toString()
