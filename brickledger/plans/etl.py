@@ -53,12 +53,25 @@ def clean_and_label(raw: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def stage_counts(raw: DataFrame, folder: str | None = None) -> DataFrame:
-    """Rows after each stage that can drop rows, and whether it dropped the most; ``folder`` as in clean_listings."""
-    return _stage_counts(_parsed(raw, folder))
+    """Rows after each stage that can drop rows, and whether it dropped the most; ``folder`` as in clean_listings.
 
-
-def _stage_counts(parsed: DataFrame) -> DataFrame:
-    unique = deduplicate(parsed)
+    Rows that have dedup keys are told apart and counted by the keys, the order and the price: no other column is parsed,
+    or written to the folder.  Keys are resolved on the listings before, which parses what it counts only.
+    """
+    lazy = parse_listings(raw)
+    keys = dedup.resolve_dedup_keys(lazy)
+    needed = [c for c in lazy.columns if c in {*dedup.ROW_ORDER, *(keys or []), "unit_price"}]
+    if not keys or not set(dedup.ROW_ORDER) - set(keys) & set(needed):  # other columns tell rows apart or put them in order
+        return _stage_counts(_parsed(raw, folder), keys)
+    narrow = lazy.select(*needed)
+    if folder is not None:
+        narrow.write.mode("overwrite").parquet(f"{folder}/parsed")
+        narrow = raw.sparkSession.read.schema(narrow.schema).parquet(f"{folder}/parsed")
+    return _stage_counts(narrow, keys)
+
+
+def _stage_counts(parsed: DataFrame, keys: list[str] | None) -> DataFrame:
+    unique = dedup.drop_duplicates_first(parsed, keys)
     kept = outliers.is_inlier(unique, "unit_price") if "unit_price" in unique.columns else F.lit(True)
     after = unique.agg(F.count("*").alias("dedup"), F.count_if(kept).alias("iqr"))
     return _stage_rows(after.select(parsed.agg(F.count("*")).scalar().alias("input"), "*"))

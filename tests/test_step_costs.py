@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from brickledger.functions import cells
-from brickledger.operators import cleaning, search
+from brickledger.operators import cleaning, dedup, search
+from brickledger.plans import etl
 from verification import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -60,3 +61,20 @@ def test_parts_of_house_info_are_trimmed_once(spark):
         found = cleaning.expand_house_info(rows, all_columns)
         assert [tuple(r) for r in found.select(names).collect()] == [("3室2厅", "89平米", "精装", None), ("3室2厅", "89平米", "精装", "板楼")]
     assert ", trim(__" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_stage_counts_write_what_they_count_only(spark, tmp_path):
+    raw = queries.raw(spark, SMALL)
+    found = [tuple(r) for r in etl.stage_counts(raw, str(tmp_path)).collect()]
+    assert set(spark.read.parquet(f"{tmp_path}/parsed").columns) == {"row_id", "ingest_file", "listing_id", "unit_price"}
+    whole = etl.parse_listings(raw)
+    assert found == [tuple(r) for r in etl._stage_counts(whole, dedup.resolve_dedup_keys(whole)).collect()]
+
+
+@pytest.mark.parametrize("columns", [("district", "total_price"), ("total_price",), ("row_id", "community", "total_price"), ("ingest_file", "listing_id")])
+def test_stage_counts_of_tables_with_few_columns(spark, tmp_path, columns):
+    raw = queries.raw(spark, SMALL, *columns)
+    whole = etl.parse_listings(raw)
+    expected = [tuple(r) for r in etl._stage_counts(whole, dedup.resolve_dedup_keys(whole)).collect()]
+    assert [tuple(r) for r in etl.stage_counts(raw, str(tmp_path)).collect()] == expected
+    assert [tuple(r) for r in etl.stage_counts(raw).collect()] == expected
