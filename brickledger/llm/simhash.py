@@ -283,18 +283,23 @@ def apart_links(members: DataFrame, sets: _Sets, links: DataFrame, similarity: f
         roots = rows.groupBy("hash").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one < other")
         return written(rows.join(roots.select("hash"), "hash", "left_semi"))
 
-    def rooted(rows: DataFrame) -> DataFrame:
-        roots = components(links).select("node", F.col("root").alias("now"))
-        joined = rows.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("now", "root"))
-        return several(joined.drop("now"))
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        return written(links.union(sets.similar(pairs, similarity, hashes)))
-
+    def joined(rows: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """`rows` and `roots` after the links `fresh`: only roots that these join are looked at, not all links again."""
+        of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+        ends = fresh.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        moved = components(ends).select(F.col("node").alias("root"), F.col("root").alias("now"))
+        if moved.isEmpty():
+            return rows, roots
+        moved = written(moved)
+        moving = lambda df: df.join(moved, "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
+        return several(moving(rows)), written(moving(roots))
+
+    roots = open_nodes.select("node", "root")
     live = several(found)
     centre = live.groupBy("hash").agg(F.min(F.struct("own", "node", "size", "root", "place")).alias("c")).select("hash", "c.*")
-    links = compared(written(_meeting(live, centre, similarity)))
-    live = rooted(live)
+    fresh = sets.similar(written(_meeting(live, centre, similarity)), similarity, hashes)
+    links = links.union(fresh)
+    live, roots = joined(live, fresh)
     by_root = live.groupBy("hash", "root").agg(F.count(F.lit(1)).alias("n"))
     groups = by_root.groupBy("hash").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
     drawn = F.pmod(F.xxhash64("hash", "node"), F.lit(1 << 20)) / (1 << 20) * (F.col("n") - F.col("most.n"))
@@ -305,9 +310,10 @@ def apart_links(members: DataFrame, sets: _Sets, links: DataFrame, similarity: f
         pairs = written(_meeting(live.where(F.col("turn") == k), live, similarity))
         if pairs.isEmpty():
             continue
-        links = compared(pairs)
+        fresh = sets.similar(pairs, similarity, hashes)
+        links = links.union(fresh)
         if k < turns:
-            live = rooted(live)
+            live, roots = joined(live, fresh)
     return links
 
 

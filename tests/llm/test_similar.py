@@ -86,3 +86,24 @@ def test_rows_without_an_id_link_others(spark):
     table = docs(spark, [near[0], base, near[1], base], ids=[7, None, 3, None])
     found = sorted((r.doc_id is None, r.doc_id or 0, r.class_id) for r in simhash.similar_classes(table, 5, 0.8).collect())
     assert found == [(False, 3, 3), (False, 7, 3), (True, 0, 3), (True, 0, 3)]
+
+
+def test_turns_look_at_new_links_only(spark, monkeypatch):
+    """The edges whose components are sought: each link once, not all links again after each turn."""
+    monkeypatch.setattr(simhash, "SPARSE", 2)
+    edges, links, components, apart = [], [], simhash.components, simhash.apart_links
+
+    def seen(df):
+        edges.append(df.count())
+        return components(df)
+
+    def kept(*given):
+        links.append(apart(*given))
+        return links[0]
+
+    monkeypatch.setattr(simhash, "components", seen)
+    monkeypatch.setattr(simhash, "apart_links", kept)
+    base = prose(7, 120, 4000)
+    texts = [replaced(base, 4, f"t{i}") for i in range(100)]
+    simhash.similar_classes(docs(spark, texts + [replaced(t, 1, "z") for t in texts[:20]]), 5, 0.8).count()
+    assert len(edges) >= 2 and edges[0] > 0 and sum(edges) <= links[0].count()
