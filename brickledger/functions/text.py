@@ -29,13 +29,14 @@ def pinned(value: Column) -> Column:
 
     The zero goes through a lambda, which has no generated code.  So the projection is generated on its own, in small
     methods: within the code of its stage all cells would be parsed in one method, which from 8,000 bytes on the JVM
-    does not compile but interprets.
+    does not compile but interprets.  The lambda is over a literal array, as one made anew for each cell costs more than
+    the rest.
     """
     return F.elt(_nought() + 1, value)
 
 
 def _nought() -> Column:
-    return F.get(F.transform(F.array(F.spark_partition_id() * 0), lambda n: n), F.lit(0))
+    return F.exists(F.array(F.lit(0)), lambda n: F.spark_partition_id() < n).cast("int")
 
 
 def pinned_number(value: Column) -> Column:
