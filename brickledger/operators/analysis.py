@@ -91,8 +91,10 @@ def decade_avg(df: DataFrame, min_rows: int = fixed.MIN_ROWS) -> DataFrame:
     year, price = to_number(df, "build_year"), to_number(df, "unit_price")
     rows = df.select(cells.decade(year).alias("decade_start"), price.alias("price"))
     valid = F.count(F.when(F.col("decade_start").isNotNull(), F.col("price")))
-    means = rows.groupBy("decade_start").agg(F.avg("price").alias("avg_unit_price"), valid.alias("__n"))
-    return means.filter("__n > 0").drop("__n").filter(_enough(rows.dropna(), min_rows))
+    means = rows.groupBy("decade_start").agg(F.avg("price").alias("avg_unit_price"), valid.alias("__n")).filter("__n > 0")
+    # The listings with both are those of all decades, which are few, so the table is not read again for them.
+    everywhere = F.sum("__n").over(Window.partitionBy(F.lit(0)))
+    return means.withColumn("__all", everywhere).filter(F.col("__all") >= min_rows).drop("__n", "__all")
 
 
 # --- Task list -------------------------------------------------------------------------------------

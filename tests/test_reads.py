@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from brickledger.functions.text import pinned, pinned_number
+from brickledger.operators import analysis
 from verification import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -23,3 +24,10 @@ def test_pinned_values_make_no_array_for_each_cell(spark):
     assert [tuple(r) for r in done.collect()] == [("a", 1.5), (None, None), ("", -0.5)]
     plan = optimized(done.filter("t = 'a'"))
     assert "transform(" not in plan and plan.startswith("Filter")
+
+
+def test_decades_read_the_table_once(spark):
+    rows = spark.createDataFrame([(2011.0, 10.0)] * 3 + [(2022.0, 30.0), (2023.0, None), (None, 5.0)], "build_year double, unit_price double")
+    assert "subquery" not in optimized(analysis.decade_avg(rows)).lower()
+    assert analysis.decade_avg(rows).count() == 0
+    assert {tuple(r) for r in analysis.decade_avg(rows, 4).collect()} == {(2010, 10.0), (2020, 30.0)}
