@@ -410,6 +410,23 @@ def task_status(
     return status.select("position", "task", F.col("reason").isNull().alias("ok"), "reason")
 
 
+def status_by_columns(df: DataFrame, variants: dict[str, list[str]]) -> DataFrame:
+    """:func:`task_status` of parts of the table's columns, as (variant, position, task, ok, reason).
+
+    One aggregation has the counts of all: a task's count is the same wherever its columns are there.
+    """
+    counts, offered = _task_counts(df, applicable_tasks(df.columns), {})
+    states = dict(zip(applicable_tasks(df.columns), offered))
+    rows = [
+        F.struct(F.lit(name).alias("variant"), F.lit(i).alias("position"), F.lit(task).alias("task"), states[task]["reason"].alias("reason"))
+        for name, columns in variants.items() for i, task in enumerate(applicable_tasks(columns))
+    ]
+    if not rows:
+        return df.sparkSession.createDataFrame([], f"variant string, {_NO_TASKS}")
+    status = df.agg(*counts).select(F.inline(F.array(*rows)))
+    return status.select("variant", "position", "task", F.col("reason").isNull().alias("ok"), "reason")
+
+
 def summary_facts(
     df: DataFrame, tasks: list[str] | None = None, errors: dict[str, str] | None = None
 ) -> DataFrame:

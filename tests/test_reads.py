@@ -31,3 +31,11 @@ def test_decades_read_the_table_once(spark):
     assert "subquery" not in optimized(analysis.decade_avg(rows)).lower()
     assert analysis.decade_avg(rows).count() == 0
     assert {tuple(r) for r in analysis.decade_avg(rows, 4).collect()} == {(2010, 10.0), (2020, 30.0)}
+
+
+def test_offered_tasks_of_parts_of_the_columns_are_one_read(spark):
+    assert optimized(queries.QUERIES["applicable_tasks"](spark, SMALL)).count("l_orderkey#") == optimized(queries.QUERIES["task_status"](spark, SMALL)).count("l_orderkey#")
+    rows = queries.parsed(spark, SMALL)
+    some = rows.drop("area_m2", "floor_band")
+    found = analysis.status_by_columns(rows, {"some": some.columns, "none": []}).drop("variant").collect()
+    assert found == analysis.task_status(some).collect()

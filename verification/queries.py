@@ -405,10 +405,7 @@ def applicable_tasks(spark: SparkSession, d: str) -> DataFrame:
     """The tasks offered for the whole table and for parts of its columns, with their state."""
     rows = parsed(spark, d)
     variants = {"all": rows, "no_price": rows.drop("unit_price"), "no_area": rows.drop("area_m2", "floor_band")}
-    return reduce(DataFrame.union, [
-        analysis.task_status(some).select(F.lit(name).alias("variant"), "position", "task", "ok")
-        for name, some in variants.items()
-    ])
+    return analysis.status_by_columns(rows, {name: some.columns for name, some in variants.items()}).drop("reason")
 
 
 # --- Search ----------------------------------------------------------------------------------------
