@@ -1,5 +1,6 @@
 """How often the listings' queries read, shuffle and parse the table."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from brickledger.functions.text import pinned, pinned_number
@@ -39,3 +40,8 @@ def test_offered_tasks_of_parts_of_the_columns_are_one_read(spark):
     some = rows.drop("area_m2", "floor_band")
     found = analysis.status_by_columns(rows, {"some": some.columns, "none": []}).drop("variant").collect()
     assert found == analysis.task_status(some).collect()
+
+
+@pytest.mark.parametrize("key", ["iqr_filter"])
+def test_prices_that_are_read_twice_are_parsed_once(spark, key):
+    assert "l_orderkey" not in optimized(queries.QUERIES[key](spark, SMALL))

@@ -264,8 +264,15 @@ def dedup_first(spark: SparkSession, d: str) -> DataFrame:
     return dedup.drop_duplicates_first(rows, ["ingest_file", "listing_id"])
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """df as a table, read again: for columns that several jobs need and that take long to parse."""
+    folder = _scratch(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def iqr_filter(spark: SparkSession, d: str) -> DataFrame:
-    return outliers.remove_price_outliers(parsed(spark, d).select("row_id", "unit_price"))
+    return outliers.remove_price_outliers(_stored(parsed(spark, d).select("row_id", "unit_price")))
 
 
 def etl_clean(spark: SparkSession, d: str) -> DataFrame:
