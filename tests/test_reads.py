@@ -42,6 +42,6 @@ def test_offered_tasks_of_parts_of_the_columns_are_one_read(spark):
     assert found == analysis.task_status(some).collect()
 
 
-@pytest.mark.parametrize("key", ["iqr_filter"])
+@pytest.mark.parametrize("key", ["iqr_filter", "quantiles_by_sketch"])
 def test_prices_that_are_read_twice_are_parsed_once(spark, key):
     assert "l_orderkey" not in optimized(queries.QUERIES[key](spark, SMALL))

@@ -367,7 +367,7 @@ def _analysis(job, *round_columns: str, columns: tuple[str, ...] = ()):
 
 def quantiles_by_sketch(spark: SparkSession, d: str) -> DataFrame:
     """Prices per file sketched apart and merged: values, and whether the quartiles' ranks are as near as promised."""
-    rows = parsed(spark, d).select("ingest_file", "unit_price")
+    rows = _stored(parsed(spark, d).select("ingest_file", "unit_price"))
     wanted = [0.25, 0.5, 0.75]
     apart = quantiles.value_sketches(rows, F.col("unit_price"), F.col("ingest_file"))
     merged = quantiles.merged_sketches(apart.withColumn("g", F.lit("")))
