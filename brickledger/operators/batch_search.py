@@ -4,29 +4,44 @@ The plan is the same for any number of searches.  A listing's pairs of character
 gives the districts asked for that it is a candidate of; these are joined to the searches, whose words, limits and wishes
 are columns of the score.  A listing only meets the searches whose candidate it is.
 
-Searches that differ in their limits and numbers of rows only have one wish.  A listing first meets the wishes.  Of those
-that no search of a wish can tell apart by its score, as all its limits lie on the same side of their numbers, the first
-go on to the searches, as many as are asked for at most: the others come after them in every search.
+Searches that differ in their limits and numbers of rows only have one wish, and wishes that differ in the words for
+community, layout and station only have one base.  A listing first meets the bases, as one that none of those words is in,
+and, through an index of the words, the wishes of which it has a word.  It can only be better for that, so the listings
+without a word that are among the first of a search are among the first of its base, too.
+
+Of the listings that no search of a base or a wish can tell apart by its score, as all its limits lie on the same side of
+their numbers, the first go on to the searches, as many as are asked for at most: the others come after them in every
+search.  Most limits on the unit price tell none apart: of two listings that are alike otherwise the cheaper one has the
+points, if any, and comes first without them.
 """
 
 from __future__ import annotations
 
 from dataclasses import astuple, dataclass, fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brickledger import fixed
-from brickledger.functions.text import pinned_number, strip
+from brickledger.functions.text import pinned, pinned_number, strip
 from brickledger.operators.ranking import first_rows
 from brickledger.operators.search import HARD_TAGS, SearchIntent, _Listings, hard_tag_flag
 
 #: Up to so many searches, some megabytes with their keywords, both joins broadcast them; beyond, Spark shuffles.
 BROADCAST_INTENTS = 20_000
 _BITS, _WORD = 1 << 16, 64
+#: Up to so many different beginnings of keywords, each is looked for in a listing's text; beyond, the text's pairs of
+#: characters are looked up.
+_FEW_ANCHORS = 64
 #: Up to so many different limits on a number, listings are told apart by the limits they lie between, else by the number.
 _MOST_LIMITS = 1000
 _LIMITS = ("min_unit_price", "max_unit_price", "min_total_price_wan", "max_total_price_wan", "min_build_year")
+#: What a listing may say of a wish, and the columns beside the text where it may; each gives points only.
+_WORDS = {
+    "community_contains": ("community",), "layout_contains": ("layout", "layout_normalized"),
+    "subway_station_contains": ("tag_subway_station_hint",),
+}
 _TYPES = {"str": "string", "bool": "boolean", "float": "double", "int": "int"}
 _FIELDS = {f.name: (_TYPES[f.type.split(" ")[0]], f.default) for f in fields(SearchIntent)}
 
@@ -67,15 +82,20 @@ def keywords(district: Column) -> Column:
 
 
 @dataclass(frozen=True)
-class _Asked:
-    """The searches, and what one small job over them says."""
+class _Anchors:
+    """The first two characters of some keywords: all, if they are few, else as bits of their hashes."""
 
-    table: DataFrame
-    districts: DataFrame
-    count: int
-    most_rows: int
-    bits: Column
-    open: bool
+    few: list[str] | None
+    bits: Column | None
+
+    def inside(self, text: Column) -> Column:
+        """Those in a text, and where they are bits, other pairs of characters with the same hashes."""
+        if self.few is not None:
+            # Without a lambda, in which all tests would be interpreted.
+            return F.array_remove(F.array(*[F.when(text.contains(a), a).otherwise("") for a in self.few], F.lit("")), F.lit(""))
+        parts = F.concat(F.regexp_extract_all(text, F.lit("(?s)(?=(..))"), F.lit(1)), F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
+        known = lambda a: F.getbit(F.get(self.bits, (_bit(a) / _WORD).cast("int")), (_bit(a) % _WORD).cast("int")) == 1
+        return F.array_distinct(F.filter(parts, known))
 
 
 def _anchor(keyword: Column) -> Column:
@@ -86,42 +106,108 @@ def _bit(anchor: Column) -> Column:
     return F.pmod(F.xxhash64(anchor), F.lit(_BITS))
 
 
+def _anchors(keyword: DataFrame) -> _Anchors:
+    """Of a table with the one column ``word``; runs a small job, or two."""
+    anchors = keyword.select(_anchor(F.col("word")).alias("anchor")).dropna().distinct()
+    few = [r["anchor"] for r in anchors.limit(_FEW_ANCHORS + 1).collect()]
+    if len(few) <= _FEW_ANCHORS:
+        return _Anchors(sorted(few), None)
+    marks = anchors.select(_bit(F.col("anchor")).alias("bit"))
+    marked = marks.groupBy((F.col("bit") / _WORD).cast("int").alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, int(bit % {_WORD}))")).alias("mask")
+    )
+    words = [0] * (_BITS // _WORD)
+    for row in marked.collect():  # at most 1024 numbers
+        words[row["word"]] = row["mask"]
+    return _Anchors(None, F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>"))
+
+
+@dataclass(frozen=True)
+class _Asked:
+    """The searches, and what small jobs over them say."""
+
+    table: DataFrame
+    districts: DataFrame
+    count: int
+    wishes: int
+    most_rows: int
+    anchors: _Anchors
+    open: bool
+    worded: bool
+
+
 def _asked(intents: DataFrame) -> _Asked:
     table = _normal(intents)
+    words = [F.col(w).isNotNull() for w in _WORDS]
     facts = table.agg(
         F.count("*").alias("n"), F.count_distinct("intent_id").alias("ids"), F.min("max_rows").alias("least"), F.max("max_rows").alias("most"),
-        F.count_if(F.col("district_contains").isNull()).alias("open"),
+        F.count_if(F.col("district_contains").isNull()).alias("open"), F.count_distinct(F.struct(*_same(table))).alias("wishes"),
+        F.count_if(reduce(lambda a, b: a | b, words)).alias("worded"),
     ).first()
     if facts["n"] != facts["ids"]:
         raise ValueError("intent_id must be filled and different for each search")
     if facts["n"] and facts["least"] < 1:
         raise ValueError("max_rows must be at least 1")
     districts = table.select("district_contains").dropna().distinct().withColumn("words", keywords(F.col("district_contains")))
-    marks = districts.select(F.explode("words").alias("word")).select(_bit(_anchor(F.col("word"))).alias("bit"))
-    marked = marks.groupBy((F.col("bit") / _WORD).cast("int").alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, int(bit % {_WORD}))")).alias("mask")
-    )
-    words = [0] * (_BITS // _WORD)
-    for row in marked.collect():  # at most 1024 numbers
-        words[row["word"]] = row["mask"]
-    bits = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
-    return _Asked(table, districts, facts["n"], facts["most"] or 1, bits, facts["open"] > 0)
+    anchors = _anchors(districts.select(F.explode("words").alias("word")))
+    return _Asked(table, districts, facts["n"], facts["wishes"], facts["most"] or 1, anchors, facts["open"] > 0, facts["worded"] > 0)
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_INTENTS else df
+
+
+def _same(table: DataFrame) -> list[str]:
+    """The columns that the searches of a wish have in common."""
+    return [c for c in table.columns if c not in ("intent_id", "max_rows", *_LIMITS)]
 
 
 def _wishes(asked: _Asked) -> DataFrame:
-    """The searches with the least id of those (``__wish``) that differ from them in limits and numbers of rows only."""
-    same = [c for c in asked.table.columns if c not in ("intent_id", "max_rows", *_LIMITS)]
-    return asked.table.withColumn("__wish", F.min("intent_id").over(Window.partitionBy(*same)))
+    """The searches with the least id of those (``__wish``) that differ from them in limits and numbers of rows only, and
+    that of those (``__base``) that differ in words, too."""
+    same = _same(asked.table)
+    base = [c for c in same if c not in _WORDS] + ["__family_asked"]
+    rows = asked.table.withColumn("__family_asked", F.col("layout_contains").isNotNull())
+    return rows.withColumns({"__wish": F.min("intent_id").over(Window.partitionBy(*same)), "__base": F.min("intent_id").over(Window.partitionBy(*base))})
+
+
+def _bases(wishes: DataFrame) -> DataFrame:
+    """One row for each base: what its searches have in common, the most rows asked for, and which numbers need cells."""
+    limited = {c: reduce(lambda a, b: a | b, [F.col(name).isNotNull() for name in names]) for c, names in _CELLS.items()}
+    kept = [c for c in _same(wishes) if c not in (*_WORDS, "__wish", "__base")]
+    return wishes.groupBy("__base", *kept).agg(
+        F.max("max_rows").alias("max_rows"), *[F.bool_or(some).alias(f"__limits_{c}") for c, some in limited.items()]
+    )
+
+
+def _prepared(rows: _Listings, asked: _Asked) -> None:
+    """Add what is the same for a row in all searches, so that it is told once: texts in lower case and anchors in them."""
+    lowered = {c for c in (*fixed.GEO_COLUMNS, *[c for columns in _WORDS.values() for c in columns]) if c in rows.columns}
+    rows.frame = rows.frame.withColumns({_low(c): pinned(F.lower(F.col(c).cast("string"))) for c in sorted(lowered)})
+    geo = [F.coalesce(F.col(_low(c)), F.lit("")) for c in fixed.GEO_COLUMNS if c in rows.columns]
+    rows.frame = rows.frame.withColumn("__listed", pinned(F.concat_ws("\x01", *geo, F.col("__text"))))
+    every = F.array(F.lit(""))  # stands for the searches without a district
+    if not rows.geo:
+        anchors = every  # without a column to say it, all rows are in every district
+    else:
+        anchors = asked.anchors.inside(F.col("__listed"))
+        if asked.open:
+            anchors = F.concat(every, anchors)
+    rows.frame = rows.frame.withColumn("__anchors", anchors)
+
+
+def _low(column: str) -> str:
+    return f"__low_{column}"
 
 
 def _candidates(rows: _Listings, asked: _Asked, table: DataFrame | None = None) -> DataFrame:
     """The rows with one search (``__q``) each whose candidate they are, and whether its district is said where.
 
-    ``table`` has some of the searches.
+    ``table`` has what is to be met in place of the searches, as many as there are wishes at most.
     """
-    table = asked.table if table is None else table
-    small = F.broadcast if asked.count <= BROADCAST_INTENTS else lambda df: df
-    geo = [F.coalesce(F.lower(c), F.lit("")) for c in rows.geo]
+    n_table, table = (asked.count, asked.table) if table is None else (asked.wishes, table)
+    _prepared(rows, asked)
+    geo = [F.coalesce(F.col(_low(c)), F.lit("")) for c in fixed.GEO_COLUMNS if c in rows.columns]
 
     def in_geo(word: Column) -> Column:
         found = F.lit(False)
@@ -132,20 +218,12 @@ def _candidates(rows: _Listings, asked: _Asked, table: DataFrame | None = None)
     def in_text(word: Column) -> Column:
         return F.col("__text").contains(word)
 
-    listed = F.concat_ws("\x01", *geo, F.col("__text"))
-    parts = F.concat(F.regexp_extract_all(listed, F.lit("(?s)(?=(..))"), F.lit(1)), F.regexp_extract_all(listed, F.lit("(?s)."), F.lit(0)))
-    known = F.filter(parts, lambda a: F.getbit(F.get(asked.bits, (_bit(a) / _WORD).cast("int")), (_bit(a) % _WORD).cast("int")) == 1)
-    anchors = F.array_distinct(known)
-    every = F.array(F.lit(""))  # stands for the searches without a district
-    if not geo:
-        anchors = every  # without a column to say it, all rows are in every district
-    elif asked.open:
-        anchors = F.concat(every, anchors)
     index = asked.districts.select(F.col("district_contains").alias("__key"), "words", F.posexplode("words").alias("nth", "word"))
     index = index.select("__key", F.struct("words", "nth", "word").alias("__w"), _anchor(F.col("word")).alias("__anchor"))
     nothing = F.struct(F.array().cast("array<string>").alias("words"), F.lit(0).alias("nth"), F.lit(None).cast("string").alias("word"))
     index = index.unionByName(asked.table.sparkSession.range(1).select(F.lit("").alias("__key"), nothing.alias("__w"), F.lit("").alias("__anchor")))
-    hits = rows.frame.withColumn("__anchor", F.explode(anchors)).join(small(index), "__anchor")
+    met = rows.frame.withColumn("__anchor", F.explode("__anchors")).drop("__anchors", "__listed")
+    hits = met.join(_small(index, asked.wishes), "__anchor")
     # A district is met by its first keyword that the row has.
     has = lambda w: in_geo(w) | in_text(w)
     before = F.slice(F.col("__w.words"), F.lit(1), F.col("__w.nth"))
@@ -155,13 +233,51 @@ def _candidates(rows: _Listings, asked: _Asked, table: DataFrame | None = None)
     if not geo:
         key, said = F.lit(""), {}
     searches = table.select(key.alias("__key"), F.struct(*table.columns).alias("__q"))
-    pairs = hits.withColumns(said).join(small(searches), "__key").drop("__key", "__anchor", "__w")
+    pairs = hits.withColumns(said).join(_small(searches, n_table), "__key").drop("__key", "__anchor", "__w")
     if not geo:
         pairs = pairs.withColumn("__in_geo", F.col("__q.district_contains").isNotNull())
         pairs = pairs.withColumn("__in_text", F.exists(keywords(F.col("__q.district_contains")), in_text))
     return pairs
 
 
+def _word(name: str) -> Column:
+    """A word of the wish beside a row, in lower case; NULL in its base."""
+    return F.col(f"__w.{name}")
+
+
+def _said_in(rows: _Listings, name: str, word: Column) -> list[Column]:
+    """Whether a column for it, and whether the text, has a word."""
+    columns = [c for c in _WORDS[name] if c in rows.columns]
+    return [rows._any([F.col(_low(c)).contains(word) for c in columns]), rows._any([F.col("__text").contains(word)])]
+
+
+def _meeting_wishes(rows: _Listings, asked: _Asked, wishes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For each row beside a base (``__q``) a row for the base and one for each of its wishes that it has a word of, by the
+    first of them; ``__meets`` names base or wish, ``__w`` has the words."""
+    none = F.struct(*[F.lit(None).cast("string").alias(w) for w in _WORDS])
+    base = F.concat(F.lit("b"), _q("__base"))
+    if not asked.worded:
+        return pairs.withColumns({"__meets": base, "__w": none})
+    index = _word_index(wishes)
+    hits = pairs.withColumns({"__base": _q("__base"), "__anchor": F.explode(F.concat(F.array(F.lit("")), "__word_anchors"))})
+    hits = hits.drop("__word_anchors").join(_small(index, asked.wishes), ["__base", "__anchor"], "left")
+    hits = hits.filter((F.col("__anchor") == "") | F.col("__meets").isNotNull())
+    met, earlier = F.col("__anchor") == "", F.lit(False)
+    for nth, name in enumerate(_WORDS):
+        here = reduce(lambda a, b: a | b, _said_in(rows, name, _word(name)))
+        met, earlier = met | ((F.col("__nth") == nth) & here & ~earlier), earlier | here
+    return hits.filter(met).withColumns({"__meets": F.coalesce("__meets", base)}).drop("__base", "__anchor", "__nth")
+
+
+def _word_index(wishes: DataFrame) -> DataFrame:
+    words = [F.lower(w).alias(w) for w in _WORDS]
+    found = wishes.filter("intent_id = __wish").select(
+        "__base", F.concat(F.lit("w"), "__wish").alias("__meets"), F.struct(*words).alias("__w"),
+        F.posexplode(F.array(*words)).alias("__nth", "word"),
+    ).dropna(subset=["word"])
+    return found.withColumn("__anchor", _anchor(F.col("word"))).drop("word")
+
+
 def _q(name: str) -> Column:
     return F.col(f"__q.{name}")
 
@@ -175,38 +291,39 @@ def _points(condition: Column, n: float) -> Column:
     return F.when(condition, n).otherwise(0.0)
 
 
+def _capped(rows: _Listings) -> dict[str, Column]:
+    """The points of a row for each wish that it has a tag or words for, the same in all searches that have the wish."""
+    def capped(tag: str, tag_points: float, words, text_points: float, cap: float) -> Column:
+        return F.least(_points(rows._tag(tag), tag_points) + _points(rows._said(*words), text_points), F.lit(cap))
+
+    return {
+        "near_subway": capped("tag_near_subway", fixed.SUBWAY_TAG, fixed.SUBWAY_WORDS, fixed.SUBWAY_TEXT, fixed.SUBWAY_CAP),
+        "has_balcony": capped("tag_has_balcony", fixed.BALCONY_TAG, fixed.BALCONY_WORDS, fixed.BALCONY_TEXT, fixed.BALCONY_CAP),
+        "lighting_preferred": capped("tag_lighting", fixed.LIGHTING_TAG, fixed.LIGHTING_WORDS, fixed.LIGHTING_TEXT, fixed.LIGHTING_CAP),
+    }
+
+
 def _parts(rows: _Listings) -> list[Column | str]:
-    """The summands of :meth:`_Listings.score` for the wish ``__q`` beside a row; names of numbers stand for those of limits on them."""
-    word = lambda name: F.lower(_q(name))
-    said = lambda w: rows.text.contains(w)
-    inside = lambda columns, w: rows._any([F.lower(F.col(c).cast("string")).contains(w) for c in columns if c in rows.columns])
-    points = _points
-
-    def capped(wish: str, tag: str, tag_points: float, words, text_points: float, cap: float) -> Column:
-        both = points(rows._tag(tag), tag_points) + points(rows._said(*words), text_points)
-        return points(_q(wish), F.least(both, F.lit(cap)))
-
-    parts = [
-        points(F.col("__in_geo"), fixed.GEO_SCORE), points(F.col("__in_text"), fixed.GEO_SCORE * fixed.GEO_TEXT_SHARE),
-        points(inside(["community"], word("community_contains")), fixed.COMMUNITY_SCORE),
-        points(said(word("community_contains")), fixed.COMMUNITY_SCORE * fixed.COMMUNITY_TEXT_SHARE),
-        points(inside(["layout", "layout_normalized"], word("layout_contains")), fixed.LAYOUT_SCORE),
-        points(said(word("layout_contains")), fixed.LAYOUT_SCORE * fixed.LAYOUT_TEXT_SHARE),
+    """The summands of :meth:`_Listings.score` for the base ``__q`` and the words ``__w`` beside a row; names of numbers stand
+    for those of limits on them."""
+    points, parts = _points, [
+        _points(F.col("__in_geo"), fixed.GEO_SCORE), _points(F.col("__in_text"), fixed.GEO_SCORE * fixed.GEO_TEXT_SHARE),
     ]
+    for name, score, share in (
+        ("community_contains", fixed.COMMUNITY_SCORE, fixed.COMMUNITY_TEXT_SHARE), ("layout_contains", fixed.LAYOUT_SCORE, fixed.LAYOUT_TEXT_SHARE)
+    ):
+        inside, said = _said_in(rows, name, _word(name))
+        parts += [points(inside, score), points(said, score * share)]
     parts += [column for column in _PRICES if column in rows.numbers]
-    station = said(word("subway_station_contains")) | inside(["tag_subway_station_hint"], word("subway_station_contains"))
-    parts += [
-        capped("near_subway", "tag_near_subway", fixed.SUBWAY_TAG, fixed.SUBWAY_WORDS, fixed.SUBWAY_TEXT, fixed.SUBWAY_CAP),
-        points(station, fixed.STATION_SCORE),
-        capped("has_balcony", "tag_has_balcony", fixed.BALCONY_TAG, fixed.BALCONY_WORDS, fixed.BALCONY_TEXT, fixed.BALCONY_CAP),
-        capped("lighting_preferred", "tag_lighting", fixed.LIGHTING_TAG, fixed.LIGHTING_WORDS, fixed.LIGHTING_TEXT, fixed.LIGHTING_CAP),
-    ]
+    inside, said = _said_in(rows, "subway_station_contains", _word("subway_station_contains"))
+    wished = {wish: F.when(_q(wish), F.col(f"__for_{wish}")).otherwise(0.0) for wish in ("near_subway", "has_balcony", "lighting_preferred")}
+    parts += [wished["near_subway"], points(said | inside, fixed.STATION_SCORE), wished["has_balcony"], wished["lighting_preferred"]]
     if "build_year" in rows.numbers:
         parts.append("build_year")
     return [
         *parts,
         points(F.col("__parking"), -fixed.PARKING_PENALTY), points(F.col("__absurd"), -fixed.ABSURD_PENALTY),
-        points(F.col("__family") & _q("layout_contains").isNotNull(), fixed.FAMILY_BONUS),
+        points(F.col("__family") & _q("__family_asked"), fixed.FAMILY_BONUS),
     ]
 
 
@@ -216,6 +333,12 @@ _PRICES = {
 }
 
 
+#: The limits by which listings are told apart, by their numbers.
+_CELLS = {
+    "unit_price": ("min_unit_price",), "total_price": ("min_total_price_wan", "max_total_price_wan"), "build_year": ("min_build_year",),
+}
+
+
 def _by_limits(column: str, value: Column) -> list[Column]:
     """The summands that come from the limits on a number."""
     if column == "build_year":
@@ -233,13 +356,17 @@ def _by_limits(column: str, value: Column) -> list[Column]:
 def _between(asked: _Asked, column: str, value: Column) -> Column:
     """What is the same for numbers that all limits on the column have on the same side: how many lie below or at them.
 
-    Runs a small job over the searches.
+    Runs a small job over the searches.  Listings come by their unit price, those without one last, so most limits on it
+    need not tell them apart but from the prices that come after none.
     """
+    above = []
     if column == "build_year":
-        above, at = [], [F.col("min_build_year"), F.col("min_build_year") - fixed.YEAR_NEAR_SPAN]
+        at = [F.col("min_build_year"), F.col("min_build_year") - fixed.YEAR_NEAR_SPAN]
     else:
         low, high, near = _PRICES[column]
-        above, at = [F.col(high), F.col(high) * near], [F.col(low)]
+        at = [F.col(low)]
+        if column != "unit_price":
+            above = [F.col(high), F.col(high) * near]
     cells = []
     for limits, beyond in ((above, lambda t: value > t), (at, lambda t: value >= t)):
         if limits:
@@ -254,27 +381,42 @@ def _between(asked: _Asked, column: str, value: Column) -> Column:
 
 
 def _first_alike(rows: _Listings, asked: _Asked, wishes: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows with one wish each that can be among the first of one of its searches, with the parts of their score."""
-    least = wishes.filter("intent_id = __wish").drop("__wish")
-    numbers = {f"__{c}": value for c, value in rows.numbers.items() if c in (*_PRICES, "build_year")}
+    """The rows with one base or wish each (``__meets``) that can be among the first of one of its searches, with the parts
+    of their score and, where a search has words, the texts these may be in."""
+    numbers = {f"__{c}": value for c, value in rows.numbers.items() if c in _CELLS}
     hard = F.lit(True)
     for tag in HARD_TAGS:
         hard = hard & _hard(rows, tag)
     parts = [p for p in _parts(rows) if not isinstance(p, str)]
-    # Where numbers lie is told once for a row, before it meets the wishes.
-    rows.frame = rows.frame.withColumns({f"__at{c}": _between(asked, c.removeprefix("__"), value) for c, value in numbers.items()})
-    pairs = _candidates(rows, asked, least).select(
-        *columns, rows.noise.alias("__noise"), rows.price().alias("__price"), _q("intent_id").alias("__wish"), hard.alias("__hard"),
-        *[value.alias(name) for name, value in numbers.items()], *[f"__at{c}" for c in numbers],
+    # What does not depend on the wishes is told once for a row, before it meets them.  Here and below, pinned columns keep
+    # a projection out of the stage's one generated method, beside doing what they do.
+    rows.frame = rows.frame.withColumns({
+        **{f"__at{c}": _between(asked, c.removeprefix("__"), value) for c, value in numbers.items()},
+        **{f"__for_{wish}": points for wish, points in _capped(rows).items()},
+    })
+    texts = []
+    if asked.worded:
+        texts = ["__text", *[_low(c) for names in _WORDS.values() for c in names if c in rows.columns]]
+        said = [F.coalesce(F.lower(F.col(c).cast("string")), F.lit("")) for names in _WORDS.values() for c in names if c in rows.columns]
+        anchors = _anchors(_word_index(wishes).select(F.col("__anchor").alias("word")))
+        rows.frame = rows.frame.withColumn("__worded", pinned(F.concat_ws("\x01", *said, F.col("__text"))))
+        rows.frame = rows.frame.withColumn("__word_anchors", anchors.inside(F.col("__worded"))).drop("__worded")
+    pairs = _meeting_wishes(rows, asked, wishes, _candidates(rows, asked, _bases(wishes)))
+    beyond = F.coalesce(rows.price() >= fixed.NO_PRICE, F.lit(False)) & rows.numbers.get("unit_price", F.lit(None)).isNotNull()
+    alike = {f"__at{c}": F.when(_q(f"__limits_{c.removeprefix('__')}"), F.col(f"__at{c}")) for c in numbers}
+    pairs = pairs.select(
+        *columns, *texts, rows.noise.alias("__noise"), pinned_number(rows.price()).alias("__price"), "__meets", _q("max_rows").alias("__first"),
+        hard.alias("__hard"), beyond.alias("__beyond"), *[value.alias(name) for name, value in numbers.items()],
+        *[cell.alias(name) for name, cell in alike.items()],
         F.array(*parts).alias("__parts"),
     )
     # Whole numbers in place of the parts, of which one has few values, far more than that apart.
-    said = F.transform("__parts", lambda p: F.round(p * 10_000).cast("bigint"))
-    pairs = pairs.withColumn("__said", said)
-    alike = Window.partitionBy("__wish", "__noise", "__hard", "__said", *[f"__at{c}" for c in numbers])
+    said = [F.floor(F.get("__parts", F.lit(i)) * 10_000 + 0.5) for i in range(len(parts))]
+    pairs = pairs.withColumn("__said", F.array(*said))
+    alike = Window.partitionBy("__meets", "__noise", "__hard", "__beyond", "__said", *alike)
     place = F.row_number().over(alike.orderBy("__price", *rows.row_order()))
-    first = pairs.withColumn("__place", place).filter(F.col("__place") <= asked.most_rows)
-    return first.drop("__place", "__said", *[f"__at{c}" for c in numbers])
+    first = pairs.withColumn("__place", place).filter(F.col("__place") <= asked.most_rows).filter(F.col("__place") <= F.col("__first"))
+    return first.drop("__place", "__first", "__beyond", "__said", *[f"__at{c}" for c in numbers])
 
 
 def _score(rows: _Listings) -> Column:
@@ -300,9 +442,17 @@ def search_batch(df: DataFrame, intents: DataFrame | dict[str, SearchIntent]) ->
     asked = _asked(table.filter(F.coalesce(F.col("needs_row_samples"), F.lit(False))) if "needs_row_samples" in table.columns else table.limit(0))
     rows = _Listings(df, lowered=True)
     wishes = _wishes(asked)
-    small = F.broadcast if asked.count <= BROADCAST_INTENTS else lambda searches: searches
-    searches = wishes.select("__wish", F.struct(*asked.table.columns).alias("__q"))
-    hits = _first_alike(rows, asked, wishes, df.columns).join(small(searches), "__wish").select(
+    worded = reduce(lambda a, b: a | b, [F.col(w).isNotNull() for w in _WORDS])
+    meets = [F.concat(F.lit(kind), f"__{name}") for kind, name in (("b", "base"), ("w", "wish"))]
+    searches = wishes.select(
+        F.explode(F.when(worded, F.array(*meets)).otherwise(F.array(meets[0]))).alias("__meets"), F.struct(*asked.table.columns).alias("__q"),
+        F.struct(*[F.lower(w).alias(w) for w in _WORDS]).alias("__w"),
+    )
+    hits = _first_alike(rows, asked, wishes, df.columns).join(_small(searches, asked.count), "__meets")
+    if asked.worded:  # a row with a word of the search is there for its wish, not for the base
+        said = reduce(lambda a, b: a | b, [c for name in _WORDS for c in _said_in(rows, name, _word(name))])
+        hits = hits.filter(~(F.col("__meets").startswith("b") & said))
+    hits = hits.select(
         *df.columns, "__noise", "__price", _q("intent_id").alias("intent_id"),
         _q("max_rows").alias("__most"), "__hard", pinned_number(_score(rows)).alias("score"),
     )

@@ -231,3 +231,30 @@ def test_batch_meets_wishes_before_searches(spark):
     for key in [*intents][:5]:
         single = [(i + 1, r["row_id"], r["score"]) for i, r in enumerate(search.search_listings(df, intents[key]).collect())]
         assert sorted(batch[key]) == single
+
+
+def _ranked(df, intents):
+    batch = {}
+    for r in batch_search.search_batch(df, intents).collect():
+        batch.setdefault(r["intent_id"], []).append((r["rank"], r["row_id"], r["score"]))
+    return batch
+
+
+def test_listings_meet_only_wishes_that_they_have_a_word_of(spark):
+    """Wishes that differ in words share the listings that have none of them; equal rows are listed once each."""
+    rows = [(f"{i:04d}", "高新区", f"C{i % 30:02d}苑", ["地铁 C05苑", None, "南熏大道"][i % 3], ["3室2厅", "2室1厅", None][i % 3], 9e3 + i % 50)
+            for i in range(300)]
+    df = spark.createDataFrame([*rows, *rows[:40]], "row_id string, district string, community string, description_raw string, "
+                                                    "layout string, unit_price double").repartition(3)
+    asked_for = {f"{i}": SearchIntent(True, district_contains="高新", community_contains=f"c{i:02d}苑", max_unit_price=9e3 + i, max_rows=1) for i in range(30)}
+    asked = batch_search._asked(batch_search.intent_table(spark, asked_for))
+    found = batch_search._first_alike(search._Listings(df, lowered=True), asked, batch_search._wishes(asked), df.columns)
+    # For each wish one listing by its community, one by its text and one by both at most, and one for all without a word.
+    assert found.count() <= 3 * 30 + 1
+    words = {f"w{i}": SearchIntent(
+        True, district_contains=[None, "高新"][i % 2], community_contains=[None, "C05苑", "苑"][i % 3], layout_contains=[None, "3室"][i // 3 % 2],
+        subway_station_contains=[None, "南熏大道"][i // 6 % 2], max_unit_price=9e3 + 2 * i, max_rows=1 + i % 4) for i in range(12)}
+    batch = _ranked(df, {**asked_for, **words})
+    for key in ("0", "5", "29", *words):
+        intent = {**asked_for, **words}[key]
+        assert sorted(batch[key]) == [(i + 1, r["row_id"], r["score"]) for i, r in enumerate(search.search_listings(df, intent).collect())]
