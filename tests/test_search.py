@@ -258,3 +258,18 @@ def test_listings_meet_only_wishes_that_they_have_a_word_of(spark):
     for key in ("0", "5", "29", *words):
         intent = {**asked_for, **words}[key]
         assert sorted(batch[key]) == [(i + 1, r["row_id"], r["score"]) for i, r in enumerate(search.search_listings(df, intent).collect())]
+
+
+def test_upper_limits_on_the_unit_price_tell_no_listings_apart(spark):
+    """The cheapest of those alike have the points, if any; listings without a price come before those above all prices."""
+    prices = [100.0 + i for i in range(60)] + [None, None, 2e18, 3e18]
+    df = spark.createDataFrame([(f"{i:03d}", "锦江区", p) for i, p in enumerate(prices)], "row_id string, district string, unit_price double")
+    intents = {f"{i}": SearchIntent(True, district_contains="锦江", max_unit_price=40.0 + 3 * i, max_rows=2) for i in range(40)}
+    intents["all"] = SearchIntent(True, district_contains="锦江", max_unit_price=2.5e18, max_rows=70)
+    few = {k: v for k, v in intents.items() if k != "all"}
+    asked = batch_search._asked(batch_search.intent_table(spark, few))
+    found = batch_search._first_alike(search._Listings(df, lowered=True), asked, batch_search._wishes(asked), df.columns)
+    assert found.count() == 2 + 2
+    batch = _ranked(df, intents)
+    for key in ("0", "20", "39", "all"):
+        assert sorted(batch[key]) == [(i + 1, r["row_id"], r["score"]) for i, r in enumerate(search.search_listings(df, intents[key]).collect())]
