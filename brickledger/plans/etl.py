@@ -32,14 +32,29 @@ def _parsed(raw: DataFrame, folder: str | None) -> DataFrame:
     return raw.sparkSession.read.schema(parsed.schema).parquet(f"{folder}/parsed")
 
 
+def _unique(raw: DataFrame, folder: str) -> DataFrame:
+    """:func:`deduplicate` of the parsed listings in the folder's table ``parsed``, where each row has a number."""
+    numbered = parse_listings(raw, all_columns=True).withColumn(dedup.ROW_NUMBER, F.monotonically_increasing_id())
+    rows, n_rows = _write_counted(numbered, f"{folder}/parsed", compression="zstd")
+    plain = rows.drop(dedup.ROW_NUMBER)
+    keys = dedup.resolve_dedup_keys(plain)
+    if not keys or not dedup.orders_rows(plain, keys) or n_rows > dedup.MOST_MARKED:
+        return dedup.drop_duplicates_first(plain, keys)
+    marks, blocks = _write_counted(dedup.first_marks(rows, keys), f"{folder}/first")
+    if blocks > dedup.MOST_BLOCKS:  # of few rows each, as many small tasks wrote them
+        return dedup.drop_duplicates_first(plain, keys)
+    return dedup.marked_rows(rows, marks)
+
+
 def clean_listings(raw: DataFrame, folder: str | None = None) -> DataFrame:
     """Parse, drop duplicates, drop price outliers, derive the floor band.
 
     Dedup keys and price bounds are decided by small jobs on the columns they need, so the wide rows are
     shuffled once, by dedup key.  With ``folder``, one that all executors share, the listings are parsed once into its
-    table ``parsed`` and those jobs read their columns from it.
+    table ``parsed`` and those jobs read their columns from it; where a source file or row id says which row is first, the
+    wide rows are not shuffled at all (:func:`dedup.first_marks`).
     """
-    unique = deduplicate(_parsed(raw, folder))
+    unique = deduplicate(_parsed(raw, folder)) if folder is None else _unique(raw, folder)
     return unique.transform(outliers.remove_price_outliers).transform(cleaning.floor_band)
 
 
@@ -138,10 +153,10 @@ def write_report(clean: DataFrame, folder: str, tasks: list[str] | None = None)
     return written
 
 
-def _write_counted(df: DataFrame, path: str) -> tuple[DataFrame, int]:
+def _write_counted(df: DataFrame, path: str, **options: str) -> tuple[DataFrame, int]:
     """df as a table, read again, and the rows written, counted on the way."""
     counted = Observation()
-    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path, **options)
     return df.sparkSession.read.schema(df.schema).parquet(path), counted.get.get("rows", 0)
 
 

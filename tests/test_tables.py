@@ -279,3 +279,31 @@ def test_subway_warning_goes_by_the_ratio_shown(spark):
     assert row["tag_near_subway_true_ratio"] == 0.3 and "tag_near_subway_sparse" not in row["warning_codes"]
     less = spark.range(100_000).select("*", (F.col("id") < 29_994).alias("tag_near_subway"))
     assert "tag_near_subway_sparse" in quality.quality_report(less, less).first()["warning_codes"]
+
+
+def test_marks_keep_the_rows_that_come_first(spark, tmp_path):
+    """As :func:`dedup.drop_duplicates_first`, over numbers of several tasks and blocks, with NULL keys and equal rows."""
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.choice([None, *map(str, range(400))]), f"{rng.randrange(900):04d}", float(i)) for i in range(1000)]
+    df = spark.createDataFrame(rows * 2, "ingest_file string, listing_id string, row_id string, v double").repartition(3)
+    numbers = F.monotonically_increasing_id() * 97  # blocks of few rows
+    df.withColumn(dedup.ROW_NUMBER, numbers).write.parquet(f"{tmp_path}/t")
+    stored, keys = spark.read.parquet(f"{tmp_path}/t"), ["ingest_file", "listing_id"]
+    kept = dedup.marked_rows(stored, dedup.first_marks(stored, keys))
+    same = dedup.drop_duplicates_first(df, keys).select(*keys, "row_id")
+    assert kept.columns == df.columns
+    assert sorted(map(repr, kept.select(*keys, "row_id").collect())) == sorted(map(repr, same.collect()))
+
+
+def test_stored_listings_are_not_shuffled_to_drop_duplicates(spark, tmp_path):
+    from brickledger.plans import etl
+    from verification.queries import raw
+
+    rows = raw(spark, "/root/testdata/sf0.001")
+    plans = [etl.clean_listings(rows, f"{tmp_path}/a"), etl.clean_and_label(rows, f"{tmp_path}/b")]
+    for plan in plans:
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in text and "BroadcastHashJoin" in text
+    whole = etl.clean_listings(rows)
+    assert plans[0].columns == whole.columns and plans[0].count() == whole.count()
+    assert plans[0].exceptAll(whole).count() == 0
